@@ -1,4 +1,4 @@
 """Loads every check module, which fills the registry."""
 
-from . import page_checks, query_checks, entity_checks, score_checks  # noqa: F401
+from . import entity_checks, page_checks, query_checks, score_checks, serve_checks  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401

@@ -122,67 +122,81 @@ def validate_entities(
 ) -> DataFrame:
     """Adds is_valid, reasons and flags to rows that have confidence and relevance."""
     sensitive = F.coalesce(F.col("q_industry").isin(rules.SERVICE_INDUSTRIES), F.lit(False))
-    judged = (
-        scored.withColumn("_blocked", F.coalesce(F.col("domain").isin(list(blocklist)), F.lit(False)))
-        .withColumn("_spam", spam_terms(F.concat_ws(" ", F.coalesce("name", F.lit("")), F.coalesce("description", F.lit("")))))
-        .withColumn("_no_name", F.coalesce(F.length("name"), F.lit(0)) < 2)
-        .withColumn("_bad_domain", ~F.coalesce(F.col("domain").contains("."), F.lit(False)))
-        .withColumn(
-            "_service_query",
-            F.col("q_intent").isin(rules.SERVICE_INTENTS)
-            | ((F.col("q_intent") == "competitor_analysis") & sensitive),
-        )
-        .withColumn("_text", signal_text())
+    service_query = F.col("q_intent").isin(rules.SERVICE_INTENTS) | (
+        (F.col("q_intent") == "competitor_analysis") & sensitive
+    )
+    described = F.concat_ws(" ", F.coalesce("name", F.lit("")), F.coalesce("description", F.lit("")))
+    signals = F.struct(
+        F.coalesce(F.col("domain").isin(list(blocklist)), F.lit(False)).alias("blocked"),
+        spam_terms(described).alias("spam"),
+        (F.coalesce(F.length("name"), F.lit(0)) < 2).alias("no_name"),
+        (~F.coalesce(F.col("domain").contains("."), F.lit(False))).alias("bad_domain"),
+        sensitive.alias("sensitive"),
+        service_query.alias("service_query"),
+        F.when(service_query | sensitive, tool_signal_count(signal_text())).otherwise(0).alias("tool"),
+        F.when(service_query | sensitive, agency_signal_count(signal_text())).otherwise(0).alias("agency"),
+        F.col("confidence"),
+        F.col("relevance"),
+    )
+    verdict = scored.withColumn("_verdict", bind(bind(signals, _findings), _verdict))
+    return verdict.select(
+        *scored.columns,
+        F.col("_verdict.is_valid").alias("is_valid"),
+        F.col("_verdict.reasons").alias("reasons"),
+        F.col("_verdict.flags").alias("flags"),
+    )
+
+
+def _findings(s: Column) -> Column:
+    """Which checks an entity failed, from its signals."""
+    clean = ~(s["blocked"] | (F.size(s["spam"]) > 0) | s["no_name"] | s["bad_domain"])
+    pure_tool = clean & s["service_query"] & (s["tool"] >= 2) & (s["agency"] == 0)
+    return F.struct(
+        s.alias("s"),
+        clean.alias("clean"),
+        pure_tool.alias("pure_tool"),
+        (clean & s["service_query"] & ~pure_tool & (s["tool"] >= 3)).alias("strong_tool"),
+        (clean & ~s["service_query"] & s["sensitive"] & (s["tool"] >= 3)).alias("soft_tool"),
+        (s["confidence"] < rules.CONFIDENCE_MINIMUM).alias("low_confidence"),
+        (s["relevance"] < 0.1).alias("low_relevance"),
     )
-    watched = F.col("_service_query") | sensitive
-    judged = judged.withColumn(
-        "_tool", F.when(watched, tool_signal_count(F.col("_text"))).otherwise(0)
-    ).withColumn("_agency", F.when(watched, agency_signal_count(F.col("_text"))).otherwise(0))
-
-    clean = ~(F.col("_blocked") | (F.size("_spam") > 0) | F.col("_no_name") | F.col("_bad_domain"))
-    pure_tool = clean & F.col("_service_query") & (F.col("_tool") >= 2) & (F.col("_agency") == 0)
-    strong_tool = clean & F.col("_service_query") & ~pure_tool & (F.col("_tool") >= 3)
-    soft_tool = clean & ~F.col("_service_query") & sensitive & (F.col("_tool") >= 3)
-    low_confidence = F.col("confidence") < rules.CONFIDENCE_MINIMUM
-    low_relevance = F.col("relevance") < 0.1
-    valid = clean & ~pure_tool & ~strong_tool & ~low_confidence & ~low_relevance
-    high = valid & (F.col("confidence") >= rules.CONFIDENCE_HIGH) & (F.col("relevance") >= 0.7)
+
+
+def _verdict(f: Column) -> Column:
+    s, spam = f["s"], f["s"]["spam"]
+    valid = f["clean"] & ~f["pure_tool"] & ~f["strong_tool"] & ~f["low_confidence"] & ~f["low_relevance"]
+    high = valid & (s["confidence"] >= rules.CONFIDENCE_HIGH) & (s["relevance"] >= 0.7)
 
     def listed(*entries: tuple[Column, Column | str]) -> Column:
         cells = F.array(*[F.when(c, F.lit(v) if isinstance(v, str) else v) for c, v in entries])
         return F.filter(cells, lambda x: x.isNotNull())
 
-    tools = F.col("_tool").cast("string")
+    tools = s["tool"].cast("string")
     # Reason texts and flag labels.
     reasons = listed(
-        (F.col("_blocked"), "Review/directory site — not a company entity"),
-        (F.size("_spam") > 0, F.concat(F.lit("Spam indicators found: "), F.array_join("_spam", ", "))),
-        (F.col("_no_name"), "Missing company name"),
-        (F.col("_bad_domain"), "Invalid domain"),
-        (pure_tool, F.concat(F.lit("SaaS tool/platform, not a service agency (tool signals: "), tools, F.lit(")"))),
-        (strong_tool, F.concat(F.lit("Self-serve platform detected ("), tools, F.lit(" tool signals override agency signals)"))),
-        (low_confidence, "Confidence score too low"),
-        (low_relevance, "Not relevant to query"),
+        (s["blocked"], "Review/directory site — not a company entity"),
+        (F.size(spam) > 0, F.concat(F.lit("Spam indicators found: "), F.array_join(spam, ", "))),
+        (s["no_name"], "Missing company name"),
+        (s["bad_domain"], "Invalid domain"),
+        (f["pure_tool"], F.concat(F.lit("SaaS tool/platform, not a service agency (tool signals: "), tools, F.lit(")"))),
+        (f["strong_tool"], F.concat(F.lit("Self-serve platform detected ("), tools, F.lit(" tool signals override agency signals)"))),
+        (f["low_confidence"], "Confidence score too low"),
+        (f["low_relevance"], "Not relevant to query"),
         (valid, "Passed all validation checks"),
     )
     flags = listed(
-        (F.col("_blocked"), "irrelevant"),
-        (F.size("_spam") > 0, "spam"),
-        (F.col("_no_name"), "incomplete"),
-        (F.col("_bad_domain"), "incomplete"),
-        (pure_tool | strong_tool, "tool_not_agency"),
-        (soft_tool, "possible_tool_not_agency"),
-        (low_confidence, "low_quality"),
-        (low_relevance, "irrelevant"),
+        (s["blocked"], "irrelevant"),
+        (F.size(spam) > 0, "spam"),
+        (s["no_name"], "incomplete"),
+        (s["bad_domain"], "incomplete"),
+        (f["pure_tool"] | f["strong_tool"], "tool_not_agency"),
+        (f["soft_tool"], "possible_tool_not_agency"),
+        (f["low_confidence"], "low_quality"),
+        (f["low_relevance"], "irrelevant"),
         (high, "high_confidence"),
         (valid, "verified"),
     )
-    return (
-        judged.withColumn("is_valid", valid)
-        .withColumn("reasons", reasons)
-        .withColumn("flags", flags)
-        .drop("_blocked", "_spam", "_no_name", "_bad_domain", "_service_query", "_text", "_tool", "_agency")
-    )
+    return F.struct(valid.alias("is_valid"), reasons.alias("reasons"), flags.alias("flags"))
 
 
 # --- rank ---------------------------------------------------------------------------------------
