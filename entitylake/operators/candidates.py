@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.patterns import bind, lookup, string_array
 from ..functions.urls import clean_candidate, stem_of
 from ..rules import domain_lists, query_rules
+from ..session import stored
 from .ordering import top_k_per_key
 from .queries import domain_in_query, target_company
 
@@ -121,6 +122,7 @@ def resolve_industry(
 ) -> DataFrame:
     """Adds seed_industry: the query's own industry, else the suggested, the web's, the stored one;
     then the keyword match, then the fallback of the intent. Only industries with seeds count."""
+    queries = stored(queries)
     with_seeds = seeds.select("industry").distinct()
     suggested = suggestions.filter("confidence >= 0.5").select("query_id", F.col("industry").alias("_suggested"))
     from_web = (
@@ -128,14 +130,14 @@ def resolve_industry(
         .groupBy("query_id")
         .agg(F.min_by("industry", "pos").alias("_web"))
     )
-    stored = (
+    categorised = (
         category_industry(queries, entities)
         .join(with_seeds, "industry", "left_semi")
         .groupBy("query_id")
         .agg(F.min("industry").alias("_stored"))
     )
     keyword = seed_keyword_match(queries, seeds).withColumnRenamed("industry", "_keyword")
-    joined = reduce(lambda d, o: d.join(o, "query_id", "left"), (suggested, from_web, stored, keyword), queries)
+    joined = reduce(lambda d, o: d.join(o, "query_id", "left"), (suggested, from_web, categorised, keyword), queries)
     plain, uses_web = ~F.col("is_domain"), F.col("intent").isin(query_rules.WEB_INTENTS)
     resolved = F.coalesce(
         F.col("industry"),
@@ -179,8 +181,8 @@ def candidate_urls(
     directories: industry, pos, url. Output: query_id, pos, url, tier, links_only.
     """
     resolved = resolve_industry(queries, suggestions, web, entities, seeds)
-    base = resolved.select(
-        "query_id", "raw", "query", "is_domain", "intent", "seed_industry", "has_industry_seeds"
+    base = stored(
+        resolved.select("query_id", "raw", "query", "is_domain", "intent", "seed_industry", "has_industry_seeds")
     )
     plain = base.filter(~F.col("is_domain"))
 

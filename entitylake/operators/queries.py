@@ -13,17 +13,25 @@ from ..rules import domain_lists, query_rules as rules
 
 def normalized_query(raw: Column) -> Column:
     """A phrase that starts with a URL keeps its bare domain and the rest."""
-    trimmed = trim_all(raw)
-    url = F.regexp_extract(trimmed, r"^\S+", 0)
-    rest = trim_all(F.regexp_replace(trimmed, r"^\S+", ""))
-    domain = strip_www(host_of(url))
-    short = F.when(rest != "", F.concat_ws(" ", domain, rest)).otherwise(domain)
-    return F.when(trimmed.rlike("(?i)^https?://") & domain.isNotNull(), short).otherwise(trimmed)
+    def parts(trimmed: Column) -> Column:
+        url = F.regexp_extract(trimmed, r"^\S+", 0)
+        return F.struct(
+            trimmed.alias("trimmed"),
+            strip_www(host_of(url)).alias("domain"),
+            trim_all(F.regexp_replace(trimmed, r"^\S+", "")).alias("rest"),
+        )
+
+    def shorten(p: Column) -> Column:
+        short = F.when(p["rest"] != "", F.concat_ws(" ", p["domain"], p["rest"])).otherwise(p["domain"])
+        with_url = p["trimmed"].rlike("(?i)^https?://") & p["domain"].isNotNull()
+        return F.when(with_url, short).otherwise(p["trimmed"])
+
+    return bind(bind(trim_all(raw), parts), shorten)
 
 
 def is_domain_query(query: Column) -> Column:
     cleaned = F.lower(trim_all(query))
-    return matches(cleaned, rules.BARE_DOMAIN) & ~cleaned.contains(" ")
+    return bind(cleaned, lambda c: matches(c, rules.BARE_DOMAIN) & ~c.contains(" "))
 
 
 def domain_in_query(query: Column) -> Column:
@@ -89,23 +97,41 @@ def query_objective(query: Column, intent: Column, industry: Column, is_domain:
     )
 
 
-def analyze_queries(queries: DataFrame, raw: str = "raw") -> DataFrame:
-    """Adds query, is_domain, intent, industry, location, entity_type, keywords, objective."""
-    out = queries.withColumn("query", normalized_query(F.col(raw)))
-    out = out.withColumn("is_domain", is_domain_query(F.col("query")))
-    out = (
-        out.withColumn("intent", query_intent(F.col("query"), F.col("is_domain")))
-        .withColumn("industry", query_industry(F.col("query")))
-        .withColumn("location", query_location(F.col("query")))
-    )
-    return (
-        out.withColumn("entity_type", entity_type(F.col("query"), F.col("intent")))
-        .withColumn("keywords", query_keywords(F.col("query"), F.col("is_domain")))
-        .withColumn(
-            "objective",
-            query_objective(F.col("query"), F.col("intent"), F.col("industry"), F.col("is_domain")),
+ANALYSED = (
+    "query", "is_domain", "intent", "industry", "location", "entity_type", "keywords", "objective",
+)
+
+
+def _analysis(query: Column) -> Column:
+    def labels(a: Column) -> Column:
+        return F.struct(
+            a["query"].alias("query"),
+            a["is_domain"].alias("is_domain"),
+            query_intent(a["query"], a["is_domain"]).alias("intent"),
+            query_industry(a["query"]).alias("industry"),
+            query_location(a["query"]).alias("location"),
+            query_keywords(a["query"], a["is_domain"]).alias("keywords"),
         )
-    )
+
+    def complete(b: Column) -> Column:
+        return F.struct(
+            *[b[c].alias(c) for c in ("query", "is_domain", "intent", "industry", "location", "keywords")],
+            entity_type(b["query"], b["intent"]).alias("entity_type"),
+            query_objective(b["query"], b["intent"], b["industry"], b["is_domain"]).alias("objective"),
+        )
+
+    start = bind(query, lambda q: F.struct(q.alias("query"), is_domain_query(q).alias("is_domain")))
+    return bind(bind(start, labels), complete)
+
+
+def analyze_queries(queries: DataFrame, raw: str = "raw") -> DataFrame:
+    """Adds query, is_domain, intent, industry, location, entity_type, keywords, objective.
+
+    One bound expression: a later filter on a label repeats it once instead of unfolding every rule
+    into every place that reads the label.
+    """
+    out = queries.withColumn("_a", _analysis(normalized_query(F.col(raw))))
+    return out.select(*queries.columns, *[F.col(f"_a.{c}").alias(c) for c in ANALYSED])
 
 
 def expand_queries(analyzed: DataFrame, year: int, limit: int = 6) -> DataFrame:

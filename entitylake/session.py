@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -23,3 +24,13 @@ def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g") -> Sp
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared checkpoint folder of the cluster; a local one only where none is set."""
     return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write a result that several branches read and read it back from the shared folder.
+
+    The branches then neither repeat its work nor depend on the executors that did it.
+    """
+    path = f"{checkpoint_root(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
