@@ -203,7 +203,8 @@ def _verdict(f: Column) -> Column:
 
 
 def seconds_between(earlier: Column, later: Column) -> Column:
-    return F.timestamp_diff("SECOND", earlier.cast("timestamp_ntz"), later)
+    """Whole seconds between two timestamps without zone; the session zone plays no part."""
+    return (later - earlier.cast("timestamp_ntz")).cast("interval second").cast("bigint")
 
 
 def as_of_literal(as_of: datetime) -> Column:
