@@ -64,19 +64,20 @@ def count_terms(terms):
     return f"len(list_filter({q.items(terms)}, lambda p: contains(txt, p)))"
 
 
-SCORED = f"""{analysis('fx_queries')},
-pa AS (SELECT p.query_id, e.* EXCLUDE (confidence, relevance, is_valid), q7.raw, intent AS q_intent, industry AS q_industry, keywords AS q_keywords, location AS q_location
-  FROM fx_pairs p JOIN fx_entities e USING (entity_id) JOIN q7 ON q7.query_id = p.query_id),
-pb AS (SELECT *, {CONFIDENCE} AS confidence,
+ASKED = "intent AS q_intent, q7.industry AS q_industry, keywords AS q_keywords, q7.location AS q_location"
+PAIRS = f"""asked_pairs AS (SELECT p.query_id, e.* EXCLUDE (confidence, relevance, is_valid), q7.raw, {ASKED}
+  FROM fx_pairs p JOIN fx_entities e USING (entity_id) JOIN q7 ON q7.query_id = p.query_id)"""
+SCORE_SQL = f"""pb AS (SELECT *, {CONFIDENCE} AS confidence,
   lower(name || ' ' || coalesce(description, '') || ' ' || coalesce(category, '') || ' ' || replace(services, '|', ' ') || ' ' || coalesce(meta_title, '') || ' ' || coalesce(meta_description, '')) AS txt,
   replace(q_industry, '_', ' ') AS slug, regexp_replace(lower(category), '\\s+', ' ', 'g') AS cat,
-  list_filter(string_split(q_keywords, '|'), lambda k: length(k) > 2 AND NOT list_contains({q.items(vr.OPERATOR_WORDS)}, k)) AS kws FROM pa),
+  list_filter(string_split(q_keywords, '|'), lambda k: length(k) > 2 AND NOT list_contains({q.items(vr.OPERATOR_WORDS)}, k)) AS kws FROM asked_pairs),
 pd2 AS (SELECT *, CASE WHEN q_industry IS NULL THEN 0.3::DOUBLE ELSE len(list_filter(string_split(slug, ' '), lambda w: contains(txt, w)))::DOUBLE / len(string_split(slug, ' ')) * 0.35::DOUBLE
     + {pt("category <> '' AND (contains(cat, split_part(slug, ' ', 1)) OR contains(slug, split_part(cat, ' ', 1)))", 0.35)} END
   + CASE WHEN len(kws) > 0 THEN len(list_filter(kws, lambda k: contains(txt, k)))::DOUBLE / len(kws) * 0.3::DOUBLE ELSE 0.2::DOUBLE END
   + CASE WHEN q_location IS NULL THEN 0.1::DOUBLE ELSE {pt("contains(txt, lower(q_location))", 0.15)} END AS r0, {count_terms(vr.AGENCY_PHRASES)} AS ah, {count_terms(vr.TOOL_PHRASES)} AS th FROM pb),
 scored AS (SELECT *, least(1.0::DOUBLE, greatest(0.05::DOUBLE, CASE WHEN q_intent IN {q.inlist(vr.SERVICE_INTENTS)}
   THEN r0 + CASE WHEN ah >= 2 THEN 0.15::DOUBLE WHEN ah >= 1 THEN 0.07::DOUBLE ELSE 0.0::DOUBLE END - CASE WHEN th >= 3 THEN 0.35::DOUBLE WHEN th >= 2 THEN 0.2::DOUBLE WHEN th >= 1 THEN 0.05::DOUBLE ELSE 0.0::DOUBLE END ELSE r0 END)) AS relevance FROM pd2)"""
+SCORED = f"{analysis('fx_queries')},\n{PAIRS},\n{SCORE_SQL}"
 
 USES = "fx_queries fx_entities fx_pairs"
 
@@ -119,8 +120,7 @@ def _listed(entries):
     return "list_filter([" + ", ".join(f"CASE WHEN {c} THEN {v} END" for c, v in entries) + "], lambda x: x IS NOT NULL)"
 
 
-VERDICT = f"""{SCORED},
-v1 AS (SELECT *, domain IN {q.inlist(dl.VERDICT_BLOCKLIST)} AS blocked, list_filter({q.items(vr.SPAM_TERMS)}, lambda t: contains(lower(name || ' ' || coalesce(description, '')), t)) AS spam,
+VERDICT_SQL = f"""v1 AS (SELECT *, domain IN {q.inlist(dl.VERDICT_BLOCKLIST)} AS blocked, list_filter({q.items(vr.SPAM_TERMS)}, lambda t: contains(lower(name || ' ' || coalesce(description, '')), t)) AS spam,
   length(name) < 2 AS no_name, NOT contains(domain, '.') AS bad_domain, q_intent IN {q.inlist(vr.SERVICE_INTENTS)} OR (q_intent = 'competitor_analysis' AND {_SENS}) AS svcq, {_SENS} AS sens,
   {q.hits(_DT, vr.TOOL_SIGNALS).replace(_DT, 'dt')} AS tool, {q.hits(_DT, vr.AGENCY_SIGNALS).replace(_DT, 'dt')} AS agency FROM (SELECT *, {_DT} AS dt FROM scored)),
 v2 AS (SELECT *, NOT (blocked OR len(spam) > 0 OR no_name OR bad_domain) AS clean FROM v1),
@@ -134,6 +134,7 @@ verdict AS (SELECT *, {_listed([
     ("blocked", "'irrelevant'"), ("len(spam) > 0", "'spam'"), ("no_name", "'incomplete'"), ("bad_domain", "'incomplete'"), ("pure_tool OR strong_tool", "'tool_not_agency'"),
     ("soft_tool", "'possible_tool_not_agency'"), ("confidence < 0.2::DOUBLE", "'low_quality'"), ("relevance < 0.1::DOUBLE", "'irrelevant'"),
     ("is_valid AND confidence >= 0.8::DOUBLE AND relevance >= 0.7::DOUBLE", "'high_confidence'"), ("is_valid", "'verified'")])} AS flags FROM v4)"""
+VERDICT = f"{SCORED},\n{VERDICT_SQL}"
 
 
 @checked("entity_validation", USES, f"WITH {VERDICT} SELECT query_id, entity_id, confidence, relevance, is_valid, array_to_string(reasons, '|') AS reasons, array_to_string(flags, '|') AS flags FROM verdict")
