@@ -11,6 +11,7 @@ from entitylake.operators import pages as P
 from entitylake.operators import people as PP
 from entitylake.operators import subpages as S
 from entitylake.rules import page_rules as pr
+from entitylake.sources.tables import spread
 
 from . import page_checks as pc
 from . import sqltext as q
@@ -19,11 +20,11 @@ from .registry import checked
 
 
 def docs(spark, sf):
-    return spark_table(spark, sf, "documents")
+    return spread(spark_table(spark, sf, "documents"))
 
 
 def profiled(spark, sf):
-    return P.page_profile(spark_table(spark, sf, "fx_pages"))
+    return P.page_profile(pc.pages(spark, sf))
 
 
 def show_people(col):
@@ -67,7 +68,7 @@ text_people AS (SELECT {key}, string_agg(name || ':' || role, '|' ORDER BY pos)
 ak AS (SELECT kind || CAST(id AS VARCHAR) AS k, text FROM al), {text_people_sql('ak', 'k', 'text')}
 SELECT k, people FROM text_people""")
 def text_people(spark, sf):
-    body = P.with_body_text(spark_table(spark, sf, "fx_pages"))
+    body = P.with_body_text(pc.pages(spark, sf))
     both = body.select(F.concat(F.lit("page"), F.col("page_id").cast("string")).alias("k"), F.col("body_text").alias("text")).union(
         docs(spark, sf).select(F.concat(F.lit("document"), F.col("doc_id").cast("string")), "text")
     )
@@ -91,7 +92,7 @@ TEXTS = f"""al AS (SELECT 'page' || CAST(page_id AS VARCHAR) AS k, body_text AS
 
 
 def all_texts(spark, sf):
-    body = P.with_body_text(spark_table(spark, sf, "fx_pages"))
+    body = P.with_body_text(pc.pages(spark, sf))
     return body.select(F.concat(F.lit("page"), F.col("page_id").cast("string")).alias("k"), F.col("body_text").alias("text")).union(
         docs(spark, sf).select(F.concat(F.lit("document"), F.col("doc_id").cast("string")), "text")
     )
@@ -170,13 +171,13 @@ entities AS (SELECT page_id, url, domain, coalesce(org_name, heuristic_name) AS
 
 @checked("company_name", "fx_pages", f"WITH {PROFILE} SELECT page_id, heuristic_name AS name FROM pr2")
 def company_name(spark, sf):
-    page = P.with_headings(P.with_meta(P.with_domain(spark_table(spark, sf, "fx_pages"))))
+    page = P.with_headings(P.with_meta(P.with_domain(pc.pages(spark, sf))))
     return page.select("page_id", E.company_name().alias("name"))
 
 
 @checked("company_description", "fx_pages", f"WITH {PROFILE} SELECT page_id, heuristic_description AS description FROM pr2")
 def company_description(spark, sf):
-    page = P.with_body_text(P.with_meta(spark_table(spark, sf, "fx_pages")))
+    page = P.with_body_text(P.with_meta(pc.pages(spark, sf)))
     return page.select("page_id", E.company_description().alias("description"))
 
 
@@ -218,7 +219,7 @@ ENGAGED = f"eng AS (SELECT page_id, domain, body_text, {_ENG} FROM bodies)"
 
 @checked("engagement_flags", "fx_pages", f"WITH {pc.DOMAINS}, {pc.BODY}, {ENGAGED} SELECT page_id, {', '.join(pr.ENGAGEMENT_PATTERNS)} FROM eng")
 def engagement_flags(spark, sf):
-    found = E.with_engagement(P.with_body_text(spark_table(spark, sf, "fx_pages")))
+    found = E.with_engagement(P.with_body_text(pc.pages(spark, sf)))
     return found.select("page_id", *pr.ENGAGEMENT_PATTERNS)
 
 
@@ -234,7 +235,7 @@ PROFILE_MODEL = f"""CASE WHEN {q.hits('body_text', pr.PROFILE_TOOL_SIGNALS)} >=
 
 @checked("business_model", "fx_pages", f"WITH {pc.DOMAINS}, {pc.BODY}, {ENGAGED} SELECT page_id, {MATCHER_MODEL} AS matcher_model, {PROFILE_MODEL} AS profile_model FROM eng")
 def business_model(spark, sf):
-    found = E.with_engagement(P.with_body_text(spark_table(spark, sf, "fx_pages")))
+    found = E.with_engagement(P.with_body_text(pc.pages(spark, sf)))
     text = F.col("body_text")
     return found.select("page_id", E.matcher_business_model(text).alias("matcher_model"), E.profile_business_model(text).alias("profile_model"))
 
@@ -249,7 +250,7 @@ prominence AS (SELECT page_id, service, pos - 1 AS pos, p OR (NOT bool_or(p) OVE
 
 
 def prominent(spark, sf):
-    raw = spark_table(spark, sf, "fx_pages")
+    raw = pc.pages(spark, sf)
     page = P.with_headings(P.with_body_text(P.with_meta(P.with_domain(raw)))).withColumn("services", E.page_services())
     return E.service_prominence(page)
 
@@ -274,7 +275,7 @@ ad AS (SELECT *, row_number() OVER (PARTITION BY page_id, lower(split_part(who,
 ar AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY s, pos) AS r FROM ad WHERE rn = 1)
 SELECT apb.page_id, coalesce(string_agg(who, '|' ORDER BY r), '') AS founders FROM apb LEFT JOIN ar ON apb.page_id = ar.page_id AND r <= 8 GROUP BY apb.page_id""")
 def about_page_people(spark, sf):
-    raw = spark_table(spark, sf, "fx_pages")
+    raw = pc.pages(spark, sf)
     chosen = P.choose_subpage(P.page_links(raw), "about")
     merged = S.merge_about_people(E.company_entities(profiled(spark, sf)), chosen)
     return merged.select("page_id", show_people(F.col("founders")).alias("founders"))
@@ -285,7 +286,7 @@ fu AS (SELECT url AS subpage_url, arg_min(body_text, page_id) AS st FROM bodies
 SELECT b.page_id, md5(CASE WHEN st <> '' THEN st || chr(10) || chr(10) || body_text ELSE body_text END) AS text_md5
 FROM bodies b LEFT JOIN (SELECT * FROM subpages WHERE kind = 'services') s USING (page_id) LEFT JOIN fu USING (subpage_url)""")
 def services_page_text(spark, sf):
-    raw = spark_table(spark, sf, "fx_pages")
+    raw = pc.pages(spark, sf)
     chosen = P.choose_subpage(P.page_links(raw), "services")
     found = S.with_services_text(P.with_body_text(raw).select("page_id", "url", "body_text"), chosen)
     return found.select("page_id", F.md5("body_text").alias("text_md5"))
@@ -296,7 +297,7 @@ def services_page_text(spark, sf):
 
 def page_profiles(spark, sf):
     """Company profile of the first captured page of a domain."""
-    raw = spark_table(spark, sf, "fx_pages")
+    raw = pc.pages(spark, sf)
     from entitylake.operators.ordering import first_per_key
 
     home = first_per_key(P.with_domain(raw), ["domain"], [F.col("page_id")])

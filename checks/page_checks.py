@@ -11,7 +11,7 @@ from entitylake.functions.urls import domain_of
 from entitylake.operators import pages as P
 from entitylake.rules import domain_lists as dl
 from entitylake.rules import page_rules as pr
-from entitylake.sources.tables import read_pages
+from entitylake.sources.tables import read_pages, spread
 
 from . import sqltext as q
 from .derived import spark_table
@@ -24,7 +24,7 @@ def par(sql):
 
 
 def pages(spark, sf):
-    return spark_table(spark, sf, "fx_pages")
+    return spread(spark_table(spark, sf, "fx_pages"))
 
 
 DOMAINS = f"""pg AS (SELECT page_id, url, html, {q.domain('url')} AS domain, {q.markup('html')} AS markup FROM fx_pages)"""
@@ -142,7 +142,7 @@ def page_phones(spark, sf):
 @checked("document_emails", sql=f"""WITH ct AS (SELECT doc_id, {emails_sql('text')} AS em, {emails_sql('text', False)} AS every FROM documents)
 SELECT doc_id, {q.distinct_in_order('em', 5)} AS emails, {q.distinct_in_order('every', 5)} AS unfiltered FROM ct""")
 def document_emails(spark, sf):
-    docs = spark_table(spark, sf, "documents")
+    docs = spread(spark_table(spark, sf, "documents"))
     return docs.select(
         "doc_id", join_list(P.emails_in(F.col("text"))).alias("emails"),
         join_list(P.emails_in(F.col("text"), deny=())).alias("unfiltered"),
@@ -152,7 +152,7 @@ def document_emails(spark, sf):
 @checked("document_phones", sql=f"""WITH ct AS (SELECT doc_id, regexp_extract_all(text, {q.lit(pr.PHONE_PATTERN)}) AS ph FROM documents)
 SELECT doc_id, {q.distinct_in_order('ph', 3)} AS phones FROM ct""")
 def document_phones(spark, sf):
-    return spark_table(spark, sf, "documents").select("doc_id", join_list(P.phones_in(F.col("text"))).alias("phones"))
+    return spread(spark_table(spark, sf, "documents")).select("doc_id", join_list(P.phones_in(F.col("text"))).alias("phones"))
 
 
 _SIGS = q.values([(n, label, sig.lower()) for n, (label, sigs) in enumerate(pr.TECHNOLOGY_SIGNATURES.items()) for sig in sigs])

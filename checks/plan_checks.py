@@ -9,6 +9,7 @@ from entitylake.plans.discovery import Inputs, run_discovery
 from . import sqltext as q
 from .derived import spark_table
 from .entity_checks import PROFILE
+from .page_checks import pages
 from .registry import checked
 from .score_checks import ASKED, SCORE_SQL, VERDICT_SQL, entities
 from .serve_checks import CANDIDATES, CUSES, directories, suggestions
@@ -18,7 +19,7 @@ def inputs(spark, sf):
     def t(name):
         return spark_table(spark, sf, name)
 
-    return Inputs(t("fx_queries"), t("fx_pages"), suggestions(spark, sf), t("fx_web"), t("fx_seeds"), directories(spark), entities(spark, sf))
+    return Inputs(t("fx_queries"), pages(spark, sf), suggestions(spark, sf), t("fx_web"), t("fx_seeds"), directories(spark), entities(spark, sf))
 
 
 DISCOVERY = f"""{CANDIDATES},

@@ -10,21 +10,22 @@ from entitylake.operators import queries as Q
 from entitylake.operators import pages as P
 from entitylake.rules import domain_lists as dl
 from entitylake.rules import query_rules as qr
+from entitylake.sources.tables import spread
 
 from . import sqltext as q
 from .derived import spark_table
-from .page_checks import META_SQL
+from .page_checks import META_SQL, pages
 from .registry import checked
 
 YEAR = 2024
 
 
 def log(spark, sf):
-    return spark_table(spark, sf, "fx_query_log")
+    return spread(spark_table(spark, sf, "fx_query_log"))
 
 
 def analyzed(spark, sf, table="fx_query_log"):
-    return Q.analyze_queries(spark_table(spark, sf, table))
+    return Q.analyze_queries(spread(spark_table(spark, sf, table)))
 
 
 _BARE = q.i(qr.BARE_DOMAIN)
@@ -95,11 +96,11 @@ dd AS (SELECT page_id, coalesce(coalesce(plain_description, og_description), '')
 SELECT 'document' AS kind, doc_id AS id, {q.first_label('text', qr.DESCRIPTION_INDUSTRY_RULES)} AS industry FROM documents
 UNION ALL SELECT 'page' AS kind, page_id AS id, {q.first_label('text', qr.META_INDUSTRY_RULES)} AS industry FROM dd""")
 def description_industry(spark, sf):
-    docs = spark_table(spark, sf, "documents").select(
+    docs = spread(spark_table(spark, sf, "documents")).select(
         F.lit("document").alias("kind"), F.col("doc_id").alias("id"),
         first_label(F.col("text"), qr.DESCRIPTION_INDUSTRY_RULES).alias("industry"),
     )
-    meta = P.with_meta(spark_table(spark, sf, "fx_pages"))
+    meta = P.with_meta(pages(spark, sf))
     text = F.concat_ws(" ", F.coalesce("description", F.lit("")), F.coalesce("title", F.lit("")))
     return docs.union(meta.select(F.lit("page"), "page_id", first_label(text, qr.META_INDUSTRY_RULES)))
 

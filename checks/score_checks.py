@@ -17,6 +17,7 @@ from entitylake.operators import serve as SV
 from entitylake.operators.ordering import first_per_key
 from entitylake.rules import domain_lists as dl
 from entitylake.rules import validation_rules as vr
+from entitylake.sources.tables import spread
 
 from . import page_checks as pc
 from . import sqltext as q
@@ -43,7 +44,7 @@ def asked(spark, sf):
 
 def pairs(spark, sf):
     links = spark_table(spark, sf, "fx_pairs")
-    stored = entities(spark, sf).drop("confidence", "relevance", "is_valid")
+    stored = SC.with_entity_signals(entities(spark, sf).drop("relevance", "is_valid"))
     return links.join(stored, "entity_id").join(asked(spark, sf), "query_id")
 
 
@@ -99,7 +100,7 @@ _SPAM = f"list_filter({q.items(vr.SPAM_TERMS)}, lambda t: contains(lower(spam_te
 SELECT kind, id, array_to_string({_SPAM}, ', ') AS spam FROM al WHERE len({_SPAM}) > 0""")
 def spam_flags(spark, sf):
     names = entities(spark, sf).select(F.lit("entity").alias("kind"), F.col("entity_id").alias("id"), F.concat_ws(" ", "name", F.coalesce("description", F.lit(""))).alias("text"))
-    docs = spark_table(spark, sf, "documents").select(F.lit("document"), "doc_id", "text")
+    docs = spread(spark_table(spark, sf, "documents")).select(F.lit("document"), "doc_id", "text")
     found = names.union(docs).select("kind", "id", F.array_join(SC.spam_terms(F.col("text")), ", ").alias("spam"))
     return found.filter("spam <> ''")
 
@@ -108,7 +109,7 @@ def spam_flags(spark, sf):
 SELECT kind, id, {q.hits('t', vr.TOOL_SIGNALS)} AS tool, {q.hits('t', vr.AGENCY_SIGNALS)} AS agency FROM al""")
 def tool_agency_signals(spark, sf):
     own = entities(spark, sf).select(F.lit("entity").alias("kind"), F.col("entity_id").alias("id"), SC.signal_text().alias("t"))
-    docs = spark_table(spark, sf, "documents").select(F.lit("document"), "doc_id", "text")
+    docs = spread(spark_table(spark, sf, "documents")).select(F.lit("document"), "doc_id", "text")
     return own.union(docs).select("kind", "id", SC.tool_signal_count(F.col("t")).alias("tool"), SC.agency_signal_count(F.col("t")).alias("agency"))
 
 
@@ -216,7 +217,7 @@ pp2 AS (SELECT DISTINCT page_id, target AS domain FROM ou WHERE target IN (SELEC
 hh AS (SELECT page_id, domain, service, pos FROM pp2 JOIN (SELECT page_id, ' ' || lower(body_text) AS corpus FROM bodies) USING (page_id) JOIN phrases USING (domain) WHERE {_HIT} GROUP BY ALL)
 SELECT page_id, domain, coalesce(string_agg(service, '|' ORDER BY pos), '') AS matched_services FROM pp2 LEFT JOIN hh USING (page_id, domain) GROUP BY page_id, domain""")
 def service_overlap(spark, sf):
-    raw = spark_table(spark, sf, "fx_pages")
+    raw = pc.pages(spark, sf)
     linked = P.homepage_outlinks(P.page_links(raw), []).select("page_id", F.col("target").alias("domain")).distinct()
     wanted = stored_profiles(spark, sf).select("domain", "primary_services")
     text = P.with_body_text(raw).select("page_id", "body_text")

@@ -14,7 +14,7 @@ from entitylake.operators import resolve as R
 from entitylake.operators import serve as SV
 from entitylake.rules import domain_lists as dl
 from entitylake.rules import query_rules as qr
-from entitylake.sources.tables import find_by_key
+from entitylake.sources.tables import find_by_key, spread
 
 from . import sqltext as q
 from .derived import spark_table
@@ -94,7 +94,7 @@ def json_lists_decode(spark, sf):
 
 @checked("text_normalize", sql=rf"""SELECT doc_id, md5({q.squash('lower(text)')}) AS normal_md5, CASE WHEN length(text) <= 100 THEN text ELSE substr(text, 1, 97) || '...' END AS short FROM documents""")
 def text_normalize(spark, sf):
-    return t(spark, sf, "documents").select("doc_id", F.md5(normalize_text(F.col("text"))).alias("normal_md5"), truncate_text(F.col("text"), 100).alias("short"))
+    return spread(t(spark, sf, "documents")).select("doc_id", F.md5(normalize_text(F.col("text"))).alias("normal_md5"), truncate_text(F.col("text"), 100).alias("short"))
 
 
 _WORDS = r"list_distinct(string_split_regex(lower({}), '\s+'))"
@@ -112,7 +112,7 @@ def similarity_of_turns(spark, sf):
 g AS (SELECT doc_id, phrase, count(*) AS uses, min(i) AS i FROM w WHERE length(phrase) > 3 GROUP BY doc_id, phrase),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY uses DESC, i) AS pos FROM g) SELECT doc_id, pos, phrase, uses FROM r WHERE pos <= 10""")
 def key_phrases(spark, sf):
-    return SV.key_phrases(t(spark, sf, "documents"), "doc_id", "text").withColumn("pos", F.col("pos").cast("bigint"))
+    return SV.key_phrases(spread(t(spark, sf, "documents")), "doc_id", "text").withColumn("pos", F.col("pos").cast("bigint"))
 
 
 # --- crawl logs, details ------------------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import Column
@@ -39,22 +40,52 @@ def all_groups(text: Column, pattern: str, group: int = 0, ignore_case: bool = T
     return F.regexp_extract_all(text, F.lit(java_pattern(pattern, ignore_case)), F.lit(group))
 
 
+def required_words(pattern: str) -> list[str] | None:
+    """One lower-case literal per alternative without which it cannot match; None if one has none."""
+    gap = "\n"
+    bare = re.sub(r"\[[^\]]*\][?*+]?", gap, pattern)
+    while "(" in bare.replace(r"\(", ""):
+        bare = re.sub(r"\([^()]*\)[?*+]?", gap, bare)
+    bare = re.sub(r"\\.[?*+]?|\.[?*+]?|.[?*]|[+^$]", gap, bare)
+    words = [max(alternative.split(gap), key=len).lower() for alternative in bare.split("|")]
+    return words if min(map(len, words)) >= 2 else None
+
+
+def _guarded(text: Column, lowered: Column, pattern: str) -> Column:
+    """The pattern test, tried only where a plain substring search found one of its words."""
+    words = required_words(pattern)
+    if words is None:
+        return matches(text, pattern)
+    present = F.lit(False)
+    for word in words:
+        present = present | lowered.contains(word)
+    return present & matches(text, pattern)
+
+
 def first_label(
     text: Column, rules: Sequence[tuple[str, str]], default: str | None = None
 ) -> Column:
     """Label of the first rule that matches; CASE stops at the first true branch."""
-    chain = F.when(F.lit(False), F.lit(None).cast("string"))
-    for pattern, label in rules:
-        chain = chain.when(matches(text, pattern), F.lit(label))
-    return chain.otherwise(F.lit(default).cast("string"))
+
+    def decide(t: Column) -> Column:
+        chain = F.when(F.lit(False), F.lit(None).cast("string"))
+        for pattern, label in rules:
+            chain = chain.when(_guarded(t["text"], t["low"], pattern), F.lit(label))
+        return chain.otherwise(F.lit(default).cast("string"))
+
+    return bind(F.struct(text.alias("text"), F.lower(text).alias("low")), decide)
 
 
 def count_hits(text: Column, patterns: Iterable[str]) -> Column:
     """How many of the patterns occur at least once."""
-    total = F.lit(0)
-    for pattern in patterns:
-        total = total + matches(text, pattern).cast("int")
-    return total
+
+    def total(t: Column) -> Column:
+        n = F.lit(0)
+        for pattern in patterns:
+            n = n + _guarded(t["text"], t["low"], pattern).cast("int")
+        return n
+
+    return bind(F.struct(text.alias("text"), F.lower(text).alias("low")), total)
 
 
 def terms_found(lowered: Column, terms: Sequence[str]) -> Column:

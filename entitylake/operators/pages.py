@@ -25,9 +25,14 @@ def with_domain(pages: DataFrame) -> DataFrame:
     return pages.withColumn("domain", domain_of(F.col("url")))
 
 
+def _markup(pages: DataFrame) -> Column:
+    """The cleaned markup, computed once when several steps share it."""
+    return F.col("_markup") if "_markup" in pages.columns else H.markup_of(F.col("html"))
+
+
 def with_meta(pages: DataFrame) -> DataFrame:
     """title, description (og as fallback), keywords, og_title, og_description, canonical_url."""
-    marked = pages.withColumn("_markup", H.markup_of(F.col("html")))
+    marked = pages.withColumn("_markup", _markup(pages))
     tagged = marked.withColumn("_metas", H.tags(F.col("_markup"), "meta")).withColumn(
         "_rels", H.tags(F.col("_markup"), "link")
     )
@@ -48,12 +53,12 @@ def with_meta(pages: DataFrame) -> DataFrame:
 
 
 def with_headings(pages: DataFrame) -> DataFrame:
-    return pages.withColumn("headings", H.headings_of(H.markup_of(F.col("html"))))
+    return pages.withColumn("headings", H.headings_of(_markup(pages)))
 
 
 def with_links(pages: DataFrame, limit: int = 100) -> DataFrame:
     """links, internal_links, external_links. Internal means the URL contains the domain."""
-    found = pages.withColumn("_hrefs", H.hrefs_of(H.markup_of(F.col("html")))).withColumn(
+    found = pages.withColumn("_hrefs", H.hrefs_of(_markup(pages))).withColumn(
         "links",
         F.slice(F.transform(F.col("_hrefs"), lambda h: absolute_url(h, F.col("domain"))), 1, limit),
     )
@@ -119,7 +124,7 @@ def with_structured_data(pages: DataFrame) -> DataFrame:
     """schema_org, and page_people: its people followed by new ones from the markup, 8 at most."""
     found = pages.withColumn("schema_org", organisation_of(F.col("html")))
     known = F.coalesce(F.col("schema_org.people"), F.array().cast(f"array<{PERSON}>"))
-    in_markup = people_in_markup(H.markup_of(F.col("html")))
+    in_markup = people_in_markup(_markup(pages))
     return (
         found.withColumn("_known", known)
         .withColumn("_markup_people", in_markup)
@@ -135,13 +140,13 @@ def with_structured_data(pages: DataFrame) -> DataFrame:
 
 def page_profile(pages: DataFrame) -> DataFrame:
     """Everything known about a page in one row, without the html."""
-    out = with_domain(pages)
+    out = with_domain(pages).withColumn("_markup", H.markup_of(F.col("html")))
     for step in (
         with_meta, with_headings, with_links, with_body_text, with_contacts, with_technologies,
         with_social_links, with_structured_data,
     ):
         out = step(out)
-    return out.drop("html")
+    return out.drop("html", "_markup")
 
 
 # --- links --------------------------------------------------------------------------------------

@@ -129,28 +129,48 @@ def people_in_markup(markup: Column, limit: int = 8) -> Column:
 
 _TITLES = "|".join(rules.EXECUTIVE_TITLES)
 _TITLES_REVERSED = "|".join(t[::-1] for t in rules.EXECUTIVE_TITLES)
-TITLE_THEN_NAME = rf"({_TITLES})\s*[:\-–]\s*([A-Z][a-z]++(?: [A-Z][a-z]++)++)"
+_INITIALS = "".join(sorted({t[0] for t in rules.EXECUTIVE_TITLES}))
+TITLE_THEN_NAME = rf"(?=[{_INITIALS}])({_TITLES})\s*[:\-–]\s*([A-Z][a-z]++(?: [A-Z][a-z]++)++)"
 # "Name, TITLE" and "Name is the TITLE" end in a title after a run of words of any length. Matching
 # them forwards backtracks over the run; on reversed text the title comes first and the run is
-# taken without backtracking, which gives the same pairs from right to left.
+# taken without backtracking, which gives the same pairs from right to left. Most texts have no
+# such title at all, which a forward search for the anchor alone settles cheaply.
+NAME_THEN_TITLE = rf"[a-z][,\s]++\(?(?=[{_INITIALS}])(?:{_TITLES})"
 NAME_THEN_TITLE_REVERSED = rf"({_TITLES_REVERSED})\(?[,\s]+([a-z]++[A-Z](?: [a-z]++[A-Z])++)"
+NAME_IS_TITLE = rf"(?i)[a-z]\s++is\s++(?:the\s++)?(?=[{_INITIALS}])(?:{_TITLES})"
 NAME_IS_TITLE_REVERSED = rf"(?i)({_TITLES_REVERSED})(?:\s+eht)?\s+si\s+([a-z]{{2,}}+(?: [a-z]{{2,}}+)++)"
 NOT_A_NAME_IN_TEXT = ASCII_EDGE + "(" + "|".join(rules.NOT_A_NAME_TEXT) + ")" + ASCII_EDGE
+PAIRS = "array<struct<name:string,role:string>>"
 
 
-def _from_reversed(backwards: Column, pattern: str) -> Column:
-    pairs = _zip_groups(backwards, pattern, 2, 1)
+def _pairs(text: Column, pattern: str, name_group: int, role_group: int) -> Column:
+    """(name, role) of every match; the groups are read from the short matches, not the text."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.transform(
+        found,
+        lambda m: F.struct(
+            F.regexp_extract(m, pattern, name_group).alias("name"),
+            F.regexp_extract(m, pattern, role_group).alias("role"),
+        ),
+    )
+
+
+def _before_title(text: Column, anchor: str, pattern: str) -> Column:
     turned = F.transform(
-        pairs, lambda p: F.struct(F.reverse(p["name"]).alias("name"), F.reverse(p["role"]).alias("role"))
+        _pairs(F.reverse(text), pattern, 2, 1),
+        lambda p: F.struct(F.reverse(p["name"]).alias("name"), F.reverse(p["role"]).alias("role")),
     )
-    return F.reverse(turned)
+    return F.when(text.rlike(anchor), F.reverse(turned)).otherwise(F.array().cast(PAIRS))
 
 
 def people_in_text(text: Column, limit: int = 6) -> Column:
-    pairs = F.concat(
-        _zip_groups(text, TITLE_THEN_NAME, 2, 1),
-        _from_reversed(F.reverse(text), NAME_THEN_TITLE_REVERSED),
-        _from_reversed(F.reverse(text), NAME_IS_TITLE_REVERSED),
+    pairs = bind(
+        text,
+        lambda t: F.concat(
+            _pairs(t, TITLE_THEN_NAME, 2, 1),
+            _before_title(t, NAME_THEN_TITLE, NAME_THEN_TITLE_REVERSED),
+            _before_title(t, NAME_IS_TITLE, NAME_IS_TITLE_REVERSED),
+        ),
     )
     kept = F.filter(pairs, lambda p: (F.length(p["name"]) >= 4) & ~p["name"].rlike(NOT_A_NAME_IN_TEXT))
     people = F.transform(

@@ -95,8 +95,24 @@ def relevance_score() -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.05), bind(_entity_text(), score)))
 
 
+def with_entity_signals(entities: DataFrame) -> DataFrame:
+    """What scoring and verdict need of the entity alone: confidence, spam, tool_signals,
+    agency_signals. Adding them before entities are paired with queries runs the patterns once per
+    entity, not once per pair."""
+    described = F.concat_ws(" ", F.coalesce("name", F.lit("")), F.coalesce("description", F.lit("")))
+    return (
+        entities.withColumn("confidence", confidence_score())
+        .withColumn("spam", spam_terms(described))
+        .withColumn("tool_signals", tool_signal_count(signal_text()))
+        .withColumn("agency_signals", agency_signal_count(signal_text()))
+    )
+
+
 def score_entities(pairs: DataFrame) -> DataFrame:
-    return pairs.withColumn("confidence", confidence_score()).withColumn("relevance", relevance_score())
+    """Adds confidence and relevance; rows without entity signals get them too."""
+    if "tool_signals" not in pairs.columns:
+        pairs = with_entity_signals(pairs)
+    return pairs.withColumn("relevance", relevance_score())
 
 
 def spam_terms(text: Column) -> Column:
@@ -120,21 +136,20 @@ def agency_signal_count(text: Column) -> Column:
 def validate_entities(
     scored: DataFrame, blocklist: Sequence[str] = tuple(domain_lists.VERDICT_BLOCKLIST)
 ) -> DataFrame:
-    """Adds is_valid, reasons and flags to rows that have confidence and relevance."""
+    """Adds is_valid, reasons and flags to scored rows."""
     sensitive = F.coalesce(F.col("q_industry").isin(rules.SERVICE_INDUSTRIES), F.lit(False))
     service_query = F.col("q_intent").isin(rules.SERVICE_INTENTS) | (
         (F.col("q_intent") == "competitor_analysis") & sensitive
     )
-    described = F.concat_ws(" ", F.coalesce("name", F.lit("")), F.coalesce("description", F.lit("")))
     signals = F.struct(
         F.coalesce(F.col("domain").isin(list(blocklist)), F.lit(False)).alias("blocked"),
-        spam_terms(described).alias("spam"),
+        F.col("spam"),
         (F.coalesce(F.length("name"), F.lit(0)) < 2).alias("no_name"),
         (~F.coalesce(F.col("domain").contains("."), F.lit(False))).alias("bad_domain"),
         sensitive.alias("sensitive"),
         service_query.alias("service_query"),
-        F.when(service_query | sensitive, tool_signal_count(signal_text())).otherwise(0).alias("tool"),
-        F.when(service_query | sensitive, agency_signal_count(signal_text())).otherwise(0).alias("agency"),
+        F.col("tool_signals").alias("tool"),
+        F.col("agency_signals").alias("agency"),
         F.col("confidence"),
         F.col("relevance"),
     )

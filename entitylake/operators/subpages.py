@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .ordering import first_per_key
 from .people import add_people
 
@@ -19,6 +20,7 @@ def merge_about_people(entities: DataFrame, chosen: DataFrame, limit: int = 8) -
 
     chosen: page_id, subpage_url. The about page is an entity row of its own, found by URL.
     """
+    entities = stored(entities)  # read three times below; extraction must run once
     about = _one_per_url(entities.select("page_id", "url", "founders")).select(
         F.col("url").alias("subpage_url"), F.col("founders").alias("_about")
     )

@@ -19,7 +19,7 @@ from ..operators.ordering import first_per_key
 from ..operators.pages import page_profile, with_domain
 from ..operators.queries import analyze_queries
 from ..operators.resolve import dedup_by_domain
-from ..operators.scoring import score_entities, validate_entities
+from ..operators.scoring import score_entities, validate_entities, with_entity_signals
 from ..operators.serve import run_outcome
 from ..session import stored
 
@@ -63,7 +63,7 @@ def judge(candidates: DataFrame, analysed: DataFrame, records: DataFrame) -> Dat
         F.col("location").alias("q_location"),
     )
     pairs = (
-        asked.join(records.drop("category"), "domain")
+        asked.join(with_entity_signals(records.drop("category")), "domain")
         .join(context, "query_id")
         .withColumn("category", F.replace("q_industry", F.lit("_"), F.lit(" ")))
     )

@@ -14,6 +14,16 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of an input that is too small to have a full split per core.
+
+    For plain scans. Extraction costs far more than reading, and a file of one row group is one
+    task. Inputs with a split per core, so all large ones, are left alone and never shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Captured pages with content; a failed fetch has no html and is left out."""
     return read_table(spark, folder, "pages").filter(F.col("html") != "")
@@ -32,9 +42,22 @@ def find_by_key(table: DataFrame, key: str, values) -> DataFrame:
     return table.filter(F.col(key).isin(values if isinstance(values, (list, tuple)) else [values]))
 
 
+def csv_lines(rows: DataFrame) -> DataFrame:
+    """Export text: a plain header line, then every value quoted with quotes doubled."""
+    quoted = [
+        F.concat(F.lit('"'), F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+        for c in rows.columns
+    ]
+    line = F.concat_ws(",", *quoted)
+    numbered = rows.coalesce(1).select(F.monotonically_increasing_id().alias("n"), line.alias("line"))
+    header = F.lit(",".join(rows.columns))
+    both = F.when(F.col("n") == 0, F.array(header, F.col("line"))).otherwise(F.array("line"))
+    return numbered.select(F.explode(both).alias("value"))
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
-    """Every value quoted and quotes doubled. One file in row order: an export has at most 1000 rows."""
-    rows.coalesce(1).write.mode("overwrite").csv(path, header=True, quoteAll=True, escape='"')
+    """One file in row order: an export has at most 1000 rows."""
+    csv_lines(rows).write.mode("overwrite").text(path)
 
 
 def write_json(rows: DataFrame, path: str) -> None:
