@@ -18,65 +18,108 @@ def dedup_by_domain(df: DataFrame, order: Sequence[Column], keys: Sequence[str]
     return first_per_key(keyed, [*keys, "_key"], order).drop("_key")
 
 
-def _max_edits(length: Column, threshold: float) -> Column:
-    """Most edits a name of this length can be away from any partner above the threshold.
+# A segment shared by more names than this is cut into pieces, so that no task gets a whole one.
+SEGMENT_LIMIT = 2000
 
-    similarity > t means edits < (1 - t) * longer, and longer < length / t.
-    """
-    return (F.ceil(length * F.lit((1 - threshold) / threshold)) - 1).cast("int")
 
+def _max_edits(longer: Column, threshold: float) -> Column:
+    """Most edits two names may be apart when the longer one has this length."""
+    return (F.ceil(longer * F.lit(1 - threshold)) - 1).cast("int")
 
-def _grams(name: Column) -> Column:
-    return F.array_distinct(
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length(name) - 1, F.lit(1))),
-            lambda i: F.substr(name, i, F.lit(2)),
-        )
-    )
 
+def _segment(edits: Column, length: Column, i: Column) -> tuple[Column, Column]:
+    """Start and size of segment i when a name is cut into edits + 1 nearly equal segments."""
+    size = F.floor(length / (edits + 1)).cast("int")
+    longer_from = edits + 1 - length % (edits + 1)
+    start = i * size + F.greatest(i - longer_from, F.lit(0)) + 1
+    return start.cast("int"), (size + (i >= longer_from).cast("int")).cast("int")
 
-def _indexed(names: DataFrame, threshold: float, frequency: DataFrame) -> DataFrame:
-    """(name, gram, prefix): every name under its rarest letter pairs.
 
-    e edits spoil at most 2e pairs, so two names within e edits share one of their 2e + 1 rarest.
-    """
-    parts = names.select("name", F.explode(_grams(F.col("name"))).alias("gram")).join(frequency, "gram")
-    ordered = parts.groupBy("name").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("n", "gram"))), lambda g: g["gram"]).alias("grams")
+def _segments(names: DataFrame, threshold: float) -> DataFrame:
+    """Every name under each of its segments, for each number of edits a longer partner allows."""
+    length = F.length("name")
+    allowed = F.array_distinct(
+        F.transform(F.sequence(length, F.floor(length / threshold).cast("int")), lambda n: _max_edits(n, threshold))
     )
-    take = 2 * _max_edits(F.length("name"), threshold) + 1
-    return ordered.withColumn("prefix", F.slice("grams", 1, take)).select(
-        "name", "prefix", F.explode("prefix").alias("gram")
+    cut = (
+        names.filter(length > 0)
+        .withColumn("length", length)
+        .withColumn("edits", F.explode(F.filter(allowed, lambda e: e >= 1)))
+        .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("edits"))))
     )
+    start, size = _segment(F.col("edits"), F.col("length"), F.col("i"))
+    return cut.withColumn("segment", F.substr("name", start, size))
 
 
-def _similar_names(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of different name keys above the threshold.
+def _probes(names: DataFrame, threshold: float) -> DataFrame:
+    """The substrings of every name that could equal a segment of a partner no longer than it.
 
-    Exact: the letter-pair index loses no pair, and every candidate is verified. A pair meets in
-    several letter pairs and is kept under the first only. Candidates are verified where they meet
-    and never shuffled; rarest-first keeps frequent pairs out of the index.
+    With e edits allowed, one of e + 1 segments of the partner is untouched and sits at most
+    (e +- difference in length) / 2 places away.
     """
-    both = left.union(right).distinct()
-    # At most 36 * 37 letter pairs exist, so this side is small whatever the data.
-    frequency = F.broadcast(
-        both.select(F.explode(_grams(F.col("name"))).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    full = F.length("name")
+    spread = (
+        names.withColumn("edits", _max_edits(full, threshold))
+        .filter("edits >= 1")
+        .withColumn("length", F.explode(F.sequence(full - F.col("edits"), full)))
+        .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("edits"))))
     )
-    a = _indexed(left, threshold, frequency).select(
-        F.col("name").alias("a"), F.col("prefix").alias("pa"), "gram"
+    start, size = _segment(F.col("edits"), F.col("length"), F.col("i"))
+    gap = full - F.col("length")
+    low = F.greatest(start - F.floor((F.col("edits") - gap) / 2).cast("int"), F.lit(1))
+    high = F.least(start + F.floor((F.col("edits") + gap) / 2).cast("int"), full - size + 1)
+    placed = spread.withColumn("low", low).withColumn("high", high).filter("low <= high")
+    return placed.withColumn(
+        "segment", F.explode(F.transform(F.sequence("low", "high"), lambda at: F.substr("name", at, size)))
+    ).drop("low", "high")
+
+
+def _meet(probes: DataFrame, segments: DataFrame) -> DataFrame:
+    """probes and segments (name, key, ...) joined on the segment, large ones in pieces."""
+    by = ["length", "edits", "i", "segment"]
+    pieces = (
+        segments.groupBy(*by)
+        .agg(F.count(F.lit(1)).alias("n"))
+        .filter(F.col("n") > SEGMENT_LIMIT)
+        .select(*by, F.ceil(F.col("n") / SEGMENT_LIMIT).cast("int").alias("pieces"))
     )
-    b = _indexed(right, threshold, frequency).select(
-        F.col("name").alias("b"), F.col("prefix").alias("pb"), "gram"
+    one = F.lit(1)
+    left = probes.join(pieces, by, "left").withColumn(
+        "piece", F.explode(F.sequence(F.lit(0), F.coalesce("pieces", one) - 1))
     )
-    longer = F.greatest(F.length("a"), F.length("b"))
-    shorter = F.least(F.length("a"), F.length("b"))
-    met = a.join(b, "gram").filter(
-        (F.col("a") != F.col("b"))
-        & (longer - shorter < longer * F.lit(1 - threshold))
-        & (F.get(F.array_intersect("pa", "pb"), F.lit(0)) == F.col("gram"))
+    right = segments.join(pieces, by, "left").withColumn(
+        "piece", F.pmod(F.xxhash64("name"), F.coalesce("pieces", one)).cast("int")
     )
-    similarity = (longer - F.levenshtein("a", "b")) / longer
-    return met.filter(similarity > threshold).select("a", "b")
+    parallel = int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [*by, "piece"]
+    # Few rows may meet in many pairs: a fixed number of partitions keeps them from being merged.
+    a = left.drop("pieces").repartition(parallel, *keys).alias("p")
+    b = right.drop("pieces").withColumnRenamed("name", "other").alias("s")
+    return a.join(b, keys)
+
+
+def _nearest_names(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(name, match_id): smallest id of a different right name above the threshold.
+
+    left(name), right(name, id), names distinct. Exact: segments lose no pair and every pair that
+    meets is verified. Pairs are reduced to the smallest id where they meet and never shuffled.
+    """
+    a, b = F.col("name"), F.col("other")
+    longer = F.greatest(F.length(a), F.length(b))
+    similar = (a != b) & ((longer - F.levenshtein(a, b)) / longer > threshold)
+    shorter_right = (
+        _meet(_probes(left, threshold), _segments(right, threshold))
+        .filter(similar)
+        .groupBy("name")
+        .agg(F.min("id").alias("match_id"))
+    )
+    longer_right = (
+        _meet(_probes(right, threshold), _segments(left, threshold))
+        .filter((F.length(a) > F.length(b)) & similar)
+        .groupBy(b.alias("name"))
+        .agg(F.min("id").alias("match_id"))
+    )
+    return shorter_right.union(longer_right).groupBy("name").agg(F.min("match_id").alias("match_id"))
 
 
 def similar_entities(left: DataFrame, right: DataFrame, threshold: float = 0.85) -> DataFrame:
@@ -106,12 +149,8 @@ def similar_entities(left: DataFrame, right: DataFrame, threshold: float = 0.85)
     same_domain = l.join(by_key, "key").select("id", other.alias("match_id"), F.lit("domain").alias("reason"))
     same_name = l.join(by_name, "name").select("id", other.alias("match_id"), F.lit("name").alias("reason"))
 
-    pairs = _similar_names(l.select("name").distinct(), r.select("name").distinct(), threshold)
-    nearest = (
-        pairs.join(by_name.select(F.col("name").alias("b"), "first_id"), "b")
-        .groupBy(F.col("a").alias("name"))
-        .agg(F.min("first_id").alias("match_id"))
-    )
+    named = by_name.select("name", F.col("first_id").alias("id"))
+    nearest = _nearest_names(l.select("name").distinct(), named, threshold)
     near_name = l.join(nearest, "name").select("id", "match_id", F.lit("name").alias("reason"))
     found = same_domain.union(same_name).union(near_name).filter(F.col("match_id").isNotNull())
     return found.groupBy("id").agg(F.min(F.struct("match_id", "reason")).alias("m")).select(
