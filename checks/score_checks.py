@@ -288,7 +288,7 @@ def entity_rank(spark, sf):
 def rank_by_freshness(spark, sf):
     from entitylake.operators.ordering import rank_per_key
 
-    found = rank_per_key(ranked(spark, sf).select("query_id", "entity_id", "freshness", "rank"), ["query_id"], [-F.col("freshness"), F.col("rank")], "fresh_pos")
+    found = rank_per_key(ranked(spark, sf).select("query_id", "entity_id", "freshness", "rank"), ["query_id"], [-F.col("freshness"), F.col("rank")], "fresh_pos", hot_rows=0)
     return found.select("query_id", "entity_id", "rank", "fresh_pos")
 
 

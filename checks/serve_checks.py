@@ -186,7 +186,7 @@ def entity_changes(spark, sf):
 
 @checked("entity_snapshots", "fx_versions", f"WITH {VERSIONS}, {CHANGES} SELECT domain, version_id, hash FROM snaps")
 def entity_snapshots(spark, sf):
-    return H.entity_snapshots(versions(spark, sf), ORDER).select("domain", "version_id", "hash")
+    return H.entity_snapshots(versions(spark, sf), ORDER, hot_rows=0).select("domain", "version_id", "hash")
 
 
 @checked("change_counts", "fx_versions", f"WITH {VERSIONS}, {CHANGES} SELECT domain, count(*) AS recent_changes FROM changes GROUP BY domain")

@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import previous_per_key
+from .ordering import HOT_KEY_ROWS, previous_per_key
 from .scoring import as_of_literal
 
 TRACKED = ("name", "description", "services", "linkedin", "emails", "category")
@@ -20,20 +20,22 @@ def snapshot_hash(tracked: Sequence[str] = TRACKED) -> Column:
 
 
 def versions_with_previous(
-    versions: DataFrame, order: Sequence[str], tracked: Sequence[str] = TRACKED, key: str = "domain"
+    versions: DataFrame, order: Sequence[str], tracked: Sequence[str] = TRACKED, key: str = "domain",
+    hot_rows: int = HOT_KEY_ROWS,
 ) -> DataFrame:
     hashed = versions.withColumn("hash", snapshot_hash(tracked))
     return previous_per_key(
-        hashed, [key], [F.col(c) for c in order], [*tracked, "hash"], "previous"
+        hashed, [key], [F.col(c) for c in order], [*tracked, "hash"], "previous", hot_rows
     )
 
 
 def entity_changes(
-    versions: DataFrame, order: Sequence[str], tracked: Sequence[str] = TRACKED, key: str = "domain"
+    versions: DataFrame, order: Sequence[str], tracked: Sequence[str] = TRACKED, key: str = "domain",
+    hot_rows: int = HOT_KEY_ROWS,
 ) -> DataFrame:
     """One row per changed field between a version and the one before: key, order columns, field,
     old_value, new_value, change_type. Equal hashes stop before any field is looked at."""
-    pairs = versions_with_previous(versions, order, tracked, key).filter(
+    pairs = versions_with_previous(versions, order, tracked, key, hot_rows).filter(
         F.col("previous").isNotNull() & (F.col("hash") != F.col("previous.hash"))
     )
     types = dict(versions.dtypes)
@@ -67,11 +69,12 @@ def entity_changes(
 
 
 def entity_snapshots(
-    versions: DataFrame, order: Sequence[str], tracked: Sequence[str] = TRACKED, key: str = "domain"
+    versions: DataFrame, order: Sequence[str], tracked: Sequence[str] = TRACKED, key: str = "domain",
+    hot_rows: int = HOT_KEY_ROWS,
 ) -> DataFrame:
     """Versions worth storing: the first of an entity and those that differ from the one before."""
     return (
-        versions_with_previous(versions, order, tracked, key)
+        versions_with_previous(versions, order, tracked, key, hot_rows)
         .filter(F.col("previous").isNull() | (F.col("hash") != F.col("previous.hash")))
         .drop("previous")
     )

@@ -2,8 +2,9 @@
 
 A plain window puts a whole key into one task. First-per-key and top-k keep a row_number filter,
 which Spark turns into a per-task group limit before the shuffle, so a hot key sends k rows per
-task. Full ranking and lag cannot drop rows: they cut the data at sampled boundaries of
-(key, order), like a range sort does, and then join small per-bucket summaries.
+task. Full ranking and lag cannot drop rows: they first measure the largest key, and above a limit
+they cut the data at sampled boundaries of (key, order), like a range sort does, and join small
+per-bucket summaries.
 """
 
 from __future__ import annotations
@@ -13,8 +14,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE_PER_BUCKET = 20
-MAX_BUCKETS = 128
+from ..functions.patterns import bind
+
+SAMPLE_PER_BUCKET = 8
+MAX_BUCKETS = 2048
+# Rows of one key that a single task may sort.
+HOT_KEY_ROWS = 1_000_000
 
 
 def top_k_per_key(
@@ -30,21 +35,46 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
     return top_k_per_key(df, keys, order, 1)
 
 
+def largest_key(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the largest key; counted with partial sums before the shuffle."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.max("n")).collect()[0][0] or 0
+
+
+def _count_below(cuts: Column, size: int, key: Column) -> Column:
+    """How many of the sorted cuts lie below the key, by halving."""
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        below = F.get(cuts, middle) < key
+        return F.struct(
+            F.when((s["low"] < s["high"]) & below, middle + 1).otherwise(s["low"]).alias("low"),
+            F.when((s["low"] < s["high"]) & ~below, middle).otherwise(s["high"]).alias("high"),
+        )
+
+    steps = F.sequence(F.lit(1), F.lit(size.bit_length()))
+    start = F.struct(F.lit(0).alias("low"), F.lit(size).alias("high"))
+    return F.aggregate(steps, start, halve, lambda s: s["low"])
+
+
 def with_buckets(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Add `_bucket`, which never falls along (keys, order), all ascending with nulls first.
 
-    Boundaries come from the rows with the smallest hashes: a bounded sample
-    (MAX_BUCKETS * SAMPLE_PER_BUCKET at most) that is the same on every run. They enter the plan
-    as literals, so a recomputed task gets the same buckets, and only speed depends on them.
+    Boundaries come from a sample by hash: about SAMPLE_PER_BUCKET distinct rows per bucket, the
+    same on every run. They enter the plan as literals, so a recomputed task gets the same buckets,
+    and only speed depends on them. The input is read for the count and the sample (key columns
+    only) and again for the result, so a costly one should be a stored table.
     """
     parts = [F.col(k) for k in keys] + list(order)
     key = F.struct(*[c.alias(f"f{i}") for i, c in enumerate(parts)])
     fields = df.select(key.alias("k")).schema["k"].dataType.fields
     buckets = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), MAX_BUCKETS)
+    rows = df.select(*keys).count()
+    share = min(1.0, buckets * SAMPLE_PER_BUCKET / max(rows, 1))
     sample = (
         df.select(key.alias("k"))
-        .orderBy(F.xxhash64("k"))
-        .limit(buckets * SAMPLE_PER_BUCKET)
+        .filter(F.pmod(F.xxhash64("k"), F.lit(1 << 31)) < int(share * (1 << 31)))
+        .distinct()
         .orderBy("k")
         .select(*[F.col(f"k.{f.name}").cast("string").alias(f.name) for f in fields])
         .collect()
@@ -56,16 +86,19 @@ def with_buckets(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) ->
     ]
     if not cuts:
         return df.withColumn("_bucket", F.lit(0))
-    return df.withColumn("_bucket", F.size(F.filter(F.array(*cuts), lambda c: c < key)))
+    return df.withColumn("_bucket", bind(key, lambda k: _count_below(F.array(*cuts), len(cuts), k)))
 
 
 def rank_per_key(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], rank_col: str = "rank"
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], rank_col: str = "rank",
+    hot_rows: int = HOT_KEY_ROWS,
 ) -> DataFrame:
-    """Row number 1..n per key without ever sorting one key in one task.
+    """Row number 1..n per key; no task sorts more than about `hot_rows` rows of one key.
 
     `order` must be ascending expressions that end in a unique one (negate a number to go down).
     """
+    if largest_key(df, keys) <= hot_rows:
+        return df.withColumn(rank_col, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     cut = with_buckets(df, keys, order)
     group = [*keys, "_bucket"]
     local = cut.withColumn(
@@ -84,12 +117,15 @@ def rank_per_key(
 
 
 def previous_per_key(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], values: Sequence[str], name: str = "prev"
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], values: Sequence[str], name: str = "prev",
+    hot_rows: int = HOT_KEY_ROWS,
 ) -> DataFrame:
     """Add struct `name` with `values` of the previous row of the key, null for the first row."""
+    payload = F.struct(*[F.col(v) for v in values])
+    if largest_key(df, keys) <= hot_rows:
+        return df.withColumn(name, F.lag(payload).over(Window.partitionBy(*keys).orderBy(*order)))
     cut = with_buckets(df, keys, order)
     group = [*keys, "_bucket"]
-    payload = F.struct(*[F.col(v) for v in values])
     inside = Window.partitionBy(*group).orderBy(*order)
     local = cut.withColumn("_lag", F.lag(payload).over(inside)).withColumn(
         "_first", F.row_number().over(inside) == 1

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import bind, count_hits, string_array, terms_found
 from ..rules import domain_lists, validation_rules as rules
-from .ordering import rank_per_key
+from .ordering import HOT_KEY_ROWS, rank_per_key
 
 
 def filled(values: Column) -> Column:
@@ -273,11 +273,12 @@ def with_rank_score(entities: DataFrame, as_of: datetime) -> DataFrame:
 
 
 def rank_entities(
-    entities: DataFrame, as_of: datetime, by: Sequence[str] = ("query_id",), tie: Sequence[str] = ("domain",)
+    entities: DataFrame, as_of: datetime, by: Sequence[str] = ("query_id",), tie: Sequence[str] = ("domain",),
+    hot_rows: int = HOT_KEY_ROWS,
 ) -> DataFrame:
     """rank 1..n by score within `by`; ties go by the `tie` columns, which must make rows unique."""
     scored = with_rank_score(entities, as_of)
-    return rank_per_key(scored, by, [-F.col("score"), *[F.col(t) for t in tie]])
+    return rank_per_key(scored, by, [-F.col("score"), *[F.col(t) for t in tie]], hot_rows=hot_rows)
 
 
 def filter_by_min_score(ranked: DataFrame, min_score: float) -> DataFrame:

@@ -25,8 +25,9 @@ def skewed(spark):
     return spark.createDataFrame(rows, "k long, score double, id long").cache()
 
 
-def test_rank_equals_plain_window(skewed):
-    ranked = O.rank_per_key(skewed, ["k"], [-F.col("score"), F.col("id")])
+@pytest.mark.parametrize("hot_rows", [0, O.HOT_KEY_ROWS])
+def test_rank_equals_plain_window(skewed, hot_rows):
+    ranked = O.rank_per_key(skewed, ["k"], [-F.col("score"), F.col("id")], hot_rows=hot_rows)
     plain = F.row_number().over(Window.partitionBy("k").orderBy(F.col("score").desc(), "id"))
     assert ranked.withColumn("plain", plain).filter("rank <> plain").count() == 0
     assert ranked.count() == 4000
@@ -38,14 +39,16 @@ def test_hot_key_is_cut(skewed):
     assert largest < 3600 / 3
 
 
-def test_previous_equals_lag(skewed):
-    found = O.previous_per_key(skewed, ["k"], [F.col("score"), F.col("id")], ["id"])
+@pytest.mark.parametrize("hot_rows", [0, O.HOT_KEY_ROWS])
+def test_previous_equals_lag(skewed, hot_rows):
+    found = O.previous_per_key(skewed, ["k"], [F.col("score"), F.col("id")], ["id"], hot_rows=hot_rows)
     lag = F.lag("id").over(Window.partitionBy("k").orderBy("score", "id"))
     assert found.withColumn("lag", lag).filter("NOT (prev.id <=> lag)").count() == 0
 
 
 def test_order_on_empty_input(skewed):
-    assert O.rank_per_key(skewed.filter("k < 0"), ["k"], [F.col("id")]).count() == 0
+    for hot_rows in (-1, 0, 10):
+        assert O.rank_per_key(skewed.filter("k < 0"), ["k"], [F.col("id")], hot_rows=hot_rows).count() == 0
 
 
 def _edit(a, b):
