@@ -50,9 +50,8 @@ def text_of(html: Column) -> Column:
 
 def attribute(tag: Column, name: str) -> Column:
     """Value of an attribute of one tag; '' when absent. Either quote."""
-    pattern = rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)')"""
-    value = F.concat(F.regexp_extract(tag, pattern, 1), F.regexp_extract(tag, pattern, 2))
-    return decode_entities(value)
+    quoted = F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*("[^"]*"|'[^']*')""", 1)
+    return decode_entities(F.regexp_replace(quoted, """^["']|["']$""", ""))
 
 
 def tags(markup: Column, name: str) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 SCHEME = r"^[a-zA-Z][a-zA-Z0-9+.-]*"
 HOST = SCHEME + r"://(?:[^/?#@\s]*@)?([^/?#:@\s]+)"
+FRONT_PAGE = SCHEME + r"://[^/?#]+/?(?:[?#].*)?$"
 PATH = SCHEME + r"://[^/?#]*([^?#]*)"
 
 

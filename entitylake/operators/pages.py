@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import html as H
 from ..functions.patterns import java_pattern, labels_by_signature, lookup, string_array
 from ..functions.text import trim_all
-from ..functions.urls import absolute_url, domain_of, host_of, path_of, strip_www
+from ..functions.urls import FRONT_PAGE, absolute_url, domain_of, host_of, path_of, strip_www
 from ..rules import domain_lists, page_rules as rules
 from .ordering import first_per_key, top_k_per_key
 from .people import PERSON, add_people, people_in_markup
@@ -196,13 +196,10 @@ def choose_subpage(links: DataFrame, kind: str) -> DataFrame:
 
 def homepage_outlinks(links: DataFrame, blocked: Sequence[str] = tuple(domain_lists.CANDIDATE_BLOCKLIST)) -> DataFrame:
     """External links to the front page of a host that is not blocked."""
+    front = links.filter(~F.col("internal") & F.col("link").rlike(FRONT_PAGE))
     target = strip_www(host_of(F.col("link")))
-    return (
-        links.filter(~F.col("internal"))
-        .withColumn("target", target)
-        .filter(F.col("target").isNotNull() & (path_of(F.col("link")) == "/"))
-        .filter(~F.lower("target").isin(list(blocked)))
-    )
+    kept = front.withColumn("target", target).filter(F.col("target").isNotNull())
+    return kept.filter(~F.col("target").isin(list(blocked))) if blocked else kept
 
 
 def secondary_urls(
