@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from entitylake.functions.rows import exploded
 from entitylake.functions.text import join_list, split_list
 from entitylake.operators import entities as E
 from entitylake.operators import matching as M
@@ -257,7 +258,7 @@ def prominent(spark, sf):
 
 @checked("service_prominence", "fx_pages", f"WITH {PROFILE}, {PROMINENCE} SELECT page_id, pos, service, is_primary FROM prominence")
 def service_prominence(spark, sf):
-    found = prominent(spark, sf).select("page_id", F.posexplode("service_roles").alias("pos", "r"))
+    found = exploded(prominent(spark, sf), ["page_id"], "service_roles", "r", "pos")
     return found.select("page_id", F.col("pos").cast("bigint").alias("pos"), "r.service", F.col("r.primary").alias("is_primary"))
 
 

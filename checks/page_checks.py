@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from entitylake.functions.rows import exploded
 from entitylake.functions.text import join_list
 from entitylake.functions.urls import domain_of
 from entitylake.operators import pages as P
@@ -74,7 +75,7 @@ headings AS (SELECT page_id, level, text, row_number() OVER (PARTITION BY page_i
 @checked("page_headings", "fx_pages", f"WITH {DOMAINS}, {HEADINGS} SELECT page_id, pos, level, text FROM headings")
 def page_headings(spark, sf):
     found = P.with_headings(pages(spark, sf))
-    return found.select("page_id", F.posexplode("headings").alias("pos", "h")).select(
+    return exploded(found, ["page_id"], "headings", "h", "pos").select(
         "page_id", F.col("pos").cast("bigint").alias("pos"), "h.level", "h.text"
     )
 
@@ -252,7 +253,7 @@ def page_people_markup(spark, sf):
     from entitylake.functions.html import markup_of
     from entitylake.operators.people import people_in_markup
 
-    found = pages(spark, sf).select("page_id", F.posexplode(people_in_markup(markup_of(F.col("html")))).alias("i", "p"))
+    found = exploded(pages(spark, sf), ["page_id"], people_in_markup(markup_of(F.col("html"))), "p", "i")
     return found.select("page_id", (F.col("i") + 1).cast("bigint").alias("pos"), "p.name", "p.role")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.patterns import bind, lookup, string_array
+from ..functions.rows import exploded
 from ..functions.urls import clean_candidate, stem_of
 from ..rules import domain_lists, query_rules
 from ..session import stored
@@ -86,7 +87,7 @@ def seed_keyword_match(queries: DataFrame, seeds: DataFrame) -> DataFrame:
             )
         )
     )
-    keyed = queries.select("query_id", text.alias("text"), F.explode(pieces).alias("piece"))
+    keyed = exploded(queries, ["query_id", text.alias("text")], pieces, "piece")
     stems = (
         seeds.select(stem_of(F.col("domain")).alias("stem"), "industry", "priority")
         .groupBy("stem")
@@ -281,9 +282,9 @@ def merge_searches(results: DataFrame) -> tuple[DataFrame, DataFrame]:
     Summary per query: first industry, first description, last source that is not 'none', number of
     domains. Domains per query: one row each with its first (ordinal, pos), never one big array.
     """
-    exploded = results.select("query_id", "ordinal", F.posexplode("domains").alias("pos", "domain"))
+    found = exploded(results, ["query_id", "ordinal"], "domains", "domain", "pos")
     domains = (
-        exploded.groupBy("query_id", "domain")
+        found.groupBy("query_id", "domain")
         .agg(F.min(F.struct("ordinal", "pos")).alias("b"))
         .select("query_id", "domain", "b.*")
     )

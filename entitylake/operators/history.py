@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rows import exploded
 from .ordering import HOT_KEY_ROWS, previous_per_key
 from .scoring import as_of_literal
 
@@ -56,7 +57,7 @@ def entity_changes(
         ]
     )
     return (
-        pairs.select(key, *order, F.explode(cells).alias("c"))
+        exploded(pairs, [key, *order], cells, "c")
         .select(key, *order, "c.*")
         .filter(~F.col("old_value").eqNullSafe(F.col("new_value")))
         .withColumn(

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions.patterns import java_pattern, labels_by_signature, lookup, string_array
+from ..functions.rows import exploded
 from ..functions.text import trim_all
 from ..functions.urls import FRONT_PAGE, absolute_url, domain_of, host_of, path_of, strip_www
 from ..rules import domain_lists, page_rules as rules
@@ -156,9 +157,8 @@ def page_profile(pages: DataFrame) -> DataFrame:
 def page_links(pages: DataFrame) -> DataFrame:
     """One row per link: page_id, url, domain, pos, link, internal."""
     linked = with_links(with_domain(pages))
-    return linked.select("page_id", "url", "domain", F.posexplode("links").alias("pos", "link")).withColumn(
-        "internal", F.col("link").contains(F.col("domain"))
-    )
+    rows = exploded(linked, ["page_id", "url", "domain"], "links", "link", "pos")
+    return rows.withColumn("internal", F.col("link").contains(F.col("domain")))
 
 
 def choose_subpage(links: DataFrame, kind: str) -> DataFrame:
@@ -244,9 +244,8 @@ def serp_results(
     captured: DataFrame, cap: int = 15, blocked: Sequence[str] = tuple(domain_lists.RESULT_BLOCKLIST)
 ) -> DataFrame:
     """captured(query_id, html) -> query_id, rank, url, title, domain; ads and non-companies out."""
-    anchors = captured.select(
-        "query_id", F.posexplode(F.regexp_extract_all("html", F.lit(RESULT), F.lit(0))).alias("pos", "tag")
-    )
+    found = F.regexp_extract_all("html", F.lit(RESULT), F.lit(0))
+    anchors = exploded(captured, ["query_id"], found, "tag", "pos")
     parsed = anchors.select(
         "query_id",
         "pos",
@@ -276,7 +275,7 @@ def topic_titles(captured: DataFrame) -> DataFrame:
             ).otherwise(F.array(t["FirstURL"])),
         )
     )
-    flat = topics.select("id", F.posexplode(urls).alias("pos", "first_url"))
+    flat = exploded(topics, ["id"], urls, "first_url", "pos")
     path = F.regexp_replace(path_of(F.col("first_url")), "^/", "")
     return flat.select("id", "pos", F.try_url_decode(path).alias("title"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.patterns import bind, first_group, first_label, java_pattern, lookup, matches, string_array
+from ..functions.rows import exploded
 from ..functions.text import trim_all
 from ..functions.urls import host_of, stem_of, strip_www
 from ..rules import domain_lists, query_rules as rules
@@ -170,9 +171,8 @@ def expand_queries(analyzed: DataFrame, year: int, limit: int = 6) -> DataFrame:
     phrases = F.filter(
         F.when(F.col("is_domain"), of_domain).otherwise(of_phrase), lambda p: p.isNotNull()
     )
-    return analyzed.select(
-        "query_id", F.posexplode(F.slice(F.array_distinct(phrases), 1, limit)).alias("pos", "phrase")
-    )
+    kept = F.slice(F.array_distinct(phrases), 1, limit)
+    return exploded(analyzed, ["query_id"], kept, "phrase", "pos")
 
 
 def profile_queries(profiled_queries: DataFrame, year: int, limit: int = 5) -> DataFrame:
@@ -191,9 +191,8 @@ def profile_queries(profiled_queries: DataFrame, year: int, limit: int = 5) -> D
         F.concat(F.lit("top "), F.replace("industry", F.lit("_"), F.lit(" ")), F.lit(" companies")),
     )
     kept = F.when(has_profile, F.filter(phrases, lambda p: p.isNotNull())).otherwise(F.array("raw"))
-    return profiled_queries.select(
-        "query_id", F.posexplode(F.slice(F.array_distinct(kept), 1, limit)).alias("pos", "phrase")
-    )
+    first = F.slice(F.array_distinct(kept), 1, limit)
+    return exploded(profiled_queries, ["query_id"], first, "phrase", "pos")
 
 
 def target_company(query: Column, order: str = "documented") -> Column:

@@ -70,7 +70,7 @@ def _probes(names: DataFrame, threshold: float) -> DataFrame:
     high = F.least(start + F.floor((F.col("edits") + gap) / 2).cast("int"), full - size + 1)
     placed = spread.withColumn("low", low).withColumn("high", high).filter("low <= high")
     return placed.withColumn(
-        "segment", F.explode(F.transform(F.sequence("low", "high"), lambda at: F.substr("name", at, size)))
+        "segment", F.explode_outer(F.transform(F.sequence("low", "high"), lambda at: F.substr("name", at, size)))
     ).drop("low", "high")
 
 

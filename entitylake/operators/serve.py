@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rows import exploded
+from ..functions.text import words_of
 from .ordering import top_k_per_key
 from .scoring import confidence_band
 
@@ -183,10 +185,7 @@ def key_phrases(docs: DataFrame, key: str, text: str, n: int = 10) -> DataFrame:
 
     Ties go by first use. Counts are summed before the shuffle and the group limit keeps n rows.
     """
-    words = docs.select(
-        key,
-        F.posexplode(F.split(F.regexp_replace(F.lower(text), r"[^\w\s]", " "), r"\s+")).alias("at", "phrase"),
-    ).filter(F.length("phrase") > 3)
+    words = exploded(docs, [key], words_of(F.col(text)), "phrase", "at").filter(F.length("phrase") > 3)
     counted = words.groupBy(key, "phrase").agg(F.count(F.lit(1)).alias("uses"), F.min("at").alias("at"))
     top = top_k_per_key(counted, [key], [F.col("uses").desc(), F.col("at")], n, "pos")
     return top.select(key, "pos", "phrase", "uses")
