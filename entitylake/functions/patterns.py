@@ -13,6 +13,15 @@ from pyspark.sql import functions as F
 ASCII_EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 
 
+def _sql(text: str) -> str:
+    """A text as SQL literal. Tables of literals are one SQL text: one call instead of hundreds."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _array(items: Iterable[str]) -> str:
+    return f"array({', '.join(items)})"
+
+
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate `value` once and use it in `body`.
 
@@ -90,22 +99,18 @@ def count_hits(text: Column, patterns: Iterable[str]) -> Column:
 
 def terms_found(lowered: Column, terms: Sequence[str]) -> Column:
     """The terms that occur as substrings, in rule order. One array filter, not one column each."""
-    table = F.array(*[F.struct(F.lit(t.lower()).alias("low"), F.lit(t).alias("term")) for t in terms])
+    table = F.expr(_array(f"named_struct('low', {_sql(t.lower())}, 'term', {_sql(t)})" for t in terms))
     hits = bind(lowered, lambda text: F.filter(table, lambda t: text.contains(t["low"])))
     return F.transform(hits, lambda t: t["term"])
 
 
 def labels_by_signature(lowered: Column, signatures: Mapping[str, Sequence[str]]) -> Column:
     """The labels with at least one signature present, in rule order."""
-    table = F.array(
-        *[
-            F.struct(
-                F.lit(label).alias("label"),
-                F.array(*[F.lit(s.lower()) for s in sigs]).alias("sigs"),
-            )
-            for label, sigs in signatures.items()
-        ]
+    rows = (
+        f"named_struct('label', {_sql(label)}, 'sigs', {_array(_sql(s.lower()) for s in sigs)})"
+        for label, sigs in signatures.items()
     )
+    table = F.expr(_array(rows))
     hits = bind(
         lowered,
         lambda text: F.filter(table, lambda t: F.exists(t["sigs"], lambda s: text.contains(s))),
@@ -115,9 +120,9 @@ def labels_by_signature(lowered: Column, signatures: Mapping[str, Sequence[str]]
 
 def lookup(key: Column, table: Mapping[str, str]) -> Column:
     """Value of a small fixed map, or null."""
-    pairs = [F.lit(x) for pair in table.items() for x in pair]
-    return F.try_element_at(F.create_map(*pairs), key)
+    pairs = ", ".join(_sql(x) for pair in table.items() for x in pair)
+    return F.try_element_at(F.expr(f"map({pairs})"), key)
 
 
 def string_array(values: Iterable[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    return F.expr(_array(_sql(v) for v in values))

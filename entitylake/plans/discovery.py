@@ -16,7 +16,7 @@ from ..functions.urls import domain_of
 from ..operators.candidates import candidate_urls, rerun_new_entities
 from ..operators.entities import company_entities
 from ..operators.ordering import first_per_key
-from ..operators.pages import page_profile, with_domain
+from ..operators.pages import page_profile
 from ..operators.queries import analyze_queries
 from ..operators.resolve import dedup_by_domain
 from ..operators.scoring import score_entities, validate_entities, with_entity_signals
@@ -46,10 +46,13 @@ class Outputs:
 
 
 def home_records(pages: DataFrame) -> DataFrame:
-    """One company record per domain, from its first captured page with content."""
-    captured = with_domain(pages.filter(F.col("html") != ""))
-    home = first_per_key(captured, ["domain"], [F.col("page_id")])
-    return company_entities(page_profile(home))
+    """One company record per domain, from its first captured page with content.
+
+    Every page is extracted where it is read and the small records are reduced, so html is never
+    sorted or shuffled.
+    """
+    records = company_entities(page_profile(pages.filter(F.col("html") != "")))
+    return first_per_key(records, ["domain"], [F.col("page_id")])
 
 
 def judge(candidates: DataFrame, analysed: DataFrame, records: DataFrame) -> DataFrame:
