@@ -157,7 +157,7 @@ def test_rating(value, text, rating):
 @pytest.mark.parametrize(
     "query, intent, industry, domain",
     [
-        ("brillmark.com", "competitor_analysis", None, True),
+        ("acme-tools.com", "competitor_analysis", None, True),
         ("https://www.acme.com/ competitor", "competitor_analysis", None, False),
         ("Best Shopify CRO agencies", "agency_search", "cro_agency", False),
         ("Sports jersey manufacturers in Delhi", "local_business_search", "apparel", False),
