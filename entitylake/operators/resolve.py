@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import name_key
 from ..functions.urls import domain_key
-from .ordering import first_per_key
+from .ordering import first_per_key, top_k_per_key
 
 
 def dedup_by_domain(df: DataFrame, order: Sequence[Column], keys: Sequence[str] = ()) -> DataFrame:
@@ -133,15 +133,12 @@ def similar_entities(left: DataFrame, right: DataFrame, threshold: float = 0.85)
     r = right.select("id", name_key(F.col("name")).alias("name"), domain_key(F.col("domain")).alias("key"))
 
     def two_smallest(groups: DataFrame, by: str) -> DataFrame:
-        # The smallest id, and the smallest other one for the row that is the smallest itself.
-        lowest = groups.groupBy(by).agg(F.min("id").alias("first_id"))
-        second = (
-            groups.join(lowest, by)
-            .filter(F.col("id") != F.col("first_id"))
-            .groupBy(by)
-            .agg(F.min("id").alias("second_id"))
+        # The smallest id, and the next one for the row that is the smallest itself. Two rows per
+        # group leave each task, however large the group.
+        two = top_k_per_key(groups.select(by, "id"), [by], [F.col("id")], 2, "_rank")
+        return two.groupBy(by).agg(
+            F.min("id").alias("first_id"), F.min(F.when(F.col("_rank") == 2, F.col("id"))).alias("second_id")
         )
-        return lowest.join(second, by, "left")
 
     by_key = two_smallest(r, "key")
     by_name = two_smallest(r, "name")
