@@ -49,7 +49,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, most:
     )
 
 
-def source_cuts(rows: DataFrame, rows_per_range: int = 20_000, **targets) -> DataFrame:
+def source_cuts(rows: DataFrame, rows_per_range: int = 2_000, **targets) -> DataFrame:
     """Per source: source_size, target, whole `epochs`, and where the last epoch ends.
 
     `rows` has (source, size, key). Rows below `cut_key` are taken once more than `epochs`, rows at it give
