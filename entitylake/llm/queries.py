@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, radix
+from . import bpe, debruijn, mixing, radix
 from .common import table
 
 #: Rank file and pattern of the tokenizer that the query uses; the operator takes both as parameters.
@@ -19,6 +19,10 @@ def tokenizer() -> dict[str, str]:
     return {"path": public_tokenizers.path(RANK_FILE), "pattern": public_tokenizers.PATTERN}
 
 
+def op2_debruijn_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return debruijn.repeated_words(table(spark, folder, "documents", "doc_id", "text")).drop("n_spans")
+
+
 def op3_radix_repeats(spark: SparkSession, folder: str) -> DataFrame:
     return radix.repeated_bytes(table(spark, folder, "documents", "doc_id", "text"))
 
@@ -32,9 +36,10 @@ def op9_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_debruijn_repeats": op2_debruijn_repeats,
     "op3_radix_repeats": op3_radix_repeats,
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op9_mix_sources": op9_mix_sources,
 }
 
-ORACLE: dict[str, str] = {"op3_radix_repeats": radix.SQL, "op9_mix_sources": mixing.SQL}
+ORACLE: dict[str, str] = {"op2_debruijn_repeats": debruijn.SQL, "op3_radix_repeats": radix.SQL, "op9_mix_sources": mixing.SQL}
