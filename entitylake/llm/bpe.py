@@ -23,6 +23,9 @@ SAFE = re.compile(r"\S(?=[ \n\t\r])")
 #: Longer runs of white space are encoded apart: the pattern engine backtracks over every one of them.
 LONG_BLANK = re.compile(r"\s{20000,}")
 
+#: Rows encoded or decoded between two hand-overs, so that a worker never holds the ids of a whole Arrow batch.
+ROWS = 256
+
 _ENCODERS: dict[int, object] = {}
 
 
@@ -81,6 +84,12 @@ def unpacked(ids: bytes) -> list[int]:
     return np.frombuffer(ids, dtype="<u4").tolist()
 
 
+def small(batches):
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Adds the packed ids of the whole text, without special tokens. Null and empty texts have no ids.
 
@@ -93,7 +102,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
 
     def run(batches):
         enc = encoder(lines, pattern)
-        for batch in batches:
+        for batch in small(batches):
             made = [packed(encode_text(enc, value or "")) for value in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], names=[*batch.schema.names, ids])
 
@@ -110,7 +119,7 @@ def decode(coded: DataFrame, path: str, pattern: str, ids: str = "ids", to: str
 
     def run(batches):
         enc = encoder(lines, pattern)
-        for batch in batches:
+        for batch in small(batches):
             made = [enc.decode_bytes(unpacked(value or b"")) for value in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in places), pa.array(made, pa.binary())], names=[*kept, to])
 
