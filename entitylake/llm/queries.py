@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, debruijn, mixing, radix
+from . import bpe, debruijn, mixing, radix, simhash
 from .common import table
 
 #: Rank file and pattern of the tokenizer that the query uses; the operator takes both as parameters.
@@ -31,6 +31,10 @@ def op4_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents", "doc_id", "text"), **tokenizer())
 
 
+def op7_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents", "doc_id", "text"))
+
+
 def op9_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_words(table(spark, folder, "documents", "doc_id", "text", "source"))
 
@@ -39,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_debruijn_repeats": op2_debruijn_repeats,
     "op3_radix_repeats": op3_radix_repeats,
     "op4_bpe_round_trip": op4_bpe_round_trip,
+    "op7_simhash_groups": op7_simhash_groups,
     "op9_mix_sources": op9_mix_sources,
 }
 
