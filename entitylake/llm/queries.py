@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, debruijn, mixing, radix, simhash
+from . import bpe, debruijn, langid, mixing, radix, simhash
 from .common import table
 
 #: Rank file and pattern of the tokenizer that the query uses; the operator takes both as parameters.
@@ -35,6 +35,10 @@ def op7_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents", "doc_id", "text"))
 
 
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.split_predict(table(spark, folder, "documents", "doc_id", "text", "lang"))
+
+
 def op9_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_words(table(spark, folder, "documents", "doc_id", "text", "source"))
 
@@ -44,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_radix_repeats": op3_radix_repeats,
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op7_simhash_groups": op7_simhash_groups,
+    "op8_language_id": op8_language_id,
     "op9_mix_sources": op9_mix_sources,
 }
 
