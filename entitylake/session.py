@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -56,6 +57,15 @@ def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished jobs now.
+
+    It drops them once the driver's garbage collection has found their plans unused, which may be long after.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def release(df: DataFrame) -> None:
     """Delete the files of a stored() result that nothing reads any more."""
     for path in {name.rpartition("/")[0] for name in df.inputFiles()}:
