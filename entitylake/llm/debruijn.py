@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import settle, stored
 from . import repeats
 
 SIZE, DIGIT = 35, 9
@@ -74,6 +74,7 @@ def compact_passes(docs: DataFrame, size: int = SIZE, digit: int = DIGIT) -> tup
     stretches = compacted(judged.where(F.col("state") != repeats.OPEN))
     marks = on_coordinates(stretches, judged.where(F.col("state") != repeats.SURE), size)
     marked = stored(repeats.with_text(rows, found, marks))
+    settle(docs.sparkSession)
     return found, repeats.finish(marked, repeats.Words, size)
 
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import release, settle, stored
 from . import repeats
 
 SIZE, DIGIT = 200, 50
@@ -44,7 +44,10 @@ def sort_passes(docs: DataFrame, size: int = SIZE, digit: int = DIGIT) -> tuple[
     rows = repeats.keyed(docs)
     found = stored(repeats.find_pieces(rows, repeats.Bytes, size, digit))
     shared = stored(repeats.shared_pieces(found))
+    settle(docs.sparkSession)
     marked = stored(repeats.with_text(rows, found, bucket_lists(repeats.judged_pieces(shared), size)))
+    release(shared)
+    settle(docs.sparkSession)
     return found, repeats.finish(marked, repeats.Bytes, size)
 
 

@@ -15,11 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
 from . import rolling
 from .common import content_key
 
 #: What is known of a piece: all its windows repeat; so, and other pieces compare with it; its windows must be compared.
 SURE, MODEL, OPEN = 0, 1, 2
+PARTS = 4
 
 
 def texts(batch: pa.RecordBatch, name: str) -> list[bytes]:
@@ -112,7 +114,7 @@ def each_piece(found: DataFrame) -> DataFrame:
 
 def shared_pieces(found: DataFrame) -> DataFrame:
     """Pieces whose sync point stands at more than one place, with `one_span` where all pieces there are equal."""
-    syncs = (
+    syncs = stored(
         each_piece(found).groupBy("sync")
         .agg(F.count(F.lit(1)).alias("places"), F.min("span").alias("least"), F.max("span").alias("most"))
         .where("places > 1").select(F.col("sync").alias("shared"), (F.col("least") == F.col("most")).alias("one_span"))
@@ -123,9 +125,10 @@ def shared_pieces(found: DataFrame) -> DataFrame:
 def judged_pieces(shared: DataFrame) -> DataFrame:
     """Shared pieces as doc, low, windows, sync, span, state. Equal pieces settle each other; see SURE, MODEL, OPEN."""
     differing = shared.where("NOT one_span")
-    spans = differing.groupBy(F.col("sync").alias("at"), F.col("span").alias("of")).agg(
-        F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc", "low")).alias("model")
-    )
+    spans = stored(
+        differing.groupBy(F.col("sync").alias("at"), F.col("span").alias("of"))
+        .agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc", "low")).alias("model"))
+    )
     state = (
         F.when(F.col("copies") == 1, OPEN)
         .when((F.col("model.doc") == F.col("doc")) & (F.col("model.low") == F.col("low")), MODEL)
@@ -174,8 +177,10 @@ def compare_windows(marked: DataFrame, unit: type[Bytes], size: int) -> DataFram
     flat = marked.select("doc", "text", "c_low", "c_windows", "c_sync", "c_state").mapInArrow(
         run, "doc bigint, at int, sync bigint, key bigint, is_open boolean"
     )
-    places = F.count(F.lit(1)).over(Window.partitionBy("sync", "key"))
-    return flat.withColumn("places", places).where("is_open AND places > 1").select("doc", "at")
+    # rows of one piece stay together on their way, which halves what is shuffled; parts split the pieces of a busy sync point
+    parted = flat.withColumn("part", F.pmod("key", F.lit(PARTS))).repartition("sync", "part")
+    places = F.count(F.lit(1)).over(Window.partitionBy("sync", "part", "key"))
+    return parted.withColumn("places", places).where("is_open AND places > 1").select("doc", "at")
 
 
 def cut(marked: DataFrame, unit: type[Bytes], size: int) -> DataFrame:
