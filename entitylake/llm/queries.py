@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, debruijn, langid, mixing, radix, simhash
+from . import bpe, debruijn, itq, langid, mixing, radix, simhash
 from .common import table
 
 #: Rank file and pattern of the tokenizer that the query uses; the operator takes both as parameters.
@@ -19,6 +19,10 @@ def tokenizer() -> dict[str, str]:
     return {"path": public_tokenizers.path(RANK_FILE), "pattern": public_tokenizers.PATTERN}
 
 
+def op1_itq_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return itq.near_vectors(table(spark, folder, "embeddings", "vec_id", "embedding"))
+
+
 def op2_debruijn_repeats(spark: SparkSession, folder: str) -> DataFrame:
     return debruijn.repeated_words(table(spark, folder, "documents", "doc_id", "text")).drop("n_spans")
 
@@ -44,6 +48,7 @@ def op9_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_itq_near_vectors": op1_itq_near_vectors,
     "op2_debruijn_repeats": op2_debruijn_repeats,
     "op3_radix_repeats": op3_radix_repeats,
     "op4_bpe_round_trip": op4_bpe_round_trip,
