@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, debruijn, itq, langid, mixing, radix, simhash
+from . import bpe, debruijn, itq, langid, mixing, permutation, radix, simhash
 from .common import table
 
 #: Rank file and pattern of the tokenizer that the query uses; the operator takes both as parameters.
@@ -47,6 +47,10 @@ def op9_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_words(table(spark, folder, "documents", "doc_id", "text", "source"))
 
 
+def op10_permutation_search(spark: SparkSession, folder: str) -> DataFrame:
+    return permutation.self_search(table(spark, folder, "embeddings", "vec_id", "embedding"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_itq_near_vectors": op1_itq_near_vectors,
     "op2_debruijn_repeats": op2_debruijn_repeats,
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_simhash_groups": op7_simhash_groups,
     "op8_language_id": op8_language_id,
     "op9_mix_sources": op9_mix_sources,
+    "op10_permutation_search": op10_permutation_search,
 }
 
 ORACLE: dict[str, str] = {"op2_debruijn_repeats": debruijn.SQL, "op3_radix_repeats": radix.SQL, "op9_mix_sources": mixing.SQL}
