@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, debruijn, itq, langid, mixing, permutation, radix, simhash
+from . import bpe, debruijn, itq, langid, mixing, permutation, radix, simhash, toxicity
 from .common import table
 
 #: Rank file and pattern of the tokenizer that the query uses; the operator takes both as parameters.
@@ -35,6 +35,11 @@ def op4_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents", "doc_id", "text"), **tokenizer())
 
 
+def op5_subsequence_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    labels = table(spark, folder, "labels", "doc_id", "toxic")
+    return toxicity.split_score(table(spark, folder, "documents", "doc_id", "text"), labels)
+
+
 def op7_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents", "doc_id", "text"))
 
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_debruijn_repeats": op2_debruijn_repeats,
     "op3_radix_repeats": op3_radix_repeats,
     "op4_bpe_round_trip": op4_bpe_round_trip,
+    "op5_subsequence_toxicity": op5_subsequence_toxicity,
     "op7_simhash_groups": op7_simhash_groups,
     "op8_language_id": op8_language_id,
     "op9_mix_sources": op9_mix_sources,
