@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, debruijn, itq, langid, mixing, permutation, radix, simhash, toxicity
+from . import bpe, debruijn, itq, langid, mixing, permutation, radix, simhash, toxicity, wrapper
 from .common import table
 
 #: Rank file and pattern of the tokenizer that the query uses; the operator takes both as parameters.
@@ -40,6 +40,10 @@ def op5_subsequence_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.split_score(table(spark, folder, "documents", "doc_id", "text"), labels)
 
 
+def op6_wrapper_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return wrapper.main_text(table(spark, folder, "pages", "page_id", "url", "html"))
+
+
 def op7_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents", "doc_id", "text"))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_radix_repeats": op3_radix_repeats,
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op5_subsequence_toxicity": op5_subsequence_toxicity,
+    "op6_wrapper_main_text": op6_wrapper_main_text,
     "op7_simhash_groups": op7_simhash_groups,
     "op8_language_id": op8_language_id,
     "op9_mix_sources": op9_mix_sources,
