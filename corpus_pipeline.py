@@ -11,13 +11,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entitylake.llm import bpe, mixing
+from entitylake.llm import bpe, debruijn, langid, mixing, simhash
 from entitylake.llm.queries import tokenizer
 from entitylake.session import stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the labelled ones teach; those without a letter or too unlike all of them go."""
+    return langid.only_accepted(docs)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest id."""
+    return simhash.keep_one(docs)
+
+
+def no_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the words of passages that also stand elsewhere."""
+    return debruijn.without_repeats(docs)
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources in the weights 3, 1, 2; a document comes as often as the mix takes it."""
     return mixing.mix_documents(docs)
@@ -30,7 +45,13 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "lang", "source", bpe.n_tokens(F.col("ids")).alias("n_tokens"), "ids", same.alias("round_trip"))
 
 
-STAGES: list[tuple[str, Stage]] = [("mixing sources to target weights", mixed), ("byte-level BPE", tokens)]
+STAGES: list[tuple[str, Stage]] = [
+    ("language ID", known_language),
+    ("SimHash near-dedup", one_of_each),
+    ("substring dedup", no_repeats),
+    ("mixing sources to target weights", mixed),
+    ("byte-level BPE encoding and decoding", tokens),
+]
 
 #: Language models, components over fingerprints and the tokenizer have no SQL form; tests hold brute force instead.
 ORACLE_SQL = None

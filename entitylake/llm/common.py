@@ -31,3 +31,13 @@ def content_key(name: str, text: str) -> list[Column]:
 def fold_part(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo `parts`: the split into learning and held-out rows."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
+
+
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """The wanted column names, each with as many underscores behind it as it needs to be free."""
+    out = []
+    for name in wanted:
+        while name.lower() in {x.lower() for x in taken}:
+            name += "_"
+        out.append(name)
+    return out
