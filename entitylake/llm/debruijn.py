@@ -71,7 +71,7 @@ def compact_passes(docs: DataFrame, size: int = SIZE, digit: int = DIGIT) -> tup
     rows = repeats.keyed(docs)
     found = stored(repeats.find_pieces(rows, repeats.Words, size, digit))
     judged = stored(repeats.judged_pieces(stored(repeats.shared_pieces(found))))
-    stretches = compacted(judged.where(F.col("state") != repeats.OPEN))
+    stretches = compacted(judged.where(F.col("state").bitwiseAND(F.lit(repeats.OPEN)) == 0))
     marks = on_coordinates(stretches, judged.where(F.col("state") != repeats.SURE), size)
     marked = stored(repeats.with_text(rows, found, marks))
     settle(docs.sparkSession)

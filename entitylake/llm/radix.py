@@ -27,7 +27,7 @@ def bucket_lists(judged: DataFrame, size: int) -> DataFrame:
     """A row per doc: runs of bytes that are settled, and the pieces whose suffixes take another pass."""
     piece = F.struct("low", "windows", "sync", "state")
     grouped = judged.groupBy("doc").agg(F.collect_list(piece).alias("p"))
-    sure = F.filter("p", lambda x: x["state"] != repeats.OPEN)
+    sure = F.filter("p", lambda x: x["state"].bitwiseAND(F.lit(repeats.OPEN)) == 0)
     rest = F.filter("p", lambda x: x["state"] != repeats.SURE)
     return grouped.select(
         "doc", F.transform(sure, lambda x: x["low"]).alias("s_low"), F.transform(sure, lambda x: x["low"] + x["windows"] + F.lit(size - 1)).alias("s_high"),

@@ -21,7 +21,9 @@ from .common import content_key
 
 #: What is known of a piece: all its windows repeat; so, and other pieces compare with it; its windows must be compared.
 SURE, MODEL, OPEN = 0, 1, 2
-PARTS = 4
+#: Added to the state where a sync point has more different pieces than one task compares; there single windows are shuffled.
+BUSY = 4
+MOST_PIECES = 1024
 
 
 def texts(batch: pa.RecordBatch, name: str) -> list[bytes]:
@@ -39,6 +41,10 @@ class Bytes:
     def codes(self, a: int, b: int) -> np.ndarray:
         return rolling.BYTE_CODES[self.data[a:b]]
 
+    def raw(self, i: int, a: int, b: int) -> bytes:
+        """Tokens a to b of text i, as a text of the same unit."""
+        return self.given[i][a:b]
+
     def whole(self, i: int) -> bytes:
         return self.given[i]
 
@@ -61,10 +67,15 @@ class Words(Bytes):
         start, end = rolling.word_places(data)
         self.offsets = np.searchsorted(start, first)
         self.all_codes = rolling.word_codes(data, start, end)
+        self.data, self.start, self.end = data, start, end
 
     def codes(self, a: int, b: int) -> np.ndarray:
         return self.all_codes[a:b]
 
+    def raw(self, i: int, a: int, b: int) -> bytes:
+        base = self.offsets[i]
+        return self.data[self.start[base + a] : self.end[base + b - 1]].tobytes()
+
     def whole(self, i: int) -> bytes:
         return b" ".join(self.given[i].split())
 
@@ -129,6 +140,7 @@ def judged_pieces(shared: DataFrame) -> DataFrame:
         differing.groupBy(F.col("sync").alias("at"), F.col("span").alias("of"))
         .agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc", "low")).alias("model"))
     )
+    busy = spans.groupBy(F.col("at").alias("busy")).agg(F.count(F.lit(1)).alias("pieces")).where(F.col("pieces") > MOST_PIECES).select("busy")
     state = (
         F.when(F.col("copies") == 1, OPEN)
         .when((F.col("model.doc") == F.col("doc")) & (F.col("model.low") == F.col("low")), MODEL)
@@ -136,7 +148,9 @@ def judged_pieces(shared: DataFrame) -> DataFrame:
     )
     compared = differing.join(spans, (F.col("sync") == F.col("at")) & (F.col("span") == F.col("of")))
     columns = ["doc", "low", "windows", "sync", "span"]
-    return compared.select(*columns, state.alias("state")).union(shared.where("one_span").select(*columns, F.lit(SURE).alias("state")))
+    settled = compared.withColumn("state", state).join(busy, F.col("sync") == F.col("busy"), "left")
+    marked = F.col("state") + F.when(F.col("busy").isNotNull() & (F.col("state") != SURE), BUSY).otherwise(0)
+    return settled.select(*columns, marked.alias("state")).union(shared.where("one_span").select(*columns, F.lit(SURE).alias("state")))
 
 
 def with_text(keyed_docs: DataFrame, found: DataFrame, marks: DataFrame) -> DataFrame:
@@ -147,40 +161,82 @@ def with_text(keyed_docs: DataFrame, found: DataFrame, marks: DataFrame) -> Data
     return keyed_docs.join(once, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("digest") == F.col("of_digest"))).drop("of_id", "of_digest")
 
 
+def pieces_of(rows: dict, held: Bytes, busy: bool):
+    """(row, doc, low, windows, sync, open, first token among all) of the busy or the other pieces of marked rows."""
+    for i, doc in enumerate(rows["doc"]):
+        base = int(held.offsets[i])
+        for low, n, sync, state in zip(rows["c_low"][i], rows["c_windows"][i], rows["c_sync"][i], rows["c_state"][i]):
+            if bool(state & BUSY) == busy:
+                yield i, doc, low, n, sync, bool(state & OPEN), base + low
+
+
 def compare_windows(marked: DataFrame, unit: type[Bytes], size: int) -> DataFrame:
     """doc, at: starts of the windows of OPEN pieces that also start elsewhere.
 
-    `marked` has doc, text and the lists c_low, c_windows, c_sync, c_state of its MODEL and OPEN pieces. Equal windows
-    have the same sync point, so a group is named by its hash and the window's own, 128 bits together.
+    `marked` has doc, text and the lists c_low, c_windows, c_sync, c_state of its MODEL and OPEN pieces. Pieces of a sync point meet in
+    one row, with their tokens, where all windows are compared; those of a busy sync point send single windows, which
+    are counted wherever they fall. Equal windows have the same sync point, so a window is named by its hash and its own, 128 bits together.
     """
+    rows = marked.select("doc", "text", "c_low", "c_windows", "c_sync", "c_state")
+    return together(rows, unit, size).union(one_by_one(rows, unit, size))
 
-    def run(batches):
+
+def together(rows: DataFrame, unit: type[Bytes], size: int) -> DataFrame:
+    def send(batches):
         for batch in batches:
             for part in range(0, batch.num_rows, 64):
-                some = batch.slice(part, 64)
-                rows = some.to_pydict()
-                held = unit([x or b"" for x in rows["text"]])
-                made: list[list[np.ndarray]] = [[], [], [], [], []]
-                for i, doc in enumerate(rows["doc"]):
-                    base = int(held.offsets[i])
-                    for low, n, sync, state in zip(rows["c_low"][i], rows["c_windows"][i], rows["c_sync"][i], rows["c_state"][i]):
-                        total = rolling.sums(held.codes(base + low, base + low + n + size - 1))
-                        key = rolling.windows(total, size).view(np.int64)
-                        for held_list, x in zip(made, (np.full(n, doc), np.arange(low, low + n), np.full(n, sync), key, np.full(n, state == OPEN))):
-                            held_list.append(x)
-                if made[0]:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(x).astype(kind.to_pandas_dtype()), kind) for x, kind in zip(made, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()))],
-                        names=["doc", "at", "sync", "key", "is_open"],
-                    )
-
-    flat = marked.select("doc", "text", "c_low", "c_windows", "c_sync", "c_state").mapInArrow(
-        run, "doc bigint, at int, sync bigint, key bigint, is_open boolean"
-    )
-    # rows of one piece stay together on their way, which halves what is shuffled; parts split the pieces of a busy sync point
-    parted = flat.withColumn("part", F.pmod("key", F.lit(PARTS))).repartition("sync", "part")
-    places = F.count(F.lit(1)).over(Window.partitionBy("sync", "part", "key"))
-    return parted.withColumn("places", places).where("is_open AND places > 1").select("doc", "at")
+                some = batch.slice(part, 64).to_pydict()
+                held = unit([x or b"" for x in some["text"]])
+                made = [(sync, doc, low, n, is_open, held.raw(i, low, low + n + size - 1)) for i, doc, low, n, sync, is_open, _ in pieces_of(some, held, busy=False)]
+                if made:
+                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*made), kinds)], names=["sync", "doc", "low", "windows", "is_open", "tokens"])
+
+    def compare(batches):
+        for batch in batches:
+            flat = batch.column(0).flatten()
+            group = np.repeat(np.arange(batch.num_rows, dtype=np.uint64), np.diff(batch.column(0).offsets.to_numpy()))
+            doc, low, n, is_open, tokens = (flat.field(i) for i in range(5))
+            n, raw = n.to_numpy(), tokens.to_pylist()
+            doc, low, is_open = doc.to_numpy(), low.to_numpy(), is_open.to_numpy(zero_copy_only=False)
+            held = unit(raw)
+            keys = []
+            for a, b in rolling.groups(np.diff(held.offsets)):
+                base = held.offsets[a]
+                total = rolling.sums(held.codes(base, held.offsets[b]))
+                first = np.repeat(held.offsets[a:b] - base - np.concatenate(([0], np.cumsum(n[a:b])[:-1])), n[a:b]) + np.arange(n[a:b].sum())
+                keys.append(rolling.spans(total, first, first + size))
+            key = np.concatenate(keys) if keys else np.zeros(0, dtype=np.uint64)
+            piece = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((key, group[piece]))
+            same = (key[order][1:] == key[order][:-1]) & (group[piece][order][1:] == group[piece][order][:-1])
+            again = np.zeros(len(key), dtype=bool)
+            again[order[1:][same]] = True
+            again[order[:-1][same]] = True
+            hit = np.flatnonzero(again & is_open[piece])
+            at = low[piece] + np.arange(len(key)) - np.concatenate(([0], np.cumsum(n)[:-1]))[piece] if len(key) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[piece[hit]], pa.int64()), pa.array(at[hit].astype(np.int32), pa.int32())], names=["doc", "at"])
+
+    sent = rows.mapInArrow(send, "sync bigint, doc bigint, low int, windows int, is_open boolean, tokens binary")
+    met = sent.groupBy("sync").agg(F.collect_list(F.struct("doc", "low", "windows", "is_open", "tokens")).alias("pieces")).where("size(pieces) > 1")
+    return met.select("pieces").mapInArrow(compare, "doc bigint, at int")
+
+
+def one_by_one(rows: DataFrame, unit: type[Bytes], size: int) -> DataFrame:
+    def send(batches):
+        for batch in batches:
+            for part in range(0, batch.num_rows, 64):
+                some = batch.slice(part, 64).to_pydict()
+                held = unit([x or b"" for x in some["text"]])
+                for _, doc, low, n, sync, is_open, first in pieces_of(some, held, busy=True):
+                    key = rolling.windows(rolling.sums(held.codes(first, first + n + size - 1)), size).view(np.int64)
+                    columns = (np.full(n, doc, np.int64), np.arange(low, low + n, dtype=np.int32), np.full(n, sync, np.int64), key, np.full(n, is_open))
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["doc", "at", "sync", "key", "is_open"])
+
+    busy = rows.where(F.exists("c_state", lambda x: x.bitwiseAND(F.lit(BUSY)) != 0))
+    sent = busy.mapInArrow(send, "doc bigint, at int, sync bigint, key bigint, is_open boolean")
+    places = F.count(F.lit(1)).over(Window.partitionBy("sync", "key"))
+    return sent.withColumn("places", places).where("is_open AND places > 1").select("doc", "at")
 
 
 def cut(marked: DataFrame, unit: type[Bytes], size: int) -> DataFrame:
