@@ -245,7 +245,7 @@ _W = "regexp_replace(split_part(lower(service), ' ', 1), '[^a-z0-9]', '', 'g')"
 PROMINENCE = f"""sv AS (SELECT page_id, body_text, lower(coalesce(description, '') || ' ' || coalesce(title, '')) AS meta,
   lower(array_to_string(list_transform(regexp_extract_all(html, '(?i)<h[12][^>]*>([^<]+)</h[12]>', 1), lambda h: {q.trim('h')}), ' ')) AS heads,
   unnest(string_split(scanned, '|')) AS service, generate_subscripts(string_split(scanned, '|'), 1) AS pos FROM pr2 WHERE scanned <> ''),
-sw AS (SELECT *, {_W} AS w, (length(lower(body_text)) - length(replace(lower(body_text), {_W}, ''))) / length({_W}) AS n FROM sv),
+sw AS (SELECT *, {_W} AS w, CASE WHEN {_W} = '' THEN length(body_text) ELSE (length(lower(body_text)) - length(replace(lower(body_text), {_W}, ''))) / length({_W}) END AS n FROM sv),
 sp AS (SELECT *, contains(heads, w) OR contains(meta, w) OR (contains(lower(substr(body_text, 1, 1400)), w) AND n >= 2) OR n >= 4 AS p FROM sw),
 prominence AS (SELECT page_id, service, pos - 1 AS pos, p OR (NOT bool_or(p) OVER (PARTITION BY page_id) AND pos <= 3) AS is_primary FROM sp)"""
 

@@ -96,15 +96,27 @@ def page_links(spark, sf):
     return P.page_links(pages(spark, sf)).select("page_id", F.col("pos").cast("bigint").alias("pos"), "link", "internal")
 
 
-def _region(opening, closing):
-    return f"WHEN regexp_matches(clean, {q.lit('(?i)' + opening)}) THEN regexp_extract(clean, {q.lit(f'(?is){opening}(.*?)(?:{closing}|$)')}, 1)"
+_CLASS = r"""class=["'](?:[^"']*\s)?content(?:\s[^"']*)?["'][^>]*>"""
+_ID = r"""id=["']content["'][^>]*>"""
+_CONTAINERS = [
+    (r"<main\b[^>]*>", "main"), (r"<article\b[^>]*>", "article"), (rf"<div\b[^>]*{_CLASS}", "div"), (rf"<section\b[^>]*{_CLASS}", "section"),
+    (rf"<div\b[^>]*{_ID}", "div"), (rf"<section\b[^>]*{_ID}", "section"), (r"<body\b[^>]*>", "body"),
+]
 
 
-_CONTENT = r"""<(?:div|section)\b[^>]*class=["'](?:[^"']*\s)?content(?:\s[^"']*)?["'][^>]*>"""
+def _case(made):
+    return "CASE " + " ".join(f"WHEN regexp_matches(clean, {q.lit('(?i)' + o)}) THEN {made(o, n)}" for o, n in _CONTAINERS) + " END"
+
+
+_MARKED = "string_split(regexp_replace(' ' || rest, '(?i)(</?' || element || '\\b)', chr(1) || '\\1', 'g'), chr(1))"
+# the tags of the container's name are counted up and down; the element ends where the count is back at zero
 BODY = f"""cl AS (SELECT page_id, url, domain, html, markup, regexp_replace(html, '(?s)<!--.*?-->', '', 'g') AS clean FROM pg),
-rg AS (SELECT *, CASE {_region('<main\\b[^>]*>', '</main>')} {_region('<article\\b[^>]*>', '</article>')}
-  {_region(_CONTENT, '</(?:div|section)>')} {_region('<(?:div|section)\\b[^>]*id=["' + "'" + ']content["' + "'" + '][^>]*>', '</(?:div|section)>')}
-  {_region('<body\\b[^>]*>', '</body>')} ELSE '' END AS region FROM cl),
+body_op AS (SELECT page_id, {_case(lambda o, n: q.lit(n))} AS element, {_case(lambda o, n: f"regexp_extract(clean, {q.lit(f'(?is){o}(.*)$')}, 1)")} AS rest FROM cl),
+body_sg AS (SELECT page_id, unnest({_MARKED}) AS seg, generate_subscripts({_MARKED}, 1) AS i FROM body_op WHERE element IS NOT NULL),
+body_dp AS (SELECT *, 1 + sum(CASE WHEN i = 1 THEN 0 WHEN starts_with(seg, '</') THEN -1 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY i) AS depth FROM body_sg),
+body_en AS (SELECT page_id, min(i) FILTER (depth = 0) AS closing FROM body_dp GROUP BY page_id),
+body_rg AS (SELECT page_id, string_agg(seg, '' ORDER BY i) FILTER (closing IS NULL OR i < closing) AS region FROM body_dp JOIN body_en USING (page_id) GROUP BY page_id),
+rg AS (SELECT cl.*, coalesce(region, '') AS region FROM cl LEFT JOIN body_rg USING (page_id)),
 bodies AS (SELECT page_id, url, domain, html, markup, {q.trim(q.text_of('region'))} AS body_text FROM rg)"""
 
 
@@ -193,7 +205,7 @@ pf2 AS (SELECT page_id, n, list_filter(raw_people, lambda x: length(trim(x.p->>'
 schema_org AS (SELECT page_id, n->>'$.name' AS org_name, n->>'$.description' AS org_description, n->>'$.foundingDate' AS founding_date,
   CASE WHEN json_type(n->'$.numberOfEmployees') = 'OBJECT' THEN coalesce(n->>'$.numberOfEmployees.value', n->>'$.numberOfEmployees.minValue') ELSE n->>'$.numberOfEmployees' END AS employees,
   nullif(CASE WHEN json_type(n->'$.address') = 'VARCHAR' THEN n->>'$.address' ELSE concat_ws(', ', n->>'$.address.addressLocality', n->>'$.address.addressRegion', n->>'$.address.addressCountry') END, '') AS address,
-  array_to_string(CAST(n->'$.sameAs' AS VARCHAR[]), '|') AS same_as,
+  array_to_string(list_transform(list_filter(CASE WHEN json_type(n->'$.sameAs') = 'ARRAY' THEN CAST(n->'$.sameAs' AS JSON[]) END, lambda u: json_type(u) = 'VARCHAR'), lambda u: u->>'$'), '|') AS same_as,
   array_to_string(list_transform(people, lambda x: trim(x.p->>'$.name') || ':' || coalesce(x.p->>'$.jobTitle', x.role)), '|') AS people,
   array_to_string(list_concat(
     list_filter(list_transform(coalesce(CAST(n->'$.hasOfferCatalog.itemListElement' AS JSON[]), []), lambda o: o->>'$.name'), lambda o: o IS NOT NULL),
@@ -296,9 +308,9 @@ def secondary_urls(spark, sf):
     return found.select("page_id", "secondary_url", F.col("rank").cast("bigint").alias("rank"))
 
 
-@checked("outlink_domains", "fx_pages", f"WITH {DOMAINS}, {LINKS}, {OUTLINKS} SELECT target, count(DISTINCT domain) AS sources FROM ou GROUP BY target")
+@checked("outlink_domains", "fx_pages", f"WITH {DOMAINS}, {LINKS.replace(' WHERE pos < 100', '')}, {OUTLINKS} SELECT target, count(DISTINCT domain) AS sources FROM ou GROUP BY target")
 def outlink_domains(spark, sf):
-    return P.outlink_domains(P.page_links(pages(spark, sf)))
+    return P.outlink_domains(P.page_links(pages(spark, sf), limit=None))
 
 
 # --- captured results ---------------------------------------------------------------------------

@@ -425,7 +425,7 @@ def search_merge_domains(spark, sf):
 
 
 RERUN = """fd AS (SELECT DISTINCT p.query_id, raw, domain FROM fx_pairs p JOIN fx_queries USING (query_id) JOIN fx_entities USING (entity_id)),
-nw AS (SELECT a.query_id, a.domain, NOT EXISTS (SELECT 1 FROM fd b WHERE b.raw = a.raw AND b.domain = a.domain AND b.query_id <> a.query_id) AS is_new FROM fd a)"""
+nw AS (SELECT a.query_id, a.domain, NOT EXISTS (SELECT 1 FROM fd b WHERE b.raw IS NOT DISTINCT FROM a.raw AND b.domain = a.domain AND b.query_id < a.query_id) AS is_new FROM fd a)"""
 
 
 @checked("rerun_new_entities", "fx_queries fx_entities fx_pairs", f"WITH {RERUN} SELECT * FROM nw")
@@ -434,12 +434,11 @@ def rerun_new_entities(spark, sf):
 
 
 @checked("run_outcome", CUSES + " fx_pairs", f"""WITH {CANDIDATES}, {RERUN}, nc AS (SELECT query_id, count(*) AS n FROM candidates WHERE pos <= 15 GROUP BY query_id),
-rr AS (SELECT raw, count(*) AS runs FROM fx_queries GROUP BY raw), sv AS (SELECT query_id, count(*) AS saved, count(*) FILTER (is_new) AS new_entities, bool_and(NOT is_new) AS all_known FROM nw GROUP BY query_id)
-SELECT query_id, coalesce(saved, 0) AS saved, coalesce(new_entities, 0) AS new_entities, coalesce(all_known, false) AS all_known, CASE WHEN coalesce(n, 0) = 0 THEN 'unsupported' WHEN runs > 1 AND coalesce(new_entities, 0) = 0 THEN 'no_new_results' ELSE 'completed' END AS outcome
-FROM fx_queries JOIN rr USING (raw) LEFT JOIN nc USING (query_id) LEFT JOIN sv USING (query_id)""")
+rr AS (SELECT q.query_id, coalesce(bool_or(o.query_id < q.query_id), false) AS again FROM fx_queries q LEFT JOIN (SELECT raw, min(query_id) AS query_id FROM fx_queries WHERE query_id IN (SELECT query_id FROM nw) GROUP BY raw) o ON o.raw IS NOT DISTINCT FROM q.raw GROUP BY q.query_id), sv AS (SELECT query_id, count(*) AS saved, count(*) FILTER (is_new) AS new_entities, bool_and(NOT is_new) AS all_known FROM nw GROUP BY query_id)
+SELECT query_id, coalesce(saved, 0) AS saved, coalesce(new_entities, 0) AS new_entities, coalesce(all_known, false) AS all_known, CASE WHEN coalesce(n, 0) = 0 THEN 'unsupported' WHEN again AND coalesce(new_entities, 0) = 0 THEN 'no_new_results' ELSE 'completed' END AS outcome
+FROM fx_queries JOIN rr USING (query_id) LEFT JOIN nc USING (query_id) LEFT JOIN sv USING (query_id)""")
 def run_outcome(spark, sf):
     queries = t(spark, sf, "fx_queries")
-    runs = queries.groupBy("raw").agg((F.count(F.lit(1)) > 1).alias("is_rerun"))
     counted = candidates(spark, sf).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_candidates"))
     saved = C.rerun_new_entities(queries, t(spark, sf, "fx_pairs"), entities(spark, sf))
-    return SV.run_outcome(queries.join(runs, "raw").select("query_id", "is_rerun"), counted, saved)
+    return SV.run_outcome(C.rerun_flags(queries, saved), counted, saved)

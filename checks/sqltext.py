@@ -57,8 +57,8 @@ def text_of(x: str) -> str:
 
 
 def attr(tag: str, name: str) -> str:
-    p = lit(rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)')""")
-    return decode(f"(regexp_extract({tag}, {p}, 1) || regexp_extract({tag}, {p}, 2))")
+    p = lit(rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+    return decode("(" + " || ".join(f"regexp_extract({tag}, {p}, {i})" for i in (1, 2, 3)) + ")")
 
 
 def markup(x: str) -> str:

@@ -15,13 +15,16 @@ ENTITIES = [
     ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"),
     ("&middot;", "·"), ("&amp;", "&"),
 ]
-# Body containers as (opening tag, closing tag), first present wins.
+# Body containers as (opening tag, element), first present wins.
+CONTENT_CLASS = r"""class=["'](?:[^"']*\s)?content(?:\s[^"']*)?["'][^>]*>"""
 BODY_CONTAINERS = [
-    (r"<main\b[^>]*>", "</main>"),
-    (r"<article\b[^>]*>", "</article>"),
-    (r"""<(?:div|section)\b[^>]*class=["'](?:[^"']*\s)?content(?:\s[^"']*)?["'][^>]*>""", "</(?:div|section)>"),
-    (r"""<(?:div|section)\b[^>]*id=["']content["'][^>]*>""", "</(?:div|section)>"),
-    (r"<body\b[^>]*>", "</body>"),
+    (r"<main\b[^>]*>", "main"),
+    (r"<article\b[^>]*>", "article"),
+    (rf"<div\b[^>]*{CONTENT_CLASS}", "div"),
+    (rf"<section\b[^>]*{CONTENT_CLASS}", "section"),
+    (r"""<div\b[^>]*id=["']content["'][^>]*>""", "div"),
+    (r"""<section\b[^>]*id=["']content["'][^>]*>""", "section"),
+    (r"<body\b[^>]*>", "body"),
 ]
 
 
@@ -49,8 +52,8 @@ def text_of(html: Column) -> Column:
 
 
 def attribute(tag: Column, name: str) -> Column:
-    """Value of an attribute of one tag; '' when absent. Either quote."""
-    quoted = F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*("[^"]*"|'[^']*')""", 1)
+    """Value of an attribute of one tag; '' when absent. Either quote, or none."""
+    quoted = F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
     return decode_entities(F.regexp_replace(quoted, """^["']|["']$""", ""))
 
 
@@ -91,14 +94,32 @@ def hrefs_of(markup: Column) -> Column:
     return F.filter(found, lambda h: (h != "") & ~h.rlike(r"^(#|mailto:|tel:)"))
 
 
+def element_of(page: Column, opening: str, name: str) -> Column:
+    """Inside of the first element that `opening` starts, up to its own closing tag: nested ones of the same name are counted.
+
+    Without that tag it runs to the end of the page.
+    """
+    rest = F.concat(F.lit(" "), F.regexp_extract(page, rf"(?is){opening}(.*)\z", 1))
+
+    def inside(parts: Column) -> Column:
+        def step(seen: Column, part: Column) -> Column:
+            turn = F.when(part.startswith("</"), -1).when(part.startswith("<"), 1).otherwise(0)
+            depth = F.when(seen["depth"] == 0, 0).otherwise(seen["depth"] + turn)
+            return bind(depth, lambda d: F.struct(d.alias("depth"), F.when(d > 0, seen["n"] + 1).otherwise(seen["n"]).alias("n")))
+
+        start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n"))
+        return F.array_join(F.slice(parts, 1, F.aggregate(parts, start, step, lambda x: x["n"])), "")
+
+    return bind(F.split(rest, rf"(?i)(?=</?{name}\b)"), inside)
+
+
 def body_text_of(html: Column, max_chars: int | None = None) -> Column:
-    """Text of the first body container. The whole text unless a limit is given."""
+    """Text of the first body container, the whole element. The whole text unless a limit is given."""
 
     def region(page: Column) -> Column:
         chain = F.when(F.lit(False), F.lit(""))
-        for opening, closing in BODY_CONTAINERS:
-            inner = F.regexp_extract(page, rf"(?is){opening}(.*?)(?:{closing}|\z)", 1)
-            chain = chain.when(page.rlike(f"(?i){opening}"), inner)
+        for opening, name in BODY_CONTAINERS:
+            chain = chain.when(page.rlike(f"(?i){opening}"), element_of(page, opening, name))
         return chain.otherwise("")
 
     text = trim_all(text_of(bind(without_comments(html), region)))

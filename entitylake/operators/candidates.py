@@ -13,7 +13,7 @@ from ..functions.rows import exploded
 from ..functions.urls import clean_candidate, stem_of
 from ..rules import domain_lists, query_rules
 from ..session import stored
-from .ordering import top_k_per_key
+from .ordering import joined_on, top_k_per_key
 from .queries import domain_in_query, target_company
 
 URL_CAP = 15
@@ -174,9 +174,12 @@ def candidate_urls(
     brands: Mapping[str, str] | None = None,
     blocklist: Sequence[str] = tuple(domain_lists.CANDIDATE_BLOCKLIST),
     cap: int = URL_CAP,
+    web_cap: int = 10,
 ) -> DataFrame:
     """Tiered union of candidate sources, first source of a domain wins, first `cap` per query.
 
+    A query takes at most its first `web_cap` domains from the web tier.
+
     queries: analysed, with query_id. suggestions: query_id, company, competitors array, confidence,
     industry. web: query_id, pos, domain, industry. seeds: industry, priority, pos, domain.
     directories: industry, pos, url. Output: query_id, pos, url, tier, links_only.
@@ -195,18 +198,19 @@ def candidate_urls(
         .select("query_id", F.lit(1).alias("tier"), F.posexplode(listed).alias("pos", "domain"))
     )
     asked = plain.filter(F.col("intent").isin(query_rules.WEB_INTENTS)).select("query_id")
-    first_web = top_k_per_key(web.select("query_id", "pos", "domain"), ["query_id"], [F.col("pos")], 10)
-    from_web = first_web.join(asked, "query_id", "left_semi").select(
+    asked_web = web.select("query_id", "pos", "domain").join(asked, "query_id", "left_semi")
+    from_web = top_k_per_key(asked_web, ["query_id"], [F.col("pos")], web_cap).select(
         "query_id", F.lit(2).alias("tier"), "pos", "domain"
     )
     itself = base.filter("is_domain").select(
         "query_id", F.lit(3).alias("tier"), F.lit(0).alias("pos"), domain_in_query(F.col("query")).alias("domain")
     )
-    # Blocked seeds never count and a query takes at most `cap`, so more seeds cannot be used.
-    usable = top_k_per_key(
-        seeds.withColumn("domain", clean_candidate(F.col("domain"))).filter(~F.col("domain").isin(list(blocklist))),
-        ["industry"], [F.col("pos")], cap + 10,
+    # Blocked and repeated seeds never count and a query takes at most `cap` domains, so more distinct ones cannot be used.
+    distinct_seeds = (
+        seeds.withColumn("domain", clean_candidate(F.col("domain"))).filter(~F.col("domain").isin(list(blocklist)))
+        .groupBy("industry", "domain").agg(F.min("pos").alias("pos"))
     )
+    usable = top_k_per_key(distinct_seeds, ["industry"], [F.col("pos"), F.col("domain")], cap)
     from_seeds = base.join(
         usable.select(F.col("industry").alias("seed_industry"), "pos", "domain"), "seed_industry"
     ).select("query_id", F.lit(4).alias("tier"), "pos", "domain")
@@ -306,21 +310,44 @@ def merge_searches(results: DataFrame) -> tuple[DataFrame, DataFrame]:
     return summary, domains
 
 
-def rerun_new_entities(queries: DataFrame, links: DataFrame, entities: DataFrame) -> DataFrame:
-    """(query_id, domain, is_new): false where another query with the same raw text had the domain.
+def rerun_new_entities(queries: DataFrame, links: DataFrame, entities: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
+    """(query_id, domain, is_new): false where an earlier query with the same raw text had the domain.
 
-    No self join of queries: per (raw, domain) the smallest and largest query id tell whether
-    another one exists, whatever the number of re-runs.
+    Earlier is by created_at, where queries has it, then query_id; the first query that finds a domain is new. `earlier` (raw,
+    domain) are links stored before these queries. No self join of queries: one minimum per (raw, domain), null texts included.
     """
+    when = F.struct("created_at", "query_id") if "created_at" in queries.columns else F.struct("query_id")
     found = (
         links.select("query_id", "entity_id")
-        .join(queries.select("query_id", "raw"), "query_id")
+        .join(queries.select("query_id", "raw", when.alias("run")), "query_id")
         .join(entities.select("entity_id", "domain"), "entity_id")
-        .select("query_id", "raw", "domain")
+        .select("query_id", "raw", "domain", "run")
         .distinct()
     )
-    seen = found.groupBy("raw", "domain").agg(F.min("query_id").alias("_lo"), F.max("query_id").alias("_hi"))
-    return found.join(seen, ["raw", "domain"]).select(
-        "query_id", "domain",
-        ((F.col("_lo") == F.col("query_id")) & (F.col("_hi") == F.col("query_id"))).alias("is_new"),
+    first = found.groupBy("raw", "domain").agg(F.min("run").alias("first"))
+    flagged = joined_on(found, first, ["raw", "domain"]).withColumn("is_new", F.col("run") == F.col("first"))
+    if earlier is not None:
+        known = earlier.select("raw", "domain").distinct().withColumn("known", F.lit(True))
+        known = known.toDF("k_raw", "k_domain", "known")
+        same = F.col("raw").eqNullSafe(F.col("k_raw")) & F.col("domain").eqNullSafe(F.col("k_domain"))
+        flagged = flagged.join(known, same, "left").withColumn("is_new", F.col("is_new") & F.col("known").isNull())
+    return flagged.select("query_id", "domain", "is_new")
+
+
+def rerun_flags(queries: DataFrame, saved: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
+    """(query_id, is_rerun): whether an earlier query with the same raw text, null included, has a saved entity.
+
+    saved(query_id) are the links of these queries, earlier(raw) those stored before.
+    """
+    when = F.struct("created_at", "query_id") if "created_at" in queries.columns else F.struct("query_id")
+    runs = queries.select("query_id", "raw", when.alias("run"))
+    linked = runs.join(saved.select("query_id").distinct(), "query_id", "left_semi").groupBy("raw").agg(F.min("run").alias("first"))
+    flagged = runs.join(linked.withColumnRenamed("raw", "l_raw"), F.col("raw").eqNullSafe(F.col("l_raw")), "left").withColumn(
+        "is_rerun", F.coalesce(F.col("first") < F.col("run"), F.lit(False))
     )
+    if earlier is not None:
+        known = earlier.select(F.col("raw").alias("k_raw")).distinct().withColumn("known", F.lit(True))
+        flagged = flagged.join(known, F.col("raw").eqNullSafe(F.col("k_raw")), "left").withColumn(
+            "is_rerun", F.col("is_rerun") | F.col("known").isNotNull()
+        )
+    return flagged.select("query_id", "is_rerun")

@@ -222,7 +222,9 @@ def service_prominence(pages: DataFrame) -> DataFrame:
                 word,
                 lambda w: F.struct(
                     w.alias("w"),
-                    ((F.length(t["body"]) - F.length(F.replace(t["body"], w, F.lit("")))) / F.length(w))
+                    # a service without any of a-z and 0-9 in its first word counts as found everywhere
+                    F.when(w == "", F.length(t["body"]))
+                    .otherwise((F.length(t["body"]) - F.length(F.replace(t["body"], w, F.lit("")))) / F.length(w))
                     .cast("int")
                     .alias("n"),
                 ),

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from ..functions.patterns import bind
 
 SAMPLE_PER_BUCKET = 8
-MAX_BUCKETS = 2048
 # Rows of one key that a single task may sort.
 HOT_KEY_ROWS = 1_000_000
 
@@ -57,19 +56,26 @@ def _count_below(cuts: Column, size: int, key: Column) -> Column:
     return F.aggregate(steps, start, halve, lambda s: s["low"])
 
 
-def with_buckets(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+def joined_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on keys that may be null: null equals null. The right side brings its other columns only."""
+    other = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(other, same).drop(*[f"_right_{k}" for k in keys])
+
+
+def with_buckets(df: DataFrame, keys: Sequence[str], order: Sequence[Column], hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
     """Add `_bucket`, which never falls along (keys, order), all ascending with nulls first.
 
-    Boundaries come from a sample by hash: about SAMPLE_PER_BUCKET distinct rows per bucket, the
-    same on every run. They enter the plan as literals, so a recomputed task gets the same buckets,
+    There is a bucket for every `hot_rows` rows, and at least one per shuffle partition. Boundaries
+    come from a sample by hash: about SAMPLE_PER_BUCKET distinct rows per bucket, the same on every run. They enter the plan as literals, so a recomputed task gets the same buckets,
     and only speed depends on them. The input is read for the count and the sample (key columns
     only) and again for the result, so a costly one should be a stored table.
     """
     parts = [F.col(k) for k in keys] + list(order)
     key = F.struct(*[c.alias(f"f{i}") for i, c in enumerate(parts)])
     fields = df.select(key.alias("k")).schema["k"].dataType.fields
-    buckets = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), MAX_BUCKETS)
     rows = df.select(*keys).count()
+    buckets = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), rows // max(hot_rows, 1) if hot_rows > 1 else 0)
     share = min(1.0, buckets * SAMPLE_PER_BUCKET / max(rows, 1))
     sample = (
         df.select(key.alias("k"))
@@ -99,7 +105,7 @@ def rank_per_key(
     """
     if largest_key(df, keys) <= hot_rows:
         return df.withColumn(rank_col, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    cut = with_buckets(df, keys, order)
+    cut = with_buckets(df, keys, order, hot_rows)
     group = [*keys, "_bucket"]
     local = cut.withColumn(
         "_local", F.row_number().over(Window.partitionBy(*group).orderBy(*order))
@@ -110,7 +116,7 @@ def rank_per_key(
     sizes = cut.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
     offsets = sizes.select(*group, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     return (
-        local.join(offsets, group)
+        joined_on(local, offsets, group)
         .withColumn(rank_col, F.col("_before") + F.col("_local"))
         .drop("_bucket", "_local", "_before")
     )
@@ -124,7 +130,7 @@ def previous_per_key(
     payload = F.struct(*[F.col(v) for v in values])
     if largest_key(df, keys) <= hot_rows:
         return df.withColumn(name, F.lag(payload).over(Window.partitionBy(*keys).orderBy(*order)))
-    cut = with_buckets(df, keys, order)
+    cut = with_buckets(df, keys, order, hot_rows)
     group = [*keys, "_bucket"]
     inside = Window.partitionBy(*group).orderBy(*order)
     local = cut.withColumn("_lag", F.lag(payload).over(inside)).withColumn(
@@ -137,7 +143,7 @@ def previous_per_key(
         *group, F.lag("_tail").over(Window.partitionBy(*keys).orderBy("_bucket")).alias("_carry")
     )
     return (
-        local.join(carried, group)
+        joined_on(local, carried, group)
         .withColumn(name, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_lag")))
         .drop("_bucket", "_lag", "_first", "_carry")
     )

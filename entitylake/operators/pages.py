@@ -57,11 +57,11 @@ def with_headings(pages: DataFrame) -> DataFrame:
     return pages.withColumn("headings", H.headings_of(_markup(pages)))
 
 
-def with_links(pages: DataFrame, limit: int = 100) -> DataFrame:
-    """links, internal_links, external_links. Internal means the URL contains the domain."""
+def with_links(pages: DataFrame, limit: int | None = 100) -> DataFrame:
+    """links, internal_links, external_links; the first `limit` links, or all. Internal means the URL contains the domain."""
+    every = F.transform(F.col("_hrefs"), lambda h: absolute_url(h, F.col("domain")))
     found = pages.withColumn("_hrefs", H.hrefs_of(_markup(pages))).withColumn(
-        "links",
-        F.slice(F.transform(F.col("_hrefs"), lambda h: absolute_url(h, F.col("domain"))), 1, limit),
+        "links", F.slice(every, 1, limit) if limit else every
     )
     return (
         found.withColumn("internal_links", F.filter("links", lambda u: u.contains(F.col("domain"))))
@@ -154,9 +154,9 @@ def page_profile(pages: DataFrame) -> DataFrame:
 # --- links --------------------------------------------------------------------------------------
 
 
-def page_links(pages: DataFrame) -> DataFrame:
-    """One row per link: page_id, url, domain, pos, link, internal."""
-    linked = with_links(with_domain(pages))
+def page_links(pages: DataFrame, limit: int | None = 100) -> DataFrame:
+    """One row per link: page_id, url, domain, pos, link, internal; the first `limit` of a page, or all."""
+    linked = with_links(with_domain(pages), limit)
     rows = exploded(linked, ["page_id", "url", "domain"], "links", "link", "pos")
     return rows.withColumn("internal", F.col("link").contains(F.col("domain")))
 
@@ -222,7 +222,7 @@ def secondary_urls(
 
 
 def outlink_domains(links: DataFrame) -> DataFrame:
-    """Inbound sources per external target. Distinct pairs are counted after a pre-aggregation, so
+    """Inbound sources per external target; give it all links of the pages, not the first hundred. Distinct pairs are counted after a pre-aggregation, so
     a target that a third of all pages link to still arrives as partial sums."""
     pairs = homepage_outlinks(links, []).select(F.col("domain").alias("source"), "target").distinct()
     return pairs.groupBy("target").agg(F.count(F.lit(1)).alias("sources"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.rows import exploded
-from ..functions.text import words_of
+from ..functions.text import decode_json_list, words_of
 from .ordering import top_k_per_key
 from .scoring import confidence_band
 
@@ -45,11 +46,12 @@ def entity_listing(
     field = field if field in entities.columns else "confidence"
     by = F.col(field).asc() if order == "asc" else F.col(field).desc()
     kept = listing_filter(entities, links, query_id, search, min_score)
-    page_rows = kept.orderBy(by, F.col("entity_id")).offset((page - 1) * limit).limit(limit)
     if query_id is None:
-        return page_rows.withColumn("is_new", F.lit(None).cast("boolean"))
-    flags = links.filter(F.col("query_id") == query_id).select("entity_id", "is_new")
-    return page_rows.join(flags, "entity_id", "left")
+        kept = kept.withColumn("is_new", F.lit(None).cast("boolean"))
+    else:  # before the sort, which a join after it would undo
+        flags = links.filter(F.col("query_id") == query_id).select("entity_id", "is_new")
+        kept = kept.join(flags, "entity_id", "left")
+    return kept.orderBy(by, F.col("entity_id")).offset((page - 1) * limit).limit(limit)
 
 
 def listing_pagination(kept: DataFrame, page: int = 1, limit: int = 20) -> DataFrame:
@@ -198,16 +200,18 @@ EXPORT_COLUMNS = [
 ]
 
 
-def _export_source(entities: DataFrame, links: DataFrame | None, query_id: int | None) -> DataFrame:
+def _export_source(entities: DataFrame, links: DataFrame | None, query_id: int | None, limit: int) -> DataFrame:
     kept = entities.filter("is_valid")
     if query_id is not None:
         own = links.filter(F.col("query_id") == query_id)
         kept = kept.join(own.select("entity_id"), "entity_id", "left_semi")
-    return kept.orderBy(F.col("confidence").desc(), F.col("entity_id")).limit(EXPORT_LIMIT)
+    return kept.orderBy(F.col("confidence").desc(), F.col("entity_id")).limit(limit)
 
 
-def export_csv_rows(entities: DataFrame, links: DataFrame | None = None, query_id: int | None = None) -> DataFrame:
-    """The first 1000 valid entities by confidence as export text columns."""
+def export_csv_rows(
+    entities: DataFrame, links: DataFrame | None = None, query_id: int | None = None, limit: int = EXPORT_LIMIT
+) -> DataFrame:
+    """The first `limit` valid entities by confidence as export text columns."""
 
     def text(name: str) -> Column:
         return F.coalesce(F.col(name), F.lit(""))
@@ -218,7 +222,7 @@ def export_csv_rows(entities: DataFrame, links: DataFrame | None = None, query_i
     def stamp(name: str) -> Column:
         return F.date_format(name, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
-    return _export_source(entities, links, query_id).select(
+    return _export_source(entities, links, query_id, limit).select(
         "name", "domain", text("description").alias("description"), text("category").alias("category"),
         listed("services").alias("services"), listed("technologies").alias("technologies"),
         text("linkedin").alias("linkedin"), listed("emails").alias("emails"),
@@ -229,10 +233,17 @@ def export_csv_rows(entities: DataFrame, links: DataFrame | None = None, query_i
     )
 
 
-def export_json_rows(entities: DataFrame) -> DataFrame:
-    """The same rows with lists kept as lists (phones stay text) and every column."""
+def export_json_rows(
+    entities: DataFrame, links: DataFrame | None = None, query_id: int | None = None, limit: int = EXPORT_LIMIT
+) -> DataFrame:
+    """The same rows with lists kept as lists (phones stay text) and every column.
+
+    founders, where the entities have it as stored JSON text, becomes a list too; text that is no list gives an empty one.
+    """
     lists = ("services", "technologies", "emails", "locations")
-    out = _export_source(entities, None, None)
+    out = _export_source(entities, links, query_id, limit)
+    if "founders" in out.columns and isinstance(out.schema["founders"].dataType, T.StringType):
+        out = out.withColumn("founders", decode_json_list(F.col("founders")))
     for name in lists:
         out = out.withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
     return out.withColumn("phones", F.to_json("phones"))

@@ -134,7 +134,12 @@ def _organisation(org: Column) -> Column:
             _filled(org, "$.foundingDate").alias("founding_date"),
             employees.alias("employees"),
             F.when(address != "", address).alias("address"),
-            _get(org, "$.sameAs", "array<string>").alias("same_as"),
+            F.transform(
+                F.filter(
+                    _get(org, "$.sameAs", "array<variant>"), lambda v: F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False))
+                ),
+                lambda v: _get(v, "$"),
+            ).alias("same_as"),
             _key_people(org).cast(f"array<{PERSON}>").alias("people"),
             _services(org).alias("services"),
         ),

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import domain_of
-from ..operators.candidates import candidate_urls, rerun_new_entities
+from ..operators.candidates import candidate_urls, rerun_flags, rerun_new_entities
 from ..operators.entities import company_entities
 from ..operators.ordering import first_per_key
 from ..operators.pages import page_profile
@@ -86,7 +86,7 @@ def run_discovery(inputs: Inputs) -> Outputs:
     entities = saved.select(F.col("domain").alias("entity_id"), "domain").distinct()
     flags = stored(rerun_new_entities(inputs.queries, links, entities))
     saved = saved.join(flags, ["query_id", "domain"])
-    runs = inputs.queries.groupBy("raw").agg((F.count(F.lit(1)) > 1).alias("is_rerun"))
+    runs = rerun_flags(inputs.queries, flags)
     counted = candidates.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_candidates"))
-    outcome = run_outcome(inputs.queries.join(runs, "raw").select("query_id", "is_rerun"), counted, flags)
+    outcome = run_outcome(runs, counted, flags)
     return Outputs(candidates, judged, saved, outcome)

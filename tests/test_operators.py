@@ -16,6 +16,9 @@ from entitylake.sources.tables import csv_lines, decode_lists, spread
 
 NOW = datetime(2024, 2, 1)
 
+from entitylake.functions import html as H_  # noqa: E402
+from entitylake.operators import entities as E_, pages as P_, structured_data as SD_  # noqa: E402
+
 
 @pytest.fixture(scope="module")
 def skewed(spark):
@@ -195,7 +198,12 @@ def test_rerun_flags(spark):
     links = spark.createDataFrame([(1, 10), (2, 10), (2, 11), (3, 10)], "query_id long, entity_id long")
     entities = spark.createDataFrame([(10, "a.com"), (11, "b.com")], "entity_id long, domain string")
     got = {(r.query_id, r.domain): r.is_new for r in C.rerun_new_entities(queries, links, entities).collect()}
-    assert got == {(1, "a.com"): False, (2, "a.com"): False, (2, "b.com"): True, (3, "a.com"): True}
+    assert got == {(1, "a.com"): True, (2, "a.com"): False, (2, "b.com"): True, (3, "a.com"): True}
+    stored = spark.createDataFrame([("y", "a.com"), (None, "b.com")], "raw string, domain string")
+    got = {(r.query_id, r.domain): r.is_new for r in C.rerun_new_entities(queries, links, entities, stored).collect()}
+    assert got == {(1, "a.com"): True, (2, "a.com"): False, (2, "b.com"): True, (3, "a.com"): False}
+    flags = {r.query_id: r.is_rerun for r in C.rerun_flags(queries, links, stored).collect()}
+    assert flags == {1: False, 2: True, 3: True}
 
 
 def test_company_variants(spark):
@@ -232,3 +240,68 @@ def test_top_k_limits_before_the_shuffle(skewed):
     top = O.top_k_per_key(skewed, ["k"], [F.col("score").desc(), F.col("id")], 5)
     plan = top._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") >= 2
+
+
+@pytest.mark.parametrize("hot_rows", [1, O.HOT_KEY_ROWS])
+def test_null_keys_stay_on_both_paths(spark, hot_rows):
+    rows = [(None if i % 3 == 0 else i % 3, i) for i in range(30)]
+    df = spark.createDataFrame(rows, "k long, id long")
+    ranked = O.rank_per_key(df, ["k"], [F.col("id")], hot_rows=hot_rows).collect()
+    assert sorted(r["rank"] for r in ranked if r.k is None) == list(range(1, 11)) and len(ranked) == 30
+    before = O.previous_per_key(df, ["k"], [F.col("id")], ["id"], hot_rows=hot_rows).collect()
+    assert len(before) == 30 and {r.id: r.prev.id for r in before if r.k is None and r.prev} == {i: i - 3 for i in range(3, 30, 3)}
+
+
+def test_body_text_is_the_whole_element(spark):
+    pages = [
+        '<body><div class="content"><div>first</div><p>second part</p></div><p>outside</p></body>',
+        "<article>a<article>b</article>c</article>d", "<main>never closed <main>x</main> tail", "<body>plain</body>", "no container",
+    ]
+    df = spark.createDataFrame([(p,) for p in pages], "html string")
+    assert [r[0] for r in df.select(H_.body_text_of(F.col("html"))).collect()] == ["firstsecond part", "abc", "never closed x tail", "plain", ""]
+
+
+def test_links_without_quotes_and_beyond_the_first_hundred(spark):
+    html = "<a href=/about>x</a>" + "".join(f'<a href="https://t{i}.com/">y</a>' for i in range(150))
+    df = spark.createDataFrame([(1, "https://own.com/", html)], "page_id long, url string, html string")
+    assert P_.page_links(df).count() == 100 and P_.page_links(df).where("link = 'https://own.com/about'").count() == 1
+    assert P_.outlink_domains(P_.page_links(df, limit=None)).count() == 150
+
+
+def test_same_as_keeps_texts_only(spark):
+    html = '<script type="application/ld+json">{"@type":"Organization","name":"N","sameAs":["https://a.com",5,{"x":1},null]}</script>'
+    df = spark.createDataFrame([(html,)], "html string")
+    assert df.select(SD_.organisation_of(F.col("html")).alias("o")).first().o.same_as == ["https://a.com"]
+
+
+def test_service_without_latin_letters(spark):
+    df = spark.createDataFrame([("<h1>x</h1>", "t", "d", "body", ["日本語", "seo"])], "html string, title string, description string, body_text string, services array<string>")
+    assert E_.service_prominence(df).count() == 1
+
+
+def test_listing_of_a_query_keeps_its_order(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.createDataFrame([(i, f"n{i}", f"d{i}.com", None, i / 100, True) for i in range(60)], "entity_id long, name string, domain string, description string, confidence double, is_valid boolean")
+        links = spark.createDataFrame([(7, i, i % 2 == 0) for i in range(60)], "query_id long, entity_id long, is_new boolean")
+        page = SV.entity_listing(df, links, query_id=7, limit=10).collect()
+        assert [r.entity_id for r in page] == list(range(59, 49, -1)) and page[0].is_new is False
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_json_export_decodes_founders(spark):
+    row = (1, "n", True, 0.5, ["s"], None, None, None, [], '["Ann","Bo"]')
+    df = spark.createDataFrame([row], "entity_id long, name string, is_valid boolean, confidence double, services array<string>, technologies array<string>, emails array<string>, locations array<string>, phones array<string>, founders string")
+    assert SV.export_json_rows(df).first().founders == ["Ann", "Bo"]
+
+
+def test_stored_results_need_a_shared_folder(spark, monkeypatch):
+    from entitylake import session
+
+    class Fake:
+        conf = {}
+        sparkContext = type("C", (), {"master": "spark://host:7077", "applicationId": "x"})
+
+    with pytest.raises(ValueError):
+        session.checkpoint_root(Fake)
