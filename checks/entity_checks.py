@@ -297,24 +297,9 @@ def services_page_text(spark, sf):
 
 
 def page_profiles(spark, sf):
-    """Company profile of the first captured page of a domain."""
-    raw = pc.pages(spark, sf)
-    from entitylake.operators.ordering import first_per_key
-
-    home = first_per_key(P.with_domain(raw), ["domain"], [F.col("page_id")])
-    page = P.with_technologies(P.with_headings(P.with_body_text(P.with_meta(home))))
-    page = E.with_engagement(page.withColumn("services", E.page_services()))
-    roles = E.service_prominence(page)
+    from entitylake.plans.competitors import page_profiles
 
-    def named(primary):
-        kept = F.filter("service_roles", lambda r: r["primary"] if primary else ~r["primary"])
-        return F.transform(kept, lambda r: r["service"])
-
-    return roles.select(
-        "domain", E.company_name().alias("name"), E.company_description().alias("description"),
-        named(True).alias("primary_services"), named(False).alias("secondary_services"),
-        F.col("technologies").alias("tech_stack"), E.profile_business_model(F.col("body_text")).alias("business_model"),
-    )
+    return page_profiles(pc.pages(spark, sf))
 
 
 def stored_profiles(spark, sf):

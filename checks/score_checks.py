@@ -15,6 +15,7 @@ from entitylake.operators import queries as Q
 from entitylake.operators import scoring as SC
 from entitylake.operators import serve as SV
 from entitylake.operators.ordering import first_per_key
+from entitylake.plans import competitors as CO
 from entitylake.rules import domain_lists as dl
 from entitylake.rules import validation_rules as vr
 from entitylake.sources.tables import spread
@@ -155,21 +156,7 @@ def review_queue(spark, sf):
 
 def match_pairs(spark, sf):
     """Linked entities as candidates of the company a query is about."""
-    target = spark_table(spark, sf, "fx_queries").select(
-        "query_id", Q.company_to_domain(Q.target_company(F.col("raw"), "literal")).alias("profile_domain")
-    )
-    profile = stored_profiles(spark, sf)
-    wanted = profile.select(
-        F.col("domain").alias("profile_domain"), "primary_services", F.col("business_model").alias("profile_model"), F.col("industry").alias("profile_industry")
-    )
-    known = profile.select(
-        "domain", F.col("primary_services").alias("stored_services"), F.col("business_model").alias("stored_model"), F.col("industry").alias("stored_industry")
-    )
-    rows = validated(spark, sf).withColumn("body_text", F.coalesce("description", F.lit("")))
-    with_query = rows.join(target.join(wanted, "profile_domain"), "query_id", "left").join(known, "domain", "left")
-    return M.match_scores(with_query).withColumn(
-        "business_model", F.coalesce("stored_model", E.matcher_business_model(F.col("body_text")))
-    )
+    return CO.matched_candidates(validated(spark, sf), spark_table(spark, sf, "fx_queries"), stored_profiles(spark, sf))
 
 
 _WORDS = rf"list_filter(string_split_regex(regexp_replace(lower(service), '[^a-z0-9/ ]', ' ', 'g'), '\s+'), lambda w: length(w) > 2 AND NOT list_contains({q.items(vr.SERVICE_STOP_WORDS)}, w))"
@@ -263,6 +250,24 @@ def positioning_text(spark, sf):
     return found.filter("positioning IS NOT NULL")
 
 
+def competitors(spark, sf):
+    return CO.run_competitors(validated(spark, sf), spark_table(spark, sf, "fx_queries"), stored_profiles(spark, sf))
+
+
+@checked("competitor_run", MUSES, f"""WITH {MATCHED} SELECT query_id, entity_id, CASE WHEN profile_domain IS NOT NULL THEN competitor_tier END AS competitor_tier, match_score,
+CASE WHEN matched_services <> '' THEN 'Shares ' || len(string_split(matched_services, '|')) || ' key service' || CASE WHEN contains(matched_services, '|') THEN 's' ELSE '' END || ': ' || array_to_string(list_slice(string_split(matched_services, '|'), 1, 3), ', ') END AS positioning,
+row_number() OVER (PARTITION BY query_id ORDER BY match_score DESC, confidence DESC, domain, entity_id) AS place FROM tiered WHERE rejection_reason IS NULL""")
+def competitor_run(spark, sf):
+    found = competitors(spark, sf).accepted
+    return found.select("query_id", "entity_id", "competitor_tier", "match_score", "positioning", F.col("place").cast("bigint").alias("place"))
+
+
+@checked("competitor_rejections", MUSES, f"""WITH {MATCHED} SELECT query_id, count(*) FILTER (reason_class IS NULL) AS accepted, count(*) FILTER (reason_class = 'tool') AS rejected_tool,
+count(*) FILTER (reason_class = 'low_score') AS rejected_low_score, count(*) FILTER (reason_class = 'no_match') AS rejected_no_match FROM filtered GROUP BY query_id""")
+def competitor_rejections(spark, sf):
+    return competitors(spark, sf).rejections
+
+
 # --- rank ---------------------------------------------------------------------------------------
 
 _SEC = "date_diff('second', {}, TIMESTAMP '2024-02-01 00:00:00')"

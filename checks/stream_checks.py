@@ -53,7 +53,7 @@ def stream_job_sessions(spark, sf):
 @checked("stream_crawl_windows", "fx_crawl_logs", "SELECT date_trunc('day', updated_at) AS window_start, status, count(*) AS n, CAST(sum(duration) AS BIGINT) AS duration FROM fx_crawl_logs GROUP BY ALL")
 def stream_crawl_windows(spark, sf):
     states = J.event_time(stream_of(spark, sf, "fx_crawl_logs", "events"), "updated_at", "1 hour")
-    found = run_to_table(J.crawl_windows(states), "complete")
+    found = run_to_table(J.crawl_windows(states), "update", ["window_start", "status"])
     return found.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 

@@ -75,28 +75,32 @@ def seed_expansion(queries: DataFrame, seeds: DataFrame) -> DataFrame:
 def seed_keyword_match(queries: DataFrame, seeds: DataFrame) -> DataFrame:
     """(query_id, industry): first industry, by priority, with a seed whose stem is in the raw text.
 
-    The text is cut into pieces of up to three letters and stems are keyed by their first ones, so
-    "contains" runs as an equality join that is verified, not as a nested loop over all seeds.
+    The text is cut into all pieces as long as some stem, so "contains" is one equality join on the whole stem. The
+    different stem lengths, of which a host name allows 63, are the only thing that is collected.
     """
     text = F.lower("raw")
-    pieces = F.array_distinct(
-        F.flatten(
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))),
-                lambda i: F.array(*[F.substr(text, i, F.lit(n)) for n in (1, 2, 3)]),
-            )
-        )
-    )
-    keyed = exploded(queries, ["query_id", text.alias("text")], pieces, "piece")
     stems = (
-        seeds.select(stem_of(F.col("domain")).alias("stem"), "industry", "priority")
-        .groupBy("stem")
+        seeds.select(stem_of(F.col("domain")).alias("piece"), "industry", "priority")
+        .filter(F.length("piece") > 0)
+        .groupBy("piece")
         .agg(F.min(F.struct("priority", "industry")).alias("best"))
-        .withColumn("piece", F.substring("stem", 1, 3))
     )
+    lengths = sorted(r[0] for r in seeds.select(F.length(stem_of(F.col("domain")))).distinct().collect() if r[0])
+    sizes = F.array(*[F.lit(n) for n in lengths]) if lengths else F.array().cast("array<int>")
+
+    def cut(t: Column) -> Column:
+        fitting = F.filter(sizes, lambda n: n <= F.length(t))
+        return F.array_distinct(
+            F.flatten(
+                F.transform(
+                    fitting, lambda n: F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substr(t, i, n))
+                )
+            )
+        )
+
+    keyed = exploded(queries, ["query_id"], bind(text, cut), "piece")
     return (
         keyed.join(stems, "piece")
-        .filter(F.col("text").contains(F.col("stem")))
         .groupBy("query_id")
         .agg(F.min("best").alias("best"))
         .select("query_id", F.col("best.industry").alias("industry"))

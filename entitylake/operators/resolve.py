@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.patterns import bind
 from ..functions.text import name_key
 from ..functions.urls import domain_key
 from .ordering import first_per_key, top_k_per_key
@@ -106,7 +107,9 @@ def _nearest_names(left: DataFrame, right: DataFrame, threshold: float) -> DataF
     """
     a, b = F.col("name"), F.col("other")
     longer = F.greatest(F.length(a), F.length(b))
-    similar = (a != b) & ((longer - F.levenshtein(a, b)) / longer > threshold)
+    # the distance is given up as -1 once it passes what the length allows
+    edits = F.call_function("levenshtein", a, b, _max_edits(longer, threshold) + 1)
+    similar = (a != b) & bind(edits, lambda d: (d >= 0) & ((longer - d) / longer > threshold))
     shorter_right = (
         _meet(_probes(left, threshold), _segments(right, threshold))
         .filter(similar)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.history import TRACKED, entity_changes, entity_snapshots
 from ..operators.ordering import first_per_key
-from ..session import stored
+from ..session import file_system, stored
 from .run import run_batches
 
 
@@ -17,8 +17,8 @@ class EntityFeed:
     """State of the feed as tables of one shared folder, one sub-folder per micro-batch.
 
     A batch reads the entities of the batch before it and overwrites its own output, so running it
-    again after a lost executor or driver gives the same tables. A version that is not newer than
-    the stored one of its entity is late and changes nothing.
+    again after a lost executor or driver gives the same tables. A version older than the stored one
+    of its entity changes nothing there and goes to the table "late"; a repeated one is ignored.
     """
 
     def __init__(self, folder: str, order: Sequence[str], tracked: Sequence[str] = TRACKED):
@@ -36,6 +36,8 @@ class EntityFeed:
             before = spark.createDataFrame([], incoming.schema)
         at = F.struct(*self.order)
         known = before.select("domain", at.alias("_stored_at"), F.col("first_seen").alias("_first"))
+        late = incoming.join(known, "domain").filter(F.struct(*self.order) < F.col("_stored_at"))
+        late.select(*versions.columns).write.mode("overwrite").parquet(self._table("late", batch))
         fresh = (
             incoming.join(known, "domain", "left")
             .filter(F.col("_stored_at").isNull() | (F.struct(*self.order) > F.col("_stored_at")))
@@ -57,7 +59,7 @@ class EntityFeed:
         )
 
     def run(self, stream: DataFrame) -> int:
-        """Apply every available micro-batch; returns the number of the last one."""
+        """Apply every available micro-batch; returns the number of the last one, of an earlier run if none is new."""
         last: list[int] = [-1]
 
         def sink(rows: DataFrame, batch: int) -> None:
@@ -65,7 +67,12 @@ class EntityFeed:
             last[0] = batch
 
         run_batches(stream, "append", self.folder, sink)
-        return last[0]
+        return last[0] if last[0] >= 0 else self.last_batch(stream.sparkSession)
+
+    def last_batch(self, spark) -> int:
+        """The newest batch in the folder, -1 without any."""
+        target, system = file_system(spark, f"{self.folder}/entities/batch=*")
+        return max((int(x.getPath().getName().rpartition("=")[2]) for x in system.globStatus(target) or []), default=-1)
 
     def entities(self, spark, batch: int) -> DataFrame:
         return spark.read.parquet(self._table("entities", batch)).drop("is_stored")

@@ -52,6 +52,8 @@ def run_to_table(stream: DataFrame, mode: str, keys: list[str] | None = None) ->
         last[:] = [batch]
 
     run_batches(stream, mode, folder, sink)
+    if not last:
+        return spark.createDataFrame([], stream.schema)
     rows = spark.read.schema(f"{_ddl(stream)}, batch BIGINT").parquet(f"{folder}/rows")
     if mode == "complete":
         return rows.filter(F.col("batch") == last[0]).drop("batch")

@@ -56,6 +56,11 @@ def test_repeated_batch_and_late_rows_change_nothing(spark, slices):
     feed.apply(second, 1)
     assert rows(feed.entities(spark, 1), "domain", "version_id") == once
     feed.apply(first, 2)
+    late = spark.read.parquet(f"{feed.folder}/late/batch=2")
+    newest = first.unionByName(second).groupBy("domain").agg(F.max(F.struct(*ORDER)).alias("m"))
+    want = first.join(newest, "domain").filter(F.struct(*ORDER) < F.col("m"))
+    assert late.count() == want.count() > 0
+    assert feed.last_batch(spark) == 2 and EntityFeed(new_folder(spark), ORDER).last_batch(spark) == -1
     assert rows(feed.entities(spark, 2), "domain", "version_id") == once
     assert spark.read.parquet(f"{feed.folder}/changes/batch=2").count() == 0
 
