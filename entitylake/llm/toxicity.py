@@ -3,16 +3,17 @@
 The kernel of two words counts common subsequences of three letters, each occurrence weighted by DECAY to the power of its span, so
 inserted letters and gaps cost a factor instead of the match. Characters that aren't letters never enter, and single letters in
 a row are one word. A sentence is compared with a landmark by its closest word. Landmarks are the words of the labelled sentences that
-tell the labels apart most, and some common ones; the Nystroem map (kernel to the landmarks times the inverse root of
-their own kernel) makes the machine linear. It learns from sentences: all of clean documents, and of each toxic document the one
-that the machine itself finds worst, over a few rounds. A document is as toxic as its worst sentence.
+tell the labels apart most; the Nystroem map (kernel to the landmarks times the inverse root of
+their own kernel) makes the machine linear. It learns from sentences: all of clean documents, and of each toxic document those
+near a landmark, then over a few rounds those that the machine itself finds toxic and the worst one at least. A
+document is judged by its three worst sentences.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
@@ -24,10 +25,16 @@ from .common import fold_part
 
 DECAY, SPAN, LETTERS, WIDTH = 0.75, 5, 32, 24
 #: Kernel values below this are none; it keeps the features of ordinary words empty.
-LEAST = 0.35
-LANDMARKS, COMMON = 160, 32
+LEAST = 0.5
+#: Words whose kernel values a worker keeps; above it, it starts anew.
+MOST_KNOWN = 300_000
+LANDMARKS, COMMON = 128, 32
+#: How many times more often a landmark is in toxic documents than in others, at least.
+RATIO = 8
+#: Worst sentences of a document that its score is made of.
+WORST = 3
 #: The bound of the fitted sample: labelled rows per label, and their longest text.
-SAMPLE_ROWS, SAMPLE_CHARS = 4_000, 20_000
+SAMPLE_ROWS, SAMPLE_CHARS = 2_000, 20_000
 
 SENTENCE = re.compile(r"[.!?]+(?=\s|$)|\n")
 SPACED = re.compile(r"(?<![^\W\d_])(?:[^\W\d_][\s.*_\-]{1,2}){3,}[^\W\d_](?![^\W\d_])")
@@ -92,8 +99,21 @@ class Machine:
     root: np.ndarray  # inverse root of the landmarks' kernel
     weights: np.ndarray
     bias: float = 0.0
-    slope: float = 1.0
-    offset: float = 0.0
+    scale: np.ndarray = field(default_factory=lambda: np.array([1.0] + [0.0] * WORST))
+    known: dict[str, int] = field(default_factory=dict)
+    held: list[np.ndarray] = field(default_factory=list)
+
+    def remember(self, words: set[str]) -> tuple[dict[str, int], list[np.ndarray]]:
+        """Known words with the place of their kernel values, -1 for words near no landmark; new ones are added first."""
+        if len(self.known) > MOST_KNOWN:
+            self.known, self.held = {}, []
+        new = sorted(words.difference(self.known))
+        near, values = self.similar(new)
+        self.known.update(dict.fromkeys(new, -1))
+        for i, value in zip(near.tolist(), values):
+            self.known[new[i]] = len(self.held)
+            self.held.append(value)
+        return self.known, self.held
 
     def similar(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Words near any landmark (their numbers) and their kernel with every landmark."""
@@ -101,15 +121,13 @@ class Machine:
         if not len(codes):
             return np.zeros(0, dtype=np.int64), np.zeros((0, len(self.landmarks)), dtype=np.float32)
         norm = norms(codes)
-        bound = sum(weight * np.where(there, self.best[index], 0).sum(axis=1) for index, weight, there in subsequences(codes)) / norm
+        bound = sum(weight * self.best[index].sum(axis=1) for index, weight, _ in subsequences(codes)) / norm
         near = np.flatnonzero(bound >= LEAST)  # the sum of the largest weights is never below the kernel
         names, values = [], []
-        for at in range(0, len(near), 512):
-            some = near[at : at + 512]
-            value = np.zeros((len(some), len(self.landmarks)), dtype=np.float32)
-            for index, weight, there in subsequences(codes[some]):
-                row, column = np.nonzero(there)
-                np.add.at(value, row, weight * self.profile[index[row, column]])
+        for at in range(0, len(near), 256):
+            some = near[at : at + 256]
+            # an index that isn't there ends in class 0, which no landmark has, so its row is zero
+            value = sum(weight * self.profile[index].sum(axis=1) for index, weight, _ in subsequences(codes[some]))
             value /= norm[some][:, None].astype(np.float32)
             value[value < LEAST] = 0
             kept = value.max(axis=1) > 0
@@ -128,13 +146,29 @@ class Machine:
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """Probability that a text is toxic, by its worst sentence; a text without words has the score of an empty sentence."""
-        worst = np.full(len(texts), self.bias)
-        for text, sentence, features in near_sentences(self, texts):
-            np.maximum.at(worst, text, self.margins(features))
-        return 1 / (1 + np.exp(-np.clip(self.slope * worst + self.offset, -50, 50)))
+        found = [(text, self.margins(features)) for text, _, features in near_sentences(self, texts)]
+        return logistic(worst_margins(len(texts), self.bias, found) @ self.scale)
 
 
-def near_sentences(machine: Machine, texts: list[str], group_chars: int = 1 << 20):
+def logistic(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+
+
+def worst_margins(n: int, least: float, found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Per text its WORST highest margins, highest first, and a one; `least` stands for sentences that were not found."""
+    out = np.full((n, WORST + 1), least)
+    out[:, -1] = 1
+    if found:
+        text, margin = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((-margin, text))
+        text, margin = text[order], np.maximum(margin[order], least)
+        place = np.arange(len(text)) - np.searchsorted(text, text)
+        some = place < WORST
+        out[text[some], place[some]] = margin[some]
+    return out
+
+
+def near_sentences(machine: Machine, texts: list[str], group_chars: int = 1 << 19):
     """(text, sentence in its text, features) of all sentences with a word near a landmark; others have no features."""
     at = 0
     while at < len(texts):
@@ -142,67 +176,61 @@ def near_sentences(machine: Machine, texts: list[str], group_chars: int = 1 << 2
         while until < len(texts) and (until == at or size + len(texts[until]) <= group_chars):
             size += len(texts[until])
             until += 1
-        number: dict[str, int] = {}
-        word, place, owner, order = [], [], [], []
-        for i in range(at, until):
-            for j, words in enumerate(sentences(texts[i])):
-                word += [number.setdefault(x, len(number)) for x in words]
-                place += [len(owner)] * len(words)
-                owner.append(i)
-                order.append(j)
-        near, values = machine.similar(list(number))
-        if len(near):
-            row_of = np.full(len(number), -1)
-            row_of[near] = np.arange(len(near))
-            row = row_of[np.array(word)]
-            hit = row >= 0
-            which, back = np.unique(np.array(place)[hit], return_inverse=True)
-            features = np.zeros((len(which), values.shape[1]), dtype=np.float32)
-            np.maximum.at(features, back, values[row[hit]])
-            yield np.array(owner)[which], np.array(order)[which], features
+        split = [sentences(x) for x in texts[at:until]]
+        known, held = machine.remember({w for parts in split for words in parts for w in words})
+        owner, order, features = [], [], []
+        for i, parts in enumerate(split, at):
+            for j, words in enumerate(parts):
+                hits = [row for row in map(known.__getitem__, words) if row >= 0]
+                if hits:
+                    owner.append(i)
+                    order.append(j)
+                    features.append(held[hits[0]] if len(hits) == 1 else np.maximum.reduce([held[row] for row in hits]))
+        if owner:
+            yield np.array(owner), np.array(order), np.stack(features)
         at = until
 
 
-def separate(x: np.ndarray, y: np.ndarray, cost: np.ndarray, regular: float = 1e-4, steps: int = 6_000, seed: int = 3) -> tuple[np.ndarray, float]:
-    """Linear support vector machine by averaged stochastic subgradients of the hinge loss."""
-    rng, n = np.random.default_rng(seed), len(y)
-    w, b = np.zeros(x.shape[1]), 0.0
-    mean_w, mean_b, kept = np.zeros_like(w), 0.0, 0
-    for t in range(1, steps + 1):
-        some = rng.integers(0, n, 64)
-        rate = 1 / (regular * (t + 1_000))
-        wrong = y[some] * (x[some] @ w + b) < 1
-        step = (cost[some] * y[some] * wrong) / 64
-        w = (1 - rate * regular) * w + rate * (step @ x[some])
-        b += min(rate, 1.0) * step.sum()
-        if t > steps // 2:
-            mean_w, mean_b, kept = mean_w + w, mean_b + b, kept + 1
-    return mean_w / kept, mean_b / kept
-
-
-def telling_words(split: list[list[list[str]]], toxic: np.ndarray) -> list[tuple[float, str]]:
-    """Words by how much more often documents with the label hold them, in standard errors."""
+def separate(x: np.ndarray, y: np.ndarray, cost: np.ndarray, regular: float = 1e-3, steps: int = 30) -> tuple[np.ndarray, float]:
+    """Linear support vector machine with squared hinge loss, by Newton steps on the rows inside the margin."""
+    rows = np.concatenate((x, np.ones((len(x), 1), dtype=x.dtype)), axis=1).astype(np.float64)
+    ridge = np.full(rows.shape[1], regular * cost.sum())
+    ridge[-1] *= 1e-3
+    w, inside = np.zeros(rows.shape[1]), None
+    for _ in range(steps):
+        now = y * (rows @ w) < 1
+        if inside is not None and (now == inside).all():
+            break
+        inside = now
+        some, c = rows[inside], cost[inside]
+        w = np.linalg.solve((some * c[:, None]).T @ some + np.diag(ridge), some.T @ (c * y[inside]))
+    return w[:-1], float(w[-1])
+
+
+def telling_words(texts: list[str], toxic: np.ndarray) -> tuple[list[tuple[float, str]], list[str]]:
+    """Words by how much more often documents with the label hold them, in standard errors; and all words, commonest first."""
     with_label, without = Counter(), Counter()
-    for words, label in zip(split, toxic):
-        (with_label if label else without).update({NO_LETTER.sub("", w) for part in words for w in part})
+    for text, label in zip(texts, toxic):
+        (with_label if label else without).update({NO_LETTER.sub("", w) for part in sentences(text) for w in part})
+    common = sorted(((n + with_label[w], w) for w, n in without.items() if len(w) >= 3), key=lambda x: (-x[0], x[1]))[: 10 * COMMON]
     n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
     found = []
     for word, n in with_label.items():
         if len(word) >= 3:
-            p1, p0 = n / n1, without[word] / n0
+            p1, p0 = n / n1, (without[word] + 0.5) / n0
+            if p1 < RATIO * p0:
+                continue
             p = (n + without[word]) / (n1 + n0)
             found.append(((p1 - p0) / np.sqrt(max(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0)), word))
-    return sorted(found, key=lambda x: (-x[0], x[1]))
+    return sorted(found, key=lambda x: (-x[0], x[1])), [w for _, w in common]
 
 
 def fit(texts: list[str], toxic: np.ndarray, share: float, rounds: int = 4) -> Machine:
     """The machine of labelled texts. `share` is the toxic share of all labelled rows, which the scores are calibrated to."""
-    split = [sentences(x) for x in texts]
-    ranked = telling_words(split, toxic)
+    ranked, common = telling_words(texts, toxic)
     strength = {word: score for score, word in ranked}
-    common = Counter(NO_LETTER.sub("", w) for words in split for part in words for w in part)
-    plain = [w for w, _ in sorted(common.items(), key=lambda x: (-x[1], x[0])) if len(w) >= 3 and strength.get(w, 0) < 3][:COMMON]
-    landmarks = list(dict.fromkeys([w for score, w in ranked if score >= 3][: LANDMARKS - len(plain)] + plain)) or ["none"]
+    plain = [w for w in common if strength.get(w, 0) < 3][:COMMON]
+    landmarks = [w for score, w in ranked if score >= 3][:LANDMARKS] or plain or ["none"]
     profile = profiles(landmarks)
     kernel = profile.T @ profile
     value, vector = np.linalg.eigh(kernel.astype(np.float64))
@@ -211,17 +239,16 @@ def fit(texts: list[str], toxic: np.ndarray, share: float, rounds: int = 4) -> M
     found = list(near_sentences(machine, texts))
     owner = np.concatenate([x[0] for x in found]) if found else np.zeros(0, dtype=np.int64)
     features = np.concatenate([x[2] for x in found]) if found else np.zeros((0, len(landmarks)), dtype=np.float32)
-    mapped = features @ root
-    telling = np.array([max(strength.get(w, 0.0), 0.0) for w in landmarks])
-    judged = (features * telling).max(axis=1) if len(features) else np.zeros(0)
+    mapped = features @ root.astype(np.float32)
+    judged = np.ones(len(features))
     clean = np.flatnonzero(~toxic[owner])
-    nothing = np.zeros((1 + int((~toxic).sum()) // 4, mapped.shape[1]))
+    nothing = np.zeros((1 + int((~toxic).sum()) // 4, mapped.shape[1]), dtype=np.float32)
     for _ in range(rounds):
         worst: dict[int, int] = {}
         for i in np.argsort(judged, kind="stable").tolist():
             if toxic[owner[i]]:
                 worst[int(owner[i])] = i
-        positive = np.array(sorted(worst.values()), dtype=np.int64)
+        positive = np.union1d(np.array(list(worst.values()), dtype=np.int64), np.flatnonzero(toxic[owner] & (judged > 0)))
         if not len(positive):
             break
         x = np.concatenate((mapped[positive], mapped[clean], nothing))
@@ -230,25 +257,24 @@ def fit(texts: list[str], toxic: np.ndarray, share: float, rounds: int = 4) -> M
         machine.weights, machine.bias = separate(x, y, cost)
         judged = machine.margins(features)
     calibrate(machine, texts, toxic, share, owner, judged)
+    machine.known, machine.held = {}, []
     return machine
 
 
 def calibrate(machine: Machine, texts: list[str], toxic: np.ndarray, share: float, owner: np.ndarray, judged: np.ndarray) -> None:
-    """Slope and offset of the logistic of a document's worst margin, with Platt's softened targets."""
-    worst = np.full(len(texts), machine.bias)
-    np.maximum.at(worst, owner, judged)
+    """Logistic of a document's worst margins, with Platt's softened targets, by damped Newton steps."""
+    x = worst_margins(len(texts), machine.bias, [(owner, judged)] if len(owner) else [])
     n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
     target = np.where(toxic, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     weight = np.where(toxic, share / n1, (1 - share) / n0) * len(texts)
-    a, b = 1.0, 0.0
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(a * worst + b, -50, 50)))
-        g = np.array([(weight * (p - target) * worst).sum() + 1e-3 * a, (weight * (p - target)).sum()])
-        s = weight * p * (1 - p)
-        h = np.array([[(s * worst * worst).sum() + 1e-3, (s * worst).sum()], [(s * worst).sum(), s.sum() + 1e-6]])
+    scale, ridge = np.zeros(x.shape[1]), np.array([1e-2] * WORST + [1e-6])
+    for _ in range(200):
+        p = logistic(x @ scale)
+        g = x.T @ (weight * (p - target)) + ridge * scale
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(ridge + 1e-9)
         step = np.linalg.solve(h, g)
-        a, b = a - np.clip(step[0], -1, 1), b - np.clip(step[1], -1, 1)
-    machine.slope, machine.offset = max(a, 1e-3), b
+        scale -= step * min(1.0, 1.0 / max(1e-12, np.abs(step).max()))
+    machine.scale = scale
 
 
 def learn(labelled: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Machine | None:
