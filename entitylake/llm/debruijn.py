@@ -91,6 +91,7 @@ def without_repeats(docs: DataFrame, size: int = SIZE, digit: int = DIGIT) -> Da
     """
     _, cuts = compact_passes(docs.select("doc_id", "text"), size, digit)
     kept = cuts.select(F.col("id").alias("of_id"), F.col("digest").alias("of_digest"), F.col("kept").cast("string").alias("kept"))
+    kept = kept.dropDuplicates(["of_id", "of_digest"])  # of identical rows, which the join below brings back
     whole = docs.select(F.struct("*").alias("row"), *repeats.content_key("doc_id", "text"))
     both = whole.join(kept, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("digest") == F.col("of_digest")), "left")
     out = {name: F.col("row")[name] for name in docs.columns}

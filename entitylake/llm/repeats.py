@@ -154,7 +154,7 @@ def judged_pieces(shared: DataFrame) -> DataFrame:
 
 
 def with_text(keyed_docs: DataFrame, found: DataFrame, marks: DataFrame) -> DataFrame:
-    """Texts of the docs in `marks` (a row per doc), with the columns of `marks`. Identical rows come once."""
+    """Texts of the docs in `marks` (a row per doc), with the columns of `marks`. Identical rows have the same marks."""
     name = found.select("doc", F.col("id").alias("of_id"), F.col("digest").alias("of_digest"))
     first = Window.partitionBy("of_id", "of_digest").orderBy("doc")
     once = name.join(marks, "doc").withColumn("place", F.row_number().over(first)).where("place = 1").drop("place")
@@ -284,7 +284,7 @@ def summary(found: DataFrame, cuts: DataFrame) -> DataFrame:
     done = cuts.select(
         F.col("id").alias("of_id"), F.col("digest").alias("of_digest"), F.sha2("kept", 256).alias("sha"), F.size("low").alias("spans"),
         F.aggregate(F.zip_with("low", "high", lambda a, b: (b - a).cast("long")), F.lit(0).cast("long"), lambda x, y: x + y).alias("removed"),
-    )
+    ).dropDuplicates(["of_id", "of_digest"])
     both = found.select("id", "digest", "n", "kept_sha256").join(
         done, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("digest") == F.col("of_digest")), "left"
     )

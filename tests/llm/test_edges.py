@@ -20,7 +20,7 @@ def documents(spark):
     rows = [
         (1, "the cat sat on the mat and the dog ran", "en", "a"), (1, "the cat sat on the mat and the dog ran", "en", "a"), (2, None, "en", None), (3, "", None, "b"),
         (None, "le chat est sur la table et le chien court", "fr", "b"), (4, LONG, "en", "c"), (5, "start " + PASSAGE + " end one", "en", "a"),
-        (6, PASSAGE + " other tail", "en", "a"), (7, "  \t\n ", "en", "c"), (8, "12 34 !!", None, "c"), (9, "der hund und die katze sind auf dem tisch", "de", ""),
+        (6, PASSAGE + " other tail", "en", "a"), (30, PASSAGE, "en", "a"), (30, PASSAGE, "en", "a"), (30, PASSAGE, "en", "a"), (7, "  \t\n ", "en", "c"), (8, "12 34 !!", None, "c"), (9, "der hund und die katze sind auf dem tisch", "de", ""),
     ]
     return spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], DOCS)
 
