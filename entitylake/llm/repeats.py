@@ -103,7 +103,7 @@ def find_pieces(keyed_docs: DataFrame, unit: type[Bytes], size: int, digit: int)
     schema = f"id {kind}, digest binary, n bigint, kept_sha256 string, low array<int>, windows array<int>, sync array<bigint>, span array<bigint>"
 
     def run(batches):
-        for batch in batches:
+        for batch in (x.slice(at, 1024) for x in batches for at in range(0, x.num_rows, 1024)):
             held = unit(texts(batch, "text"))
             owner, *found = rolling.text_pieces(held.codes, held.offsets, size, digit)
             rows = batch.num_rows

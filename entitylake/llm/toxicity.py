@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_part
+from .common import bounded_sample, fold_part
 
 DECAY, SPAN, LETTERS, WIDTH = 0.75, 5, 32, 24
 #: Kernel values below this are none; it keeps the features of ordinary words empty.
@@ -278,15 +278,15 @@ def calibrate(machine: Machine, texts: list[str], toxic: np.ndarray, share: floa
 
 
 def learn(labelled: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Machine | None:
-    """The machine of `labelled` (text, toxic), fitted on at most `rows` rows of each label with the smallest text hash, of texts up to `chars`
+    """The machine of `labelled` (text, toxic), fitted on at most `rows` rows of each label, of texts up to `chars`
     characters. Rows with null text or label teach nothing; without a row of each label there is no machine.
     """
-    known = labelled.where("text IS NOT NULL AND toxic IN (0, 1)")
+    known = labelled.select("text", "toxic").where("text IS NOT NULL AND toxic IN (0, 1)")
     counts = {row["toxic"]: row["count"] for row in known.groupBy("toxic").count().collect()}
     if not counts.get(0) or not counts.get(1):
         return None
-    parts = [known.where((F.col("toxic") == label) & (F.length("text") <= chars)).orderBy(F.xxhash64("text"), "text").limit(rows) for label in (1, 0)]
-    some = parts[0].union(parts[1]).select("text", "toxic").toArrow()
+    parts = [known.where((F.col("toxic") == label) & (F.length("text") <= chars)) for label in (1, 0)]
+    some = bounded_sample(parts[0], rows).union(bounded_sample(parts[1], rows)).toArrow()
     toxic = np.array(some["toxic"].to_pylist()) == 1
     if toxic.all() or not toxic.any():
         return None

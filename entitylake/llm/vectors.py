@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_sample
+
 
 def usable(embedding: Column) -> Column:
     """Not null, not empty, all components finite, not all zero. Never null itself."""
@@ -20,8 +22,8 @@ def common_length(vectors: DataFrame) -> int:
 
 
 def sample(vectors: DataFrame, rows: int) -> np.ndarray:
-    """The `rows` vectors with the smallest hashes, unit length, a row each; a bounded sample to fit an index on."""
-    some = vectors.orderBy(F.xxhash64("embedding")).limit(rows).select("embedding").toArrow().column(0)
+    """At most `rows` vectors, unit length, a row each; a bounded sample to fit an index on."""
+    some = bounded_sample(vectors.select("embedding"), rows).toArrow().column(0)
     return unit(matrix(some.combine_chunks()))
 
 
