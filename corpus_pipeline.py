@@ -40,7 +40,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every text as ids, kept only with the proof that they decode to its bytes."""
-    coded = bpe.decode(bpe.encode(docs, **tokenizer()), **tokenizer())
+    coded = bpe.encode_decode(docs, **tokenizer())
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return coded.select("doc_id", "lang", "source", bpe.n_tokens(F.col("ids")).alias("n_tokens"), "ids", same.alias("round_trip"))
 

@@ -126,14 +126,31 @@ def decode(coded: DataFrame, path: str, pattern: str, ids: str = "ids", to: str
     return coded.mapInArrow(run, schema)
 
 
+def encode_decode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", to: str = "decoded") -> DataFrame:
+    """encode() and decode() in one pass: adds the packed ids and the bytes that they stand for, with one worker a task."""
+    lines = rank_lines(path)
+    kept = docs.drop(ids, to)
+    at = kept.columns.index(text)
+    schema = kept.withColumns({ids: F.lit(b"").cast("binary"), to: F.lit(b"").cast("binary")}).schema
+
+    def run(batches):
+        enc = encoder(lines, pattern)
+        for batch in small(batches):
+            made = [packed(encode_text(enc, value or "")) for value in batch.column(at).to_pylist()]
+            back = [enc.decode_bytes(unpacked(value)) for value in made]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary()), pa.array(back, pa.binary())], names=[*batch.schema.names, ids, to])
+        pa.default_memory_pool().release_unused()
+
+    return kept.mapInArrow(run, schema)
+
+
 def n_tokens(ids: Column) -> Column:
     return (F.length(ids) / 4).cast("long")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of `docs` (doc_id, text)."""
-    coded = encode(docs.select("doc_id", "text"), path, pattern).drop("text")
-    both = decode(coded, path, pattern)
+    both = encode_decode(docs.select("doc_id", "text"), path, pattern)
     return both.select(
         "doc_id", n_tokens(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )

@@ -115,6 +115,7 @@ def find_pieces(keyed_docs: DataFrame, unit: type[Bytes], size: int, digit: int)
                 ],
                 names=["id", "digest", "n", "kept_sha256", "low", "windows", "sync", "span"],
             )
+        pa.default_memory_pool().release_unused()
 
     return keyed_docs.mapInArrow(run, schema).withColumn("doc", F.monotonically_increasing_id())
 

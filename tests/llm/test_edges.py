@@ -111,6 +111,8 @@ def test_bpe(spark):
     want = sorted((len(i), digest(struct.pack(f"<{len(i)}I", *i)), digest(t.encode())) for t in texts for i in [enc.encode_ordinary(t)])
     assert sorted((r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in rows) == want
     assert bpe.round_trip(empty(spark), **at).count() == 0
+    apart = bpe.decode(bpe.encode(docs, **at), **at).select("doc_id", "decoded").collect()
+    assert sorted(bytes(r.decoded) for r in apart) == sorted(t.encode() for t in texts)
 
 
 def test_safe_pieces_join_to_the_text():
