@@ -3,7 +3,7 @@
 Each page becomes a tree of its block elements, in which neighbouring siblings with the same label fold into one repeating node; its shape
 is that tree without text. The commonest shape of a host is its reference, and every other shape is aligned with it by simple tree
 matching, so matching runs once per host and shape, not once per page. For every aligned node the texts of all pages of the host
-are counted: nodes whose text hardly varies are template, the others are slots that hold content. Elements that say themselves that
+are counted, pages with the same text once: nodes whose text hardly varies are template, the others are slots that hold content. Elements that say themselves that
 they are menus, forms, adverts or the like are template too, which also serves hosts with a single page.
 
 Pages are never shuffled by host as long as Spark finds the table of wrappers (a row per host and shape) small enough to
@@ -47,7 +47,7 @@ TEMPLATE_WORDS = frozenset(
 CONTENT = frozenset(("article", "main"))
 #: Deeper elements count as part of the one at this depth; their text stays.
 DEPTH = 200
-#: A node is template if its texts on this many pages or more are at most this share of different ones.
+#: A node is template if its texts on this many different pages or more are at most this share of different ones.
 PAGES, VARIETY = 3, 0.2
 #: Inside an article only a text that is the same on every one of this many pages is template.
 ARTICLE_PAGES = 10
@@ -259,14 +259,15 @@ def parsed(pages: DataFrame, schema: str, columns) -> DataFrame:
 def page_shapes(found):
     import xxhash
 
-    nodes, texts = [], []
+    nodes, texts, pages = [], [], []
     for _, blocks in found:
+        pages.append(xxhash.xxh3_128_digest("\n".join(text for _, text in blocks).encode("utf-8", "replace")))
         own: dict[int, list[str]] = {}
         for node, text in blocks:
             own.setdefault(node, []).append(text)
         nodes.append(list(own))
         texts.append([xxhash.xxh3_64_intdigest("\n".join(x).encode()) - (1 << 63) for x in own.values()])
-    return ["shape", "nodes", "texts"], [pa.array([s for s, _ in found]), pa.array(nodes, pa.list_(pa.int32())), pa.array(texts, pa.list_(pa.int64()))]
+    return ["shape", "page", "nodes", "texts"], [pa.array([s for s, _ in found]), pa.array(pages, pa.binary()), pa.array(nodes, pa.list_(pa.int32())), pa.array(texts, pa.list_(pa.int64()))]
 
 
 def page_blocks(found):
@@ -277,8 +278,9 @@ def page_blocks(found):
 
 def wrappers(pages: DataFrame) -> DataFrame:
     """host, shape, kept (a boolean per node): the wrappers of all hosts of `pages` (url, html)."""
-    seen = stored(parsed(pages.select(host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html")), "host string, shape string, nodes array<int>, texts array<bigint>", page_shapes))
-    shapes = seen.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"))
+    seen = stored(parsed(pages.select(host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html")), "host string, shape string, page binary, nodes array<int>, texts array<bigint>", page_shapes))
+    shapes = seen.groupBy("host", "shape", "page").agg(F.count(F.lit(1))).groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"))
+    different = seen.groupBy("host", "page").agg(F.min(F.struct("shape", "nodes", "texts")).alias("one")).select("host", "one.*")
     reference = shapes.groupBy(F.col("host").alias("of")).agg(F.max_by("shape", F.struct("n", "shape")).alias("reference"))
 
     def align(batches):
@@ -289,7 +291,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
     aligned = shapes.join(reference, F.col("host") == F.col("of")).select("host", "shape", "reference").mapInArrow(align, "host string, shape string, slots array<string>")
     slots = stored(aligned.select("host", "shape", F.posexplode("slots").alias("node", "slot")))
-    counted = seen.select("host", "shape", F.inline(F.arrays_zip(F.col("nodes").alias("node"), F.col("texts").alias("text")))).groupBy("host", "shape", "node", "text").agg(F.count(F.lit(1)).alias("n"))
+    counted = different.select("host", "shape", F.inline(F.arrays_zip(F.col("nodes").alias("node"), F.col("texts").alias("text")))).groupBy("host", "shape", "node", "text").agg(F.count(F.lit(1)).alias("n"))
     facts = (
         counted.join(slots, ["host", "shape", "node"]).groupBy("host", "slot", "text").agg(F.sum("n").alias("n"))
         .groupBy("host", "slot").agg(F.sum("n").alias("pages"), F.count(F.lit(1)).alias("variants"))

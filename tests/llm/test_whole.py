@@ -4,7 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from entitylake.llm import langid
+from entitylake.llm import langid, wrapper
 
 ALPHABETS = {"aa": "abcdefgh", "bb": "efghijkl"}
 
@@ -68,3 +68,16 @@ def test_language_model_keeps_every_gram(spark, monkeypatch):
             assert math.isclose(value, of[lang](known[row.digest]), rel_tol=1e-5), (known[row.digest], lang)
     held = spark.createDataFrame([(i, written(lang, i), lang) for lang in ALPHABETS for i in range(400, 430)], learn.schema)
     assert all(r.lang == r.lang_pred for r in langid.predict(held, model).collect())
+
+
+def page_texts(spark, pages: list[tuple[str, str]]) -> list[str]:
+    frame = spark.createDataFrame([(i, url, html) for i, (url, html) in enumerate(pages)], "page_id long, url string, html string")
+    return [r.text for r in wrapper.main_text(frame).orderBy("page_id").collect()]
+
+
+def test_copies_of_pages_do_not_make_their_text_template(spark):
+    plain, inside = "<body><div><p>text %s</p></div>", "<body><article><p>text %s</p></article>"
+    pages = [("http://three.x/a", plain % 1)] * 3 + [("http://ten.x/a", plain % (i % 2)) for i in range(10)] + [("http://article.x/a", inside % 1)] * 10
+    real = [("http://real.x/a", f"<body><div class='top'>same</div><div class='c'><p>text {i}</p></div>") for i in range(4)]
+    got = page_texts(spark, pages + real)
+    assert got == ["text 1"] * 3 + [f"text {i % 2}" for i in range(10)] + ["text 1"] * 10 + [f"text {i}" for i in range(4)]
