@@ -3,8 +3,9 @@
 Each page becomes a tree of its block elements, in which neighbouring siblings with the same label fold into one repeating node; its shape
 is that tree without text. The commonest shape of a host is its reference, and every other shape is aligned with it by simple tree
 matching, so matching runs once per host and shape, not once per page. For every aligned node the texts of all pages of the host
-are counted, pages with the same text once: nodes whose text hardly varies are template, the others are slots that hold content. Elements that say themselves that
-they are menus, forms, adverts or the like are template too, which also serves hosts with a single page.
+are counted, pages with the same text once: nodes whose text hardly varies are template, the others are slots that hold content. Elements that are
+menus, forms or the like are template too unless they hold an article; so are, on hosts with too few different pages to count, those whose class,
+id or role names them so.
 
 Pages are never shuffled by host as long as Spark finds the table of wrappers (a row per host and shape) small enough to
 broadcast; beyond that it joins them, and adaptive execution splits a host with very many pages.
@@ -37,13 +38,14 @@ BLOCKS = frozenset(
 )
 #: What a start tag closes if it is the innermost block.
 CLOSES = {"li": {"li", "p"}, "dd": {"dd", "dt", "p"}, "dt": {"dd", "dt", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "tr": {"td", "th", "tr", "p"}}
-#: Elements and words of class, id or role that mark what isn't the article.
+#: Elements that mark what isn't the article, and names in class, id or role that do so on hosts with fewer than PAGES different pages.
 PLAIN_TEMPLATE = frozenset("head nav footer aside form menu dialog button".split())
 TEMPLATE_WORDS = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header login masthead"
     " menu modal nav navbar navigation newsletter notice notices pagination popup promo promotion related replies reply respond search share sharing"
     " sidebar signup social sponsor sponsored subscribe toolbar topbar widget".split()
 )
+MARK = "!"
 CONTENT = frozenset(("article", "main"))
 #: Deeper elements count as part of the one at this depth; their text stays.
 DEPTH = 200
@@ -61,8 +63,10 @@ class Node:
 
 
 def label_of(tag: str, attributes: str) -> str:
-    words = sorted({w for found in NAMED.findall(attributes) for w in re.findall(r"[a-z]+", "".join(found).lower())}) if attributes else []
-    return ".".join([tag, *words])
+    """Tag, words of class, id and role, and MARK if one of the names as a whole is a template word."""
+    names = {x for found in NAMED.findall(attributes) for x in "".join(found).lower().split()} if attributes else set()
+    words = sorted({w for x in names for w in re.findall(r"[a-z]+", x)})
+    return ".".join([tag, *words, *([MARK] if names & TEMPLATE_WORDS else [])])
 
 
 def read(page: str) -> tuple[Node, list[tuple[Node, str]]]:
@@ -215,16 +219,32 @@ def slots_of(shape: str, reference: str) -> list[str]:
     return out
 
 
-def kept_nodes(shape: str, pages: list[int], variants: list[int]) -> list[bool]:
-    """Which nodes of a shape hold content, from the pages and different texts of their slots."""
+def around_content(root: Node) -> set[int]:
+    """Numbers of the nodes that have an article or main below them."""
+    out, todo = set(), [(root, ())]
+    while todo:
+        node, above = todo.pop()
+        if node.label.split(".")[0] in CONTENT:
+            out.update(above)
+        todo += [(child, (*above, node.number)) for child in node.children]
+    return out
+
+
+def kept_nodes(shape: str, pages: list[int], variants: list[int], total: int) -> list[bool]:
+    """Which nodes of a shape hold content, from the pages and different texts of their slots and the host's `total` of different pages."""
     tree = tree_of(shape)
     out = [False] * numbered(tree)
+    around = around_content(tree)
     todo = [(tree, False, False)]
     has_article = any(name.split(".")[0] in CONTENT for name in re.findall(r"[^() ]+", shape))
     while todo:
         node, template, article = todo.pop()
         tag, *words = node.label.split(".")
-        template = template or tag in PLAIN_TEMPLATE or (tag == "header" and not article) or bool(TEMPLATE_WORDS.intersection(words) and tag not in CONTENT and tag != "body")
+        if tag == "header":
+            says = not article
+        else:
+            says = tag in PLAIN_TEMPLATE or (total < PAGES and MARK in words and tag not in CONTENT and tag != "body")
+        template = template or (says and node.number not in around)
         article = article or tag in CONTENT
         n, different = pages[node.number], variants[node.number]
         if article:
@@ -296,15 +316,17 @@ def wrappers(pages: DataFrame) -> DataFrame:
         counted.join(slots, ["host", "shape", "node"]).groupBy("host", "slot", "text").agg(F.sum("n").alias("n"))
         .groupBy("host", "slot").agg(F.sum("n").alias("pages"), F.count(F.lit(1)).alias("variants"))
     )
+    totals = different.groupBy(F.col("host").alias("t_host")).agg(F.count(F.lit(1)).alias("total"))
     rows = slots.join(facts, ["host", "slot"], "left").groupBy("host", "shape").agg(F.sort_array(F.collect_list(F.struct("node", F.coalesce("pages", F.lit(0)).alias("pages"), F.coalesce("variants", F.lit(0)).alias("variants")))).alias("x"))
 
     def decide(batches):
         for batch in batches:
             rows = batch.to_pydict()
-            kept = [kept_nodes(*x) for x in zip(rows["shape"], rows["pages"], rows["variants"])]
+            kept = [kept_nodes(*x) for x in zip(rows["shape"], rows["pages"], rows["variants"], rows["total"])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.list_(pa.bool_()))], names=["host", "shape", "kept"])
 
-    return rows.select("host", "shape", F.col("x.pages").alias("pages"), F.col("x.variants").alias("variants")).mapInArrow(decide, "host string, shape string, kept array<boolean>")
+    rows = rows.join(totals, F.col("host") == F.col("t_host"))
+    return rows.select("host", "shape", F.col("x.pages").alias("pages"), F.col("x.variants").alias("variants"), "total").mapInArrow(decide, "host string, shape string, kept array<boolean>")
 
 
 def main_text(pages: DataFrame) -> DataFrame:

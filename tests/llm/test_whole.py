@@ -81,3 +81,11 @@ def test_copies_of_pages_do_not_make_their_text_template(spark):
     real = [("http://real.x/a", f"<body><div class='top'>same</div><div class='c'><p>text {i}</p></div>") for i in range(4)]
     got = page_texts(spark, pages + real)
     assert got == ["text 1"] * 3 + [f"text {i % 2}" for i in range(10)] + ["text 1"] * 10 + [f"text {i}" for i in range(4)]
+
+
+def test_names_do_not_override_what_varies_or_holds_the_article(spark):
+    around = [("http://around.x/", f'<body><div id="page" class="has-sidebar sidebar"><article><header class="entry-header"><h1>t{i}</h1></header><p>b{i}</p></article></div>') for i in range(2)]
+    part = [("http://part.x/", '<body><div class="content no-sidebar"><p>words</p></div>')]
+    varies = [("http://varies.x/", f'<body><div class="menu">same</div><div class="search"><p>found {i}</p></div>') for i in range(4)]
+    single = [("http://single.x/", '<body><div class="sidebar">links</div><div class="c">body</div>')]
+    assert page_texts(spark, around + part + varies + single) == ["t0 b0", "t1 b1", "words", *(f"found {i}" for i in range(4)), "body"]
