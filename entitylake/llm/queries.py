@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, debruijn, itq, langid, mixing, permutation, radix, simhash, toxicity, wrapper
+from . import bpe, centroids, debruijn, itq, langid, linedrop, mixing, permutation, radix, simhash, spelling, toxicity, wrapper
 from .common import table
 
 #: Rank file and pattern of the tokenizer that the query uses; the operator takes both as parameters.
@@ -60,6 +60,18 @@ def op10_permutation_search(spark: SparkSession, folder: str) -> DataFrame:
     return permutation.self_search(table(spark, folder, "embeddings", "vec_id", "embedding"))
 
 
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, folder, "documents", "doc_id", "text"))
+
+
+def op12_line_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return linedrop.line_digests(table(spark, folder, "documents", "doc_id", "text"))
+
+
+def op13_hadamard_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, folder, "embeddings", "vec_id", "embedding"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_itq_near_vectors": op1_itq_near_vectors,
     "op2_debruijn_repeats": op2_debruijn_repeats,
@@ -71,6 +83,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_mix_sources": op9_mix_sources,
     "op10_permutation_search": op10_permutation_search,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_line_runs": op12_line_runs,
+    "op13_hadamard_clusters": op13_hadamard_clusters,
 }
 
-ORACLE: dict[str, str] = {"op2_debruijn_repeats": debruijn.SQL, "op3_radix_repeats": radix.SQL, "op9_mix_sources": mixing.SQL}
+ORACLE: dict[str, str] = {
+    "op2_debruijn_repeats": debruijn.SQL,
+    "op3_radix_repeats": radix.SQL,
+    "op9_mix_sources": mixing.SQL,
+    "op11_spelling_variants": spelling.SQL,
+    "op12_line_runs": linedrop.SQL,
+    "op13_hadamard_clusters": centroids.SQL,
+}
