@@ -194,6 +194,24 @@ SELECT page_id, url, html FROM {pages}
 UNION ALL
 SELECT page_id, url, html FROM {fx_rich_pages}"""
 
+# Captures of directory pages, several of each address; what they list includes hosts that nothing else names.
+_LISTED = " || ".join(
+    f"""'<a href="https://www.brand' || CAST((c_custkey * 31 + {i} * 17) % 150 + 1 AS STRING) || '.com/">x</a>'""" for i in range(9)
+)
+DERIVED["fx_directory_pages"] = f"""
+SELECT 4000000000 + c_custkey AS page_id,
+  CASE c_custkey % 6 WHEN 0 THEN 'https://clutch.co/agencies/conversion-rate-optimization' WHEN 1 THEN 'https://goodfirms.co/cro-companies'
+    WHEN 2 THEN 'https://www.topdevelopers.co/blog/top-conversion-rate-optimization-companies' WHEN 3 THEN 'https://clutch.co/agencies/digital-marketing'
+    WHEN 4 THEN 'https://goodfirms.co/digital-marketing-companies' ELSE 'https://empty' || {K} || '.com/' END AS url,
+  CASE WHEN c_custkey % 6 = 5 THEN '' ELSE '<html><head><title>Directory</title></head><body><main><a href="/next">n</a><a href="https://google.com/">g</a>' ||
+    '<a href="https://brand' || {K} || '.com/deep/page">d</a>' || {_LISTED} || '</main></body></html>' END AS html
+FROM {{customer}}"""
+
+DERIVED["fx_run_pages"] = """
+SELECT page_id, url, html FROM {fx_pages}
+UNION ALL
+SELECT page_id, url, html FROM {fx_directory_pages}"""
+
 DERIVED["fx_serp"] = """
 SELECT query_id, CASE WHEN query_id % 3 = 0 THEN NULL ELSE 'brand' || CAST((query_id * 7) % 97 AS STRING) END AS company,
   '<div class="result"><a rel="nofollow" class="result__a" href="//duckduckgo.com/l/?uddg=https%3A%2F%2Fwww.brand' ||

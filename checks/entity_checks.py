@@ -12,6 +12,7 @@ from entitylake.operators import pages as P
 from entitylake.operators import people as PP
 from entitylake.operators import subpages as S
 from entitylake.rules import page_rules as pr
+from entitylake.session import stored
 from entitylake.sources.tables import spread
 
 from . import page_checks as pc
@@ -267,18 +268,20 @@ def service_prominence(spark, sf):
 FIRST_URL = "fu AS (SELECT url AS subpage_url, min(page_id) AS sub_id FROM entities GROUP BY url)"
 
 
-@checked("about_page_people", "fx_pages", f"""WITH {PROFILE}, {pc.SUBPAGES}, {FIRST_URL},
-apb AS (SELECT e.page_id, e.founders AS own, a.founders AS about FROM entities e LEFT JOIN (SELECT s.page_id, x.founders FROM subpages s JOIN fu USING (subpage_url) JOIN entities x ON x.page_id = sub_id WHERE kind = 'about') a
+ABOUT = f"""apb AS (SELECT e.page_id, e.founders AS own, a.founders AS about FROM entities e LEFT JOIN (SELECT s.page_id, x.founders FROM subpages s JOIN fu USING (subpage_url) JOIN entities x ON x.page_id = sub_id WHERE kind = 'about') a
   ON a.page_id = e.page_id AND len({q.as_list('e.founders')}) < 2),
 au AS (SELECT page_id, 1 AS s, unnest({q.as_list('own')}) AS who, generate_subscripts({q.as_list('own')}, 1) AS pos FROM apb UNION ALL
   SELECT page_id, 2 AS s, unnest({q.as_list('about')}) AS who, generate_subscripts({q.as_list('about')}, 1) AS pos FROM apb),
 ad AS (SELECT *, row_number() OVER (PARTITION BY page_id, lower(split_part(who, ':', 1)) ORDER BY s, pos) AS rn FROM au),
-ar AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY s, pos) AS r FROM ad WHERE rn = 1)
-SELECT apb.page_id, coalesce(string_agg(who, '|' ORDER BY r), '') AS founders FROM apb LEFT JOIN ar ON apb.page_id = ar.page_id AND r <= 8 GROUP BY apb.page_id""")
+ar AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY s, pos) AS r FROM ad WHERE rn = 1),
+about_people AS (SELECT apb.page_id, coalesce(string_agg(who, '|' ORDER BY r), '') AS founders FROM apb LEFT JOIN ar ON apb.page_id = ar.page_id AND r <= 8 GROUP BY apb.page_id)"""
+
+
+@checked("about_page_people", "fx_pages", f"WITH {PROFILE}, {pc.SUBPAGES}, {FIRST_URL}, {ABOUT} SELECT page_id, founders FROM about_people")
 def about_page_people(spark, sf):
-    raw = pc.pages(spark, sf)
-    chosen = P.choose_subpage(P.page_links(raw), "about")
-    merged = S.merge_about_people(E.company_entities(profiled(spark, sf)), chosen)
+    profile = profiled(spark, sf).withColumn("subpage_url", P.subpage_url("about"))
+    entities = stored(E.company_entities(profile, "subpage_url"))
+    merged = S.merge_about_people(entities, entities)
     return merged.select("page_id", show_people(F.col("founders")).alias("founders"))
 
 
@@ -288,7 +291,7 @@ SELECT b.page_id, md5(CASE WHEN st <> '' THEN st || chr(10) || chr(10) || body_t
 FROM bodies b LEFT JOIN (SELECT * FROM subpages WHERE kind = 'services') s USING (page_id) LEFT JOIN fu USING (subpage_url)""")
 def services_page_text(spark, sf):
     raw = pc.pages(spark, sf)
-    chosen = P.choose_subpage(P.page_links(raw), "services")
+    chosen = P.choose_subpage(raw, "services")
     found = S.with_services_text(P.with_body_text(raw).select("page_id", "url", "body_text"), chosen)
     return found.select("page_id", F.md5("body_text").alias("text_md5"))
 

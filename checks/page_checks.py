@@ -46,7 +46,7 @@ def url_domain(spark, sf):
 
 
 def _meta(key, value, alias, tag="meta", attribute="content"):
-    pattern = q.lit(rf"""(?is)\s{key}\s*=\s*["']{value}["']""")
+    pattern = q.lit(rf"""(?is)\s{key}\s*=\s*(?:["']{value}["']|{value}[\s/>])""")
     hit = f"list_filter({tag}s, lambda t: regexp_matches(t, {pattern}))[1]"
     return f"{q.attr(hit, attribute)} AS {alias}"
 
@@ -96,8 +96,8 @@ def page_links(spark, sf):
     return P.page_links(pages(spark, sf)).select("page_id", F.col("pos").cast("bigint").alias("pos"), "link", "internal")
 
 
-_CLASS = r"""class=["'](?:[^"']*\s)?content(?:\s[^"']*)?["'][^>]*>"""
-_ID = r"""id=["']content["'][^>]*>"""
+_CLASS = r"""class=(?:["'](?:[^"']*\s)?content(?:\s[^"']*)?["'][^>]*|content(?:\s[^>]*)?)>"""
+_ID = r"""id=(?:["']content["'][^>]*|content(?:\s[^>]*)?)>"""
 _CONTAINERS = [
     (r"<main\b[^>]*>", "main"), (r"<article\b[^>]*>", "article"), (rf"<div\b[^>]*{_CLASS}", "div"), (rf"<section\b[^>]*{_CLASS}", "section"),
     (rf"<div\b[^>]*{_ID}", "div"), (rf"<section\b[^>]*{_ID}", "section"), (r"<body\b[^>]*>", "body"),
@@ -116,7 +116,7 @@ body_sg AS (SELECT page_id, unnest({_MARKED}) AS seg, generate_subscripts({_MARK
 body_dp AS (SELECT *, 1 + sum(CASE WHEN i = 1 THEN 0 WHEN starts_with(seg, '</') THEN -1 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY i) AS depth FROM body_sg),
 body_en AS (SELECT page_id, min(i) FILTER (depth = 0) AS closing FROM body_dp GROUP BY page_id),
 body_rg AS (SELECT page_id, string_agg(seg, '' ORDER BY i) FILTER (closing IS NULL OR i < closing) AS region FROM body_dp JOIN body_en USING (page_id) GROUP BY page_id),
-rg AS (SELECT cl.*, coalesce(region, '') AS region FROM cl LEFT JOIN body_rg USING (page_id)),
+rg AS (SELECT cl.*, coalesce(region, regexp_replace({q.markup('clean')}, '(?is)<head\\b.*?</head>|<title\\b.*?</title>|<noscript\\b.*?</noscript>', '', 'g')) AS region FROM cl LEFT JOIN body_rg USING (page_id)),
 bodies AS (SELECT page_id, url, domain, html, markup, {q.trim(q.text_of('region'))} AS body_text FROM rg)"""
 
 
@@ -288,9 +288,9 @@ subpages AS (SELECT page_id, 'about' AS kind, arg_min(link, prio * 1000 + pos) A
 
 @checked("subpage_choice", "fx_pages", f"WITH {DOMAINS}, {LINKS}, {SUBPAGES} SELECT page_id, kind, subpage_url FROM subpages")
 def subpage_choice(spark, sf):
-    links = P.page_links(pages(spark, sf))
-    both = [P.choose_subpage(links, k).select("page_id", F.lit(k).alias("kind"), "subpage_url") for k in ("about", "services")]
-    return both[0].union(both[1])
+    linked = P.with_links(P.with_domain(pages(spark, sf)))
+    both = F.array(*[F.struct(F.lit(k).alias("kind"), P.subpage_url(k).alias("subpage_url")) for k in ("about", "services")])
+    return exploded(linked, ["page_id"], both, "s").select("page_id", "s.*").filter("subpage_url IS NOT NULL")
 
 
 _CB = q.inlist(dl.CANDIDATE_BLOCKLIST)

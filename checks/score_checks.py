@@ -18,6 +18,7 @@ from entitylake.operators.ordering import first_per_key
 from entitylake.plans import competitors as CO
 from entitylake.rules import domain_lists as dl
 from entitylake.rules import validation_rules as vr
+from entitylake.session import stored
 from entitylake.sources.tables import spread
 
 from . import page_checks as pc
@@ -291,10 +292,8 @@ def entity_rank(spark, sf):
 
 @checked("rank_by_freshness", RUSES, f"WITH {RANKED} SELECT query_id, entity_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY freshness DESC, rank) AS fresh_pos FROM ranked")
 def rank_by_freshness(spark, sf):
-    from entitylake.operators.ordering import rank_per_key
-
-    found = rank_per_key(ranked(spark, sf).select("query_id", "entity_id", "freshness", "rank"), ["query_id"], [-F.col("freshness"), F.col("rank")], "fresh_pos", hot_rows=0)
-    return found.select("query_id", "entity_id", "rank", "fresh_pos")
+    rows = stored(ranked(spark, sf).select("query_id", "entity_id", "freshness", "rank"))
+    return SC.rank_by_freshness(rows, hot_rows=400).select("query_id", "entity_id", "rank", "fresh_pos")
 
 
 @checked("rank_min_score", RUSES, f"WITH {RANKED} SELECT query_id, entity_id, score FROM ranked WHERE score >= 0.6::DOUBLE")

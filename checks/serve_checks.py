@@ -161,7 +161,7 @@ def versions(spark, sf):
 
 
 ORDER = ["version_ts", "version_id"]
-_JSON = "json_object('name', name, 'description', description, 'services', to_json(string_list), 'linkedin', linkedin, 'emails', to_json(email_list), 'category', category)"
+VERSIONS_JSON = _JSON = "json_object('name', name, 'description', description, 'services', to_json(string_list), 'linkedin', linkedin, 'emails', to_json(email_list), 'category', category)"
 VERSIONS = f"""vv AS (SELECT *, {q.as_list('services')} AS string_list, {q.as_list('emails')} AS email_list FROM fx_versions),
 vh AS (SELECT *, md5(CAST({_JSON} AS VARCHAR)) AS hash FROM vv),
 vl AS (SELECT *, lag(hash) OVER w AS p_hash, lag(name) OVER w AS p_name, lag(description) OVER w AS p_description, lag(CAST(to_json(string_list) AS VARCHAR)) OVER w AS p_services, lag(linkedin) OVER w AS p_linkedin,

@@ -16,18 +16,23 @@ ENTITIES = [
     ("&middot;", "·"), ("&amp;", "&"),
 ]
 # Body containers as (opening tag, element), first present wins.
-CONTENT_CLASS = r"""class=["'](?:[^"']*\s)?content(?:\s[^"']*)?["'][^>]*>"""
+CONTENT_CLASS = r"""class=(?:["'](?:[^"']*\s)?content(?:\s[^"']*)?["'][^>]*|content(?:\s[^>]*)?)>"""
+CONTENT_ID = r"""id=(?:["']content["'][^>]*|content(?:\s[^>]*)?)>"""
 BODY_CONTAINERS = [
     (r"<main\b[^>]*>", "main"),
     (r"<article\b[^>]*>", "article"),
     (rf"<div\b[^>]*{CONTENT_CLASS}", "div"),
     (rf"<section\b[^>]*{CONTENT_CLASS}", "section"),
-    (r"""<div\b[^>]*id=["']content["'][^>]*>""", "div"),
-    (r"""<section\b[^>]*id=["']content["'][^>]*>""", "section"),
+    (rf"<div\b[^>]*{CONTENT_ID}", "div"),
+    (rf"<section\b[^>]*{CONTENT_ID}", "section"),
     (r"<body\b[^>]*>", "body"),
 ]
 
 
+# What a page without a body tag still does not show.
+NO_BODY = r"(?is)<head\b.*?</head>|<title\b.*?</title>|<noscript\b.*?</noscript>"
+
+
 def without_comments(html: Column) -> Column:
     return F.regexp_replace(html, COMMENTS, "")
 
@@ -63,7 +68,7 @@ def tags(markup: Column, name: str) -> Column:
 
 def first_tag_value(tag_list: Column, key: str, key_value: str, value: str) -> Column:
     """`value` attribute of the first tag whose `key` attribute equals key_value, else null."""
-    pattern = rf"""(?is)\s{key}\s*=\s*["']{key_value}["']"""
+    pattern = rf"""(?is)\s{key}\s*=\s*(?:["']{key_value}["']|{key_value}[\s/>])"""
     hit = F.get(F.filter(tag_list, lambda t: t.rlike(pattern)), F.lit(0))
     return bind(hit, lambda tag: F.when(tag.isNotNull(), attribute(tag, value)))
 
@@ -114,13 +119,16 @@ def element_of(page: Column, opening: str, name: str) -> Column:
 
 
 def body_text_of(html: Column, max_chars: int | None = None) -> Column:
-    """Text of the first body container, the whole element. The whole text unless a limit is given."""
+    """Text of the first body container, the whole element; of all behind the head where a page names no container.
+
+    The whole text unless a limit is given.
+    """
 
     def region(page: Column) -> Column:
         chain = F.when(F.lit(False), F.lit(""))
         for opening, name in BODY_CONTAINERS:
             chain = chain.when(page.rlike(f"(?i){opening}"), element_of(page, opening, name))
-        return chain.otherwise("")
+        return chain.otherwise(F.regexp_replace(markup_of(page), NO_BODY, ""))
 
     text = trim_all(text_of(bind(without_comments(html), region)))
     return F.substring(text, 1, max_chars) if max_chars else text

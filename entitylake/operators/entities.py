@@ -100,8 +100,8 @@ def _same_as(pattern: str) -> Column:
     return F.get(F.filter("schema_org.same_as", lambda u: matches(u, pattern)), F.lit(0))
 
 
-def company_entities(profiled: DataFrame) -> DataFrame:
-    """Structured data first, heuristics where it is silent."""
+def company_entities(profiled: DataFrame, *also: str) -> DataFrame:
+    """Structured data first, heuristics where it is silent. `also` names columns of the profile to keep."""
     stated = F.coalesce(F.col("schema_org.services"), F.array().cast("array<string>"))
     services = F.when(F.size(stated) > 0, F.slice(F.array_distinct(stated), 1, 8)).otherwise(page_services())
     return profiled.select(
@@ -126,6 +126,7 @@ def company_entities(profiled: DataFrame) -> DataFrame:
         F.col("url").alias("source"),
         F.col("title").alias("meta_title"),
         F.col("description").alias("meta_description"),
+        *also,
     )
 
 

@@ -2,9 +2,10 @@
 
 A plain window puts a whole key into one task. First-per-key and top-k keep a row_number filter,
 which Spark turns into a per-task group limit before the shuffle, so a hot key sends k rows per
-task. Full ranking and lag cannot drop rows: they first measure the largest key, and above a limit
-they cut the data at sampled boundaries of (key, order), like a range sort does, and join small
-per-bucket summaries.
+task. Full ranking and lag cannot drop rows: the rows of a hot key are cut at sampled values of its
+order, like a range sort does, and small per-bucket summaries are joined. The sample is a table of the same
+plan: nothing is run ahead and nothing passes through the driver. Where no key is hot it is empty, and
+adaptive execution takes the joins with it out of the plan.
 """
 
 from __future__ import annotations
@@ -16,9 +17,10 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import bind
 
-SAMPLE_PER_BUCKET = 8
-# Rows of one key that a single task may sort.
+# Rows of one key that a single task may sort, about.
 HOT_KEY_ROWS = 1_000_000
+# Sampled cuts per that many rows; a key with fewer cuts is not cut at all.
+CUTS = 8
 
 
 def top_k_per_key(
@@ -34,13 +36,7 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
     return top_k_per_key(df, keys, order, 1)
 
 
-def largest_key(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the largest key; counted with partial sums before the shuffle."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.max("n")).collect()[0][0] or 0
-
-
-def _count_below(cuts: Column, size: int, key: Column) -> Column:
+def _count_below(cuts: Column, key: Column) -> Column:
     """How many of the sorted cuts lie below the key, by halving."""
 
     def halve(s: Column, _: Column) -> Column:
@@ -51,75 +47,59 @@ def _count_below(cuts: Column, size: int, key: Column) -> Column:
             F.when((s["low"] < s["high"]) & ~below, middle).otherwise(s["high"]).alias("high"),
         )
 
-    steps = F.sequence(F.lit(1), F.lit(size.bit_length()))
-    start = F.struct(F.lit(0).alias("low"), F.lit(size).alias("high"))
+    steps = F.sequence(F.lit(1), F.length(F.bin(F.size(cuts).cast("long"))))
+    start = F.struct(F.lit(0).alias("low"), F.size(cuts).alias("high"))
     return F.aggregate(steps, start, halve, lambda s: s["low"])
 
 
-def joined_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join on keys that may be null: null equals null. The right side brings its other columns only."""
+def joined_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys that may be null: null equals null. The right side brings its other columns only."""
     other = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
     same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
-    return left.join(other, same).drop(*[f"_right_{k}" for k in keys])
+    return left.join(other, same, how).drop(*[f"_right_{k}" for k in keys])
 
 
-def with_buckets(df: DataFrame, keys: Sequence[str], order: Sequence[Column], hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
-    """Add `_bucket`, which never falls along (keys, order), all ascending with nulls first.
+def _placed(order: Sequence[Column]) -> Column:
+    return F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
+
 
-    There is a bucket for every `hot_rows` rows, and at least one per shuffle partition. Boundaries
-    come from a sample by hash: about SAMPLE_PER_BUCKET distinct rows per bucket, the same on every run. They enter the plan as literals, so a recomputed task gets the same buckets,
-    and only speed depends on them. The input is read for the count and the sample (key columns
-    only) and again for the result, so a costly one should be a stored table.
+def hot_cuts(df: DataFrame, keys: Sequence[str], order: Sequence[Column], hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
+    """keys and `_cuts`: sampled values of `order`, sorted, of the keys that have CUTS of them or more.
+
+    One row in hot_rows / CUTS is sampled by the hash of key and order, the same in every run, so a key that is cut has about
+    `hot_rows` rows or more, and the table has at most one cut per hot_rows / CUTS rows. Only key and order columns are read.
     """
-    parts = [F.col(k) for k in keys] + list(order)
-    key = F.struct(*[c.alias(f"f{i}") for i, c in enumerate(parts)])
-    fields = df.select(key.alias("k")).schema["k"].dataType.fields
-    rows = df.select(*keys).count()
-    buckets = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), rows // max(hot_rows, 1) if hot_rows > 1 else 0)
-    share = min(1.0, buckets * SAMPLE_PER_BUCKET / max(rows, 1))
-    sample = (
-        df.select(key.alias("k"))
-        .filter(F.pmod(F.xxhash64("k"), F.lit(1 << 31)) < int(share * (1 << 31)))
-        .distinct()
-        .orderBy("k")
-        .select(*[F.col(f"k.{f.name}").cast("string").alias(f.name) for f in fields])
-        .collect()
-    )
-    step = max(1, len(sample) // buckets)
-    cuts = [
-        F.struct(*[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in fields])
-        for row in sample[step::step]
-    ]
-    if not cuts:
-        return df.withColumn("_bucket", F.lit(0))
-    return df.withColumn("_bucket", bind(key, lambda k: _count_below(F.array(*cuts), len(cuts), k)))
+    every = max(1, hot_rows // CUTS)
+    placed = df.select(*keys, _placed(order).alias("_at"))
+    sample = placed.filter(F.pmod(F.xxhash64(*keys, "_at"), F.lit(every)) == 0)
+    return sample.groupBy(*keys).agg(F.sort_array(F.collect_set("_at")).alias("_cuts")).filter(F.size("_cuts") >= CUTS)
+
+
+def with_buckets(df: DataFrame, keys: Sequence[str], order: Sequence[Column], hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
+    """Add `_bucket`, which never falls along (keys, order), all ascending with nulls first; null for keys that are not hot."""
+    cut = joined_on(df.withColumn("_at", _placed(order)), hot_cuts(df, keys, order, hot_rows), keys, "left")
+    bucket = F.when(F.col("_cuts").isNotNull(), bind(F.struct("_cuts", "_at"), lambda x: _count_below(x["_cuts"], x["_at"])))
+    return cut.withColumn("_bucket", bucket).drop("_cuts", "_at")
 
 
 def rank_per_key(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], rank_col: str = "rank",
     hot_rows: int = HOT_KEY_ROWS,
 ) -> DataFrame:
-    """Row number 1..n per key; no task sorts more than about `hot_rows` rows of one key.
+    """Row number 1..n per key; the rows of a key with many more than `hot_rows` are spread over tasks.
 
-    `order` must be ascending expressions that end in a unique one (negate a number to go down).
+    `order` must be ascending expressions that end in a unique one (negate a number to go down). The input is read three
+    times, twice for key and order only, so a costly one should be a stored table.
     """
-    if largest_key(df, keys) <= hot_rows:
-        return df.withColumn(rank_col, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     cut = with_buckets(df, keys, order, hot_rows)
     group = [*keys, "_bucket"]
-    local = cut.withColumn(
-        "_local", F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-    )
-    before = (
-        Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    sizes = cut.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    offsets = sizes.select(*group, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return (
-        joined_on(local, offsets, group)
-        .withColumn(rank_col, F.col("_before") + F.col("_local"))
-        .drop("_bucket", "_local", "_before")
-    )
+    local = cut.withColumn("_local", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = with_buckets(df.select(*keys, *[c.alias(f"_o{i}") for i, c in enumerate(order)]), keys, [F.col(f"_o{i}") for i in range(len(order))], hot_rows)
+    counted = sizes.filter(F.col("_bucket").isNotNull()).groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counted.select(*group, F.sum("_n").over(before).alias("_before"))
+    placed = joined_on(local, offsets, group, "left")
+    return placed.withColumn(rank_col, F.coalesce("_before", F.lit(0)) + F.col("_local")).drop("_bucket", "_local", "_before")
 
 
 def previous_per_key(
@@ -128,22 +108,12 @@ def previous_per_key(
 ) -> DataFrame:
     """Add struct `name` with `values` of the previous row of the key, null for the first row."""
     payload = F.struct(*[F.col(v) for v in values])
-    if largest_key(df, keys) <= hot_rows:
-        return df.withColumn(name, F.lag(payload).over(Window.partitionBy(*keys).orderBy(*order)))
     cut = with_buckets(df, keys, order, hot_rows)
     group = [*keys, "_bucket"]
     inside = Window.partitionBy(*group).orderBy(*order)
-    local = cut.withColumn("_lag", F.lag(payload).over(inside)).withColumn(
-        "_first", F.row_number().over(inside) == 1
-    )
-    tails = cut.groupBy(*group).agg(
-        F.max_by(payload, F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])).alias("_tail")
-    )
-    carried = tails.select(
-        *group, F.lag("_tail").over(Window.partitionBy(*keys).orderBy("_bucket")).alias("_carry")
-    )
-    return (
-        joined_on(local, carried, group)
-        .withColumn(name, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_lag")))
-        .drop("_bucket", "_lag", "_first", "_carry")
-    )
+    local = cut.withColumn("_lag", F.lag(payload).over(inside)).withColumn("_first", F.row_number().over(inside) == 1)
+    tails = cut.filter(F.col("_bucket").isNotNull()).groupBy(*group).agg(F.max_by(payload, _placed(order)).alias("_tail"))
+    carried = tails.select(*group, F.lag("_tail").over(Window.partitionBy(*keys).orderBy("_bucket")).alias("_carry"))
+    carried = carried.filter(F.col("_carry").isNotNull())
+    found = F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_lag"))
+    return joined_on(local, carried, group, "left").withColumn(name, found).drop("_bucket", "_lag", "_first", "_carry")

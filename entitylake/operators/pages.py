@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html as H
-from ..functions.patterns import java_pattern, labels_by_signature, lookup, string_array
+from ..functions.patterns import bind, java_pattern, labels_by_signature, lookup, string_array
 from ..functions.rows import exploded
 from ..functions.text import trim_all
 from ..functions.urls import FRONT_PAGE, absolute_url, domain_of, host_of, path_of, strip_www
@@ -161,39 +161,40 @@ def page_links(pages: DataFrame, limit: int | None = 100) -> DataFrame:
     return rows.withColumn("internal", F.col("link").contains(F.col("domain")))
 
 
-def choose_subpage(links: DataFrame, kind: str) -> DataFrame:
-    """The about or services page of every page: exact slug first, then looser words, then link order.
+def subpage_url(kind: str) -> Column:
+    """The about or services page among `internal_links`: the first exact slug, else the first link with a looser word.
 
-    For 'services' only links on the host of the page count.
+    For 'services' only links on the host of the page (`url`) count. A page is one row, so nothing is shuffled.
     """
-    path = F.lower(path_of(F.col("link")))
     if kind == "about":
-        exact = F.lit(False)
-        for slug in rules.ABOUT_SLUGS:
-            exact = exact | (path == slug.rstrip("/")) | path.startswith(slug)
-        words, excluded = rules.ABOUT_WORDS, rules.ABOUT_EXCLUDED
-        usable = F.col("internal")
+        words, excluded, usable = rules.ABOUT_WORDS, rules.ABOUT_EXCLUDED, F.col("internal_links")
     elif kind == "services":
-        exact = F.regexp_replace(path, "/$", "").isin(rules.SERVICE_SLUGS)
         words, excluded = rules.SERVICE_WORDS, rules.SERVICE_EXCLUDED
-        usable = F.col("internal") & (host_of(F.col("link")) == host_of(F.col("url")))
+        usable = F.filter("internal_links", lambda u: host_of(u) == host_of(F.col("url")))
     else:
         raise ValueError(f"unknown subpage kind: {kind}")
-    loose = F.lit(False)
-    for word in words:
-        loose = loose | path.contains(word)
-    for word in excluded:
-        loose = loose & ~path.contains(word)
-    rated = (
-        links.filter(usable)
-        .withColumn("_prio", F.when(exact, 1).when(loose, 2))
-        .filter(F.col("_prio").isNotNull())
-    )
-    return rated.groupBy("page_id", "url", "domain").agg(
-        F.min_by("link", F.struct("_prio", "pos")).alias("subpage_url")
+
+    def exact(path: Column) -> Column:
+        if kind == "services":
+            return F.regexp_replace(path, "/$", "").isin(rules.SERVICE_SLUGS)
+        return F.exists(string_array(rules.ABOUT_SLUGS), lambda s: (path == F.regexp_replace(s, "/$", "")) | path.startswith(s))
+
+    def loose(path: Column) -> Column:
+        return F.exists(string_array(words), lambda w: path.contains(w)) & ~F.exists(string_array(excluded), lambda w: path.contains(w))
+
+    placed = F.transform(usable, lambda u: F.struct(u.alias("link"), F.lower(path_of(u)).alias("path")))
+    return bind(
+        placed,
+        lambda p: F.coalesce(F.get(F.filter(p, lambda x: exact(x["path"])), F.lit(0))["link"], F.get(F.filter(p, lambda x: loose(x["path"])), F.lit(0))["link"]),
     )
 
 
+def choose_subpage(pages: DataFrame, kind: str) -> DataFrame:
+    """(page_id, url, domain, subpage_url) of the pages that have such a page."""
+    linked = with_links(with_domain(pages))
+    return linked.select("page_id", "url", "domain", subpage_url(kind).alias("subpage_url")).filter("subpage_url IS NOT NULL")
+
+
 def homepage_outlinks(links: DataFrame, blocked: Sequence[str] = tuple(domain_lists.CANDIDATE_BLOCKLIST)) -> DataFrame:
     """External links to the front page of a host that is not blocked."""
     front = links.filter(~F.col("internal") & F.col("link").rlike(FRONT_PAGE))

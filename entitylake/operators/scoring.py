@@ -285,8 +285,9 @@ def filter_by_min_score(ranked: DataFrame, min_score: float) -> DataFrame:
     return ranked.filter(F.col("score") >= min_score)
 
 
-def sort_by_freshness(ranked: DataFrame) -> DataFrame:
-    return ranked.orderBy(F.col("freshness").desc(), F.col("rank"))
+def rank_by_freshness(ranked: DataFrame, by: Sequence[str] = ("query_id",), hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
+    """Adds fresh_pos, 1..n within `by`: the freshest first, equals in the order of their rank."""
+    return rank_per_key(ranked, by, [-F.col("freshness"), F.col("rank")], "fresh_pos", hot_rows=hot_rows)
 
 
 def review_queue(scored: DataFrame) -> DataFrame:

@@ -89,14 +89,14 @@ def query_detail(queries: DataFrame, links: DataFrame, entities: DataFrame, logs
 
 
 def entity_detail(
-    entities: DataFrame, snapshots: DataFrame, changes: DataFrame, validations: DataFrame
+    entities: DataFrame, snapshots: DataFrame, changes: DataFrame, validations: DataFrame, newest_of: tuple[int, int, int] = (5, 10, 5)
 ) -> DataFrame:
-    """Per entity the newest 5 snapshots, 10 changes and 5 validations as rows (domain, kind, pos).
+    """Per entity the newest snapshots, changes and validations (`newest_of` each) as rows (domain, kind, pos).
 
     snapshots(domain, at, uid, label), changes and validations alike.
     """
     parts = []
-    for kind, rows, k in (("snapshot", snapshots, 5), ("change", changes, 10), ("validation", validations, 5)):
+    for (kind, rows), k in zip((("snapshot", snapshots), ("change", changes), ("validation", validations)), newest_of):
         newest = top_k_per_key(rows, ["domain"], [F.col("at").desc(), F.col("uid").desc()], k, "pos")
         parts.append(newest.select("domain", F.lit(kind).alias("kind"), "pos", "at", "uid", "label"))
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
@@ -185,21 +185,14 @@ def run_outcome(queries: DataFrame, candidates: DataFrame, saved: DataFrame) ->
 def key_phrases(docs: DataFrame, key: str, text: str, n: int = 10) -> DataFrame:
     """(key, pos, phrase, uses): the n most used words of more than three letters per document.
 
-    Ties go by first use. Counts are summed before the shuffle and the group limit keeps n rows.
+    Ties go by first use. Documents are dealt by their key once, as text; counting and choosing then stay in the task.
     """
-    words = exploded(docs, [key], words_of(F.col(text)), "phrase", "at").filter(F.length("phrase") > 3)
+    words = exploded(docs.repartition(F.col(key)), [key], words_of(F.col(text)), "phrase", "at").filter(F.length("phrase") > 3)
     counted = words.groupBy(key, "phrase").agg(F.count(F.lit(1)).alias("uses"), F.min("at").alias("at"))
     top = top_k_per_key(counted, [key], [F.col("uses").desc(), F.col("at")], n, "pos")
     return top.select(key, "pos", "phrase", "uses")
 
 
-# Export columns in order.
-EXPORT_COLUMNS = [
-    "name", "domain", "description", "category", "services", "technologies", "linkedin", "emails",
-    "confidenceScore", "relevanceScore", "firstSeen", "lastSeen", "source",
-]
-
-
 def _export_source(entities: DataFrame, links: DataFrame | None, query_id: int | None, limit: int) -> DataFrame:
     kept = entities.filter("is_valid")
     if query_id is not None:

@@ -1,8 +1,8 @@
-"""The discovery run for all queries at once: queries and captured pages in, saved entities out.
+"""The first round of the discovery run for all queries at once: queries and captured pages in, accepted entities out.
 
-Order of work follows the cost: pages become records once, before any join with queries, so page
-text never travels with a query; block lists and caps come before the page join; only records that
-a candidate asks for are scored.
+Order of work follows the cost: block lists and caps come before the page join; only the home pages of
+asked domains become records, once, before any join with queries, so page text never travels with a query. plans.saved_run
+adds the second round and saves.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from ..functions.urls import domain_of
 from ..operators.candidates import candidate_urls, rerun_flags, rerun_new_entities
 from ..operators.entities import company_entities
-from ..operators.ordering import first_per_key
 from ..operators.pages import page_profile
 from ..operators.queries import analyze_queries
 from ..operators.resolve import dedup_by_domain
@@ -45,19 +44,20 @@ class Outputs:
     outcome: DataFrame
 
 
-def home_records(pages: DataFrame) -> DataFrame:
-    """One company record per domain, from its first captured page with content.
+def home_records(pages: DataFrame, domains: DataFrame) -> DataFrame:
+    """One company record for each of `domains` (domain), from its first captured page with content.
 
-    Every page is extracted where it is read and the small records are reduced, so html is never
-    sorted or shuffled.
+    The pages are found by id; only theirs are extracted, and html is never sorted.
     """
-    records = company_entities(page_profile(pages.filter(F.col("html") != "")))
-    return first_per_key(records, ["domain"], [F.col("page_id")])
+    named = pages.filter(F.col("html") != "").select(domain_of(F.col("url")).alias("domain"), "page_id")
+    first = named.join(domains, "domain", "left_semi").groupBy("domain").agg(F.min("page_id").alias("page_id"))
+    return company_entities(page_profile(pages.join(first.select("page_id"), "page_id", "left_semi")))
 
 
 def judge(candidates: DataFrame, analysed: DataFrame, records: DataFrame) -> DataFrame:
     """Candidates with their record, scores and verdict for the query that asked."""
-    asked = candidates.filter(~F.col("links_only")).select("query_id", "pos", domain_of(F.col("url")).alias("domain"))
+    rounds = ["round"] if "round" in candidates.columns else []
+    asked = candidates.filter(~F.col("links_only")).select("query_id", *rounds, "pos", domain_of(F.col("url")).alias("domain"))
     context = analysed.select(
         "query_id",
         F.col("intent").alias("q_intent"),
@@ -80,7 +80,8 @@ def run_discovery(inputs: Inputs) -> Outputs:
             analysed, inputs.suggestions, inputs.web, inputs.seeds, inputs.known_entities, inputs.directories
         )
     )
-    judged = stored(judge(candidates, analysed, home_records(inputs.pages)))
+    domains = candidates.filter("NOT links_only").select(domain_of(F.col("url")).alias("domain")).distinct()
+    judged = stored(judge(candidates, analysed, home_records(inputs.pages, domains)))
     saved = dedup_by_domain(judged.filter("is_valid"), [F.col("pos")], ["query_id"])
     links = saved.select("query_id", F.col("domain").alias("entity_id"))
     entities = saved.select(F.col("domain").alias("entity_id"), "domain").distinct()

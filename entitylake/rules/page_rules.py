@@ -49,7 +49,7 @@ SOCIAL_PATTERNS = {
 # Structured-data node types taken as an organisation.
 ORGANISATION_TYPES = r"Organization|Corporation|LocalBusiness|Company"
 
-# Contact formats.
+# Contact formats. The groups of the phone format do not capture, because extraction reads whole matches.
 EMAIL_LOCAL = r"[a-zA-Z0-9._%+\-]"
 EMAIL_HOST = r"[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
 PHONE_PATTERN = r"(?:\+?1?\s?)?(?:\(?\d{3}\)?[\s.\-]?\d{3}[\s.\-]?\d{4})"

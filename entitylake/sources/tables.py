@@ -56,14 +56,9 @@ def csv_lines(rows: DataFrame) -> DataFrame:
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    """One file in row order: an export has at most 1000 rows."""
+    """One file in row order, written by one task: an export has the limited number of rows its caller asked for."""
     csv_lines(rows).write.mode("overwrite").text(path)
 
 
 def write_json(rows: DataFrame, path: str) -> None:
     rows.coalesce(1).write.mode("overwrite").json(path, ignoreNullFields=False)
-
-
-def append_rows(rows: DataFrame, path: str) -> None:
-    """Append tables: validations, crawl-log states, queries."""
-    rows.write.mode("append").parquet(path)

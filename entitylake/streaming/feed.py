@@ -1,81 +1,102 @@
-"""Incremental entity feed: versions in, current entities, snapshots and changes out."""
+"""Incremental entity feed: versions in, current entities, snapshots and changes out, in any order of arrival."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.history import TRACKED, entity_changes, entity_snapshots
 from ..operators.ordering import first_per_key
 from ..session import file_system, stored
-from .run import run_batches
+from .run import numbered_folders, run_batches
 
 
 class EntityFeed:
-    """State of the feed as tables of one shared folder, one sub-folder per micro-batch.
+    """State of the feed as tables of one shared folder.
 
-    A batch reads the entities of the batch before it and overwrites its own output, so running it
-    again after a lost executor or driver gives the same tables. A version older than the stored one
-    of its entity changes nothing there and goes to the table "late"; a repeated one is ignored.
+    versions   every different version once, a sub-folder per batch and hash bucket of the domain: the memory of the feed. A
+               batch reads the buckets it touches; a version that is there already is dropped, however late it comes again.
+    entities   the newest version per domain with first_seen, a folder per bucket; a batch rewrites the buckets it touches.
+    changes, snapshots   signed rows, a sub-folder per batch: +1 is a row that holds now, -1 takes back one that was
+               written before a late version came in between. Sums of signs are what holds.
+
+    A batch computes everything from the versions of earlier batches and its own rows, and overwrites its own folders, so it
+    can be run again after a lost executor or driver.
     """
 
-    def __init__(self, folder: str, order: Sequence[str], tracked: Sequence[str] = TRACKED):
-        self.folder, self.order, self.tracked = folder, list(order), list(tracked)
+    def __init__(self, folder: str, order: Sequence[str], tracked: Sequence[str] = TRACKED, buckets: int = 16):
+        self.folder, self.order, self.tracked, self.buckets = folder, list(order), list(tracked), buckets
 
-    def _table(self, name: str, batch: int) -> str:
-        return f"{self.folder}/{name}/batch={batch}"
+    def bucket(self, domain: Column) -> Column:
+        return F.pmod(F.xxhash64(domain), F.lit(self.buckets)).cast("int")
 
-    def apply(self, versions: DataFrame, batch: int) -> None:
+    def _exists(self, spark: SparkSession, path: str) -> bool:
+        target, system = file_system(spark, path)
+        return system.exists(target)
+
+    def _before(self, versions: DataFrame, batch: int, buckets: list[int]) -> DataFrame:
+        """Versions of earlier batches in the touched buckets."""
         spark = versions.sparkSession
-        incoming = versions.withColumn("first_seen", F.col(self.order[0])).withColumn("is_stored", F.lit(False))
-        if batch > 0:
-            before = spark.read.schema(incoming.schema).parquet(self._table("entities", batch - 1))
-        else:
-            before = spark.createDataFrame([], incoming.schema)
-        at = F.struct(*self.order)
-        known = before.select("domain", at.alias("_stored_at"), F.col("first_seen").alias("_first"))
-        late = incoming.join(known, "domain").filter(F.struct(*self.order) < F.col("_stored_at"))
-        late.select(*versions.columns).write.mode("overwrite").parquet(self._table("late", batch))
-        fresh = (
-            incoming.join(known, "domain", "left")
-            .filter(F.col("_stored_at").isNull() | (F.struct(*self.order) > F.col("_stored_at")))
-            .withColumn("first_seen", F.col("_first"))
-            .drop("_stored_at", "_first")
-        )
-        timeline = stored(before.withColumn("is_stored", F.lit(True)).unionByName(fresh))
-        newest = first_per_key(timeline, ["domain"], [F.col(c).desc() for c in self.order])
-        starts = timeline.groupBy("domain").agg(
-            F.coalesce(F.min("first_seen"), F.min(self.order[0])).alias("first_seen")
-        )
-        current = newest.drop("first_seen").join(starts, "domain").select(*incoming.columns)
-        current.write.mode("overwrite").parquet(self._table("entities", batch))
-        changes = entity_changes(timeline, self.order, self.tracked)
-        changes.write.mode("overwrite").parquet(self._table("changes", batch))
-        snapshots = entity_snapshots(timeline, self.order, self.tracked).filter(~F.col("is_stored"))
-        snapshots.select("domain", *self.order, "hash").write.mode("overwrite").parquet(
-            self._table("snapshots", batch)
-        )
+        schema = versions.withColumns({"bucket": F.lit(0), "batch": F.lit(0)}).schema
+        if not self._exists(spark, f"{self.folder}/versions"):
+            return spark.createDataFrame([], schema).drop("bucket", "batch")
+        rows = spark.read.schema(schema).parquet(f"{self.folder}/versions")
+        return rows.filter((F.col("batch") < batch) & F.col("bucket").isin(buckets)).drop("bucket", "batch")
+
+    def apply(self, versions: DataFrame, batch: int) -> None:
+        spark, columns = versions.sparkSession, versions.columns
+        same = ["domain", *self.order]
+        incoming = stored(first_per_key(versions, same, [F.xxhash64(*columns)]))
+        touched = [r["b"] for r in incoming.select(self.bucket(F.col("domain")).alias("b")).distinct().collect()]
+        domains = incoming.select("domain").distinct()
+        known = stored(self._before(versions, batch, touched).join(domains, "domain", "left_semi"))
+        fresh = stored(incoming.join(known.select(*same), same, "left_anti"))
+        fresh.withColumn("bucket", self.bucket(F.col("domain"))).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/versions/batch={batch}")
+        timeline = stored(known.unionByName(fresh))
+        self._write_signed("changes", entity_changes(timeline, self.order, self.tracked), entity_changes(known, self.order, self.tracked), batch)
+        snapshots = [entity_snapshots(v, self.order, self.tracked).select("domain", *self.order, "hash") for v in (timeline, known)]
+        self._write_signed("snapshots", *snapshots, batch)
+        self._write_entities(timeline, domains, touched, batch)
+
+    def _write_signed(self, name: str, now: DataFrame, before: DataFrame, batch: int) -> None:
+        """What holds with the batch and did not without it, and the other way round. Only touched domains are in either."""
+        both = now.withColumn("sign", F.lit(1)).unionByName(before.withColumn("sign", F.lit(-1)))
+        moved = both.groupBy(*now.columns).agg(F.sum("sign").cast("int").alias("sign")).filter("sign <> 0")
+        moved.write.mode("overwrite").parquet(f"{self.folder}/{name}/batch={batch}")
+
+    def _write_entities(self, timeline: DataFrame, domains: DataFrame, touched: list[int], batch: int) -> None:
+        """Touched buckets only. They are written aside first: a batch that dies while it replaces them finds them there."""
+        spark, aside, path = timeline.sparkSession, f"{self.folder}/aside/batch={batch}", f"{self.folder}/entities"
+        if not self._exists(spark, f"{aside}/_SUCCESS"):
+            newest = first_per_key(timeline, ["domain"], [F.col(c).desc() for c in self.order])
+            starts = timeline.groupBy("domain").agg(F.min(self.order[0]).alias("first_seen"))
+            current = newest.join(starts, "domain").withColumn("bucket", self.bucket(F.col("domain")))
+            if self._exists(spark, path):
+                others = spark.read.schema(current.schema).parquet(path).filter(F.col("bucket").isin(touched)).join(domains, "domain", "left_anti")
+                current = current.unionByName(others)
+            current.write.mode("overwrite").parquet(aside)
+        rows = spark.read.parquet(aside).repartition("bucket").sortWithinPartitions("bucket", "domain")
+        rows.write.partitionBy("bucket").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+        for earlier in numbered_folders(spark, f"{self.folder}/aside"):
+            if earlier < batch:
+                target, system = file_system(spark, f"{self.folder}/aside/batch={earlier}")
+                system.delete(target, True)
 
     def run(self, stream: DataFrame) -> int:
         """Apply every available micro-batch; returns the number of the last one, of an earlier run if none is new."""
-        last: list[int] = [-1]
-
-        def sink(rows: DataFrame, batch: int) -> None:
-            self.apply(rows, batch)
-            last[0] = batch
-
-        run_batches(stream, "append", self.folder, sink)
-        return last[0] if last[0] >= 0 else self.last_batch(stream.sparkSession)
+        run_batches(stream, "append", self.folder, self.apply)
+        return self.last_batch(stream.sparkSession)
 
-    def last_batch(self, spark) -> int:
+    def last_batch(self, spark: SparkSession) -> int:
         """The newest batch in the folder, -1 without any."""
-        target, system = file_system(spark, f"{self.folder}/entities/batch=*")
-        return max((int(x.getPath().getName().rpartition("=")[2]) for x in system.globStatus(target) or []), default=-1)
+        return max(numbered_folders(spark, f"{self.folder}/changes"), default=-1)
 
-    def entities(self, spark, batch: int) -> DataFrame:
-        return spark.read.parquet(self._table("entities", batch)).drop("is_stored")
+    def entities(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(f"{self.folder}/entities").drop("bucket")
 
-    def history(self, spark, name: str) -> DataFrame:
-        return spark.read.parquet(f"{self.folder}/{name}").drop("batch")
+    def history(self, spark: SparkSession, name: str) -> DataFrame:
+        """The rows of "changes" or "snapshots" that hold after the newest batch."""
+        rows = spark.read.parquet(f"{self.folder}/{name}").drop("batch")
+        return rows.groupBy(*[c for c in rows.columns if c != "sign"]).agg(F.sum("sign").alias("sign")).filter("sign > 0").drop("sign")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable
 
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordering import first_per_key
-from ..session import checkpoint_root
+from ..session import checkpoint_root, file_system
 
 
 def read_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
@@ -21,6 +22,33 @@ def read_stream(spark: SparkSession, folder: str, name: str, files_per_batch: in
     return reader.parquet(folder)
 
 
+def in_batches(rows: DataFrame, batches: int, order: str) -> DataFrame:
+    """A stream over `rows` that takes `batches` micro-batches, one after the other in ranges of a hash or of `order`.
+
+    `order` is a column: its ranges arrive in order. Given "", rows are dealt by their hash, so they arrive in no order at all.
+    The parts are written to the shared folder one after the other, as a writer of files would do.
+    """
+    spark, folder = rows.sparkSession, new_folder(rows.sparkSession)
+    if order:
+        span = rows.select(F.col(order).cast("timestamp").cast("double").alias("t")).agg(F.min("t").alias("low"), F.max("t").alias("high")).first()
+        low, width = span["low"] or 0.0, ((span["high"] or 0.0) - (span["low"] or 0.0)) / batches or 1.0
+        part = F.least(F.floor((F.col(order).cast("timestamp").cast("double") - low) / width), F.lit(batches - 1))
+    else:
+        part = F.pmod(F.xxhash64(*rows.columns), F.lit(batches))
+    dealt = rows.withColumn("_part", part.cast("int"))
+    for i in range(batches):
+        dealt.filter(F.col("_part") == i).drop("_part").coalesce(1).write.parquet(f"{folder}/part{i}")
+        time.sleep(0.01)  # files are taken in the order of their time stamps
+    reader = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1)
+    return reader.parquet(f"{folder}/part*")
+
+
+def numbered_folders(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the `batch=` folders under a path, ascending."""
+    target, system = file_system(spark, f"{path}/batch=*")
+    return sorted(int(x.getPath().getName().rpartition("=")[2]) for x in system.globStatus(target) or [])
+
+
 def new_folder(spark: SparkSession) -> str:
     return f"{checkpoint_root(spark)}/stream-{uuid.uuid4().hex}"
 
@@ -41,7 +69,7 @@ def run_to_table(stream: DataFrame, mode: str, keys: list[str] | None = None) ->
     """Run a stream and return its result as a table.
 
     Every micro-batch overwrites its own sub-folder, so a repeated batch changes nothing. Complete
-    mode: the last batch is the result. Update mode: per key the row of the newest batch counts.
+    mode: the last batch is the result. Update mode: per key the row of the newest batch counts. Append mode: all rows.
     """
     spark = stream.sparkSession
     folder = new_folder(spark)
@@ -57,6 +85,8 @@ def run_to_table(stream: DataFrame, mode: str, keys: list[str] | None = None) ->
     rows = spark.read.schema(f"{_ddl(stream)}, batch BIGINT").parquet(f"{folder}/rows")
     if mode == "complete":
         return rows.filter(F.col("batch") == last[0]).drop("batch")
+    if mode == "append":
+        return rows.drop("batch")
     return first_per_key(rows, keys, [F.col("batch").desc()]).drop("batch")
 
 

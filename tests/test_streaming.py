@@ -6,11 +6,10 @@ from pyspark.sql import functions as F
 
 from checks.derived import spark_table
 from checks.serve_checks import ORDER, versions
-from checks.stream_checks import stream_of
-from entitylake.operators.history import entity_changes
+from entitylake.operators.history import entity_changes, entity_snapshots
 from entitylake.streaming import jobs as J
 from entitylake.streaming.feed import EntityFeed
-from entitylake.streaming.run import new_folder, read_stream, run_to_table
+from entitylake.streaming.run import in_batches, new_folder, read_stream
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
@@ -39,38 +38,104 @@ def test_three_batches_equal_one_job(spark, slices):
     feed = EntityFeed(new_folder(spark), ORDER)
     last = feed.run(read_stream(spark, slices, "versions", files_per_batch=1))
     assert last == 2
-    everything = versions(spark, FOLDER)
-    fields = ("domain", "version_id", "field", "old_value", "new_value", "change_type")
-    assert rows(feed.history(spark, "changes"), *fields) == rows(entity_changes(everything, ORDER), *fields)
+    check_feed(spark, feed, versions(spark, FOLDER))
+
+
+FIELDS = ("domain", "version_id", "field", "old_value", "new_value", "change_type")
+
+
+def check_feed(spark, feed, everything):
+    assert rows(feed.history(spark, "changes"), *FIELDS) == rows(entity_changes(everything, ORDER), *FIELDS)
+    assert rows(feed.history(spark, "snapshots"), "domain", "version_id", "hash") == rows(entity_snapshots(everything, ORDER), "domain", "version_id", "hash")
     newest = everything.groupBy("domain").agg(F.max(F.struct(*ORDER)).alias("m"), F.min("version_ts").alias("first_seen"))
     want = rows(newest.select("domain", "m.version_id", "first_seen"), "domain", "version_id", "first_seen")
-    assert rows(feed.entities(spark, last), "domain", "version_id", "first_seen") == want
+    assert rows(feed.entities(spark), "domain", "version_id", "first_seen") == want
 
 
-def test_repeated_batch_and_late_rows_change_nothing(spark, slices):
-    feed = EntityFeed(new_folder(spark), ORDER)
-    first, second = (spark.read.parquet(f"{slices}/versions{i}.parquet") for i in (0, 1))
-    feed.apply(first, 0)
-    feed.apply(second, 1)
-    once = rows(feed.entities(spark, 1), "domain", "version_id")
-    feed.apply(second, 1)
-    assert rows(feed.entities(spark, 1), "domain", "version_id") == once
-    feed.apply(first, 2)
-    late = spark.read.parquet(f"{feed.folder}/late/batch=2")
-    newest = first.unionByName(second).groupBy("domain").agg(F.max(F.struct(*ORDER)).alias("m"))
-    want = first.join(newest, "domain").filter(F.struct(*ORDER) < F.col("m"))
-    assert late.count() == want.count() > 0
+@pytest.mark.parametrize("arrival", [(2, 0, 1), (1, 2, 0)])
+def test_late_versions_come_in_between(spark, slices, arrival):
+    """Batches in any order, one repeated as a whole, and rows that come twice."""
+    parts = [spark.read.parquet(f"{slices}/versions{i}.parquet") for i in range(3)]
+    feed = EntityFeed(new_folder(spark), ORDER, buckets=4)
+    for batch, i in enumerate(arrival):
+        feed.apply(parts[i].unionByName(parts[arrival[0]].limit(20)), batch)
+        if batch == 1:
+            feed.apply(parts[i].unionByName(parts[arrival[0]].limit(20)), batch)
+    check_feed(spark, feed, versions(spark, FOLDER))
+    assert spark.read.parquet(f"{feed.folder}/changes").filter("sign = -1").count() > 0
     assert feed.last_batch(spark) == 2 and EntityFeed(new_folder(spark), ORDER).last_batch(spark) == -1
-    assert rows(feed.entities(spark, 2), "domain", "version_id") == once
-    assert spark.read.parquet(f"{feed.folder}/changes/batch=2").count() == 0
+
+
+def test_a_batch_writes_what_it_touches(spark, slices):
+    everything = versions(spark, FOLDER)
+    feed = EntityFeed(new_folder(spark), ORDER, buckets=8)
+    feed.apply(everything, 0)
+
+    def files():
+        return {os.path.join(d, f) for d, _, names in os.walk(f"{feed.folder}/entities") for f in names if f.endswith(".parquet")}
+
+    before = files()
+    feed.apply(everything.limit(1).withColumn("version_id", F.lit(10**9).cast(everything.schema["version_id"].dataType)), 1)
+    assert len(files() - before) == 1 and len(before - files()) == 1
+    assert spark.read.parquet(f"{feed.folder}/versions/batch=1").count() == 1
+
+
+def events(spark, given):
+    frame = spark.createDataFrame(given, "job_id long, stage string, type string, progress int, t string")
+    return frame.select("job_id", "stage", "type", "progress", F.to_timestamp_ntz("t").alias("ts"))
+
+
+def test_progress_forgets_idle_jobs(spark):
+    table = J.progress_table(new_folder(spark))
+    table.apply(events(spark, [(1, "a", "log", 10, "2024-01-01 00:00:00"), (2, "a", "log", 50, "2024-01-01 00:10:00"), (2, "a", "error", 20, "2024-01-01 00:12:00")]), 0)
+    assert rows(table.live(spark), "job_id") == rows(spark.createDataFrame([(1,), (2,)], "job_id long"), "job_id")
+    second = events(spark, [(2, "b", "log", 40, "2024-01-01 00:20:00"), (3, "a", "log", 1, "2024-01-01 00:21:00")])
+    for _ in range(2):  # a repeated batch changes nothing
+        table.apply(second, 1)
+    assert sorted(r.job_id for r in table.live(spark).collect()) == [2, 3]
+    table.apply(events(spark, [(1, "a", "log", 90, "2024-01-01 02:00:00")]), 2)
+    assert [r.job_id for r in table.live(spark).collect()] == [1]
+    got = {r.job_id: (r.progress, r.has_error, r.events) for r in table.result(spark).collect()}
+    assert got == {1: (90, False, 2), 2: (50, True, 3), 3: (1, False, 1)}
+
+
+def test_counters_are_corrected_and_finished_logs_leave(spark):
+    def states(*given):
+        frame = spark.createDataFrame([*given], "log_id long, event_id long, status string, t string")
+        return frame.select("log_id", "event_id", "status", F.to_timestamp_ntz("t").alias("updated_at"))
+
+    counters = J.CrawlCounters(new_folder(spark), timeout="1 hour")
+    counters.apply(states((1, 1, "crawling", "2024-01-01 00:00:00"), (2, 2, "pending", "2024-01-01 00:00:00"), (3, 3, "success", "2024-01-01 00:01:00")), 0)
+    second = states((1, 4, "success", "2024-01-01 00:05:00"), (2, 5, "failed", "2024-01-01 00:05:00"), (1, 0, "failed", "2023-12-31 00:00:00"))
+    for _ in range(2):
+        counters.apply(second, 1)
+    assert counters.stats(spark).first().asDict() == {"total": 3, "success": 2, "failed": 1, "pending": 0, "success_rate": 67}
+    counters.apply(states((4, 6, "crawling", "2024-01-01 05:00:00"), (5, 7, "pending", "2024-01-01 01:00:00")), 2)
+    assert sorted(r.log_id for r in counters.table.live(spark).collect()) == [4, 5]
+    assert counters.stats(spark).first()["total"] == 5
+
+
+def test_sessions_leave_the_state(spark):
+    """Ended sessions come out in append mode; only those within the watermark are still held."""
+    rows_in = events(spark, [(j, "a", "log", j, f"2024-01-01 {h:02}:00:00") for h in range(8) for j in range(5)])
+    timed = J.event_time(in_batches(rows_in, 4, "ts"), "ts", "1 hour")
+    held = []
+    query = (
+        J.job_sessions(timed).writeStream.outputMode("append").foreachBatch(lambda df, i: held.append(df.count()))
+        .option("checkpointLocation", new_folder(spark)).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    assert sum(held) == 30  # sessions of the hours 0 to 5 have ended by 6:00, the watermark
+    state = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert state[-1] == 10
 
 
 @pytest.mark.parametrize(
-    "job, derived, keys",
-    [(J.job_progress, "fx_agent_events", ["job_id"]), (J.stage_status, "fx_agent_events", ["job_id", "stage"]),
-     (J.latest_log_state, "fx_crawl_logs", ["log_id"])],
+    "table, batch, derived, order",
+    [(J.progress_table, J.job_progress, "fx_agent_events", ""), (J.stage_table, J.stage_ranks, "fx_agent_events", "ts")],
 )
-def test_stream_equals_batch(spark, job, derived, keys):
-    batch = job(spark_table(spark, FOLDER, derived))
-    stream = run_to_table(job(stream_of(spark, FOLDER, derived, "events")), "update", keys)
-    assert rows(stream, *sorted(batch.columns)) == rows(batch, *sorted(batch.columns))
+def test_stream_equals_batch(spark, table, batch, derived, order):
+    whole = batch(spark_table(spark, FOLDER, derived))
+    kept = table(new_folder(spark))
+    kept.run(in_batches(spark_table(spark, FOLDER, derived), 3, order))
+    assert rows(kept.result(spark), *sorted(whole.columns)) == rows(whole, *sorted(whole.columns))
