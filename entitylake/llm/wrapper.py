@@ -4,8 +4,8 @@ Each page becomes a tree of its block elements, in which neighbouring siblings w
 is that tree without text. The commonest shape of a host is its reference, and every other shape is aligned with it by simple tree
 matching, so matching runs once per host and shape, not once per page. For every aligned node the texts of all pages of the host
 are counted, pages with the same text once: nodes whose text hardly varies are template, the others are slots that hold content. Elements that are
-menus, forms or the like are template too unless they hold an article; so are, on hosts with too few different pages to count, those whose class,
-id or role names them so.
+menus, forms or the like are template too unless they hold an article; so are those whose class, id or role names them so, unless they
+hold an article or the slot that varies with the most text.
 
 Pages are never shuffled by host as long as Spark finds the table of wrappers (a row per host and shape) small enough to
 broadcast; beyond that it joins them, and adaptive execution splits a host with very many pages.
@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from ..session import stored
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|iframe|select)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>|<[!?][^>]*>|[^<]+|<",
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|iframe|select)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
+    # A quote goes with its pair where there is one and never is tried alone then: one way to read every tag.
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>|<[!?][^>]*>|[^<]+|<",
     re.S | re.I,
 )
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -38,7 +39,7 @@ BLOCKS = frozenset(
 )
 #: What a start tag closes if it is the innermost block.
 CLOSES = {"li": {"li", "p"}, "dd": {"dd", "dt", "p"}, "dt": {"dd", "dt", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "tr": {"td", "th", "tr", "p"}}
-#: Elements that mark what isn't the article, and names in class, id or role that do so on hosts with fewer than PAGES different pages.
+#: Elements that mark what isn't the article, and whole names in class, id or role that do so.
 PLAIN_TEMPLATE = frozenset("head nav footer aside form menu dialog button".split())
 TEMPLATE_WORDS = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header login masthead"
@@ -230,29 +231,37 @@ def around_content(root: Node) -> set[int]:
     return out
 
 
-def kept_nodes(shape: str, pages: list[int], variants: list[int], total: int) -> list[bool]:
-    """Which nodes of a shape hold content, from the pages and different texts of their slots and the host's `total` of different pages."""
+def kept_nodes(shape: str, pages: list[int], variants: list[int], sizes: list[int]) -> list[bool]:
+    """Which nodes of a shape hold content, from the different pages, different texts and their characters of each slot.
+
+    Template is what the elements PLAIN_TEMPLATE hold, what hardly varies, and what calls itself so by a whole name in class, id or
+    role. A name does not count above an article or main, nor above the slot that varies with the most text: the one
+    outside all such names if there is any, else of all.
+    """
     tree = tree_of(shape)
     out = [False] * numbered(tree)
     around = around_content(tree)
-    todo = [(tree, False, False)]
     has_article = any(name.split(".")[0] in CONTENT for name in re.findall(r"[^() ]+", shape))
+    seen, todo = [], [(tree, False, False, ())]
     while todo:
-        node, template, article = todo.pop()
+        node, template, article, path = todo.pop()
         tag, *words = node.label.split(".")
-        if tag == "header":
-            says = not article
-        else:
-            says = tag in PLAIN_TEMPLATE or (total < PAGES and MARK in words and tag not in CONTENT and tag != "body")
-        template = template or (says and node.number not in around)
+        plain = not article if tag == "header" else tag in PLAIN_TEMPLATE
+        template = template or (plain and node.number not in around)
         article = article or tag in CONTENT
+        path = (*path, (node.number, MARK in words and tag not in CONTENT and tag != "body" and node.number not in around))
         n, different = pages[node.number], variants[node.number]
         if article:
             constant = n >= ARTICLE_PAGES and different == 1
         else:
             constant = n >= PAGES and different <= max(1, VARIETY * n)
-        out[node.number] = not template and not constant and (article or not has_article)
-        todo += [(child, template, article) for child in node.children]
+        if not template and not constant and (article or not has_article):
+            seen.append((node.number, path))
+        todo += [(child, template, article, path) for child in node.children]
+    densest = max((x for x in seen if sizes[x[0]]), key=lambda x: (not any(marked for _, marked in x[1]), sizes[x[0]], -x[0]), default=(0, ()))
+    above = {number for number, _ in densest[1]}
+    for number, path in seen:
+        out[number] = not any(marked and other not in above for other, marked in path)
     return out
 
 
@@ -279,7 +288,7 @@ def parsed(pages: DataFrame, schema: str, columns) -> DataFrame:
 def page_shapes(found):
     import xxhash
 
-    nodes, texts, pages = [], [], []
+    nodes, texts, sizes, pages = [], [], [], []
     for _, blocks in found:
         pages.append(xxhash.xxh3_128_digest("\n".join(text for _, text in blocks).encode("utf-8", "replace")))
         own: dict[int, list[str]] = {}
@@ -287,7 +296,10 @@ def page_shapes(found):
             own.setdefault(node, []).append(text)
         nodes.append(list(own))
         texts.append([xxhash.xxh3_64_intdigest("\n".join(x).encode()) - (1 << 63) for x in own.values()])
-    return ["shape", "page", "nodes", "texts"], [pa.array([s for s, _ in found]), pa.array(pages, pa.binary()), pa.array(nodes, pa.list_(pa.int32())), pa.array(texts, pa.list_(pa.int64()))]
+        sizes.append([sum(map(len, x)) for x in own.values()])
+    return ["shape", "page", "nodes", "texts", "sizes"], [
+        pa.array([s for s, _ in found]), pa.array(pages, pa.binary()), pa.array(nodes, pa.list_(pa.int32())), pa.array(texts, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32())),
+    ]
 
 
 def page_blocks(found):
@@ -298,9 +310,9 @@ def page_blocks(found):
 
 def wrappers(pages: DataFrame) -> DataFrame:
     """host, shape, kept (a boolean per node): the wrappers of all hosts of `pages` (url, html)."""
-    seen = stored(parsed(pages.select(host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html")), "host string, shape string, page binary, nodes array<int>, texts array<bigint>", page_shapes))
+    seen = stored(parsed(pages.select(host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html")), "host string, shape string, page binary, nodes array<int>, texts array<bigint>, sizes array<int>", page_shapes))
     shapes = seen.groupBy("host", "shape", "page").agg(F.count(F.lit(1))).groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"))
-    different = seen.groupBy("host", "page").agg(F.min(F.struct("shape", "nodes", "texts")).alias("one")).select("host", "one.*")
+    different = seen.groupBy("host", "page").agg(F.min(F.struct("shape", "nodes", "texts", "sizes")).alias("one")).select("host", "one.*")
     reference = shapes.groupBy(F.col("host").alias("of")).agg(F.max_by("shape", F.struct("n", "shape")).alias("reference"))
 
     def align(batches):
@@ -311,22 +323,20 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
     aligned = shapes.join(reference, F.col("host") == F.col("of")).select("host", "shape", "reference").mapInArrow(align, "host string, shape string, slots array<string>")
     slots = stored(aligned.select("host", "shape", F.posexplode("slots").alias("node", "slot")))
-    counted = different.select("host", "shape", F.inline(F.arrays_zip(F.col("nodes").alias("node"), F.col("texts").alias("text")))).groupBy("host", "shape", "node", "text").agg(F.count(F.lit(1)).alias("n"))
+    counted = different.select("host", "shape", F.inline(F.arrays_zip(F.col("nodes").alias("node"), F.col("texts").alias("text"), F.col("sizes").alias("size")))).groupBy("host", "shape", "node", "text").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"))
     facts = (
-        counted.join(slots, ["host", "shape", "node"]).groupBy("host", "slot", "text").agg(F.sum("n").alias("n"))
-        .groupBy("host", "slot").agg(F.sum("n").alias("pages"), F.count(F.lit(1)).alias("variants"))
+        counted.join(slots, ["host", "shape", "node"]).groupBy("host", "slot", "text").agg(F.sum("n").alias("n"), F.max("size").alias("size"))
+        .groupBy("host", "slot").agg(F.sum("n").alias("pages"), F.count(F.lit(1)).alias("variants"), F.sum("size").alias("size"))
     )
-    totals = different.groupBy(F.col("host").alias("t_host")).agg(F.count(F.lit(1)).alias("total"))
-    rows = slots.join(facts, ["host", "slot"], "left").groupBy("host", "shape").agg(F.sort_array(F.collect_list(F.struct("node", F.coalesce("pages", F.lit(0)).alias("pages"), F.coalesce("variants", F.lit(0)).alias("variants")))).alias("x"))
+    rows = slots.join(facts, ["host", "slot"], "left").groupBy("host", "shape").agg(F.sort_array(F.collect_list(F.struct("node", F.coalesce("pages", F.lit(0)).alias("pages"), F.coalesce("variants", F.lit(0)).alias("variants"), F.coalesce("size", F.lit(0)).alias("size")))).alias("x"))
 
     def decide(batches):
         for batch in batches:
             rows = batch.to_pydict()
-            kept = [kept_nodes(*x) for x in zip(rows["shape"], rows["pages"], rows["variants"], rows["total"])]
+            kept = [kept_nodes(*x) for x in zip(rows["shape"], rows["pages"], rows["variants"], rows["sizes"])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.list_(pa.bool_()))], names=["host", "shape", "kept"])
 
-    rows = rows.join(totals, F.col("host") == F.col("t_host"))
-    return rows.select("host", "shape", F.col("x.pages").alias("pages"), F.col("x.variants").alias("variants"), "total").mapInArrow(decide, "host string, shape string, kept array<boolean>")
+    return rows.select("host", "shape", F.col("x.pages").alias("pages"), F.col("x.variants").alias("variants"), F.col("x.size").alias("sizes")).mapInArrow(decide, "host string, shape string, kept array<boolean>")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
