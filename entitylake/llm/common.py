@@ -44,12 +44,15 @@ def free_names(taken: list[str], *wanted: str) -> list[str]:
 
 
 def bounded_sample(df: DataFrame, rows: int) -> DataFrame:
-    """About `rows` rows, never more, the same in every run: those with the smallest hash of the whole row.
+    """`rows` different rows, or all if there are fewer, the same in every run: those with the smallest hash of the whole row.
 
-    The share is cut first where the rows are, so tasks send on little more than is kept.
+    Copies count once, so a table of few different rows gives all of them, and only an empty one gives none. The share is
+    cut first where the rows are, so tasks send on little more than is kept.
     """
+    df = df.distinct()
     total = df.count()
     if total <= rows:
         return df
     place = F.pmod(F.xxhash64(*df.columns), F.lit(1 << 31))
-    return df.where(place < int((1 << 31) * rows / total)).orderBy(F.xxhash64(*df.columns), *df.columns).limit(rows)
+    share = (rows + 8 * rows**0.5 + 8) / total  # more than `rows` of them, but for a chance of nothing
+    return df.where(place < int((1 << 31) * min(1.0, share))).orderBy(F.xxhash64(*df.columns), *df.columns).limit(rows)

@@ -2,6 +2,8 @@
 
 import math
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from entitylake.llm import langid, wrapper
@@ -89,3 +91,31 @@ def test_names_do_not_override_what_varies_or_holds_the_article(spark):
     varies = [("http://varies.x/", f'<body><div class="menu">same</div><div class="search"><p>found {i}</p></div>') for i in range(4)]
     single = [("http://single.x/", '<body><div class="sidebar">links</div><div class="c">body</div>')]
     assert page_texts(spark, around + part + varies + single) == ["t0 b0", "t1 b1", "words", *(f"found {i}" for i in range(4)), "body"]
+
+
+@pytest.mark.parametrize("article", [True, False])
+def test_varying_sidebars_adverts_and_comments_are_template(spark, article):
+    tag = "article" if article else "div class='post'"
+    inner = "<div class='advert'><p>Buy item {i}</p></div><section class='comments'><p>User{i} says {i}, at length and more than the story itself has to say</p></section>"
+    page = f"<body><div class='sidebar'><p>Links of day {{i}}</p></div><{tag}><h1>T {{i}}</h1><p>Story {{i}} told here in full</p>{inner}</{tag.split()[0]}><div id='comments'><p>Reader {{i}} wrote</p></div></body>"
+    for n in (1, 2, 20):
+        got = page_texts(spark, [(f"http://many{n}.x/{i}", page.format(i=i)) for i in range(n)])
+        assert got == [f"T {i} Story {i} told here in full" for i in range(n)], n
+
+
+def test_broken_quotes_are_read_in_linear_time():
+    import time
+
+    started = time.time()
+    for bad in ("<div " + "'\"" * 5000, "<div " + '"' * 10_001 + ">x", "<a b='\"" * 3000 + ">", "<script " + "\"'" * 3000 + ">"):
+        wrapper.read("<p>before</p>" + bad)
+    assert time.time() - started < 2
+
+
+def test_sample_of_copies_is_never_empty(spark):
+    from entitylake.llm.common import bounded_sample
+
+    copies = spark.range(2000).selectExpr("id % 3 AS x")
+    for bound in (1, 2, 5, 20):
+        assert bounded_sample(copies, bound).count() == min(bound, 3)
+    assert bounded_sample(copies, 20).count() == 3 and bounded_sample(copies.limit(0), 20).count() == 0
