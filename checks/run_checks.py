@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from entitylake.functions.text import join_list
 from entitylake.plans.discovery import Inputs
+from entitylake.plans.main_run import MainInputs, MainRun, run_main_and_save
 from entitylake.plans.saved_run import Discovery, current_links, run_and_save
 from entitylake.rules import domain_lists as dl
 from entitylake.rules import run_rules as rr
@@ -18,11 +19,13 @@ from entitylake.streaming.run import new_folder
 from . import page_checks as pc
 from . import sqltext as q
 from .derived import spark_table
-from .entity_checks import ABOUT, FIRST_URL, PROFILE, show_people
+from .entity_checks import ABOUT, FIRST_URL, PAGE_PROFILES, PROFILE, show_people, stored_profiles
 from .plan_checks import inputs as first_round_inputs
+from .query_checks import analysis, company_cases, target_sql
 from .registry import checked
-from .score_checks import ASKED, SCORE_SQL, VERDICT_SQL, entities
-from .serve_checks import CANDIDATES, CUSES, DEDUP, VERSIONS_JSON
+from .score_checks import ASKED, SCORE_SQL, VERDICT_SQL, entities, matched_sql
+from .serve_checks import _CLEAN as CLEAN
+from .serve_checks import CANDIDATES, CUSES, DEDUP, VERSIONS_JSON, suggestions
 
 AS_OF, NOW = datetime(2024, 3, 1), "TIMESTAMP '2024-03-01 00:00:00'"
 USES = CUSES + " fx_run_pages fx_pairs"
@@ -170,3 +173,93 @@ UNION ALL SELECT query_id, {q.lit(rr.UNSUPPORTED_URL)}, 0, 0, 1, 'unsupported',
 UNION ALL SELECT query_id, {q.lit(rr.NO_NEW_URL)}, 0, 0, 1, 'no_new_results', {q.lit(rr.NO_NEW_ERROR)}, 0 FROM oc WHERE n > 0 AND again AND fresh = 0""")
 def discovery_logs(spark, sf):
     return after_run(spark, sf).log("crawl_logs").drop("run_id", "created_at")
+
+
+# --- the main path ------------------------------------------------------------------------------
+
+_SBL = q.inlist(dl.SEARCH_BLOCKLIST)
+_PIK = r"regexp_replace(lower(t.profile_industry), '[\s-]', '_', 'g')"
+_LOCK = f"CASE WHEN {_PIK} IN {q.inlist(dl.INDUSTRY_KEYS)} THEN {_PIK} " + " ".join(f"WHEN {_PIK} = {q.lit(k)} THEN {q.lit(v)}" for k, v in dl.INDUSTRY_ALIASES.items()) + " END"
+_TARGET = company_cases(target_sql("raw", "literal"), dl.KNOWN_COMPANY_DOMAINS)
+_HOST = f"regexp_replace({q.host('link')}, '^www\\.', '')"
+MAIN = f"""{analysis('fx_queries')},
+{_on_run_pages(PAGE_PROFILES)},
+{pc.SUBPAGES}, {FIRST_URL}, {ABOUT},
+merged_profiles AS (SELECT coalesce(s.domain, p.domain) AS domain, s.industry, CASE WHEN coalesce(s.primary_services, '') <> '' THEN s.primary_services ELSE coalesce(p.prim, '') END AS primary_services,
+  coalesce(s.business_model, p.business_model, 'unknown') AS business_model FROM fx_profiles s FULL OUTER JOIN page_profiles p ON s.domain = p.domain),
+tq AS (SELECT query_id, industry AS profile_industry FROM (SELECT query_id, {_TARGET} AS d FROM fx_queries) JOIN merged_profiles ON d = domain),
+sug AS (SELECT * FROM fx_suggestions WHERE confidence >= 0.5), wi AS (SELECT query_id, arg_min(industry, pos) AS w FROM fx_web WHERE industry IS NOT NULL GROUP BY query_id),
+ctx AS (SELECT q7.* EXCLUDE (industry), coalesce({_LOCK}, q7.industry, CASE WHEN t.profile_industry IS NULL THEN sug.industry END, w) AS industry
+  FROM q7 LEFT JOIN tq t ON t.query_id = q7.query_id LEFT JOIN sug ON sug.query_id = q7.query_id LEFT JOIN wi ON wi.query_id = q7.query_id),
+lay0 AS (SELECT query_id, 1 AS layer, unnest(l) AS d, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT query_id, list_concat(string_split(competitors, '|'), CASE WHEN company <> '' THEN [company] ELSE [] END) AS l FROM sug)
+  UNION ALL SELECT query_id, 2, domain, pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS r FROM fx_web) WHERE r <= 25),
+lay2 AS (SELECT query_id, layer, pos, {CLEAN.format('d')} AS domain FROM lay0 WHERE contains({CLEAN.format('d')}, '.') AND {CLEAN.format('d')} NOT IN {_SBL}),
+lay3 AS (SELECT * FROM lay2 UNION ALL SELECT query_id, 99, 0, 'brand' || CAST(query_id % 9 + 1 AS STRING) || '.com' FROM fx_queries WHERE query_id NOT IN (SELECT query_id FROM lay2)),
+lay4 AS (SELECT query_id, domain, min((layer, pos)) AS b FROM lay3 GROUP BY query_id, domain),
+mc AS (SELECT query_id, domain, row_number() OVER (PARTITION BY query_id ORDER BY b[1], b[2], domain) AS pos FROM lay4 QUALIFY pos <= 18),
+hm AS (SELECT domain, min(page_id) AS page_id FROM pg WHERE html <> '' GROUP BY domain),
+pl AS (SELECT page_id, link, min(pos) AS lp FROM links WHERE NOT internal AND {q.host('link')} IS NOT NULL AND {_HOST} NOT IN {_SBL} GROUP BY page_id, link),
+pt AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY lp) AS r FROM pl QUALIFY r <= 4),
+ml0 AS (SELECT mc.query_id, pt.link, min(mc.pos * 1000 + r) AS place FROM mc JOIN hm USING (domain) JOIN pt USING (page_id) GROUP BY ALL),
+ml1 AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY place, link) AS pos, {q.domain('link')} AS domain FROM ml0 QUALIFY pos <= 4),
+ma AS (SELECT query_id, 1 AS round, pos, domain FROM mc UNION ALL SELECT query_id, 2, pos, domain FROM ml1),
+sx0 AS (SELECT url AS subpage_url, arg_min(body_text, page_id) AS st FROM bodies GROUP BY url),
+site AS (SELECT e.*, substr(CASE WHEN st <> '' THEN substr(st, 1, 3000) || chr(10) || chr(10) || e.body_text ELSE e.body_text END, 1, 3000) AS match_text
+  FROM entities e LEFT JOIN (SELECT * FROM subpages WHERE kind = 'services') s ON s.page_id = e.page_id LEFT JOIN sx0 USING (subpage_url)),
+asked_pairs AS (SELECT ma.query_id, ma.round, ma.pos, ma.round * 1000 + ma.pos AS entity_id, e.*, q7.raw, {ASKED}, replace(q7.industry, '_', ' ') AS category
+  FROM ma JOIN site e ON e.domain = ma.domain JOIN hm ON hm.page_id = e.page_id JOIN ctx q7 ON q7.query_id = ma.query_id),
+{SCORE_SQL},
+{VERDICT_SQL},
+{matched_sql('merged_profiles', 'v.match_text', 'body_text')},
+ac AS (SELECT *, row_number() OVER (PARTITION BY query_id, domain ORDER BY round, pos) AS nth FROM tiered WHERE rejection_reason IS NULL),
+before_links AS (SELECT DISTINCT raw, e.domain FROM fx_pairs p JOIN fx_queries USING (query_id) JOIN fx_entities e USING (entity_id) WHERE entity_id % 3 = 0),
+saved AS (SELECT s.* EXCLUDE (founders), a.founders, NOT EXISTS (SELECT 1 FROM ac b WHERE b.nth = 1 AND b.raw = s.raw AND b.domain = s.domain AND b.query_id < s.query_id)
+    AND NOT EXISTS (SELECT 1 FROM before_links l WHERE l.raw = s.raw AND l.domain = s.domain) AS is_new,
+  row_number() OVER (PARTITION BY s.query_id ORDER BY match_score DESC, confidence DESC, domain) AS place FROM ac s JOIN about_people a ON a.page_id = s.page_id WHERE nth = 1)"""
+MAIN_USES = "fx_queries fx_entities fx_suggestions fx_web fx_profiles fx_run_pages fx_pairs"
+_PLACED = "CASE WHEN matched_services <> '' THEN 'Shares ' || len(string_split(matched_services, '|')) || ' key service' || CASE WHEN contains(matched_services, '|') THEN 's' ELSE '' END || ': ' || array_to_string(list_slice(string_split(matched_services, '|'), 1, 3), ', ') END"
+
+
+def main_inputs(spark, sf) -> MainInputs:
+    broader = spark_table(spark, sf, "fx_queries").select("query_id", F.lit(0).alias("pos"), F.concat(F.lit("brand"), (F.col("query_id") % 9 + 1).cast("string"), F.lit(".com")).alias("domain"))
+    pages = spread(spark_table(spark, sf, "fx_run_pages"))
+    return MainInputs(spark_table(spark, sf, "fx_queries"), pages, suggestions(spark, sf), spark_table(spark, sf, "fx_web"), broader, stored_profiles(spark, sf))
+
+
+_MAIN_RUNS: dict[tuple[str, str], EntityStore] = {}
+
+
+def after_main_run(spark, sf) -> EntityStore:
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _MAIN_RUNS:
+        store = new_store(spark, sf)
+        run_main_and_save(store, main_inputs(spark, sf), "march", AS_OF)
+        _MAIN_RUNS[key] = store
+    return _MAIN_RUNS[key]
+
+
+@checked("main_run_saved", MAIN_USES, f"""WITH {MAIN} SELECT query_id, round, pos, place, domain, name, founders, match_score, confidence, relevance, category, is_new,
+CASE WHEN profile_domain IS NOT NULL THEN competitor_tier END AS competitor_tier, {_PLACED} AS positioning FROM saved""")
+def main_run_saved(spark, sf):
+    saved = MainRun(main_inputs(spark, sf), earlier_links(spark, sf).select("raw", "domain")).saved
+    shown = saved.withColumns({"founders": show_people(F.col("founders")), "pos": F.col("pos").cast("bigint"), "place": F.col("place").cast("bigint")})
+    return shown.drop("raw", "asked_at", *[c for c in saved.columns if c in ("description", "services", "linkedin", "twitter", "technologies", "locations", "emails", "phones", "source", "meta_title", "meta_description")])
+
+
+@checked("main_run_entities", MAIN_USES, f"""WITH {MAIN}, {DEDUP},
+sv AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY query_id DESC) AS r, {_PLACED} AS shares FROM saved)
+SELECT coalesce(s.domain, d.domain) AS domain, CASE WHEN s.domain IS NULL THEN d.name ELSE s.name END AS name, CASE WHEN s.domain IS NULL THEN d.relevance ELSE s.relevance END AS relevance,
+  CASE WHEN s.profile_domain IS NOT NULL THEN s.competitor_tier END AS competitor_tier, s.shares AS positioning, coalesce(d.first_seen, {NOW}) AS first_seen, CASE WHEN s.domain IS NULL THEN d.last_seen ELSE {NOW} END AS last_seen
+FROM (SELECT * FROM sv WHERE r = 1) s FULL JOIN (SELECT * FROM de WHERE rn = 1) d ON d.domain = s.domain""")
+def main_run_entities(spark, sf):
+    return after_main_run(spark, sf).entities().select("domain", "name", "relevance", "competitor_tier", "positioning", "first_seen", "last_seen")
+
+
+@checked("main_run_logs", MAIN_USES, f"""WITH {MAIN}, ag AS (SELECT query_id, count(*) FILTER (is_new) AS fresh FROM saved GROUP BY query_id),
+oc AS (SELECT q.query_id, coalesce(ag.fresh, 0) AS fresh, EXISTS (SELECT 1 FROM before_links l WHERE l.raw = q.raw) OR EXISTS (SELECT 1 FROM saved s WHERE s.raw = q.raw AND s.query_id < q.query_id) AS again
+  FROM fx_queries q LEFT JOIN ag USING (query_id))
+SELECT query_id, 'https://' || domain AS url, round, pos, 'success' AS status, CAST(NULL AS VARCHAR) AS error, CAST(is_new AS INTEGER) AS entities_found FROM saved
+UNION ALL SELECT query_id, 'https://' || domain, round, pos, 'skipped', rejection_reason, 0 FROM tiered WHERE rejection_reason IS NOT NULL
+UNION ALL SELECT query_id, {q.lit(rr.NO_NEW_URL)}, 0, 0, 'no_new_results', {q.lit(rr.NO_NEW_ERROR)}, 0 FROM oc WHERE again AND fresh = 0""")
+def main_run_logs(spark, sf):
+    return after_main_run(spark, sf).log("crawl_logs").drop("run_id", "created_at", "event")

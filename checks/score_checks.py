@@ -161,10 +161,14 @@ def match_pairs(spark, sf):
 
 
 _WORDS = rf"list_filter(string_split_regex(regexp_replace(lower(service), '[^a-z0-9/ ]', ' ', 'g'), '\s+'), lambda w: length(w) > 2 AND NOT list_contains({q.items(vr.SERVICE_STOP_WORDS)}, w))"
-PHRASES = f"""sx1 AS (SELECT domain, unnest(string_split(primary_services, '|')) AS service, generate_subscripts(string_split(primary_services, '|'), 1) AS pos, len(string_split(primary_services, '|')) AS n FROM fx_profiles WHERE primary_services <> ''),
+def phrases_sql(profiles="fx_profiles"):
+    return f"""sx1 AS (SELECT domain, unnest(string_split(primary_services, '|')) AS service, generate_subscripts(string_split(primary_services, '|'), 1) AS pos, len(string_split(primary_services, '|')) AS n FROM {profiles} WHERE primary_services <> ''),
 sx2 AS (SELECT *, {_WORDS} AS words FROM sx1),
 phrases AS (SELECT domain, service, pos, n, unnest(words) AS phrase FROM sx2 UNION ALL
   SELECT domain, service, pos, n, words[i] || ' ' || words[i + 1] AS phrase FROM (SELECT *, unnest(range(1, len(words))) AS i FROM sx2))"""
+
+
+PHRASES = phrases_sql()
 _HIT = r"CASE WHEN contains(phrase, ' ') THEN contains(corpus, phrase) ELSE regexp_matches(corpus, '\b' || phrase || '\b') END"
 
 
@@ -172,11 +176,11 @@ def _align(a, b, unknown):
     return f"CASE WHEN {unknown} THEN 0.5::DOUBLE WHEN {a} = {b} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
 
 
-MATCHED = f"""{VERDICT},
-{PHRASES},
+def matched_sql(profiles="fx_profiles", text="coalesce(v.description, '')", model_text="bt"):
+    return f"""{phrases_sql(profiles)},
 tg0 AS (SELECT query_id, {company_cases(target_sql('raw', 'literal'), dl.KNOWN_COMPANY_DOMAINS)} AS pdom FROM fx_queries),
-tg1 AS (SELECT query_id, pdom AS profile_domain, primary_services, business_model AS profile_model, industry AS profile_industry FROM tg0 JOIN fx_profiles ON pdom = domain),
-m1 AS (SELECT v.*, coalesce(v.description, '') AS bt, t.profile_domain, t.primary_services, t.profile_model, t.profile_industry, k.primary_services AS stored_services, k.business_model AS stored_model, k.industry AS stored_industry
+tg1 AS (SELECT query_id, pdom AS profile_domain, primary_services, business_model AS profile_model, industry AS profile_industry FROM tg0 JOIN {profiles} ON pdom = domain),
+m1 AS (SELECT v.*, {text} AS bt, t.profile_domain, t.primary_services, t.profile_model, t.profile_industry, k.primary_services AS stored_services, k.business_model AS stored_model, k.industry AS stored_industry
   FROM verdict v LEFT JOIN tg1 t ON t.query_id = v.query_id LEFT JOIN fx_profiles k ON k.domain = v.domain),
 m2 AS (SELECT *, lower(replace(CASE WHEN coalesce(stored_services, '') <> '' THEN stored_services ELSE services END, '|', ' ') || ' ' || bt) AS corpus FROM m1),
 m3 AS (SELECT query_id, entity_id, string_agg(service, '|' ORDER BY pos) AS matched, count(*)::DOUBLE / any_value(n) AS share FROM (
@@ -184,7 +188,7 @@ m3 AS (SELECT query_id, entity_id, string_agg(service, '|' ORDER BY pos) AS matc
 matched AS (SELECT m2.*, coalesce(matched, '') AS matched_services, CASE WHEN coalesce(primary_services, '') = '' THEN 0.5::DOUBLE ELSE coalesce(share, 0.0::DOUBLE) * 0.6::DOUBLE
   + {_align('profile_model', "coalesce(stored_model, 'unknown')", "profile_model = 'unknown' OR coalesce(stored_model, 'unknown') = 'unknown'")} * 0.2::DOUBLE
   + {_align('profile_industry', 'stored_industry', 'profile_industry IS NULL OR stored_industry IS NULL')} * 0.2::DOUBLE END AS match_score,
-  coalesce(stored_model, CASE WHEN {q.hits('bt', E.rules.MATCHER_TOOL_SIGNALS)} >= 2 THEN 'tool' WHEN regexp_matches(bt, {q.i(E.rules.MATCHER_AGENCY)}) THEN 'agency' WHEN regexp_matches(bt, {q.i(E.rules.BRAND_SIGNAL)}) THEN 'brand' ELSE 'unknown' END) AS business_model
+  coalesce(stored_model, CASE WHEN {q.hits(model_text, E.rules.MATCHER_TOOL_SIGNALS)} >= 2 THEN 'tool' WHEN regexp_matches({model_text}, {q.i(E.rules.MATCHER_AGENCY)}) THEN 'agency' WHEN regexp_matches({model_text}, {q.i(E.rules.BRAND_SIGNAL)}) THEN 'brand' ELSE 'unknown' END) AS business_model
   FROM m2 LEFT JOIN m3 USING (query_id, entity_id)),
 filtered AS (SELECT *, CASE WHEN NOT is_valid AND list_contains(flags, 'tool_not_agency') THEN 'tool' WHEN NOT is_valid THEN 'low_score' WHEN {_SENS} AND business_model = 'tool' THEN 'tool'
     WHEN coalesce(primary_services, '') <> '' AND match_score < 0.1::DOUBLE THEN 'no_match' END AS reason_class,
@@ -192,6 +196,9 @@ filtered AS (SELECT *, CASE WHEN NOT is_valid AND list_contains(flags, 'tool_not
     WHEN coalesce(primary_services, '') <> '' AND match_score < 0.1::DOUBLE THEN 'No service overlap with query company profile' END AS rejection_reason
   FROM matched WHERE profile_domain IS NULL OR domain <> profile_domain),
 tiered AS (SELECT *, CASE WHEN match_score >= 0.6::DOUBLE AND business_model = profile_model THEN 'direct' WHEN match_score >= 0.2::DOUBLE THEN 'partial' ELSE 'broader' END AS competitor_tier FROM filtered)"""
+
+
+MATCHED = f"{VERDICT},\n{matched_sql()}"
 MUSES = USES + " fx_profiles"
 
 

@@ -20,7 +20,7 @@ def stream_of(spark, sf, derived, given):
     return spark.sql(sql, **{given: read_stream(spark, sf, given)})
 
 
-def batches_of(spark, sf, derived, order="", batches=4):
+def batches_of(spark, sf, derived, order="", batches=3):
     """A derived table as a stream of several micro-batches, in time or in no order."""
     return in_batches(spark_table(spark, sf, derived), batches, order)
 
@@ -68,12 +68,18 @@ def stream_crawl_windows(spark, sf):
     return found.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
+_FEEDS: dict[tuple[str, str], EntityFeed] = {}
+
+
 def run_feed(spark, sf):
-    """Versions in no order at all, over several batches."""
-    stream = batches_of(spark, sf, "fx_versions")
-    feed = EntityFeed(new_folder(spark), ORDER)
-    feed.run(stream.withColumns({c: split_list(F.col(c)) for c in ("services", "emails")}))
-    return feed
+    """Versions in no order at all, over three batches; one run serves the queries that read the tables of the feed."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _FEEDS:
+        stream = batches_of(spark, sf, "fx_versions", batches=3)
+        feed = EntityFeed(new_folder(spark), ORDER)
+        feed.run(stream.withColumns({c: split_list(F.col(c)) for c in ("services", "emails")}))
+        _FEEDS[key] = feed
+    return _FEEDS[key]
 
 
 @checked("stream_entity_upsert", "fx_versions", """WITH r AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY version_ts DESC, version_id DESC) AS n, min(version_ts) OVER (PARTITION BY domain) AS first_seen FROM fx_versions)

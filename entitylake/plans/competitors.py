@@ -29,12 +29,14 @@ class Outputs:
     rejections: DataFrame
 
 
-def page_profiles(pages: DataFrame) -> DataFrame:
-    """Company profile of the first captured page (smallest page_id) of each domain.
+def page_profiles(pages: DataFrame, domains: DataFrame | None = None) -> DataFrame:
+    """Company profile of the first captured page (smallest page_id) of each domain, or of the given ones (domain) only.
 
     The pages are found by id alone; only theirs are extracted, and html is never sorted.
     """
-    first = pages.select(domain_of(F.col("url")).alias("domain"), "page_id").groupBy("domain").agg(F.min("page_id").alias("page_id"))
+    named = pages.select(domain_of(F.col("url")).alias("domain"), "page_id")
+    asked = named if domains is None else named.join(domains, "domain", "left_semi")
+    first = asked.groupBy("domain").agg(F.min("page_id").alias("page_id"))
     home = with_domain(pages.join(first.select("page_id"), "page_id", "left_semi"))
     page = with_technologies(with_headings(with_body_text(with_meta(home))))
     roles = service_prominence(with_engagement(page.withColumn("services", page_services())))
