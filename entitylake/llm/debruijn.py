@@ -75,7 +75,7 @@ def compact_passes(docs: DataFrame, size: int = SIZE, digit: int = DIGIT) -> tup
     marks = on_coordinates(stretches, judged.where(F.col("state") != repeats.SURE), size)
     marked = stored(repeats.with_text(rows, found, marks))
     settle(docs.sparkSession)
-    return found, repeats.finish(marked, repeats.Words, size)
+    return found, repeats.finish(marked, repeats.Words, size, digit)
 
 
 def repeated_words(docs: DataFrame, size: int = SIZE, digit: int = DIGIT) -> DataFrame:

@@ -48,7 +48,7 @@ def sort_passes(docs: DataFrame, size: int = SIZE, digit: int = DIGIT) -> tuple[
     marked = stored(repeats.with_text(rows, found, bucket_lists(repeats.judged_pieces(shared), size)))
     release(shared)
     settle(docs.sparkSession)
-    return found, repeats.finish(marked, repeats.Bytes, size)
+    return found, repeats.finish(marked, repeats.Bytes, size, digit)
 
 
 def repeated_bytes(docs: DataFrame, size: int = SIZE, digit: int = DIGIT) -> DataFrame:

@@ -24,6 +24,8 @@ SURE, MODEL, OPEN = 0, 1, 2
 #: Added to the state where a sync point has more different pieces than one task compares; there single windows are shuffled.
 BUSY = 4
 MOST_PIECES = 1024
+#: Distances from the sync point that one chunk of windows spans there, pass by pass.
+STEPS = (16, 4, 1)
 
 
 def texts(batch: pa.RecordBatch, name: str) -> list[bytes]:
@@ -171,15 +173,15 @@ def pieces_of(rows: dict, held: Bytes, busy: bool):
                 yield i, doc, low, n, sync, bool(state & OPEN), base + low
 
 
-def compare_windows(marked: DataFrame, unit: type[Bytes], size: int) -> DataFrame:
-    """doc, at: starts of the windows of OPEN pieces that also start elsewhere.
+def compare_windows(marked: DataFrame, unit: type[Bytes], size: int, digit: int) -> DataFrame:
+    """doc, at, n: runs of n windows of OPEN pieces, from `at` on, that also start elsewhere.
 
     `marked` has doc, text and the lists c_low, c_windows, c_sync, c_state of its MODEL and OPEN pieces. Pieces of a sync point meet in
-    one row, with their tokens, where all windows are compared; those of a busy sync point send single windows, which
+    one row, with their tokens, where all windows are compared; those of a busy sync point send names of chunks of windows, which
     are counted wherever they fall. Equal windows have the same sync point, so a window is named by its hash and its own, 128 bits together.
     """
     rows = marked.select("doc", "text", "c_low", "c_windows", "c_sync", "c_state")
-    return together(rows, unit, size).union(one_by_one(rows, unit, size))
+    return together(rows, unit, size).union(one_by_one(rows, unit, size, digit))
 
 
 def together(rows: DataFrame, unit: type[Bytes], size: int) -> DataFrame:
@@ -216,34 +218,89 @@ def together(rows: DataFrame, unit: type[Bytes], size: int) -> DataFrame:
             again[order[:-1][same]] = True
             hit = np.flatnonzero(again & is_open[piece])
             at = low[piece] + np.arange(len(key)) - np.concatenate(([0], np.cumsum(n)[:-1]))[piece] if len(key) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([pa.array(doc[piece[hit]], pa.int64()), pa.array(at[hit].astype(np.int32), pa.int32())], names=["doc", "at"])
+            single = np.ones(len(hit), dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[piece[hit]], pa.int64()), pa.array(at[hit].astype(np.int32), pa.int32()), pa.array(single)], names=["doc", "at", "n"])
 
     sent = rows.mapInArrow(send, "sync bigint, doc bigint, low int, windows int, is_open boolean, tokens binary")
     met = sent.groupBy("sync").agg(F.collect_list(F.struct("doc", "low", "windows", "is_open", "tokens")).alias("pieces")).where("size(pieces) > 1")
-    return met.select("pieces").mapInArrow(compare, "doc bigint, at int")
+    return met.select("pieces").mapInArrow(compare, "doc bigint, at int, n int")
 
 
-def one_by_one(rows: DataFrame, unit: type[Bytes], size: int) -> DataFrame:
+def one_by_one(rows: DataFrame, unit: type[Bytes], size: int, digit: int) -> DataFrame:
+    """doc, at, n: runs of windows of busy OPEN pieces that also start elsewhere.
+
+    Windows that are equal lie at the same distance from their sync point. A piece sends its windows in chunks of neighbouring
+    distances, STEPS[0] at first, each named by the tokens that all its windows share. A chunk whose name stands alone leaves.
+    Where all chunks of a name are equal as a whole, all their windows repeat; else they are split into the next smaller chunks,
+    down to single windows. Names are counted by sums, so copies of one passage are one row per task before they meet.
+    """
+    last, levels = len(STEPS) - 1, "struct<c:int,core:bigint,whole:bigint,at:int,n:int{}>"
+    kind = levels.format("")
+    for _ in STEPS[:-1]:
+        kind = levels.format(f",parts:array<{kind}>")
+
     def send(batches):
         for batch in batches:
             for part in range(0, batch.num_rows, 64):
                 some = batch.slice(part, 64).to_pydict()
                 held = unit([x or b"" for x in some["text"]])
-                for _, doc, low, n, sync, is_open, first in pieces_of(some, held, busy=True):
-                    key = rolling.windows(rolling.sums(held.codes(first, first + n + size - 1)), size).view(np.int64)
-                    columns = (np.full(n, doc, np.int64), np.arange(low, low + n, dtype=np.int32), np.full(n, sync, np.int64), key, np.full(n, is_open))
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["doc", "at", "sync", "key", "is_open"])
+                made = [(doc, sync, is_open, chunks(held.codes(first, first + n + size - 1), low, n, size, digit)) for _, doc, low, n, sync, is_open, first in pieces_of(some, held, busy=True)]
+                if made:
+                    doc, sync, is_open, found = zip(*made)
+                    arrow = pa.array(found, pa.list_(arrow_type(0)))
+                    yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(sync, pa.int64()), pa.array(is_open), arrow], names=["doc", "sync", "is_open", "chunks"])
+
+    def arrow_type(level: int):
+        fields = [("c", pa.int32()), ("core", pa.int64()), ("whole", pa.int64()), ("at", pa.int32()), ("n", pa.int32())]
+        return pa.struct(fields if level == last else [*fields, ("parts", pa.list_(arrow_type(level + 1)))])
 
     busy = rows.where(F.exists("c_state", lambda x: x.bitwiseAND(F.lit(BUSY)) != 0))
-    sent = busy.mapInArrow(send, "doc bigint, at int, sync bigint, key bigint, is_open boolean")
-    places = F.count(F.lit(1)).over(Window.partitionBy("sync", "key"))
-    return sent.withColumn("places", places).where("is_open AND places > 1").select("doc", "at")
+    sent = stored(busy.mapInArrow(send, f"doc bigint, sync bigint, is_open boolean, chunks array<{kind}>"))
+    now, found = sent.select("doc", "sync", "is_open", F.inline("chunks")), []
+    for level in range(len(STEPS)):
+        name = ["sync", "c", "core"]
+        groups = now.groupBy(*name).agg(F.count(F.lit(1)).alias("places"), (F.min("whole") == F.max("whole")).alias("equal")).where("places > 1")
+        met = stored(now.join(groups.select(*[F.col(x).alias(f"of_{x}") for x in name], "equal"), [F.col(x) == F.col(f"of_{x}") for x in name]).drop(*[f"of_{x}" for x in name]))
+        found.append(met.where("equal AND is_open").select("doc", "at", "n"))
+        if level < last:
+            now = met.where("NOT equal").select("doc", "sync", "is_open", F.inline("parts"))
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out
+
+
+def chunks(codes: np.ndarray, low: int, n: int, size: int, digit: int) -> list[dict]:
+    """The windows of a piece (its tokens as codes, its first window, their number) as nested chunks of STEPS distances."""
+    total = rolling.sums(codes)
+    key = rolling.windows(total, size).view(np.int64)
+    # The sync point: all windows hold it, and every one has the same tokens at the same distance from it.
+    grams = rolling.windows(total, digit)[n - 1 : size - digit + 1] & ~rolling.PLACE
+    sync = n - 1 + int(grams.argmin())
+
+    def split(first: int, end: int, level: int) -> list[dict]:
+        """Windows first to end (exclusive) of the piece, in the order of their start."""
+        step, out, at = STEPS[level], [], first
+        while at < end:
+            c = (sync - at) // step
+            until = min(end, sync - c * step + 1)  # the last window of this chunk is c * step before the sync point
+            near, far = sync - c * step, sync - c * step - step + 1  # starts of the nearest and the farthest window of a whole chunk
+            core = key[at] if step == 1 else rolling.spans(total, np.array([near]), np.array([far + size])).view(np.int64)[0]
+            whole = key[at] if until - at == 1 else hash((at - sync, *key[at:until].tolist()))
+            made = {"c": c, "core": int(core), "whole": int(whole), "at": low + at, "n": until - at}
+            if level + 1 < len(STEPS):
+                made["parts"] = split(at, until, level + 1)
+            out.append(made)
+            at = until
+        return out
+
+    return split(0, n, 0)
 
 
 def cut(marked: DataFrame, unit: type[Bytes], size: int) -> DataFrame:
     """id, digest, n, low, high (maximal removed runs) and the kept text of each row.
 
-    `marked` has id, digest, text, the runs s_low and s_high and the window starts `at`, null for none.
+    `marked` has id, digest, text, the runs s_low and s_high and the runs of windows `at` (at, n), null for none.
     """
     kind = marked.schema["id"].dataType.simpleString()
     schema = f"id {kind}, digest binary, n bigint, low array<int>, high array<int>, kept binary"
@@ -256,10 +313,11 @@ def cut(marked: DataFrame, unit: type[Bytes], size: int) -> DataFrame:
                 held = unit([x or b"" for x in rows["text"]])
                 lows, highs, kept = [], [], []
                 for i in range(some.num_rows):
-                    at = np.array(rows["at"][i] or [], dtype=np.int64)
+                    runs = rows["at"][i] or []
+                    at, n = np.array([x["at"] for x in runs], dtype=np.int64), np.array([x["n"] for x in runs], dtype=np.int64)
                     low, high = rolling.merged(
                         np.concatenate((np.array(rows["s_low"][i] or [], dtype=np.int64), at)),
-                        np.concatenate((np.array(rows["s_high"][i] or [], dtype=np.int64), at + size)),
+                        np.concatenate((np.array(rows["s_high"][i] or [], dtype=np.int64), at + n + size - 1)),
                     )
                     lows.append(low.tolist())
                     highs.append(high.tolist())
@@ -272,11 +330,11 @@ def cut(marked: DataFrame, unit: type[Bytes], size: int) -> DataFrame:
     return marked.select("id", "digest", "text", "s_low", "s_high", "at").mapInArrow(run, schema)
 
 
-def finish(marked: DataFrame, unit: type[Bytes], size: int) -> DataFrame:
+def finish(marked: DataFrame, unit: type[Bytes], size: int, digit: int) -> DataFrame:
     """Compare what is still open and cut; `marked` is stored, as its branches read it."""
-    at = compare_windows(marked.where("size(c_low) > 0"), unit, size).groupBy("doc").agg(F.collect_list("at").alias("at"))
+    at = compare_windows(marked.where("size(c_low) > 0"), unit, size, digit).groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("at"))
     open_rows = marked.where("size(c_low) > 0").join(at.withColumnRenamed("doc", "d"), F.col("doc") == F.col("d"), "left").drop("d")
-    settled = marked.where("size(c_low) = 0").withColumn("at", F.lit(None).cast("array<int>"))
+    settled = marked.where("size(c_low) = 0").withColumn("at", F.lit(None).cast("array<struct<at:int,n:int>>"))
     return cut(open_rows.unionByName(settled), unit, size)
 
 

@@ -204,3 +204,43 @@ def test_huge_components_stay_within_longs(spark):
     frame = spark.createDataFrame([(i, [1e300 * (-1) ** (i + j) for j in range(8)]) for i in range(6)], "vec_id long, embedding array<double>")
     rows = centroids.cluster_vectors(frame, k=2, rounds=1, width=8).collect()
     assert len(rows) == 6 and all(r.distance >= 0 and r.inertia >= r.cluster_inertia >= r.distance for r in rows)
+
+
+# --- busy sync points of the repeat operators
+
+
+@pytest.mark.parametrize("most", [0, 2, 1024])
+def test_repeats_where_many_pieces_meet(spark, monkeypatch, most):
+    """One passage in most documents, after and before different texts, and within itself."""
+    from entitylake.llm import debruijn, radix, repeats
+
+    monkeypatch.setattr(repeats, "MOST_PIECES", most)
+    rng = np.random.default_rng(4)
+    passage = " ".join(f"p{i}" for i in range(120))
+    words = ["aa", "bb", "cc", "dd"]
+    rows = []
+    for i in range(60):
+        before, after = (" ".join(rng.choice(words, int(rng.integers(0, 40)))) for _ in range(2))
+        cut = int(rng.integers(0, 60)) if i % 3 else 0
+        rows.append((i, f"{before} {' '.join(passage.split()[cut:])} {after}{' x' * (i % 7)}"))
+    rows.append((99, passage + " " + passage))
+    docs = spark.createDataFrame(rows, DOCS)
+
+    def brute(tokens, size):
+        seen = {}
+        for i, t in enumerate(tokens):
+            for p in range(len(t) - size + 1):
+                seen.setdefault(tuple(t[p : p + size]), []).append((i, p))
+        gone = [set() for _ in tokens]
+        for places in seen.values():
+            if len(places) > 1:
+                for i, p in places:
+                    gone[i].update(range(p, p + size))
+        return [len(g) for g in gone]
+
+    bytes_gone = brute([text.encode() for _, text in rows], 200)
+    words_gone = brute([text.encode().split() for _, text in rows], 35)
+    got = {r.doc_id: r.n_removed for r in radix.repeated_bytes(docs).collect()}
+    assert [got[i] for i, _ in rows] == bytes_gone and max(bytes_gone) > 300
+    got = {r.doc_id: r.n_removed for r in debruijn.repeated_words(docs).collect()}
+    assert [got[i] for i, _ in rows] == words_gone and max(words_gone) > 100
