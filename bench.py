@@ -22,7 +22,7 @@ HEADLINE = [
     "best_company_per_domain", "outlink_domains", "about_page_people", "service_terms", "text_people",
     "description_industry", "key_phrases", "query_analysis", "entity_validation", "relevancy_filter",
     "entity_rank", "candidate_urls", "rerun_new_entities", "query_entity_upsert", "entity_changes",
-    "entity_detail_topn", "similar_entities", "crawl_stats", "stream_job_sessions", "discovery_run",
+    "entity_detail_topn", "similar_entities", "crawl_stats", "stream_job_sessions", "discovery_run", "competitor_run",
 ]
 
 

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from entitylake.functions.text import join_list
 from entitylake.plans.discovery import Inputs
-from entitylake.plans.main_run import MainInputs, MainRun, run_main_and_save
-from entitylake.plans.saved_run import Discovery, current_links, run_and_save
+from entitylake.plans.main_run import MainInputs, MainRun
+from entitylake.plans.saved_run import Discovery, current_links, save_rows
 from entitylake.rules import domain_lists as dl
 from entitylake.rules import run_rules as rr
+from entitylake.session import stored
 from entitylake.sources.store import EntityStore
 from entitylake.sources.tables import spread
 from entitylake.streaming.run import new_folder
@@ -55,19 +56,25 @@ def new_store(spark, sf) -> EntityStore:
     return store
 
 
-_RUNS: dict[tuple[str, str], EntityStore] = {}
+_RUNS: dict[tuple, tuple] = {}
 
 
-def after_run(spark, sf) -> EntityStore:
-    """The store after the run; one run serves all queries of a session that read it."""
-    key = (spark.sparkContext.applicationId, sf)
+def after(spark, sf, kind, given):
+    """(store, run, what it saved) after a run of one kind; one run serves all queries of a session that look at it."""
+    key = (spark.sparkContext.applicationId, sf, kind)
     if key not in _RUNS:
         store = new_store(spark, sf)
-        run_and_save(store, inputs(spark, sf), "march", AS_OF)
-        _RUNS[key] = store
+        found = kind(given(spark, sf), store.log("links").select("raw", "domain"))
+        saved = stored(found.saved)
+        save_rows(store, "march", saved, found.logs, AS_OF)
+        _RUNS[key] = store, found, saved
     return _RUNS[key]
 
 
+def after_run(spark, sf) -> EntityStore:
+    return after(spark, sf, Discovery, inputs)[0]
+
+
 def _on_run_pages(sql: str) -> str:
     return sql.replace("fx_pages", "fx_run_pages")
 
@@ -104,8 +111,8 @@ saved AS (SELECT s.* EXCLUDE (founders), a.founders, NOT EXISTS (SELECT 1 FROM s
 @checked("discovery_secondary", USES, f"""WITH {SAVED} SELECT f.query_id, f.rank, f.url, s.domain IS NOT NULL AS saved, s.name, s.is_new
 FROM frontier f LEFT JOIN saved s ON s.query_id = f.query_id AND s.round = 2 AND s.pos = f.rank""")
 def discovery_secondary(spark, sf):
-    run = Discovery(inputs(spark, sf), earlier_links(spark, sf).select("raw", "domain"))
-    second = run.saved.filter("round = 2").select("query_id", F.col("pos").alias("rank"), F.lit(True).alias("hit"), "name", "is_new")
+    _, run, saved = after(spark, sf, Discovery, inputs)
+    second = saved.filter("round = 2").select("query_id", F.col("pos").alias("rank"), F.lit(True).alias("hit"), "name", "is_new")
     found = run.frontier.join(second, ["query_id", "rank"], "left")
     return found.select("query_id", F.col("rank").cast("bigint").alias("rank"), "url", F.coalesce("hit", F.lit(False)).alias("saved"), "name", "is_new")
 
@@ -226,31 +233,23 @@ def main_inputs(spark, sf) -> MainInputs:
     return MainInputs(spark_table(spark, sf, "fx_queries"), pages, suggestions(spark, sf), spark_table(spark, sf, "fx_web"), broader, stored_profiles(spark, sf))
 
 
-_MAIN_RUNS: dict[tuple[str, str], EntityStore] = {}
-
-
 def after_main_run(spark, sf) -> EntityStore:
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _MAIN_RUNS:
-        store = new_store(spark, sf)
-        run_main_and_save(store, main_inputs(spark, sf), "march", AS_OF)
-        _MAIN_RUNS[key] = store
-    return _MAIN_RUNS[key]
+    return after(spark, sf, MainRun, main_inputs)[0]
 
 
 @checked("main_run_saved", MAIN_USES, f"""WITH {MAIN} SELECT query_id, round, pos, place, domain, name, founders, match_score, confidence, relevance, category, is_new,
 CASE WHEN profile_domain IS NOT NULL THEN competitor_tier END AS competitor_tier, {_PLACED} AS positioning FROM saved""")
 def main_run_saved(spark, sf):
-    saved = MainRun(main_inputs(spark, sf), earlier_links(spark, sf).select("raw", "domain")).saved
+    saved = after(spark, sf, MainRun, main_inputs)[2]
     shown = saved.withColumns({"founders": show_people(F.col("founders")), "pos": F.col("pos").cast("bigint"), "place": F.col("place").cast("bigint")})
     return shown.drop("raw", "asked_at", *[c for c in saved.columns if c in ("description", "services", "linkedin", "twitter", "technologies", "locations", "emails", "phones", "source", "meta_title", "meta_description")])
 
 
 @checked("main_run_entities", MAIN_USES, f"""WITH {MAIN}, {DEDUP},
-sv AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY query_id DESC) AS r, {_PLACED} AS shares FROM saved)
+last_saved AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY query_id DESC) AS r, {_PLACED} AS shares FROM saved)
 SELECT coalesce(s.domain, d.domain) AS domain, CASE WHEN s.domain IS NULL THEN d.name ELSE s.name END AS name, CASE WHEN s.domain IS NULL THEN d.relevance ELSE s.relevance END AS relevance,
   CASE WHEN s.profile_domain IS NOT NULL THEN s.competitor_tier END AS competitor_tier, s.shares AS positioning, coalesce(d.first_seen, {NOW}) AS first_seen, CASE WHEN s.domain IS NULL THEN d.last_seen ELSE {NOW} END AS last_seen
-FROM (SELECT * FROM sv WHERE r = 1) s FULL JOIN (SELECT * FROM de WHERE rn = 1) d ON d.domain = s.domain""")
+FROM (SELECT * FROM last_saved WHERE r = 1) s FULL JOIN (SELECT * FROM de WHERE rn = 1) d ON d.domain = s.domain""")
 def main_run_entities(spark, sf):
     return after_main_run(spark, sf).entities().select("domain", "name", "relevance", "competitor_tier", "positioning", "first_seen", "last_seen")
 

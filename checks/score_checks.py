@@ -184,7 +184,7 @@ m1 AS (SELECT v.*, {text} AS bt, t.profile_domain, t.primary_services, t.profile
   FROM verdict v LEFT JOIN tg1 t ON t.query_id = v.query_id LEFT JOIN fx_profiles k ON k.domain = v.domain),
 m2 AS (SELECT *, lower(replace(CASE WHEN coalesce(stored_services, '') <> '' THEN stored_services ELSE services END, '|', ' ') || ' ' || bt) AS corpus FROM m1),
 m3 AS (SELECT query_id, entity_id, string_agg(service, '|' ORDER BY pos) AS matched, count(*)::DOUBLE / any_value(n) AS share FROM (
-  SELECT query_id, entity_id, service, pos, n FROM m2 JOIN phrases p ON p.domain = m2.profile_domain WHERE {_HIT} GROUP BY ALL) GROUP BY query_id, entity_id),
+  SELECT query_id, entity_id, p.service, p.pos, p.n FROM m2 JOIN phrases p ON p.domain = m2.profile_domain WHERE {_HIT} GROUP BY ALL) GROUP BY query_id, entity_id),
 matched AS (SELECT m2.*, coalesce(matched, '') AS matched_services, CASE WHEN coalesce(primary_services, '') = '' THEN 0.5::DOUBLE ELSE coalesce(share, 0.0::DOUBLE) * 0.6::DOUBLE
   + {_align('profile_model', "coalesce(stored_model, 'unknown')", "profile_model = 'unknown' OR coalesce(stored_model, 'unknown') = 'unknown'")} * 0.2::DOUBLE
   + {_align('profile_industry', 'stored_industry', 'profile_industry IS NULL OR stored_industry IS NULL')} * 0.2::DOUBLE END AS match_score,

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from entitylake.plans.discovery import Inputs
+from entitylake.plans.main_run import MainInputs, run_main_and_save
 from entitylake.plans.saved_run import current_links, run_and_save
 from entitylake.sources.store import EntityStore
 from entitylake.streaming.run import new_folder
@@ -145,3 +146,26 @@ def test_upsert_reduces_rows_of_one_domain(spark):
     store.upsert(given, F.lit(MARCH).cast("timestamp_ntz"), ["at"], "one")
     assert [(r.domain, r.name) for r in store.entities().collect()] == [("a.com", "name 49")]
     assert EntityStore(spark, new_folder(spark)).entities().count() == 0
+
+
+def main_tables(spark, queries=((1, "Find competitors of seedone.com"), (2, "zzzz qqqq"))):
+    given = tables(spark, queries=queries)
+    listed = [(1, "seedone.com", ["seedtwo.com", "google.com"], 0.9, None)]
+    return MainInputs(
+        given.queries, given.pages, spark.createDataFrame(listed, "query_id long, company string, competitors array<string>, confidence double, industry string"),
+        given.web, spark.createDataFrame([], "query_id long, pos long, domain string"),
+        spark.createDataFrame([("seedone.com", "Seed One", "x", "cro_agency", ["CRO"], ["SEO"], "agency")], "domain string, name string, description string, industry string, primary_services array<string>, secondary_services array<string>, business_model string"),
+    )
+
+
+def test_main_path_saves_competitors_and_logs_the_rest(spark):
+    store = EntityStore(spark, new_folder(spark), buckets=4)
+    run_main_and_save(store, main_tables(spark), "march", MARCH)
+    saved = {r.domain: r for r in store.entities().collect()}
+    assert "seedtwo.com" in saved and "seedone.com" not in saved  # the company itself is no competitor
+    assert saved["seedtwo.com"].positioning == "Shares 1 key service: CRO" and saved["seedtwo.com"].competitor_tier == "direct"
+    logs = {(r.query_id, r.status) for r in store.log("crawl_logs").collect()}
+    assert (1, "success") in logs and (2, "unsupported") in logs
+    once = everything(store)
+    run_main_and_save(store, main_tables(spark), "march", MARCH)
+    assert everything(store) == once
