@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import settle, stored
 from . import rolling
 from .common import content_key
 
@@ -333,6 +333,8 @@ def cut(marked: DataFrame, unit: type[Bytes], size: int) -> DataFrame:
 def finish(marked: DataFrame, unit: type[Bytes], size: int, digit: int) -> DataFrame:
     """Compare what is still open and cut; `marked` is stored, as its branches read it."""
     at = compare_windows(marked.where("size(c_low) > 0"), unit, size, digit).groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("at"))
+    at = stored(at)
+    settle(marked.sparkSession)  # what met for the comparison goes before the texts are shuffled
     open_rows = marked.where("size(c_low) > 0").join(at.withColumnRenamed("doc", "d"), F.col("doc") == F.col("d"), "left").drop("d")
     settled = marked.where("size(c_low) = 0").withColumn("at", F.lit(None).cast("array<struct<at:int,n:int>>"))
     return cut(open_rows.unionByName(settled), unit, size)
