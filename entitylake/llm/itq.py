@@ -29,12 +29,15 @@ CHUNK = 512
 
 @dataclass
 class Codes:
-    mean: np.ndarray
     turn: np.ndarray  # components x bits
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
-        """Codes of unit vectors as unsigned longs; unused high bits are 0."""
-        signs = (x - self.mean) @ self.turn > 0
+        """Codes of unit vectors as unsigned longs; unused high bits are 0.
+
+        The mean is not taken off: that would widen the angles between vectors that share a direction, and with them the
+        number of differing bits of near copies.
+        """
+        signs = x @ self.turn > 0
         padded = np.zeros((len(x), 64), dtype=np.uint8)
         padded[:, : signs.shape[1]] = signs
         return np.packbits(padded, axis=1, bitorder="little").view("<u8").ravel()
@@ -42,8 +45,7 @@ class Codes:
 
 def learn(x: np.ndarray, bits: int = BITS, rounds: int = ROUNDS, seed: int = 7) -> Codes:
     """Iterative quantisation (alternate codes and the orthogonal rotation that fits them best) of unit vectors."""
-    mean = x.mean(axis=0)
-    centred = x - mean
+    centred = x - x.mean(axis=0)
     _, _, axes = np.linalg.svd(centred.T @ centred)
     axes = axes[: min(bits, x.shape[1])].T
     turn = np.linalg.qr(np.random.default_rng(seed).standard_normal((axes.shape[1],) * 2))[0]
@@ -51,7 +53,7 @@ def learn(x: np.ndarray, bits: int = BITS, rounds: int = ROUNDS, seed: int = 7)
     for _ in range(rounds):
         left, _, right = np.linalg.svd(np.sign(projected @ turn).T @ projected)
         turn = (left @ right).T
-    return Codes(mean, axes @ turn)
+    return Codes(axes @ turn)
 
 
 def between(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -244,3 +244,39 @@ def test_repeats_where_many_pieces_meet(spark, monkeypatch, most):
     assert [got[i] for i, _ in rows] == bytes_gone and max(bytes_gone) > 300
     got = {r.doc_id: r.n_removed for r in debruijn.repeated_words(docs).collect()}
     assert [got[i] for i, _ in rows] == words_gone and max(words_gone) > 100
+
+
+@pytest.mark.parametrize("kind", ["centre", "common"])
+def test_near_vectors_that_share_a_direction(spark, kind):
+    """Most vectors around one centre, or all with a large common component: links, components and what is kept."""
+    from entitylake.llm import itq
+
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((400, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    centre = np.eye(16)[3]
+    if kind == "centre":
+        x[:320] = centre + 0.22 * rng.standard_normal((320, 16)) / 4
+    else:
+        x = 0.22 * x + centre
+    x = np.concatenate([x, x[:5]])
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = sorted(itq.near_vectors(frame).collect(), key=lambda r: r.vec_id)
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    near = unit @ unit.T >= 0.95
+    links = near.sum(axis=1) - 1
+    assert links.sum() > 10_000 and sum(r.n_links for r in got) >= 0.99 * links.sum()
+    assert all(r.n_links <= n for r, n in zip(got, links))
+    root = np.arange(len(x))
+    for _ in x:
+        root = np.where(near, root[None, :], len(x)).min(axis=1)
+    assert [r.component_id for r in got] == root.tolist() and [r.kept for r in got] == (root == np.arange(len(x))).tolist()
+
+
+def test_many_copies_of_few_vectors(spark):
+    from entitylake.llm import itq, permutation
+
+    frame = spark.range(30_000).selectExpr("id AS vec_id", "IF(id % 3 = 0, array(1D, 2D, 3D, 4D), array(4D, 3D, 2D, 1D)) AS embedding")
+    got = {(r.n_links, r.component_id): r["count"] for r in itq.near_vectors(frame, sample_rows=20).groupBy("n_links", "component_id").count().collect()}
+    assert got == {(9_999, 0): 10_000, (19_999, 1): 20_000}
+    assert permutation.self_search(frame.where("vec_id < 2000")).count() == 200
