@@ -166,7 +166,8 @@ SELECT 1000000000 + c_custkey AS page_id,
   CASE c_custkey % 5 WHEN 0 THEN '<h1>Brand ' || {K} || '</h1>' WHEN 1 THEN '<h1>We build things for people who care a lot</h1><h2> <b>Brand</b> ' || {K} || ' Group </h2>'
     WHEN 2 THEN '<h2>Our services &amp; SEO</h2><h1>  </h1>' WHEN 3 THEN '<h1 class="t">Top marketplace</h1><h3>Jane Roe</h3><p>Chief Executive Officer</p>' ELSE '' END ||
   CASE c_custkey % 6 WHEN 0 THEN '<h4>Mary Major</h4><div>Head of Sales</div>' WHEN 1 THEN '<p><strong>Ann Lee</strong> is our VP of things</p><li><b>Platform Team</b> President</li>'
-    WHEN 2 THEN '<figcaption>Tom Hanks | Founder | Acme</figcaption><p class="byline">Sue Storm, Managing Director</p>' ELSE '' END ||
+    WHEN 2 THEN '<figcaption>Tom Hanks | Founder | Acme</figcaption><p class="byline">Sue Storm, Managing Director</p>'
+    WHEN 3 THEN '<div class="our team-member x"><span class="job-title">Chief Executive</span><div><h5>Cara Dunn</h5></div></div><ul><li class="staff-card"><p class="full-name">Bo <i>Derek</i></p><p>VP of Sales</p></li></ul>' ELSE '' END ||
   CASE c_custkey % 4 WHEN 0 THEN '<main>' WHEN 1 THEN '<article>' WHEN 2 THEN '<div class="big content">' ELSE '<section>' END ||
   '<p>Brand ' || {K} || ' is a company headquartered in Pune, India with a Berlin office. Contact info@brand' || {K} || '.com or sales@example.com, call (415) 555-' || substr(CAST(10000 + c_custkey % 9000 AS STRING), 2, 4) || ' now.</p>' ||
   CASE c_custkey % 5

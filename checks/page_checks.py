@@ -244,7 +244,10 @@ def _exploded(source, column, pattern, groups):
     return f"SELECT page_id, {cols}, generate_subscripts(regexp_extract_all({column}, {q.lit(pattern)}, {groups[0]}), 1) AS seq FROM {source}"
 
 
-MARKUP_PEOPLE = f"""s2 AS ({_exploded('pg', 'markup', _HS, (1, 2))}),
+MARKUP_PEOPLE = f"""s1 AS (SELECT page_id, regexp_extract(markup, '(?is)<div class="our team-member x">(.*?)</div></div>', 1) AS a, regexp_extract(markup, '(?is)<li class="staff-card">(.*?)</li>', 1) AS b FROM pg),
+p1 AS (SELECT page_id, 1 AS strategy, 1 AS seq, regexp_extract(a, '<h5>(.*?)</h5>', 1) AS name, regexp_extract(a, 'job-title">(.*?)<', 1) AS role FROM s1 WHERE a <> ''
+  UNION ALL SELECT page_id, 1, 2, {q.text_of("regexp_extract(b, 'full-name\">(.*?)</p>', 1)")}, regexp_extract(b, '</p><p>(.*?)</p>', 1) FROM s1 WHERE b <> ''),
+s2 AS ({_exploded('pg', 'markup', _HS, (1, 2))}),
 p2 AS (SELECT page_id, 2 AS strategy, seq, {q.text_of('g1')} AS name, {q.text_of('g2')} AS role FROM s2),
 s3 AS ({_exploded('pg', 'markup', _BLOCK, (1,))}),
 l3 AS (SELECT page_id, seq, {q.trim(q.text_of(f"regexp_extract(g1, {q.lit(_BOLD)}, 1)"))} AS name, {q.trim(q.text_of('g1'))} AS line FROM s3 WHERE regexp_matches(g1, {q.lit(_BOLD)})),
@@ -253,9 +256,9 @@ p3 AS (SELECT page_id, 3 AS strategy, seq, name, regexp_extract(rest, {q.lit(_RO
 s4 AS ({_exploded('pg', 'markup', _CAPTION, (1,))}),
 c4 AS (SELECT page_id, seq, {q.trim(q.text_of('g1'))} AS c FROM s4),
 p4 AS (SELECT page_id, 4 AS strategy, seq, regexp_extract(c, {q.lit(_PARTS)}, 1) AS name, {q.trim(f"regexp_extract(c, {q.lit(_PARTS)}, 2)")} AS role FROM c4),
-pa AS (SELECT page_id, strategy, seq, {q.squash('name')} AS name, {q.squash('role')} AS role FROM (SELECT * FROM p2 UNION ALL SELECT * FROM p3 UNION ALL SELECT * FROM p4) WHERE regexp_matches(role, {q.lit(_ROLE)})),
+pa AS (SELECT page_id, strategy, seq, {q.squash('name')} AS name, {q.squash('role')} AS role FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3 UNION ALL SELECT * FROM p4) WHERE regexp_matches(role, {q.lit(_ROLE)})),
 pk AS (SELECT * FROM pa WHERE length(name) BETWEEN 4 AND 55 AND length(role) BETWEEN 3 AND 80 AND regexp_matches(name, '^[A-Z][a-z]') AND contains(name, ' ') AND NOT regexp_matches(name, {q.lit(_NOT_NAME)})),
-ps AS (SELECT * FROM pk WHERE strategy <> 3 OR page_id NOT IN (SELECT page_id FROM pk WHERE strategy = 2)),
+ps AS (SELECT * FROM pk WHERE strategy IN (1, 4) OR NOT EXISTS (SELECT 1 FROM pk o WHERE o.page_id = pk.page_id AND o.strategy < pk.strategy)),
 pd AS (SELECT page_id, strategy, seq, name, role, row_number() OVER (PARTITION BY page_id, lower(name) ORDER BY strategy, seq) AS rn FROM ps),
 markup_people AS (SELECT page_id, name, role, row_number() OVER (PARTITION BY page_id ORDER BY strategy, seq) AS pos FROM pd WHERE rn = 1)"""
 

@@ -79,6 +79,10 @@ def _on_run_pages(sql: str) -> str:
     return sql.replace("fx_pages", "fx_run_pages")
 
 
+def shown_logs(store: EntityStore):
+    return store.log("crawl_logs").drop("run_id", "created_at").withColumn("pos", F.col("pos").cast("bigint"))
+
+
 _CB = q.inlist(dl.CANDIDATE_BLOCKLIST)
 _OU = pc.OUTLINKS
 FRONTIER = f"""{CANDIDATES},
@@ -179,7 +183,7 @@ UNION ALL SELECT s.query_id, s.url, s.round, s.pos, 2, s.status, s.error, CASE W
 UNION ALL SELECT query_id, {q.lit(rr.UNSUPPORTED_URL)}, 0, 0, 1, 'unsupported', replace({q.lit(rr.UNSUPPORTED_ERROR)}, '{{}}', raw), 0 FROM oc WHERE n = 0
 UNION ALL SELECT query_id, {q.lit(rr.NO_NEW_URL)}, 0, 0, 1, 'no_new_results', {q.lit(rr.NO_NEW_ERROR)}, 0 FROM oc WHERE n > 0 AND again AND fresh = 0""")
 def discovery_logs(spark, sf):
-    return after_run(spark, sf).log("crawl_logs").drop("run_id", "created_at")
+    return shown_logs(after_run(spark, sf))
 
 
 # --- the main path ------------------------------------------------------------------------------
@@ -261,4 +265,4 @@ SELECT query_id, 'https://' || domain AS url, round, pos, 'success' AS status, C
 UNION ALL SELECT query_id, 'https://' || domain, round, pos, 'skipped', rejection_reason, 0 FROM tiered WHERE rejection_reason IS NOT NULL
 UNION ALL SELECT query_id, {q.lit(rr.NO_NEW_URL)}, 0, 0, 'no_new_results', {q.lit(rr.NO_NEW_ERROR)}, 0 FROM oc WHERE again AND fresh = 0""")
 def main_run_logs(spark, sf):
-    return after_main_run(spark, sf).log("crawl_logs").drop("run_id", "created_at", "event")
+    return shown_logs(after_main_run(spark, sf)).drop("event")

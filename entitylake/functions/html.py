@@ -105,6 +105,19 @@ def element_of(page: Column, opening: str, name: str) -> Column:
     Without that tag it runs to the end of the page.
     """
     rest = F.concat(F.lit(" "), F.regexp_extract(page, rf"(?is){opening}(.*)\z", 1))
+    return until_closed(F.split(rest, rf"(?i)(?=</?{name}\b)"))
+
+
+def inside_of(opened: Column) -> Column:
+    """Inside of the element whose opening tag the text starts with, up to its own closing tag; '' for elements that hold nothing."""
+    name = F.regexp_extract(opened, r"^<([a-zA-Z][a-zA-Z0-9]*)", 1)
+    rest = F.concat(F.lit(" "), F.regexp_replace(opened, r"^<[^>]*>", ""))
+    held = F.substring(until_closed(F.split(rest, F.concat(F.lit("(?i)(?=</?"), name, F.lit(r"\b)")))), F.lit(2), F.length(opened))
+    return F.when((opened == "") | opened.rlike(r"(?i)^<(?:br|hr|img|input|wbr)\b"), "").otherwise(held)
+
+
+def until_closed(parts: Column) -> Column:
+    """The parts of a text, cut before every tag of one name, up to the tag that closes what was open at its start."""
 
     def inside(parts: Column) -> Column:
         def step(seen: Column, part: Column) -> Column:
@@ -115,7 +128,7 @@ def element_of(page: Column, opening: str, name: str) -> Column:
         start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n"))
         return F.array_join(F.slice(parts, 1, F.aggregate(parts, start, step, lambda x: x["n"])), "")
 
-    return bind(F.split(rest, rf"(?i)(?=</?{name}\b)"), inside)
+    return bind(parts, inside)
 
 
 def body_text_of(html: Column, max_chars: int | None = None) -> Column:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.html import text_of
+from ..functions.html import inside_of, text_of
 from ..functions.patterns import ASCII_EDGE, bind, lookup
 from ..functions.text import squash, trim_all
 from ..rules import page_rules as rules
 
+PAIRS = "array<struct<name:string,role:string>>"
 PERSON = "struct<name:string,role:string,linkedin:string,twitter:string>"
 
 
@@ -55,6 +56,13 @@ CAPTION = (
 )
 CAPTION_PARTS = r"^([A-Z][a-zA-Z'-]+(?: [A-Z][a-zA-Z'-]+)+)\s*[|,]\s*([^|,\n]{3,60})"
 ROLE = "(?i)" + rules.MARKUP_ROLES
+_CARD_WORDS = "|".join(rules.CARD_CLASSES)
+CARD = rf"""<[a-zA-Z][a-zA-Z0-9]*\b[^>]*?\s(?:class\s*=\s*["'][^"']*(?:{_CARD_WORDS})|itemtype\s*=\s*["'][^"']*Person|typeof\s*=\s*["']Person["'])[^>]*>"""
+CARD_NAME = r"""<(?:[hH][1-5]|[sS][tT][rR][oO][nN][gG]|[bB])\b[^>]*>|<[a-zA-Z][^>]*?\sclass\s*=\s*["'](?:[^"']*name|(?![^"']*(?:job|position))[^"']*title)[^>]*>"""
+CARD_ROLE = (
+    rf"""<[a-zA-Z][^>]*?\sclass\s*=\s*["'](?:[^"']*(?:{"|".join(rules.ROLE_CLASSES)})"""
+    r"""|(?=[^"']*title)[^"']*(?:job|pos))[^>]*>"""
+)
 NOT_A_NAME = ASCII_EDGE + "(" + "|".join(rules.NOT_A_NAME_MARKUP) + ")" + ASCII_EDGE
 
 
@@ -80,8 +88,42 @@ def _without(text: Column, part: Column) -> Column:
     return F.when(at > 0, cut).otherwise(text)
 
 
+def _from(text: Column, opening: str) -> Column:
+    """The text from the first tag like `opening` on, '' without one."""
+    return F.regexp_extract(text, rf"(?s)((?:{opening}).*)\z", 1)
+
+
+def _in_card(opened: Column) -> Column:
+    """(name, role) of the card that the text starts with: the first heading, bold or named element, and the element with a class of
+    a role, else the one that follows the name, else the first paragraph or span."""
+
+    def pair(card: Column) -> Column:
+        def roles(at: Column) -> Column:
+            opening = F.length(F.regexp_extract(at, r"^<[^>]*>", 0))
+            behind = F.regexp_replace(F.substring(at, opening + F.length(inside_of(at)) + 1, F.length(at)), r"^</[^>]*>", "")
+            ways = [_from(card, CARD_ROLE), F.regexp_extract(behind, r"(?s)^[^<]*(<[a-zA-Z].*)\z", 1), _from(card, r"<(?:[pP]|[sS][pP][aA][nN])\b")]
+            found = F.when(ways[0] != "", ways[0]).when(ways[1] != "", ways[1]).otherwise(ways[2])
+            return F.struct(trim_all(text_of(inside_of(at))).alias("name"), trim_all(text_of(inside_of(found))).alias("role"))
+
+        return bind(_from(card, CARD_NAME), roles)
+
+    return bind(inside_of(opened), pair)
+
+
+def people_in_cards(markup: Column) -> Column:
+    """Name and role of every team card, in page order; a card within a card counts as well."""
+
+    def cards(parts: Column) -> Column:
+        opened = F.transform(F.slice(parts, 2, F.size(parts)), lambda _, i: F.array_join(F.slice(parts, i + 2, F.size(parts)), ""))
+        return F.filter(F.transform(opened, _in_card), lambda p: (p["name"] != "") & p["role"].rlike(ROLE))
+
+    found = bind(F.split(F.concat(F.lit(" "), markup), f"(?={CARD})"), cards)
+    return F.when(markup.rlike(f"{_CARD_WORDS}|Person"), found).otherwise(F.array().cast(PAIRS))
+
+
 def people_in_markup(markup: Column, limit: int = 8) -> Column:
-    """Heading with a role sibling; only if none, bold name with a short role line; captions."""
+    """Team cards; only if none, a heading with a role sibling; only if none, a bold name with a short role line. Captions always."""
+    carded = _tidy(people_in_cards(markup))
     headed = F.filter(
         F.transform(
             _zip_groups(markup, HEADING_THEN_SIBLING, 1, 2),
@@ -121,7 +163,8 @@ def people_in_markup(markup: Column, limit: int = 8) -> Column:
         lambda p: p["role"].rlike(ROLE),
     )
     credited = _tidy(credited)
-    found = F.concat(bind(headed, lambda h: F.when(F.size(h) > 0, h).otherwise(bold)), credited)
+    other = bind(headed, lambda h: F.when(F.size(h) > 0, h).otherwise(bold))
+    found = F.concat(bind(carded, lambda c: F.when(F.size(c) > 0, c).otherwise(other)), credited)
     return first_by_name(found, limit)
 
 
@@ -140,7 +183,6 @@ NAME_THEN_TITLE_REVERSED = rf"({_TITLES_REVERSED})\(?[,\s]+([a-z]++[A-Z](?: [a-z
 NAME_IS_TITLE = rf"(?i)[a-z]\s++is\s++(?:the\s++)?(?=[{_INITIALS}])(?:{_TITLES})"
 NAME_IS_TITLE_REVERSED = rf"(?i)({_TITLES_REVERSED})(?:\s+eht)?\s+si\s+([a-z]{{2,}}+(?: [a-z]{{2,}}+)++)"
 NOT_A_NAME_IN_TEXT = ASCII_EDGE + "(" + "|".join(rules.NOT_A_NAME_TEXT) + ")" + ASCII_EDGE
-PAIRS = "array<struct<name:string,role:string>>"
 
 
 def _pairs(text: Column, pattern: str, name_group: int, role_group: int) -> Column:

@@ -55,6 +55,14 @@ EMAIL_HOST = r"[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
 PHONE_PATTERN = r"(?:\+?1?\s?)?(?:\(?\d{3}\)?[\s.\-]?\d{3}[\s.\-]?\d{4})"
 EMAIL_DENY = ["example.com", "test.com"]
 
+# Parts of class names that mark the card of a person, and that mark the role in it.
+CARD_CLASSES = [
+    "team-member", "team_member", "teamMember", "team-card", "team_card", "teamCard", "person-card", "person_card", "personCard",
+    "people-item", "people_item", "member-card", "member_item", "staff-card", "staff_item", "executive", "leadership", "our-team",
+    "bio-card", "bio_card",
+]
+ROLE_CLASSES = ["role", "position", "job-title", "jobtitle", "designation"]
+
 # Roles that mark a person in page markup.
 MARKUP_ROLES = (
     "CEO|CTO|CFO|COO|CMO|CPO|CRO|Founder|Co-Founder|President|Chairman|Director|VP|Vice President"

@@ -103,7 +103,7 @@ def test_body_prefers_main_and_keeps_whole_text(value):
     page = "<body>x<article>no</article><main>" + "word " * 10000 + "end</main></body>"
     assert value(H.body_text_of, page).endswith("end")
     assert len(value(lambda c: H.body_text_of(c, 12000), page)) == 12000
-    assert value(H.body_text_of, "<p>no body</p>") == ""
+    assert value(H.body_text_of, "<p>no body</p>") == "no body"
 
 
 def test_emails(value):
@@ -187,3 +187,41 @@ def test_redirects(value):
 )
 def test_title_domains(value, title, domain):
     assert value(pages.title_to_domain, title) == domain
+
+
+@pytest.mark.parametrize(
+    "markup, people",
+    [
+        ('<div class="team-member"><img src="x"><h3>Ann Lee</h3><p>CTO</p></div><h3>Not Taken</h3><p>CEO</p>', [("Ann Lee", "CTO")]),
+        ('<section class="our-team"><h2>Meet Us</h2><div class="team-card"><div class="member-name">Bob Ray</div><div><span class="position">VP Sales</span></div></div></section>', [("Meet Us", "VP Sales"), ("Bob Ray", "VP Sales")]),
+        ('<article itemtype="https://schema.org/Person"><b>Cy Young</b> and <i>Founder</i></article>', [("Cy Young", "Founder")]),
+        ('<div class="staff-card"><b>Di Fox</b><br><span>CEO</span></div>', []),
+        ('<div class="bio-card"><p>President of it</p><div><div><h4>Ed Poe</h4></div></div></div><p>CEO</p>', [("Ed Poe", "President of it")]),
+        ('<div class="x leadership y"><p class="job-title">Director</p><div class="title">Flo Ash</div></div>', [("Flo Ash", "Director")]),
+        ('<div class="team-member"><h3>Our Platform</h3><p>CTO</p></div><h3>Gus Orr</h3><p>CEO</p>', [("Gus Orr", "CEO")]),
+        ("<h3>Hal Day</h3><p>CEO</p><p><b>Ivy Lux</b> CTO</p>", [("Hal Day", "CEO")]),
+        ('<div class="team-member"', []),
+    ],
+)
+def test_people_of_team_cards(value, markup, people):
+    assert [(p["name"], p["role"]) for p in value(PP.people_in_markup, markup)] == people
+
+
+def test_meta_without_quotes(spark):
+    page = spark.createDataFrame([(1, "https://a.com", "<meta name=description content=Shoes><meta property=og:title content='T'/><meta content=k name=keywords>")], "page_id long, url string, html string")
+    got = pages.with_meta(page).first()
+    assert (got.description, got.og_title, got.keywords) == ("Shoes", "T", "k")
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<div class=content>x<div>y</div>z</div>w", "xyz"),
+        ("<section id=content class=a>x</section>w", "x"),
+        ("<title>t</title><p>plain <b>text</b></p><script>no</script>", "plain text"),
+        ("<head><title>t</title></head><p>plain</p>", "plain"),
+        ("", ""),
+    ],
+)
+def test_body_without_quotes_or_body_tag(value, html, text):
+    assert value(H.body_text_of, html) == text

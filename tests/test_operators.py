@@ -258,7 +258,7 @@ def test_body_text_is_the_whole_element(spark):
         "<article>a<article>b</article>c</article>d", "<main>never closed <main>x</main> tail", "<body>plain</body>", "no container",
     ]
     df = spark.createDataFrame([(p,) for p in pages], "html string")
-    assert [r[0] for r in df.select(H_.body_text_of(F.col("html"))).collect()] == ["firstsecond part", "abc", "never closed x tail", "plain", ""]
+    assert [r[0] for r in df.select(H_.body_text_of(F.col("html"))).collect()] == ["firstsecond part", "abc", "never closed x tail", "plain", "no container"]
 
 
 def test_links_without_quotes_and_beyond_the_first_hundred(spark):
