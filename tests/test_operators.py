@@ -305,3 +305,18 @@ def test_stored_results_need_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(ValueError):
         session.checkpoint_root(Fake)
+
+
+def _no_broadcast(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_pieces_and_queries_are_never_broadcast(spark):
+    queries = spark.createDataFrame([(1, "best brand7 shops", True, "brand7.com")], "query_id long, raw string, is_domain boolean, query string")
+    seeds = spark.createDataFrame([("ai", 0, 1, "brand7.com")], "industry string, priority int, pos int, domain string")
+    entities = spark.createDataFrame([("brand7.com", "AI")], "domain string, category string")
+    found = C.seed_keyword_match(queries, seeds)
+    assert _no_broadcast(found) and [tuple(r) for r in found.collect()] == [(1, "ai")]
+    stored_category = C.category_industry(queries, entities)
+    assert _no_broadcast(stored_category) and [tuple(r) for r in stored_category.collect()] == [(1, "ai")]
