@@ -320,3 +320,14 @@ def test_pieces_and_queries_are_never_broadcast(spark):
     assert _no_broadcast(found) and [tuple(r) for r in found.collect()] == [(1, "ai")]
     stored_category = C.category_industry(queries, entities)
     assert _no_broadcast(stored_category) and [tuple(r) for r in stored_category.collect()] == [(1, "ai")]
+
+
+def test_outcome_of_a_run_broadcasts_no_table_of_queries(spark):
+    queries = spark.createDataFrame([(1, "a"), (2, "a"), (3, None)], "query_id long, raw string")
+    links = spark.createDataFrame([(1, 7), (2, 7)], "query_id long, entity_id long")
+    entities = spark.createDataFrame([(7, "x.com")], "entity_id long, domain string")
+    counted = spark.createDataFrame([(1, 2), (2, 1)], "query_id long, n_candidates long")
+    saved = C.rerun_new_entities(queries, links, entities)
+    found = SV.run_outcome(C.rerun_flags(queries, saved), counted, saved)
+    assert _no_broadcast(found)
+    assert sorted((r.query_id, r.outcome) for r in found.collect()) == [(1, "completed"), (2, "no_new_results"), (3, "unsupported")]
