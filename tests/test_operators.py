@@ -12,7 +12,7 @@ from entitylake.operators import ordering as O
 from entitylake.operators import resolve as R
 from entitylake.operators import scoring as S
 from entitylake.operators import serve as SV
-from entitylake.sources.tables import csv_lines, decode_lists, spread
+from entitylake.sources.tables import csv_lines, dealt, decode_lists, spread
 
 NOW = datetime(2024, 2, 1)
 
@@ -331,3 +331,15 @@ def test_outcome_of_a_run_broadcasts_no_table_of_queries(spark):
     found = SV.run_outcome(C.rerun_flags(queries, saved), counted, saved)
     assert _no_broadcast(found)
     assert sorted((r.query_id, r.outcome) for r in found.collect()) == [(1, "completed"), (2, "no_new_results"), (3, "unsupported")]
+
+
+def test_rows_of_narrow_tables_are_dealt_by_their_number(spark, tmp_path):
+    from checks.derived import spark_table
+
+    customers = spark.range(12_000).selectExpr("id AS c_custkey", "'MACHINERY' AS c_mktsegment", "1.0D AS c_acctbal").coalesce(1)
+    customers.write.parquet(f"{tmp_path}/customer.parquet")
+    phrases = spark_table(spark, str(tmp_path), "fx_queries")
+    assert phrases.rdd.getNumPartitions() == 3 and phrases.count() == 12_000
+    assert spark_table(spark, str(tmp_path), "fx_rich_pages").rdd.getNumPartitions() == 9
+    few = spark.read.parquet(f"{tmp_path}/customer.parquet")
+    assert dealt(few, 12_000) is few
