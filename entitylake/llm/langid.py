@@ -24,16 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import release, settle, stored
-from .common import bounded_sample, content_key, fold_part, free_names
+from .common import content_key, fold_part, free_names
 
 ORDER, BITS = 5, 12
 DISCOUNT = 0.75
 #: Most probabilities (n-grams times languages) that are sent to the workers; the others are joined.
 MOST_SENT = 1_000_000
-#: Rows, about, on which rejection and scores are calibrated.
-CALIBRATION_ROWS = 2_000
-#: and how long they are at most, which bounds what reaches the driver.
-CALIBRATION_CHARS = 20_000
 SLOT_BITS = 21
 
 _CLASS: list[np.ndarray] = []
@@ -283,8 +279,8 @@ def entropies(texts: DataFrame, model: Model) -> DataFrame:
     return stored(one.join(more, F.col("digest") == F.col("of_digest"), "left").select("digest", "n", "letters", entropy.alias("entropy")))
 
 
-def fit(learn: DataFrame) -> Model:
-    """Models of all languages in `learn` (lang, text). Rows with null lang or text teach nothing.
+def models(learn: DataFrame) -> Model:
+    """Models of all languages in `learn` (lang, text), not calibrated. Rows with null lang or text teach nothing.
 
     No rows give a model without languages, which predicts `und` everywhere.
     """
@@ -297,33 +293,64 @@ def fit(learn: DataFrame) -> Model:
         release(made)
         settle(learn.sparkSession)
     letters = max(2, tables.where("kind = 0 AND level = 1").select("key").distinct().count() + 1)
-    model = Model(langs, tables, letters)
-    if langs:
-        calibrate(model, learn)
+    return Model(langs, tables, letters)
+
+
+def fit(learn: DataFrame) -> Model:
+    """models() of `learn`, calibrated."""
+    model = models(learn)
+    if model.langs:
+        calibrate(model, learn, entropies(learn.where("lang IS NOT NULL AND text IS NOT NULL").select("text"), model))
     return model
 
 
-def calibrate(model: Model, learn: DataFrame) -> None:
-    """Sets the rejection limit of each language and the sharpness of scores from about CALIBRATION_ROWS learning rows.
+def fit_part(docs: DataFrame) -> tuple[Model, DataFrame | None]:
+    """The calibrated model of the rows of `docs` whose crc32 of the id, modulo 3, is not 1, and the entropies of all rows."""
+    learn = docs.where(fold_part(F.col("doc_id"), 3) != 1)
+    model = models(learn)
+    if not model.langs:
+        return model, None
+    scores = entropies(docs.select("text"), model)
+    calibrate(model, learn, scores)
+    return model, scores
+
+
+def calibrate(model: Model, learn: DataFrame, scores: DataFrame) -> None:
+    """Sets the rejection limit of each language and the sharpness of scores from all learning rows, equal ones counted once.
 
-    A text is rejected where its cross-entropy is above the
+    `scores` are entropies() of texts that hold those of `learn`. A text is rejected where its cross-entropy is above the
     highest of its language's rows plus half of its distance to a uniform guess. The sharpness makes the scores of the rows likeliest.
+    Rows become sums and maxima in their tasks.
     """
-    rows = learn.where("lang IS NOT NULL AND text IS NOT NULL").where(F.length("text") <= CALIBRATION_CHARS).select("lang", "text")
-    some = stored(bounded_sample(rows, CALIBRATION_ROWS))
-    scores = entropies(some.select("text"), model).where("n > 0").withColumnRenamed("digest", "of")
-    digest = content_key("text", "text")[1]
-    found = some.select("lang", digest).join(scores, F.col("digest") == F.col("of")).select("lang", "entropy").collect()
-    model.limit = [math.log(model.letters)] * len(model.langs)
-    if not found:
-        return
-    entropy, truth = np.array([row["entropy"] for row in found]), np.array([model.langs.index(row["lang"]) for row in found])
-    for i in range(len(model.langs)):
-        own = entropy[(truth == i) & (entropy.argmin(axis=1) == i), i]
-        if len(own):
-            top = float(own.max())
-            model.limit[i] = top + 0.5 * max(0.0, math.log(model.letters) - top)
-    model.sharpness = max((0.5 * 2**k for k in range(9)), key=lambda s: np.log(np.clip(posterior(entropy, s)[np.arange(len(truth)), truth], 1e-9, 1)).sum())
+    langs, steps = model.langs, [0.5 * 2**k for k in range(9)]
+    model.limit = [math.log(model.letters)] * len(langs)
+    rows = learn.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", content_key("text", "text")[1]).distinct()
+    found = rows.join(scores.where("n > 0").withColumnRenamed("digest", "of"), F.col("digest") == F.col("of")).select("lang", "entropy")
+
+    def run(batches):
+        top, fit, n = {}, np.zeros(len(steps)), 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            entropy = np.array(batch.column(1).flatten()).reshape(batch.num_rows, len(langs))
+            truth = np.array([langs.index(x) for x in batch.column(0).to_pylist()])
+            n += len(truth)
+            own, every = entropy.argmin(axis=1) == truth, np.arange(len(truth))
+            for i in np.unique(truth[own]).tolist():
+                top[i] = max(top.get(i, 0.0), float(entropy[own & (truth == i), i].max()))
+            fit += [np.log(np.clip(posterior(entropy, x)[every, truth], 1e-9, 1)).sum() for x in steps]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([*top, *range(-len(steps) - 1, 0)], pa.int32()), pa.array([*top.values(), n, *fit.tolist()], pa.float64())], names=["what", "value"]
+        )
+
+    parts = found.mapInArrow(run, "what int, value double")
+    total = dict(parts.groupBy("what").agg(F.when(F.col("what") < 0, F.sum("value")).otherwise(F.max("value")).alias("value")).collect())
+    for i in range(len(langs)):
+        if i in total:
+            model.limit[i] = total[i] + 0.5 * max(0.0, math.log(model.letters) - total[i])
+    if total.get(-len(steps) - 1):
+        # Sums of tasks are added in any order, so the last digits do not count.
+        model.sharpness = max(steps, key=lambda x: round(total[steps.index(x) - len(steps)], 6))
 
 
 def posterior(entropy: np.ndarray, sharpness: float) -> np.ndarray:
@@ -331,9 +358,11 @@ def posterior(entropy: np.ndarray, sharpness: float) -> np.ndarray:
     return z / z.sum(axis=1, keepdims=True)
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "accepted")) -> DataFrame:
+def predict(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "accepted"), scores: DataFrame | None = None) -> DataFrame:
     """`docs` with lang_pred, score and accepted, or as `names` call them; columns already named so are replaced.
 
+    `scores` are entropies() of their texts, where they are known.
+
     lang_pred is `und` (score 0, not accepted) where the text is null or has no letter. Ties go to the first language by name.
     """
     kept = docs.drop(*names)
@@ -355,7 +384,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text", names: tuple[str,
                 names=["of_digest", "pred", "sure", "fits"],
             )
 
-    judged = entropies(kept.select(F.col(text).alias("text")), model).select("digest", "letters", "entropy").mapInArrow(run, "of_digest binary, pred string, sure double, fits boolean")
+    known = entropies(kept.select(F.col(text).alias("text")), model) if scores is None else scores
+    judged = known.select("digest", "letters", "entropy").mapInArrow(run, "of_digest binary, pred string, sure double, fits boolean")
     whole = kept.select(F.struct("*").alias("row"), content_key(text, text)[1])
     return whole.join(judged, F.col("digest") == F.col("of_digest")).select(
         *(F.col("row")[name].alias(name) for name in kept.columns), *(F.col(x).alias(name) for x, name in zip(("pred", "sure", "fits"), names))
@@ -365,8 +395,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text", names: tuple[str,
 def only_accepted(docs: DataFrame) -> DataFrame:
     """`docs` (doc_id, text, lang and others) without the rows that are rejected; learnt as in split_predict."""
     names = tuple(free_names(docs.columns, "lang_pred", "score", "accepted"))
-    model = fit(docs.where(fold_part(F.col("doc_id"), 3) != 1))
-    return predict(docs, model, names=names).where(F.col(names[2])).select(*docs.columns)
+    model, scores = fit_part(docs)
+    return predict(docs, model, names=names, scores=scores).where(F.col(names[2])).select(*docs.columns)
 
 
 def split_predict(docs: DataFrame) -> DataFrame:
@@ -374,6 +404,6 @@ def split_predict(docs: DataFrame) -> DataFrame:
 
     A null id counts as empty text, so its rows are learnt from.
     """
-    model = fit(docs.where(fold_part(F.col("doc_id"), 3) != 1))
-    found_langs = predict(docs.select("doc_id", "text"), model)
+    model, scores = fit_part(docs)
+    found_langs = predict(docs.select("doc_id", "text"), model, scores=scores)
     return found_langs.select("doc_id", (fold_part(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "accepted")

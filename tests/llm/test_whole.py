@@ -119,3 +119,19 @@ def test_sample_of_copies_is_never_empty(spark):
     for bound in (1, 2, 5, 20):
         assert bounded_sample(copies, bound).count() == min(bound, 3)
     assert bounded_sample(copies, 20).count() == 3 and bounded_sample(copies.limit(0), 20).count() == 0
+
+
+def test_language_limits_come_from_every_learning_row(spark, monkeypatch):
+    monkeypatch.setattr(langid, "CALIBRATION_ROWS", 1, raising=False)
+    plain = [("en", f"the cat number {i} sat on the mat and saw the dog") for i in range(40)]
+    other = [("de", f"die katze nummer {i} lag auf der matte und sah den hund") for i in range(40)]
+    long = [("en", "the quick zephyr jumps over vexing wizards " * 600)]  # longer than what was looked at before
+    learn = spark.createDataFrame(plain + other + long, "lang string, text string")
+    model = langid.fit(learn)
+    scores = langid.entropies(learn.select("text"), model).collect()
+    entropy = {bytes(r.digest): list(r.entropy) for r in scores}
+    rows = learn.select("lang", langid.content_key("text", "text")[1]).collect()
+    for i, lang in enumerate(model.langs):
+        top = max(e[i] for r in rows if r.lang == lang and (e := entropy[bytes(r.digest)])[i] == min(e))
+        assert model.limit[i] == pytest.approx(top + 0.5 * max(0.0, math.log(model.letters) - top))
+    assert all(r.accepted for r in langid.predict(learn, model).collect())
