@@ -18,9 +18,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .common import bounded_sample, fold_part
 
 DECAY, SPAN, LETTERS, WIDTH = 0.75, 5, 32, 24
@@ -282,17 +283,51 @@ def learn(labelled: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHAR
     characters. Rows with null text or label teach nothing; without a row of each label there is no machine.
     """
     known = labelled.select("text", "toxic").where("text IS NOT NULL AND toxic IN (0, 1)")
-    counts = {row["toxic"]: row["count"] for row in known.groupBy("toxic").count().collect()}
+    parts = [known.where((F.col("toxic") == label) & (F.length("text") <= chars)) for label in (1, 0)]
+    return fit_sample(label_counts(known), bounded_sample(parts[0], rows).union(bounded_sample(parts[1], rows)))
+
+
+def label_counts(known: DataFrame) -> dict[int, int]:
+    return {row["toxic"]: row["count"] for row in known.groupBy("toxic").count().collect()}
+
+
+def fit_sample(counts: dict[int, int], sample: DataFrame) -> Machine | None:
+    """The machine of `sample` (text, toxic), calibrated to the rows of each label in `counts`."""
     if not counts.get(0) or not counts.get(1):
         return None
-    parts = [known.where((F.col("toxic") == label) & (F.length("text") <= chars)) for label in (1, 0)]
-    some = bounded_sample(parts[0], rows).union(bounded_sample(parts[1], rows)).toArrow()
+    some = sample.select("text", "toxic").toArrow()
     toxic = np.array(some["toxic"].to_pylist()) == 1
     if toxic.all() or not toxic.any():
         return None
     return fit(some["text"].to_pylist(), toxic, counts[1] / (counts[0] + counts[1]))
 
 
+def text_key() -> Column:
+    """128 bits of sha256 that stand for a text while labels are joined."""
+    return F.unhex(F.substring(F.sha2("text", 256), 1, 32))
+
+
+def learn_by_id(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Machine | None:
+    """As `learn`, of `docs` (doc_id, text) with their `labels` (of, toxic); the same sample, for which no text is shuffled.
+
+    Texts meet their labels as digests. Only those of the sample, at most `rows` of each label, are then read where they lie.
+    """
+    written = docs.where("text IS NOT NULL").select(
+        "doc_id", text_key().alias("digest"), (F.length("text") <= chars).alias("fits"),
+        *[F.xxhash64("text", F.lit(label).cast(labels.schema["toxic"].dataType)).alias(f"h{label}") for label in (0, 1)],
+    )
+    named = written.join(labels.where("toxic IN (0, 1)"), F.col("doc_id") == F.col("of"))
+    known = stored(named.select("of", "digest", "fits", "toxic", F.when(F.col("toxic") == 1, F.col("h1")).otherwise(F.col("h0")).alias("place")))
+    chosen = None
+    for label in (1, 0):
+        once = known.where((F.col("toxic") == label) & F.col("fits")).groupBy("digest", "toxic", "place").agg(F.min("of").alias("of"))
+        some = once.orderBy("place", "digest").limit(rows)
+        chosen = some if chosen is None else chosen.union(some)
+    chosen = chosen.withColumnRenamed("digest", "wanted").drop("place")
+    held = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).where(text_key() == F.col("wanted"))
+    return fit_sample(label_counts(known), held.select("text", "toxic", "of").distinct())
+
+
 def score(docs: DataFrame, machine: Machine | None, text: str = "text") -> DataFrame:
     """`docs` with score (0 to 1, a half everywhere without a machine) and predicted (1 from a half). Null text is empty; repeated rows stay."""
     kept = docs.drop("score", "predicted")
@@ -317,5 +352,5 @@ def split_score(docs: DataFrame, labels: DataFrame, parts: int = 5) -> DataFrame
     A repeated id meets each of its labels; a null id has none.
     """
     own = labels.where(fold_part(F.col("doc_id"), parts) != 0).select(F.col("doc_id").alias("of"), "toxic")
-    machine = learn(docs.join(own, F.col("doc_id") == F.col("of")).select("text", "toxic"))
+    machine = learn_by_id(docs.select("doc_id", "text"), own)
     return score(docs.select("doc_id", "text"), machine).select("doc_id", (fold_part(F.col("doc_id"), parts) == 0).alias("held_out"), "score", "predicted")

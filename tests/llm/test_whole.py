@@ -135,3 +135,26 @@ def test_language_limits_come_from_every_learning_row(spark, monkeypatch):
         top = max(e[i] for r in rows if r.lang == lang and (e := entropy[bytes(r.digest)])[i] == min(e))
         assert model.limit[i] == pytest.approx(top + 0.5 * max(0.0, math.log(model.letters) - top))
     assert all(r.accepted for r in langid.predict(learn, model).collect())
+
+
+def test_labels_meet_digests_not_texts(spark):
+    """The machine is learnt without a shuffle of texts, from the sample that joined texts would give."""
+    from entitylake.llm import toxicity
+
+    noise = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(200)), lambda i: F.sha2(F.concat_ws("-", "doc_id", i), 256)))
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.when(F.col("id") % 2 == 1, "worthless clown. ").otherwise("fine day. "), noise).alias("text"))
+    docs = docs.union(docs.where("doc_id < 9"))
+    labels = spark.range(400).select(F.col("id").alias("of"), (F.col("id") % 2).cast("int").alias("toxic"))
+    shuffled = lambda: spark._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled()
+        machine = toxicity.learn_by_id(docs, labels, rows=20)
+        docs.groupBy("doc_id").count().collect()
+        written = shuffled() - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert 0 < written < 1_000_000 < docs.select(F.sum(F.length("text"))).first()[0] / 5
+    whole = toxicity.learn(docs.join(labels, F.col("doc_id") == F.col("of")).select("text", "toxic"), rows=20)
+    assert sorted(machine.landmarks) == sorted(whole.landmarks) and abs(machine.scores(["worthless clown"]) - whole.scores(["worthless clown"])).max() < 1e-6
