@@ -9,13 +9,14 @@ the tasks and the tables between the steps.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import settle, stored
+from ..session import release, settle, stored
 from . import rolling
 from .common import content_key
 
@@ -174,14 +175,15 @@ def pieces_of(rows: dict, held: Bytes, busy: bool):
 
 
 def compare_windows(marked: DataFrame, unit: type[Bytes], size: int, digit: int) -> DataFrame:
-    """doc, at, n: runs of n windows of OPEN pieces, from `at` on, that also start elsewhere.
+    """doc, at, n, again: runs of n windows of OPEN pieces, from `at` on, that also start elsewhere; where `again` is false, that
+    do not. Windows of busy OPEN pieces that are not named repeat, windows of others do not.
 
     `marked` has doc, text and the lists c_low, c_windows, c_sync, c_state of its MODEL and OPEN pieces. Pieces of a sync point meet in
     one row, with their tokens, where all windows are compared; those of a busy sync point send names of chunks of windows, which
     are counted wherever they fall. Equal windows have the same sync point, so a window is named by its hash and its own, 128 bits together.
     """
     rows = marked.select("doc", "text", "c_low", "c_windows", "c_sync", "c_state")
-    return together(rows, unit, size).union(one_by_one(rows, unit, size, digit))
+    return together(rows, unit, size).withColumn("again", F.lit(True)).union(one_by_one(rows, unit, size, digit).withColumn("again", F.lit(False)))
 
 
 def together(rows: DataFrame, unit: type[Bytes], size: int) -> DataFrame:
@@ -227,12 +229,13 @@ def together(rows: DataFrame, unit: type[Bytes], size: int) -> DataFrame:
 
 
 def one_by_one(rows: DataFrame, unit: type[Bytes], size: int, digit: int) -> DataFrame:
-    """doc, at, n: runs of windows of busy OPEN pieces that also start elsewhere.
+    """doc, at, n: runs of windows of busy OPEN pieces that start nowhere else; all other windows of these pieces repeat.
 
     Windows that are equal lie at the same distance from their sync point. A piece sends its windows in chunks of neighbouring
-    distances, STEPS[0] at first, each named by the tokens that all its windows share. A chunk whose name stands alone leaves.
-    Where all chunks of a name are equal as a whole, all their windows repeat; else they are split into the next smaller chunks,
-    down to single windows. Names are counted by sums, so copies of one passage are one row per task before they meet.
+    distances, STEPS[0] at first, each named by the tokens that all its windows share. A chunk whose name stands alone leaves, and
+    is told. Chunks that are equal as a whole settle each other, and one goes on for all of them where others of its name differ;
+    those are split into the next smaller chunks, down to single windows. Names are counted by sums, so copies of one passage are
+    one row per task before they meet, and what goes on are different chunks only, however many copies they have.
     """
     last, levels = len(STEPS) - 1, "struct<c:int,core:bigint,whole:bigint,at:int,n:int{}>"
     kind = levels.format("")
@@ -256,17 +259,24 @@ def one_by_one(rows: DataFrame, unit: type[Bytes], size: int, digit: int) -> Dat
 
     busy = rows.where(F.exists("c_state", lambda x: x.bitwiseAND(F.lit(BUSY)) != 0))
     sent = stored(busy.mapInArrow(send, f"doc bigint, sync bigint, is_open boolean, chunks array<{kind}>"))
-    now, found = sent.select("doc", "sync", "is_open", F.inline("chunks")), []
+    now, name, out = sent.select("doc", "sync", "is_open", F.inline("chunks")), ["sync", "c", "core"], None
     for level in range(len(STEPS)):
-        name = ["sync", "c", "core"]
-        groups = now.groupBy(*name).agg(F.count(F.lit(1)).alias("places"), (F.min("whole") == F.max("whole")).alias("equal")).where("places > 1")
-        met = stored(now.join(groups.select(*[F.col(x).alias(f"of_{x}") for x in name], "equal"), [F.col(x) == F.col(f"of_{x}") for x in name]).drop(*[f"of_{x}" for x in name]))
-        found.append(met.where("equal AND is_open").select("doc", "at", "n"))
+        # different chunks with the number of their copies and one that stands for all, then what is known of each name
+        whole = now.groupBy(*name, "whole").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc", "at", "n", "is_open")).alias("one"))
+        whole = stored(whole) if level < last else whole
+        named = whole.groupBy(*name).agg(F.count(F.lit(1)).alias("kinds"), F.sum("copies").alias("places"), F.min("one").alias("one"))
+        alone = named.where("places = 1 AND one.is_open").select("one.doc", "one.at", "one.n")
         if level < last:
-            now = met.where("NOT equal").select("doc", "sync", "is_open", F.inline("parts"))
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
+            # a chunk with copies is settled; one of them goes on, as others may share some of its windows
+            mixed = named.where("kinds > 1").select(*[F.col(x).alias(f"of_{x}") for x in name])
+            left = whole.join(mixed, [F.col(x) == F.col(f"of_{x}") for x in name]).select("one.doc", "one.at", (F.col("copies") == 1).alias("single"))
+            parts = now.select(F.col("doc").alias("d"), F.col("at").alias("a"), "sync", "is_open", "parts")
+            met = parts.join(left, (F.col("d") == F.col("doc")) & (F.col("a") == F.col("at")))
+            given, sent = sent, stored(met.select("doc", "sync", (F.col("is_open") & F.col("single")).alias("is_open"), "parts"))
+            release(given)  # what is told of this level is read from `whole`
+            now = sent.select("doc", "sync", "is_open", F.inline("parts"))
+        out = alone if out is None else out.union(alone)
+    settle(rows.sparkSession)
     return out
 
 
@@ -297,10 +307,25 @@ def chunks(codes: np.ndarray, low: int, n: int, size: int, digit: int) -> list[d
     return split(0, n, 0)
 
 
+def between(whole: list[tuple[int, int]], alone: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs (first, number) of `whole` less those of `alone`, which are sorted and lie inside them."""
+    firsts, out = [a for a, _ in alone], []
+    for low, n in whole:
+        at = low
+        for a, m in alone[bisect_left(firsts, low) : bisect_left(firsts, low + n)]:
+            if a > at:
+                out.append((at, a - at))
+            at = a + m
+        if at < low + n:
+            out.append((at, low + n - at))
+    return out
+
+
 def cut(marked: DataFrame, unit: type[Bytes], size: int) -> DataFrame:
     """id, digest, n, low, high (maximal removed runs) and the kept text of each row.
 
-    `marked` has id, digest, text, the runs s_low and s_high and the runs of windows `at` (at, n), null for none.
+    `marked` has id, digest, text, the runs s_low and s_high, the lists c_low, c_windows, c_state and the runs of windows `at`
+    (at, n, again), null for none; see compare_windows.
     """
     kind = marked.schema["id"].dataType.simpleString()
     schema = f"id {kind}, digest binary, n bigint, low array<int>, high array<int>, kept binary"
@@ -314,7 +339,10 @@ def cut(marked: DataFrame, unit: type[Bytes], size: int) -> DataFrame:
                 lows, highs, kept = [], [], []
                 for i in range(some.num_rows):
                     runs = rows["at"][i] or []
-                    at, n = np.array([x["at"] for x in runs], dtype=np.int64), np.array([x["n"] for x in runs], dtype=np.int64)
+                    hits = [(x["at"], x["n"]) for x in runs if x["again"]]
+                    alone = sorted((x["at"], x["n"]) for x in runs if not x["again"])
+                    whole = [(a, w) for a, w, state in zip(rows["c_low"][i], rows["c_windows"][i], rows["c_state"][i]) if state == BUSY + OPEN]
+                    at, n = np.array(hits + between(whole, alone), dtype=np.int64).reshape(-1, 2).T
                     low, high = rolling.merged(
                         np.concatenate((np.array(rows["s_low"][i] or [], dtype=np.int64), at)),
                         np.concatenate((np.array(rows["s_high"][i] or [], dtype=np.int64), at + n + size - 1)),
@@ -327,16 +355,16 @@ def cut(marked: DataFrame, unit: type[Bytes], size: int) -> DataFrame:
                     names=["id", "digest", "n", "low", "high", "kept"],
                 )
 
-    return marked.select("id", "digest", "text", "s_low", "s_high", "at").mapInArrow(run, schema)
+    return marked.select("id", "digest", "text", "s_low", "s_high", "c_low", "c_windows", "c_state", "at").mapInArrow(run, schema)
 
 
 def finish(marked: DataFrame, unit: type[Bytes], size: int, digit: int) -> DataFrame:
     """Compare what is still open and cut; `marked` is stored, as its branches read it."""
-    at = compare_windows(marked.where("size(c_low) > 0"), unit, size, digit).groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("at"))
+    at = compare_windows(marked.where("size(c_low) > 0"), unit, size, digit).groupBy("doc").agg(F.collect_list(F.struct("at", "n", "again")).alias("at"))
     at = stored(at)
     settle(marked.sparkSession)  # what met for the comparison goes before the texts are shuffled
     open_rows = marked.where("size(c_low) > 0").join(at.withColumnRenamed("doc", "d"), F.col("doc") == F.col("d"), "left").drop("d")
-    settled = marked.where("size(c_low) = 0").withColumn("at", F.lit(None).cast("array<struct<at:int,n:int>>"))
+    settled = marked.where("size(c_low) = 0").withColumn("at", F.lit(None).cast("array<struct<at:int,n:int,again:boolean>>"))
     return cut(open_rows.unionByName(settled), unit, size)
 
 

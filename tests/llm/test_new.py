@@ -280,3 +280,24 @@ def test_many_copies_of_few_vectors(spark):
     got = {(r.n_links, r.component_id): r["count"] for r in itq.near_vectors(frame, sample_rows=20).groupBy("n_links", "component_id").count().collect()}
     assert got == {(9_999, 0): 10_000, (19_999, 1): 20_000}
     assert permutation.self_search(frame.where("vec_id < 2000")).count() == 200
+
+
+def test_near_copies_send_on_only_what_differs(spark, monkeypatch):
+    """Where hundreds of near copies meet, chunks that copies settle don't go on to the next pass, however many they are."""
+    from entitylake.llm import radix, repeats
+
+    monkeypatch.setattr(repeats, "MOST_PIECES", 2)
+    passage = " ".join(f"word{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, f"{passage} {i:04d} {passage[:180]}") for i in range(200)], DOCS)
+    went_on, stored = [], repeats.stored
+
+    def counting(frame):
+        out = stored(frame)
+        if "parts" in out.columns:
+            went_on.append(out.count())
+        return out
+
+    monkeypatch.setattr(repeats, "stored", counting)
+    rows = radix.repeated_bytes(docs).collect()
+    assert {r.n_removed for r in rows} == {len(passage) + 4}  # the blank and three digits, which ten copies share
+    assert len(went_on) == 2 and max(went_on) <= 2 * 200
