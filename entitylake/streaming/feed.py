@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.history import TRACKED, entity_changes, entity_snapshots
+from ..operators.history import TRACKED, changed_fields, moved_versions
 from ..operators.ordering import first_per_key
 from ..session import file_system, stored
 from .run import numbered_folders, run_batches
@@ -55,9 +55,9 @@ class EntityFeed:
         fresh = stored(incoming.join(known.select(*same), same, "left_anti"))
         fresh.withColumn("bucket", self.bucket(F.col("domain"))).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/versions/batch={batch}")
         timeline = stored(known.unionByName(fresh))
-        self._write_signed("changes", entity_changes(timeline, self.order, self.tracked), entity_changes(known, self.order, self.tracked), batch)
-        snapshots = [entity_snapshots(v, self.order, self.tracked).select("domain", *self.order, "hash") for v in (timeline, known)]
-        self._write_signed("snapshots", *snapshots, batch)
+        moved = [stored(moved_versions(v, self.order, self.tracked)) for v in (timeline, known)]  # put in order once for both tables
+        self._write_signed("changes", *[changed_fields(v, self.order, self.tracked) for v in moved], batch)
+        self._write_signed("snapshots", *[v.select("domain", *self.order, "hash") for v in moved], batch)
         self._write_entities(timeline, domains, touched, batch)
 
     def _write_signed(self, name: str, now: DataFrame, before: DataFrame, batch: int) -> None:

@@ -140,3 +140,17 @@ def test_stream_equals_batch(spark, table, batch, derived, order):
     kept = table(new_folder(spark))
     kept.run(in_batches(spark_table(spark, FOLDER, derived), 3, order))
     assert rows(kept.result(spark), *sorted(whole.columns)) == rows(whole, *sorted(whole.columns))
+
+
+def test_a_batch_puts_versions_in_order_once(spark, tmp_path, monkeypatch):
+    """Changes and snapshots are read from one ordered result: one for the timeline, one for what was known before."""
+    from entitylake.operators import history
+    from entitylake.streaming.feed import EntityFeed
+
+    calls, ordered = [], history.previous_per_key
+    monkeypatch.setattr(history, "previous_per_key", lambda *given: calls.append(1) or ordered(*given))
+    feed = EntityFeed(str(tmp_path), ["at"], ["name"])
+    feed.apply(spark.createDataFrame([("a.com", 1, "A"), ("a.com", 3, "C"), ("b.com", 1, "B")], "domain string, at int, name string"), 0)
+    assert len(calls) == 2
+    changes = sorted((r.domain, r.at, r.old_value, r.new_value) for r in feed.history(spark, "changes").collect())
+    assert changes == [("a.com", 3, "A", "C")] and feed.history(spark, "snapshots").count() == 3
