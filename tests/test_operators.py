@@ -343,3 +343,13 @@ def test_rows_of_narrow_tables_are_dealt_by_their_number(spark, tmp_path):
     assert spark_table(spark, str(tmp_path), "fx_rich_pages").rdd.getNumPartitions() == 9
     few = spark.read.parquet(f"{tmp_path}/customer.parquet")
     assert dealt(few, 12_000) is few
+
+
+def test_filters_on_what_dealt_rows_become_stay_behind_the_deal(spark, tmp_path):
+    """A filter that Spark moves below the repartition takes the work with it into the one task that scans."""
+    spark.range(12_000).selectExpr("id AS c_custkey").coalesce(1).write.parquet(f"{tmp_path}/keys.parquet")
+    made = dealt(spark.read.parquet(f"{tmp_path}/keys.parquet")).select("c_custkey", F.md5(F.col("c_custkey").cast("string")).alias("html"))
+    kept = made.filter("html LIKE 'a%'")
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5" in plan.split("Repartition")[0] and "md5" not in plan.split("Repartition")[1]
+    assert kept.rdd.getNumPartitions() == 3 and kept.count() == made.filter(F.col("html").startswith("a")).count()
