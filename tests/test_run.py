@@ -169,3 +169,23 @@ def test_main_path_saves_competitors_and_logs_the_rest(spark):
     once = everything(store)
     run_main_and_save(store, main_tables(spark), "march", MARCH)
     assert everything(store) == once
+
+
+def test_candidates_are_judged_without_being_broadcast(spark, tmp_path):
+    """Files of candidates are far smaller than their rows, which must not pass through the driver."""
+    from entitylake.operators.entities import company_entities
+    from entitylake.operators.pages import page_profile
+    from entitylake.operators.queries import analyze_queries
+    from entitylake.plans.discovery import asked_domains, judge, with_site
+
+    given = tables(spark)
+    named = spark.createDataFrame([(1, 1, "https://seedone.com", False), (1, 2, "https://www.seedtwo.com/x", False), (1, 3, "https://clutch.co/a", True)], "query_id long, pos int, url string, links_only boolean")
+    with_site(named).write.parquet(f"{tmp_path}/candidates")
+    asked = spark.read.parquet(f"{tmp_path}/candidates")
+    assert sorted(r.domain for r in asked_domains(asked).collect()) == ["seedone.com", "seedtwo.com"]
+    records = company_entities(page_profile(given.pages.filter("page_id < 3")))
+    judged = judge(asked, analyze_queries(given.queries), records)
+    plan = judged._jdf.queryExecution().executedPlan().toString()
+    assert not any("query_id" in line for line in plan.splitlines() if "BroadcastExchange" in line or "BuildRight" in line and "query_id" in line)
+    assert sum("SortMergeJoin" in line for line in plan.splitlines()) >= 1 and sorted(r.pos for r in judged.collect()) == [1, 2]
+    assert rows(judge(named, analyze_queries(given.queries), records)) == rows(judged)
