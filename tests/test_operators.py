@@ -353,3 +353,17 @@ def test_filters_on_what_dealt_rows_become_stay_behind_the_deal(spark, tmp_path)
     plan = kept._jdf.queryExecution().optimizedPlan().toString()
     assert "md5" in plan.split("Repartition")[0] and "md5" not in plan.split("Repartition")[1]
     assert kept.rdd.getNumPartitions() == 3 and kept.count() == made.filter(F.col("html").startswith("a")).count()
+
+
+def test_only_chosen_pages_are_extracted(spark, tmp_path):
+    """A filter on what is read out of a page, moved below the choice by id, would extract from every page."""
+    html = '<html><body><a href="/about-us">a</a><p>text</p></body></html>'
+    spark.range(50).selectExpr("id AS page_id", "concat('https://brand', id, '.com/') AS url", f"'{html}' AS html").write.parquet(f"{tmp_path}/pages")
+    pages = spark.read.parquet(f"{tmp_path}/pages")
+    ids = spark.createDataFrame([(3,), (7,)], "page_id long")
+    about = P_.choose_subpage(P_.chosen_pages(pages, ids), "about")
+    texts = P_.with_body_text(P_.chosen_pages(pages, ids)).filter("body_text <> ''")
+    for found in (about, texts):
+        above, below = found._jdf.queryExecution().optimizedPlan().toString().split("Join LeftSemi")
+        assert "regexp_replace" in above and "regexp" not in below
+        assert sorted(r.page_id for r in found.collect()) == [3, 7]
