@@ -367,3 +367,45 @@ def test_only_chosen_pages_are_extracted(spark, tmp_path):
         above, below = found._jdf.queryExecution().optimizedPlan().toString().split("Join LeftSemi")
         assert "regexp_replace" in above and "regexp" not in below
         assert sorted(r.page_id for r in found.collect()) == [3, 7]
+
+
+def test_texts_of_entities_are_never_dealt_with_links(spark):
+    """A row per link takes its query's columns to its entity; with the entity's texts the shuffles outgrow the input."""
+    from entitylake.operators.queries import analyze_queries
+    from entitylake.plans.competitors import FILTERED, matched_candidates, run_competitors
+
+    entity = "entity_id long, name string, domain string, description string, services array<string>, technologies array<string>, locations array<string>, emails array<string>, linkedin string, category string, meta_title string, meta_description string"
+    sites = [(i, f"Brand {i}", f"brand{i}.com", "We offer SEO and our team has case studies.", ["SEO"], [], [], [], None, "cro agency", None, None) for i in range(4)]
+    entities = spark.createDataFrame(sites, entity)
+    links = spark.createDataFrame([(q, e) for q in (1, 2) for e in range(4)], "query_id long, entity_id long")
+    found = analyze_queries(spark.createDataFrame([(1, "brand1 alternative"), (2, "Best AI agencies")], "query_id long, raw string"))
+    asked = found.select("query_id", "raw", F.col("intent").alias("q_intent"), F.col("industry").alias("q_industry"), F.col("keywords").alias("q_keywords"), F.col("location").alias("q_location"))
+    profile = "domain string, primary_services array<string>, business_model string, industry string"
+    profiles = spark.createDataFrame([("brand1.com", ["SEO", "Web"], "agency", "ai"), ("brand2.com", ["Toys"], "tool", None)], profile)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = matched_candidates(links, entities, asked, profiles)
+        plan = spark._jvm.PythonSQLUtils.explainString(pairs._jdf.queryExecution(), "formatted")
+        dealt_columns = [b for b in plan.split("\n\n") if ") Exchange" in b.split("\n")[0] or ") Exchange" in "".join(b.split("\n")[:2])]
+        assert len(dealt_columns) >= 4
+        assert not any("query_id" in b and ("description" in b or "body_text" in b) for b in dealt_columns)
+        rows = {(r.query_id, r.entity_id): (r.matched_services, r.match_score) for r in pairs.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert len(rows) == 8 and rows[1, 0] == (["SEO"], pytest.approx(0.5)) and rows[1, 2] == (["SEO"], pytest.approx(0.4)) and rows[2, 0] == ([], 0.5)
+    out = run_competitors(links, entities, asked, profiles)
+    assert out.filtered.columns == list(FILTERED) and out.filtered.count() == 7  # brand1.com is the company itself
+
+
+def test_relevance_is_the_same_from_texts_held_ready(spark):
+    schema = "name string, domain string, description string, services array<string>, technologies array<string>, linkedin string, emails array<string>, locations array<string>, category string, meta_title string, meta_description string, q_intent string, q_industry string, q_keywords array<string>, q_location string"
+    rows = [
+        ("Acme", "acme.com", "A full-service agency with case studies, our team.", ["SEO"], None, None, None, ["Delhi"], "cro agency", None, "Free trial", "agency_search", "cro_agency", ["cro", "best"], "Delhi"),
+        ("Tool", "tool.io", "Free trial, pricing plan, self-serve dashboard.", [], None, None, None, None, None, "Plans", None, "agency_search", "software", [], None),
+        (None, None, None, None, None, None, None, None, None, None, None, "market_discovery", None, ["toys"], None),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    ready = S.score_entities(S.with_entity_signals(df))
+    assert "entity_text" not in ready.columns
+    assert [r.relevance for r in ready.collect()] == [r.r for r in df.select(S.relevance_score().alias("r")).collect()]
