@@ -2,7 +2,7 @@
 
 Each round hangs every node under the smallest node it knows; the links shrink to one star per component.
 Rounds are written to the shared folder, so lineage does not grow and a lost executor costs its tasks only.
-Only two sums per round reach the driver.
+Only two sums per round reach the driver: links are merged with their least neighbours, never broadcast.
 """
 
 from __future__ import annotations
@@ -16,13 +16,13 @@ from ..session import release, stored
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.union(links.select("b", "a"))
     least = both.groupBy(F.col("a").alias("of")).agg(F.min("b").alias("least"))
-    hung = both.join(least, F.col("a") == F.col("of")).where("b > a")
+    hung = both.hint("merge").join(least, F.col("a") == F.col("of")).where("b > a")
     return hung.select(F.col("b").alias("a"), F.least("least", "a").alias("b")).distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     least = links.groupBy(F.col("a").alias("of")).agg(F.min("b").alias("least"))
-    hung = links.join(least, F.col("a") == F.col("of"))
+    hung = links.hint("merge").join(least, F.col("a") == F.col("of"))
     moved = hung.where("b > least").select(F.col("b").alias("a"), F.col("least").alias("b"))
     return moved.union(least.select("of", "least")).toDF("a", "b").distinct()
 

@@ -89,12 +89,16 @@ def bucket_links(members: list, chunks: list, choice: int, all_masks: np.ndarray
 
 
 def class_links(classes: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, chunk: int = CHUNK) -> DataFrame:
-    """(a, b): links between fingerprints (distinct longs in `fp`) whose components are those of all links in distance."""
+    """(a, b): links between fingerprints (distinct longs in `fp`) whose components are those of all links in distance.
+
+    Every fingerprint is posted once for each choice of blocks, but Spark takes what comes out of the array for no larger than the
+    fingerprints, so a hint keeps it from being broadcast.
+    """
     all_masks = masks(blocks, distance)
     choice = F.explode(F.array(*[F.struct(F.lit(i).cast("short").alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(all_masks)]))
     posted = classes.select("fp", choice.alias("x")).select("x.choice", "x.key", "fp")
     busy = posted.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").toDF("of_choice", "of_key", "members")
-    met = posted.join(busy, (F.col("choice") == F.col("of_choice")) & (F.col("key") == F.col("of_key"))).drop("of_choice", "of_key")
+    met = posted.hint("merge").join(busy, (F.col("choice") == F.col("of_choice")) & (F.col("key") == F.col("of_key"))).drop("of_choice", "of_key")
     parts = F.ceil(F.col("members") / F.lit(chunk)).cast("int")
     mine = F.pmod(F.xxhash64("fp"), parts.cast("long")).cast("int")
     meetings = (
@@ -117,13 +121,16 @@ def class_links(classes: DataFrame, distance: int = DISTANCE, blocks: int = BLOC
 
 
 def near_groups(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> tuple[DataFrame, DataFrame]:
-    """Rows (id, digest, fp) and groups (of_fp, component_id): fingerprint and the smallest id reachable from it."""
+    """Rows (id, digest, fp) and groups (of_fp, component_id): fingerprint and the smallest id reachable from it.
+
+    Tables with a row per document or fingerprint are merged here and below, never broadcast.
+    """
     rows = stored(fingerprints(docs))
     classes = stored(rows.groupBy("fp").agg(F.min("id").alias("least")))
     roots = components(class_links(classes.select("fp"), distance, blocks))
-    rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = classes.hint("merge").join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy(F.col("root").alias("of")).agg(F.min("least").alias("component_id"))
-    groups = rooted.join(smallest, F.col("root") == F.col("of")).select(F.col("fp").alias("of_fp"), "component_id", F.col("root").alias("group"))
+    groups = rooted.hint("merge").join(smallest, F.col("root") == F.col("of")).select(F.col("fp").alias("of_fp"), "component_id", F.col("root").alias("group"))
     return rows, stored(groups)
 
 
@@ -138,7 +145,7 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLO
     it is null only where no row of the group has an id. Repeated rows stay. An empty table gives no rows.
     """
     rows, groups = near_groups(docs, distance, blocks)
-    return rows.join(groups, F.col("fp") == F.col("of_fp")).select(F.col("id").alias("doc_id"), hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+    return rows.hint("merge").join(groups, F.col("fp") == F.col("of_fp")).select(F.col("id").alias("doc_id"), hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
@@ -149,15 +156,15 @@ def keep_one(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) ->
     rows, groups = near_groups(docs.select("doc_id", "text"), distance, blocks)
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "digest")
     chosen = (
-        rows.join(groups, F.col("fp") == F.col("of_fp")).groupBy("group").agg(F.min(order).alias("one"))
+        rows.hint("merge").join(groups, F.col("fp") == F.col("of_fp")).groupBy("group").agg(F.min(order).alias("one"))
         .select(F.col("one.id").alias("of_id"), F.col("one.digest").alias("of_digest"))
     )
     copies = rows.groupBy(F.col("id").alias("c_id"), F.col("digest").alias("c_digest")).agg(F.count(F.lit(1)).alias("copies"))
     chosen = stored(
-        chosen.join(copies, F.col("of_id").eqNullSafe(F.col("c_id")) & (F.col("of_digest") == F.col("c_digest"))).select("of_id", "of_digest", "copies")
+        chosen.hint("merge").join(copies, F.col("of_id").eqNullSafe(F.col("c_id")) & (F.col("of_digest") == F.col("c_digest"))).select("of_id", "of_digest", "copies")
     )
     whole = docs.select(F.struct("*").alias("row"), *content_key("doc_id", "text"))
-    kept = whole.join(chosen, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("digest") == F.col("of_digest")))
+    kept = whole.hint("merge").join(chosen, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("digest") == F.col("of_digest")))
     place = F.row_number().over(Window.partitionBy("id", "digest").orderBy(F.to_json("row")))
     many = kept.where("copies > 1").withColumn("place", place).where("place = 1").drop("place")
     return kept.where("copies = 1").union(many).select(*(F.col("row")[name].alias(name) for name in docs.columns))

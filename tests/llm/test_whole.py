@@ -158,3 +158,11 @@ def test_labels_meet_digests_not_texts(spark):
     assert 0 < written < 1_000_000 < docs.select(F.sum(F.length("text"))).first()[0] / 5
     whole = toxicity.learn(docs.join(labels, F.col("doc_id") == F.col("of")).select("text", "toxic"), rows=20)
     assert sorted(machine.landmarks) == sorted(whole.landmarks) and abs(machine.scores(["worthless clown"]) - whole.scores(["worthless clown"])).max() < 1e-6
+
+
+def test_posted_fingerprints_are_not_broadcast(spark):
+    from entitylake.llm import simhash
+
+    links = simhash.class_links(spark.createDataFrame([(1,), (3,), (1 << 40,)], "fp long"))
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan and links.count() == 2
