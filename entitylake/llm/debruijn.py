@@ -42,7 +42,7 @@ def compacted(sure: DataFrame) -> DataFrame:
         (F.count("previous") == F.count(F.lit(1))) & (F.min("previous") == F.max("previous")),
         (F.count("next") == F.count(F.lit(1))) & (F.min("next") == F.max("next")),
     ).toDF("of", "one_in", "one_out")
-    known = linked.join(one_way, F.col("path") == F.col("of")).drop("of")
+    known = linked.hint("merge").join(one_way, F.col("path") == F.col("of")).drop("of")
     before = F.lag("one_out").over(along)
     starts = F.col("previous").isNull() | ~F.coalesce("one_in", F.lit(False)) | ~F.coalesce(before, F.lit(False))
     numbered = known.withColumn("starts", starts).withColumn("stretch", F.sum(F.col("starts").cast("int")).over(along))
@@ -93,7 +93,7 @@ def without_repeats(docs: DataFrame, size: int = SIZE, digit: int = DIGIT) -> Da
     kept = cuts.select(F.col("id").alias("of_id"), F.col("digest").alias("of_digest"), F.col("kept").cast("string").alias("kept"))
     kept = kept.dropDuplicates(["of_id", "of_digest"])  # of identical rows, which the join below brings back
     whole = docs.select(F.struct("*").alias("row"), *repeats.content_key("doc_id", "text"))
-    both = whole.join(kept, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("digest") == F.col("of_digest")), "left")
+    both = whole.hint("merge").join(kept, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("digest") == F.col("of_digest")), "left")
     out = {name: F.col("row")[name] for name in docs.columns}
     out["text"] = F.coalesce("kept", out["text"])
     if "n_chars" in out:

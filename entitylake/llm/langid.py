@@ -138,7 +138,7 @@ def entries(counts: DataFrame) -> DataFrame:
     context = F.shiftright("gram", BITS)
     sums = stored(grams.groupBy("lang", "level", context.alias("context")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("followers")))
     of = sums.select(F.col("lang").alias("of_lang"), F.col("level").alias("of_level"), "context", "total")
-    joined = grams.join(of, (F.col("lang") == F.col("of_lang")) & (F.col("level") == F.col("of_level")) & (context == F.col("context")))
+    joined = grams.hint("merge").join(of, (F.col("lang") == F.col("of_lang")) & (F.col("level") == F.col("of_level")) & (context == F.col("context")))
     shares = joined.select(F.lit(0).alias("kind"), "level", "lang", F.col("gram").alias("key"), ((F.col("n") - DISCOUNT) / F.col("total")).cast("float").alias("value"))
     weights = sums.select(F.lit(1).alias("kind"), "level", "lang", F.col("context").alias("key"), (F.col("followers") * DISCOUNT / F.col("total")).cast("float").alias("value"))
     made = stored(shares.unionAll(weights))
@@ -172,8 +172,8 @@ def gram_values(grams: DataFrame, model: Model) -> DataFrame:
     wanted = leveled(grams, 1).withColumn("n", F.lit(0).cast("long")).unionAll(grams.select(F.lit(ORDER).alias("level"), "gram", "n"))
     shares, weights = (model.tables.where(F.col("kind") == kind).select("level", "key", "own").toDF(*names) for kind, names in enumerate((("s_level", "s_key", "share"), ("w_level", "w_key", "weight"))))
     parts = stored(
-        wanted.join(shares, (F.col("level") == F.col("s_level")) & (F.col("gram") == F.col("s_key")), "left")
-        .join(weights, (F.col("level") == F.col("w_level")) & (F.shiftright("gram", BITS) == F.col("w_key")), "left")
+        wanted.join(shares.hint("merge"), (F.col("level") == F.col("s_level")) & (F.col("gram") == F.col("s_key")), "left")
+        .join(weights.hint("merge"), (F.col("level") == F.col("w_level")) & (F.shiftright("gram", BITS) == F.col("w_key")), "left")
         .select("level", "gram", "n", *[F.coalesce(name, F.array(*[F.lit(missing)] * len(model.langs))).alias(name) for name, missing in (("share", 0.0), ("weight", 1.0))])
     )
     lower = None
@@ -182,7 +182,7 @@ def gram_values(grams: DataFrame, model: Model) -> DataFrame:
         if lower is None:
             now = now.withColumn("before", F.array(*[F.lit(1.0 / model.letters)] * len(model.langs)))
         else:
-            now = now.join(lower.toDF("l_gram", "before"), suffix(level - 1) == F.col("l_gram"))
+            now = now.hint("merge").join(lower.toDF("l_gram", "before"), suffix(level - 1) == F.col("l_gram"))
         p = F.zip_with(F.zip_with("weight", "before", lambda x, y: x * y), "share", lambda x, y: x + y)
         lower = now.select("gram", *(["n"] if level == ORDER else []), p.alias("p"))
     out = stored(lower.select("gram", "n", F.transform("p", lambda x: F.log(x).cast("float")).alias("value")))
@@ -271,12 +271,12 @@ def entropies(texts: DataFrame, model: Model) -> DataFrame:
     one = made.groupBy("digest").agg(*[F.first(x).alias(x) for x in ("n", "letters", "sums")])
     rest = made.select("digest", F.inline(F.arrays_zip("gram", "times"))).groupBy("digest", "gram").agg(F.first("times").alias("times"))
     more = (
-        rest.join(values.select(F.col("gram").alias("of"), "value"), F.col("gram") == F.col("of")).groupBy(F.col("digest").alias("of_digest"))
+        rest.hint("merge").join(values.select(F.col("gram").alias("of"), "value"), F.col("gram") == F.col("of")).groupBy(F.col("digest").alias("of_digest"))
         .agg(F.array(*[F.sum(F.col("times") * F.get("value", F.lit(i)).cast("double")) for i in range(len(model.langs))]).alias("more"))
     )
     total = F.when(F.col("more").isNull(), F.col("sums")).otherwise(F.zip_with("sums", "more", lambda x, y: x + y))
     entropy = F.transform(total, lambda x: -x / F.greatest("n", F.lit(1)))
-    return stored(one.join(more, F.col("digest") == F.col("of_digest"), "left").select("digest", "n", "letters", entropy.alias("entropy")))
+    return stored(one.hint("merge").join(more, F.col("digest") == F.col("of_digest"), "left").select("digest", "n", "letters", entropy.alias("entropy")))
 
 
 def models(learn: DataFrame) -> Model:
@@ -325,7 +325,7 @@ def calibrate(model: Model, learn: DataFrame, scores: DataFrame) -> None:
     langs, steps = model.langs, [0.5 * 2**k for k in range(9)]
     model.limit = [math.log(model.letters)] * len(langs)
     rows = learn.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", content_key("text", "text")[1]).distinct()
-    found = rows.join(scores.where("n > 0").withColumnRenamed("digest", "of"), F.col("digest") == F.col("of")).select("lang", "entropy")
+    found = rows.hint("merge").join(scores.where("n > 0").withColumnRenamed("digest", "of"), F.col("digest") == F.col("of")).select("lang", "entropy")
 
     def run(batches):
         top, fit, n = {}, np.zeros(len(steps)), 0
@@ -387,7 +387,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", names: tuple[str,
     known = entropies(kept.select(F.col(text).alias("text")), model) if scores is None else scores
     judged = known.select("digest", "letters", "entropy").mapInArrow(run, "of_digest binary, pred string, sure double, fits boolean")
     whole = kept.select(F.struct("*").alias("row"), content_key(text, text)[1])
-    return whole.join(judged, F.col("digest") == F.col("of_digest")).select(
+    return whole.hint("merge").join(judged, F.col("digest") == F.col("of_digest")).select(
         *(F.col("row")[name].alias(name) for name in kept.columns), *(F.col(x).alias(name) for x, name in zip(("pred", "sure", "fits"), names))
     )
 

@@ -166,3 +166,23 @@ def test_posted_fingerprints_are_not_broadcast(spark):
     links = simhash.class_links(spark.createDataFrame([(1,), (3,), (1 << 40,)], "fp long"))
     plan = links._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan and links.count() == 2
+
+
+def test_tables_that_grow_with_documents_are_never_broadcast(spark, monkeypatch):
+    """Files are smaller than their rows, most of all behind an array of them, so sizes alone would send them through the driver."""
+    from entitylake.llm import components, debruijn, repeats, simhash
+
+    plans = []
+
+    def planned(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    for module in (components, debruijn, langid, repeats, simhash):
+        was = module.stored
+        monkeypatch.setattr(module, "stored", lambda df, was=was: was(planned(df)))
+    docs = spark.createDataFrame([(i, written(lang, i) + " " + written("aa", 99), lang) for i in range(12) for lang in ALPHABETS], "doc_id long, text string, lang string")
+    for step in (simhash.keep_one, simhash.near_duplicates, langid.only_accepted, langid.split_predict, debruijn.without_repeats, debruijn.repeated_words):
+        assert planned(step(docs)).count() > 0
+    joins = [line for plan in plans for line in plan.splitlines() if "BroadcastHashJoin" in line]
+    assert "SortMergeJoin" in "".join(plans) and [x for x in joins if "busy" not in x] == []  # sync points of more than 1,024 different pieces: few
