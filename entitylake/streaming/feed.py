@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.history import TRACKED, changed_fields, moved_versions
+from ..operators.history import TRACKED, changed_fields, only_moved, versions_with_previous
 from ..operators.ordering import first_per_key
-from ..session import file_system, stored
+from ..session import file_system, release, settle, stored
 from .run import numbered_folders, run_batches
 
 
@@ -23,7 +23,7 @@ class EntityFeed:
                written before a late version came in between. Sums of signs are what holds.
 
     A batch computes everything from the versions of earlier batches and its own rows, and overwrites its own folders, so it
-    can be run again after a lost executor or driver.
+    can be run again after a lost executor or driver. What it keeps for its own steps goes as soon as no step reads it any more.
     """
 
     def __init__(self, folder: str, order: Sequence[str], tracked: Sequence[str] = TRACKED, buckets: int = 16):
@@ -52,16 +52,42 @@ class EntityFeed:
         touched = [r["b"] for r in incoming.select(self.bucket(F.col("domain")).alias("b")).distinct().collect()]
         domains = incoming.select("domain").distinct()
         known = stored(self._before(versions, batch, touched).join(domains, "domain", "left_semi"))
-        fresh = stored(incoming.join(known.select(*same), same, "left_anti"))
-        fresh.withColumn("bucket", self.bucket(F.col("domain"))).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/versions/batch={batch}")
-        timeline = stored(known.unionByName(fresh))
-        moved = [stored(moved_versions(v, self.order, self.tracked)) for v in (timeline, known)]  # put in order once for both tables
-        self._write_signed("changes", *[changed_fields(v, self.order, self.tracked) for v in moved], batch)
-        self._write_signed("snapshots", *[v.select("domain", *self.order, "hash") for v in moved], batch)
-        self._write_entities(timeline, domains, touched, batch)
+        fresh = incoming.join(known.select(*same).hint("merge"), same, "left_anti")
+        own = f"{self.folder}/versions/batch={batch}"
+        fresh.withColumn("bucket", self.bucket(F.col("domain"))).write.mode("overwrite").partitionBy("bucket").parquet(own)
+        fresh = spark.read.schema(incoming.schema).parquet(own).select(*columns)
+        settle(spark)
+        self._write_moved(known, fresh, batch)
+        self._write_entities(known.unionByName(fresh), domains, touched, batch)
+        release(incoming)
+        release(known)
+        settle(spark)
+
+    def _write_moved(self, known: DataFrame, fresh: DataFrame, batch: int) -> None:
+        """Changes and snapshots that hold with the batch and did not without it, and the other way round.
+
+        Only fresh versions and those that follow one directly can differ; the others are left where they are. Versions are put in
+        order once, and known versions once without the fresh ones.
+        """
+        key, spark = ["domain", *self.order], known.sparkSession
+        kept = list(dict.fromkeys([*key, *self.tracked]))
+        timeline = known.select(*kept, F.lit(False).alias("_fresh")).unionByName(fresh.select(*kept, F.lit(True).alias("_fresh")))
+        ordered = stored(versions_with_previous(timeline, self.order, self.tracked, also=["_fresh"]))
+        settle(spark)
+        behind = F.coalesce("previous._fresh", F.lit(False))
+        now = only_moved(ordered.filter(F.col("_fresh") | behind))
+        alone = ordered.filter(~F.col("_fresh")).select(*kept, behind.alias("_behind"))
+        before = stored(only_moved(versions_with_previous(alone, self.order, self.tracked).filter("_behind")))
+        settle(spark)
+        self._write_signed("changes", *[changed_fields(v, self.order, self.tracked) for v in (now, before)], batch)
+        settle(spark)
+        self._write_signed("snapshots", *[v.select(*key, "hash") for v in (now, before)], batch)
+        release(ordered)
+        release(before)
+        settle(spark)
 
     def _write_signed(self, name: str, now: DataFrame, before: DataFrame, batch: int) -> None:
-        """What holds with the batch and did not without it, and the other way round. Only touched domains are in either."""
+        """Rows of `now` with sign +1 and those of `before` with -1; rows of both cancel out."""
         both = now.withColumn("sign", F.lit(1)).unionByName(before.withColumn("sign", F.lit(-1)))
         moved = both.groupBy(*now.columns).agg(F.sum("sign").cast("int").alias("sign")).filter("sign <> 0")
         moved.write.mode("overwrite").parquet(f"{self.folder}/{name}/batch={batch}")

@@ -154,3 +154,29 @@ def test_a_batch_puts_versions_in_order_once(spark, tmp_path, monkeypatch):
     assert len(calls) == 2
     changes = sorted((r.domain, r.at, r.old_value, r.new_value) for r in feed.history(spark, "changes").collect())
     assert changes == [("a.com", 3, "A", "C")] and feed.history(spark, "snapshots").count() == 3
+
+
+def test_a_batch_leaves_no_steps_behind_and_orders_only_what_it_moves(spark, tmp_path, monkeypatch):
+    """Steps of a batch go with it, and versions away from its own are neither shuffled for their fields nor written."""
+    import os
+
+    from entitylake.session import checkpoint_root
+    from entitylake.streaming import feed as module
+
+    def versions(*given):
+        return spark.createDataFrame([*given], "domain string, at int, name string")
+
+    compared, fields = [], module.changed_fields
+    monkeypatch.setattr(module, "changed_fields", lambda moved, *given: compared.append(moved.count()) or fields(moved, *given))
+    feed = module.EntityFeed(str(tmp_path), ["at"], ["name"])
+    steps = lambda: set(os.listdir(checkpoint_root(spark).removeprefix("file:")))
+    left = steps()
+    feed.apply(versions(*[("a.com", 2 * i, f"A{i}") for i in range(50)], ("b.com", 1, "B")), 0)
+    compared.clear()
+    feed.apply(versions(("a.com", 31, "new"), ("a.com", 40, "A20"), ("a.com", -1, "A0"), ("c.com", 5, "C")), 1)
+    # fresh: 31, -1 and c.com; behind one: 32 with "new" before it now and 30 before, 0 equal to the version before it now and the first before
+    assert steps() == left and compared == [4, 2]
+    changes = {(r.domain, r.at): (r.old_value, r.new_value) for r in feed.history(spark, "changes").collect()}
+    assert changes == {("a.com", 2 * i): (f"A{i - 1}", f"A{i}") for i in range(1, 50) if i != 16} | {("a.com", 31): ("A15", "new"), ("a.com", 32): ("new", "A16")}
+    snapshots = sorted((r.domain, r.at) for r in feed.history(spark, "snapshots").collect())
+    assert snapshots == sorted([("a.com", at) for at in [-1, 31, *range(2, 100, 2)]] + [("b.com", 1), ("c.com", 5)])
