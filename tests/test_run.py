@@ -189,3 +189,21 @@ def test_candidates_are_judged_without_being_broadcast(spark, tmp_path):
     assert not any("query_id" in line for line in plan.splitlines() if "BroadcastExchange" in line or "BuildRight" in line and "query_id" in line)
     assert sum("SortMergeJoin" in line for line in plan.splitlines()) >= 1 and sorted(r.pos for r in judged.collect()) == [1, 2]
     assert rows(judge(named, analyze_queries(given.queries), records)) == rows(judged)
+
+
+def test_links_of_a_run_stay_narrow_and_versions_are_ordered_once(spark, monkeypatch):
+    """What a record says of itself meets the links of its domain once, when they are saved."""
+    from entitylake.operators import history
+    from entitylake.plans import saved_run
+
+    found = saved_run.Discovery(tables(spark))
+    assert set(found.judged.columns) == {"query_id", "round", "pos", "domain", "page_id", "confidence", "relevance", "category", "is_valid"}
+    saved = found.saved
+    plan = [line for line in saved._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastExchange" in line and "query_id" in line]
+    assert plan == [] and {(r.domain, bool(r.name)) for r in saved.collect()} == {(r.domain, True) for r in found._kept.collect()}
+    calls, ordered = [], history.previous_per_key
+    monkeypatch.setattr(history, "previous_per_key", lambda *given: calls.append(1) or ordered(*given))
+    before = saved.filter("query_id < 0").select(*[c for c in saved_run.DATA if c in saved.columns])
+    logs = saved_run.version_logs(before, saved, F.lit(None).cast("timestamp_ntz"))
+    pairs = saved.groupBy("domain").count().collect()
+    assert len(calls) == 1 and len(pairs) > 0 and logs["snapshots"].select("domain").distinct().count() == len(pairs)
